@@ -18,6 +18,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators that leave letters only: all of ASCII but A-Z and a-z (bytes from 0x80 on are parts of letters).
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text hashed in one go; longer single documents are taken alone.
@@ -90,14 +93,14 @@ def blocks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
 class Words:
     """Words of a run of documents: byte bounds, a 64-bit hash of each, and word offsets by document."""
 
-    __slots__ = ("buf", "start", "end", "hash", "first")
+    __slots__ = ("buf", "start", "end", "hash", "first", "_total")
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True, space: np.ndarray = _SPACE):
         if lower:
             buf = _LOWER[buf]
         self.buf = buf
         n = len(buf)
-        text = ~_SPACE[buf]
+        text = ~space[buf]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         prev = np.empty(n, dtype=bool)
@@ -120,8 +123,14 @@ class Words:
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, U64)
             np.cumsum((self.buf.astype(U64) + U64(1)) * _powers(_BASE, n, "pow"), out=total[1:])
-            value = (total[self.end] - total[self.start]) * _powers(_BASE_INV, n, "inv")[self.start]
-            return mix(value + (self.end - self.start).astype(U64))
+        self._total = total
+        return self.span_hash(self.start, self.end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the given byte spans; equal bytes have equal hashes wherever they stand."""
+        with np.errstate(over="ignore"):
+            value = (self._total[end] - self._total[start]) * _powers(_BASE_INV, len(self.buf), "inv")[start]
+            return mix(value + (end - start).astype(U64))
 
     @property
     def counts(self) -> np.ndarray:
