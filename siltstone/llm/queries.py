@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif_media, quality, toxicity, url_rules, warc
+from . import gif_media, minhash_dedup, quality, toxicity, url_rules, warc
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -28,12 +28,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op10_url_filters": op10_url_filters}
+    return {"op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op10_url_filters": op10_url_filters}
 
 
 OP4_SQL = """
