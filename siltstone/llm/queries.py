@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, gif_media, minhash_dedup, pieces, quality, toxicity, url_rules, warc
+from . import decontaminate, gif_media, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -40,12 +40,16 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters}
 
 
 OP4_SQL = """
@@ -69,5 +73,28 @@ SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i::BIGINT, (i + 4)::BIGINT), ' ') AS g FROM t, UNNEST(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END)::BIGINT)) u(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT e.u, e.v FROM e JOIN n x ON x.doc_id = e.u JOIN n y ON y.doc_id = e.v WHERE 100 * e.c >= 85 * (x.n + y.n - e.c)),
+r AS (WITH RECURSIVE r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u) SELECT u, min(v) AS m FROM r GROUP BY u)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(r.m, t.doc_id)) AS component_id, t.doc_id = least(t.doc_id, coalesce(r.m, t.doc_id)) AS kept
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN r ON r.u = t.doc_id
+"""
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(list_slice(w, i::BIGINT, (i + 12)::BIGINT), ' ') AS g FROM t, UNNEST(range(1, greatest(len(w) - 11, 1)::BIGINT)) u(i)),
+m AS (SELECT g, min(doc_id) AS first_doc FROM p GROUP BY g),
+d AS (SELECT DISTINCT p.doc_id, p.i + o.k AS i FROM p JOIN m ON m.g = p.g AND m.first_doc < p.doc_id, UNNEST(range(0, 13)) o(k)),
+x AS (SELECT t.doc_id, u.i, t.w[u.i::BIGINT] AS word FROM t, UNNEST(range(1, (len(t.w) + 1)::BIGINT)) u(i)),
+k AS (SELECT x.doc_id, count(*) AS kept, string_agg(x.word, ' ' ORDER BY x.i) AS txt FROM x LEFT JOIN d ON d.doc_id = x.doc_id AND d.i = x.i WHERE d.i IS NULL GROUP BY x.doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(k.kept, 0))::BIGINT AS n_removed, sha256(coalesce(k.txt, '')) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op10_url_filters": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filters": OP10_SQL}
