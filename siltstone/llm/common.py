@@ -101,3 +101,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids are broadcast only up to so many rows of one number; beyond, tables are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def few_or_many(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a written table of ids for broadcast if it is small enough, counted here."""
+    return F.broadcast(ids) if ids.count() <= most else ids

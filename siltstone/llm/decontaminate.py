@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import Scratch, few_or_many, only
 from .textops import NOT_LETTER, U64, Words, blocks, flat, mix
 
 #: The masks, six tokens of spans of nine to twelve.
@@ -198,5 +198,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no benchmark item, all their columns."""
-    found = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = Scratch(docs.sparkSession, "leaks").settle(find_leaks(docs, benchmark).select("doc_id").distinct(), "found")
+    return docs.join(few_or_many(found), "doc_id", "left_anti").select(docs.columns)

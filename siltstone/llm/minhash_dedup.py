@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, only
+from .common import Scratch, arrow_map, few_or_many, only
 from .graph import connected_components
 from .textops import U64, Words, blocks, flat, grams, mix
 
@@ -35,8 +35,6 @@ SAMPLES, BANDS = 128, 32
 SKETCH_BITS = 512
 #: Most differing sketch bits of a pair that may reach 0.85 (mean 36 there, deviation about 7).
 SKETCH_SLACK = 70
-#: Broadcast of ids only up to so many rows of one number; beyond, a shuffled join.
-BROADCAST_ROWS = 500_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
@@ -171,9 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # The full sets of all nodes that may be compared.
     busy = scratch.settle(crowded.select("node").distinct(), "busy")
-    ids = busy.select(F.col("node").alias("doc_id"))
-    if busy.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = few_or_many(busy.select(F.col("node").alias("doc_id")))
     texts = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi")
     sets = scratch.settle(set_table(texts), "sets")
     facts = held.select("node", "n", *sketch).join(busy, "node", "left_semi")
@@ -217,3 +213,10 @@ def _plausible(pairs: DataFrame, facts: DataFrame, percent: int, slack: int) ->
     both = pairs.join(a, "u").join(b, "v")
     fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
     return both.filter(fits & (_differing("a_", "b_") <= slack)).select("u", "v")
+
+
+def without_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One document of each component (that with the smallest id), all columns of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "copies")
+    gone = scratch.settle(near_duplicates(docs, percent).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(few_or_many(gone), "doc_id", "left_anti").select(docs.columns)

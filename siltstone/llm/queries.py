@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, gif_media, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
+from . import decontaminate, gif_media, licences, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op2_licence_scan": op2_licence_scan, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters}
 
 
 OP4_SQL = """

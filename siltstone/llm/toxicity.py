@@ -213,3 +213,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
     return with_verdict(docs, "", lambda column: shared.value.scores(column), threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(shared.value.scores(b.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
