@@ -128,7 +128,7 @@ def by_split(rows: DataFrame, scratch: Scratch, name: str) -> str:
     """Writes rows into one folder per split and returns where."""
     where = scratch.path(name)
     width = max(shuffle_width(rows.sparkSession), 1)
-    rows.repartition(width, "split").sortWithinPartitions("split", "ordinal").write.partitionBy("split").option("compression", "zstd").parquet(where)
+    rows.repartition(width, "split").sortWithinPartitions("split").write.partitionBy("split").option("compression", "zstd").parquet(where)
     return where
 
 
@@ -151,7 +151,12 @@ STRETCH = "shard long, h long, h2 long, doc_id long, split long, ordinal long, s
 
 
 def stretches(texts: DataFrame, shared_anchors: str) -> DataFrame:
-    """Stretches of windows of one shard with their words; windows with a hot anchor alone, by hash (no shard)."""
+    """Stretches of windows of one shard with their words.
+
+    Windows with a hot anchor have no shard: a row for each of them and batch, named by
+    128 bits of hash, with the smallest document in ``doc_id``, the largest in
+    ``ordinal`` and (document, ordinal, start) of all places in ``words``.
+    """
     names = [c.split()[0] for c in STRETCH.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()]
 
@@ -172,10 +177,27 @@ def stretches(texts: DataFrame, shared_anchors: str) -> DataFrame:
                     continue
                 ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
                 null = np.array(rows.column("doc_id").is_null())
+                common: list[np.ndarray] = []
                 for i, _, w in _words_of(rows):
-                    yield from cut(w, i, base, split, ids, null, known)
+                    yield from cut(w, i, base, split, ids, null, known, common)
+                if common:
+                    yield from gather(np.concatenate(common, axis=1), split)
+
+    def gather(x, split):
+        """One row for each distinct window of a batch: its smallest and largest document, and all its places."""
+        order = np.lexsort((x[2], x[1], x[0]))
+        x = x[:, order]
+        new = np.ones(x.shape[1], bool)
+        new[1:] = (x[0, 1:] != x[0, :-1]) | (x[1, 1:] != x[1, :-1])
+        first = np.flatnonzero(new)
+        past = np.append(first[1:], x.shape[1])
+        places = np.ascontiguousarray(x[2:].T)
+        packed = [places[a:z].tobytes() for a, z in zip(first.tolist(), past.tolist(), strict=True)]
+        n = len(first)
+        cols = [pa.nulls(n, pa.int64()), x[0, first], x[1, first], x[2, first], np.full(n, split), x[2, past - 1], np.zeros(n), past - first, packed]
+        yield _batch(cols, kinds, names)
 
-    def cut(w, i, base, split, ids, null, known):
+    def cut(w, i, base, split, ids, null, known, common):
         row, start, anchor = window_anchors(w)
         key = _pair_key(row + (base + i), anchor)
         at = np.searchsorted(known[0], key)
@@ -185,12 +207,11 @@ def stretches(texts: DataFrame, shared_anchors: str) -> DataFrame:
         shard, hot = known[1][at], known[2][at]
         place = start - w.first[row]
         if hot.any():
-            g = grams(w.hash, WINDOW)[start[hot]]
+            at = start[hot]
             with np.errstate(over="ignore"):
-                second = mix(grams(w.hash, WINDOW - 6)[start[hot]] * U64(31) + grams(w.hash, 7)[start[hot] + 6])
+                second = mix(grams(w.hash, WINDOW - 6)[at] * U64(31) + grams(w.hash, 7)[at + 6])
             r = row[hot]
-            cols = [pa.nulls(len(r), pa.int64()), g.view(np.int64), second.view(np.int64), ids[r + i].astype(np.int64), np.full(len(r), split), r + (i + base), place[hot], np.ones(len(r)), pa.nulls(len(r), pa.binary())]
-            yield _batch(cols, kinds, names)
+            common.append(np.stack([grams(w.hash, WINDOW)[at].view(np.int64), second.view(np.int64), ids[r + i].astype(np.int64), r + (i + base), place[hot]]))
         row, start, shard, place = (x[~hot] for x in (row, start, shard, place))
         if not len(row):
             return
@@ -286,58 +307,75 @@ def search_shards(cuts: DataFrame) -> DataFrame:
 
 
 def hot_windows(cuts: DataFrame) -> DataFrame:
-    """Repeated windows among those with a hot anchor."""
-    hot = cuts.filter("shard IS NULL").select("h", "h2", "doc_id", "split", "ordinal", "start", "n")
-    least = hot.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "h2", "least")
-    return hot.join(least, ["h", "h2"]).filter("doc_id > least").select("split", "ordinal", "start", "n")
+    """Windows with a hot anchor that several documents hold: split, smallest document, packed places."""
+    hot = cuts.filter("shard IS NULL").select("h", "h2", "doc_id", F.col("ordinal").alias("last"), "split", F.col("words").alias("places"))
+    least = hot.groupBy("h", "h2").agg(F.min("doc_id").alias("least"), F.max("last").alias("most")).filter("least < most").select("h", "h2", "least")
+    return hot.join(least, ["h", "h2"]).filter("last > least").select("split", "least", "places")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def keep_rest(texts: DataFrame, repeated: str, with_text: bool = False) -> DataFrame:
+def _intervals(repeated: tuple[str, str], split: int) -> dict[str, np.ndarray] | None:
+    """All repeated intervals of a split by ordinal: those found by search, and the common windows."""
+    parts = []
+    if (found := _fetch(repeated[0], split, ["ordinal", "start", "n"])) is not None:
+        parts.append(np.stack([found["ordinal"], found["start"].astype(np.int64), found["n"].astype(np.int64)]))
+    if (found := _fetch(repeated[1], split, ["least", "places"])) is not None:
+        for least, packed in zip(found["least"].tolist(), found["places"], strict=True):
+            doc, ordinal, start = np.frombuffer(packed, np.int64).reshape(-1, 3).T
+            later = doc > least
+            parts.append(np.stack([ordinal[later], start[later], np.ones(int(later.sum()), np.int64)]))
+    if not parts:
+        return None
+    whole = np.concatenate(parts, axis=1)
+    whole = whole[:, np.argsort(whole[0], kind="stable")]
+    return {"ordinal": whole[0], "start": whole[1], "n": whole[2]}
+
+
+def _rest_of(batches, repeated: tuple[str, str]) -> Iterator[tuple[pa.RecordBatch, dict[str, list]]]:
+    """Runs of rows and what their repeated intervals leave: counts, hashes and texts (bytes)."""
+    seen: dict[int, int] = {}
+    current, known = None, None
+    for b in batches:
+        for split, base, rows in _splits(b, seen):
+            if split != current:
+                known, current = _intervals(repeated, split), split
+            for i, j, w in _words_of(rows):
+                yield rows.slice(i, j - i), _rest(w, base + i, base + j, known)
+
+
+def _rest(w: Words, a: int, z: int, known: dict[str, np.ndarray] | None) -> dict[str, list]:
+    gone = np.zeros(len(w.start) + 1, np.int64)
+    if known is not None:
+        low, high = np.searchsorted(known["ordinal"], [a, z])
+        start = known["start"][low:high] + w.first[known["ordinal"][low:high] - a]
+        np.add.at(gone, start, 1)
+        np.add.at(gone, start + known["n"][low:high] + WINDOW - 1, -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    total = np.concatenate([[0], np.cumsum(gone)])
+    removed = (total[w.first[1:]] - total[w.first[:-1]]).tolist()
+    raw, first, kept = w.buf.tobytes(), w.first.tolist(), []
+    for k, lost in enumerate(removed):
+        i, j = first[k], first[k + 1]
+        words = raw[int(w.start[i]) : int(w.end[j - 1])].split() if j > i else []
+        if lost:
+            words = [x for x, g in zip(words, gone[i:j].tolist(), strict=True) if not g]
+        kept.append(b" ".join(words))
+    return {"n_words": w.counts.tolist(), "n_removed": removed, "kept_sha256": [hashlib.sha256(t).hexdigest() for t in kept], "kept_text": kept}
+
+
+def keep_rest(texts: DataFrame, repeated: tuple[str, str], with_text: bool = False) -> DataFrame:
     """What the repeated intervals leave of every text: counts and hash, and the text itself when wanted."""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
+    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.binary()}
 
     def run(batches):
-        seen: dict[int, int] = {}
-        current, known = None, None
-        for b in batches:
-            for split, base, rows in _splits(b, seen):
-                if split != current:
-                    known, current = _fetch(repeated, split, ["ordinal", "start", "n"]), split
-                    if known is not None:
-                        order = np.argsort(known["ordinal"], kind="stable")
-                        known = {c: v[order] for c, v in known.items()}
-                for i, j, w in _words_of(rows):
-                    yield rest(w, i, j, base, rows, known)
-
-    def rest(w, i, j, base, rows, known):
-        gone = np.zeros(len(w.start) + 1, np.int64)
-        if known is not None:
-            a, z = np.searchsorted(known["ordinal"], [base + i, base + j])
-            start = known["start"][a:z] + w.first[known["ordinal"][a:z] - (base + i)]
-            np.add.at(gone, start, 1)
-            np.add.at(gone, start + known["n"][a:z] + WINDOW - 1, -1)
-        gone = np.cumsum(gone)[:-1] > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
-        removed = total[w.first[1:]] - total[w.first[:-1]]
-        raw, first = w.buf.tobytes(), w.first.tolist()
-        starts, ends, hashes, kept = w.start, w.end, [], []
-        for k, lost in enumerate(removed.tolist()):
-            a, z = first[k], first[k + 1]
-            words = raw[int(starts[a]) : int(ends[z - 1])].split() if z > a else []
-            if lost:
-                words = [x for x, g in zip(words, gone[a:z].tolist(), strict=True) if not g]
-            text = b" ".join(words)
-            hashes.append(hashlib.sha256(text).hexdigest())
+        for rows, result in _rest_of(batches, repeated):
+            cols = [pa.array(result[c], kinds[c]) for c in names[1:]]
             if with_text:
-                kept.append(text)
-        cols = [rows.column("doc_id").slice(i, j - i), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-        if with_text:
-            cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
-            names.append("kept_text")
-        return pa.RecordBatch.from_arrays(cols, names)
+                cols[-1] = cols[-1].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *cols], names)
 
     return texts.mapInArrow(run, RESULT + (", kept_text string" if with_text else ""))
 
@@ -346,10 +384,47 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "substring")
     texts = with_splits(docs, scratch)
+    return keep_rest(texts, find_repeats(texts, scratch), with_text)
+
+
+def rewrite_documents(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with the repeated words gone from the texts (and ``n_chars`` counted anew).
+
+    A text that loses nothing stays as it is; of the others the kept words are joined by
+    one space, and nothing is left of a text that only repeats earlier ones.
+    """
+    scratch = Scratch(docs.sparkSession, "substring")
+    probe = docs.select(F.input_file_name().alias("f")).first()
+    if probe is not None and not probe.f:
+        docs = scratch.settle(docs, "docs")
+    repeated = find_repeats(with_splits(docs, scratch), scratch)
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    texts = docs.withColumn("split", split)
+    schema = docs.schema
+
+    def run(batches):
+        for rows, result in _rest_of(batches, repeated):
+            lost, kept = result["n_removed"], result["kept_text"]
+            old = rows.column("text").to_pylist()
+            new = [k.decode() if n else t for n, k, t in zip(lost, kept, old, strict=True)]
+            cols = []
+            for field in schema:
+                column = rows.column(field.name)
+                if field.name == "text":
+                    column = pa.array(new, pa.string())
+                elif field.name == "n_chars":
+                    column = pa.array([len(t) if n else c for n, t, c in zip(lost, new, column.to_pylist(), strict=True)], column.type)
+                cols.append(column)
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def find_repeats(texts: DataFrame, scratch: Scratch) -> tuple[str, str]:
+    """Where the repeated intervals of the texts and their repeated common windows are written, by split."""
     many = anchor_rows(texts, named=True).groupBy("anchor").agg(F.min("doc_id").alias("shard"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("shard < last")
     many = scratch.settle(many.select("anchor", "shard", (F.col("n") >= HOT).alias("hot")), "anchors")
     shared = by_split(anchor_rows(texts, named=False).join(many.hint("shuffle_hash"), "anchor"), scratch, "shared")
     scratch.drop(many)
     cuts = scratch.settle(stretches(texts, shared), "stretches")
-    found = search_shards(cuts.filter("shard IS NOT NULL")).unionByName(hot_windows(cuts))
-    return keep_rest(texts, by_split(found, scratch, "repeated"), with_text)
+    return by_split(search_shards(cuts.filter("shard IS NOT NULL")), scratch, "repeated"), by_split(hot_windows(cuts), scratch, "common")
