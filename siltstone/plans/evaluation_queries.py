@@ -211,11 +211,11 @@ def cluster_bootstrap_ci(spark, sf):
     return S.percentile_interval(S.resample_means(u, "question_id", ["condition"], 7, RESAMPLES), ["condition"]).select("condition", r6("lo").alias("lo"), r6("hi").alias("hi"), "n_undefined")
 
 
-@query("mean_ci", f"WITH u AS (SELECT event_type, event_id, value AS total, 1 AS weight FROM events WHERE event_id < 400), {draw_sql(11, 'u', 'event_type', 'event_id')} SELECT event_type, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep GROUP BY 1")
+@query("mean_ci", f"WITH u AS (SELECT event_type, user_id, sum(value) AS total, count(*) AS weight FROM events GROUP BY ALL), {draw_sql(11, 'u', 'event_type', 'user_id')} SELECT event_type, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep GROUP BY 1")
 def mean_ci(spark, sf):
-    """Item bootstrap: every row its own cluster (the first 400 events are the stated sample)."""
-    u = table(spark, sf, "events").filter("event_id < 400").select("event_type", "event_id", F.col("value").alias("total"), F.lit(1).alias("weight"))
-    return S.percentile_interval(S.resample_means(u, "event_id", ["event_type"], 11, RESAMPLES), ["event_type"]).select("event_type", r6("lo").alias("lo"), r6("hi").alias("hi"))
+    """Mean value by event type; a user's events are drawn together."""
+    u = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("total"), F.count("*").alias("weight"))
+    return S.percentile_interval(S.resample_means(u, "user_id", ["event_type"], 11, RESAMPLES), ["event_type"]).select("event_type", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 _DIFF = """d AS (SELECT a.model, a.question_id, avg((a.label = 'correct')::INT) - avg((b.label = 'correct')::INT) AS total, 1 AS weight FROM traces a JOIN traces b ON a.question_id = b.question_id AND a.model = b.model AND a.condition = 'oracle' AND b.condition = 'retrieved' AND a.prompt = b.prompt WHERE a.label IS NOT NULL AND b.label IS NOT NULL GROUP BY ALL)"""
@@ -427,10 +427,10 @@ def claim_verdict_zip(spark, sf):
     return t.select("trace_id", F.coalesce(whole, F.lit(False)).alias("complete"))
 
 
-@query("label_attachment", f"WITH {CLAIMS_SQL} SELECT substr(sha256(trace_id), 1, 12) AS item_id, claim, human AS blind, CASE WHEN {sql_draw('adj', 'trace_id', 'claim')} % 6 = 0 THEN judge END AS adjudicated, CASE WHEN {sql_draw('adj', 'trace_id', 'claim')} % 6 = 0 THEN judge ELSE human END AS final FROM claims WHERE prompt = 'p1'")
+@query("label_attachment", f"WITH {CLAIMS_SQL} SELECT substr(sha256(trace_id), 1, 12) AS item_id, claim, human AS blind, CASE WHEN {sql_draw('adj', 'trace_id', 'claim')} % 6 = 0 THEN judge END AS adjudicated, CASE WHEN {sql_draw('adj', 'trace_id', 'claim')} % 6 = 0 THEN judge ELSE human END AS final FROM claims")
 def label_attachment(spark, sf):
     """Blind labels by opaque item and claim; adjudicated ones beside them and in their stead."""
-    c = claims(spark, sf).filter("prompt = 'p1'").withColumn("item_id", F.substring(F.sha2("trace_id", 256), 1, 12))
+    c = claims(spark, sf).withColumn("item_id", F.substring(F.sha2("trace_id", 256), 1, 12))
     changed = c.filter(md5_int(F.lit("adj"), F.col("trace_id"), F.col("claim").cast("string")) % 6 == 0).select("item_id", "claim", F.col("judge").alias("adjudicated"))
     joined = c.select("item_id", "claim", F.col("human").alias("blind")).join(changed, ["item_id", "claim"], "left")
     return joined.withColumn("final", F.coalesce("adjudicated", "blind"))

@@ -17,7 +17,7 @@ def r6(c):
 _NORM = "regexp_replace(upper({x}), '[^A-Z0-9]', '', 'g')"
 
 
-@query("entity_resolution_cascade", f"""WITH asked AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN s_name WHEN 1 THEN s_suppkey::VARCHAR WHEN 2 THEN lower(s_name) || '.' WHEN 3 THEN s_name || ' International' ELSE 'Nobody' || c_custkey END AS q FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) WHERE c_custkey < 200),
+@query("entity_resolution_cascade", f"""WITH asked AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN s_name WHEN 1 THEN s_suppkey::VARCHAR WHEN 2 THEN lower(s_name) || '.' WHEN 3 THEN s_name || ' International' ELSE 'Nobody' || c_custkey END AS q FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)),
 t AS (SELECT s_suppkey AS cik, s_name AS title, s_suppkey::VARCHAR AS ticker, {_NORM.format(x='s_name')} AS k FROM supplier),
 a AS (SELECT *, {_NORM.format(x='q')} AS k FROM asked), o AS (SELECT id, 99999 AS cik, 'override' AS method, 0 AS p FROM a WHERE q = 'Nobody4'),
 m AS (SELECT * FROM o UNION ALL SELECT a.id, t.cik, 'ticker', 1 FROM a JOIN t ON a.q = t.ticker UNION ALL SELECT a.id, t.cik, 'title_exact', 2 FROM a JOIN t USING (k)
@@ -27,7 +27,7 @@ def entity_resolution_cascade(spark, sf):
     """Override, ticker, equal normal form, containment; each step sees only what the ones before left."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cik"), F.col("s_name").alias("title"))
     n = s.count()
-    c = table(spark, sf, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % n).alias("cik")).join(s, "cik")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % n).alias("cik")).join(s, "cik")
     kind = F.col("id") % 5
     q = F.when(kind == 0, F.col("title")).when(kind == 1, F.col("cik").cast("string")).when(kind == 2, F.concat(F.lower("title"), F.lit("."))).when(kind == 3, F.concat("title", F.lit(" International"))).otherwise(F.concat(F.lit("Nobody"), F.col("id").cast("string")))
     norm = lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", "")

@@ -172,9 +172,9 @@ def merge_documents(spark, sf):
     return joined.select("merged", "doc_id", "pos", (F.col("page") + F.col("shift")).alias("page"), start.alias("char_start"))
 
 
-@query("cover_period", "SELECT o_orderkey, (strftime(o_orderdate, '%Y-%m-%d'))::VARCHAR AS period_end FROM orders WHERE o_orderkey % 5 = 0")
+@query("cover_period", "SELECT o_orderkey, (strftime(o_orderdate, '%Y-%m-%d'))::VARCHAR AS period_end FROM orders")
 def cover_period(spark, sf):
-    orders = table(spark, sf, "orders").filter("o_orderkey % 5 = 0")
+    orders = table(spark, sf, "orders")
     cover = F.concat(F.lit("FORM 10-K for the fiscal year ended "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" Commission file"))
     return orders.select("o_orderkey", T.cover_period(cover).cast("string").alias("period_end"))
 
@@ -217,10 +217,10 @@ def normalised_text_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(T.normalise(F.col("text")), 256).alias("norm_sha"))
 
 
-@query("find_all_overlapping", "SELECT doc_id, i::BIGINT AS at FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 2, 0))) AS i FROM documents WHERE n_chars < 600) WHERE substr(text, (i + 1)::BIGINT, 3) = 'the'")
+@query("find_all_overlapping", "SELECT doc_id, i::BIGINT AS at FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 2, 0))) AS i FROM documents) WHERE substr(text, (i + 1)::BIGINT, 3) = 'the'")
 def find_all_overlapping(spark, sf):
-    docs = table(spark, sf, "documents").filter("n_chars < 600")
-    return docs.select("doc_id", F.explode(T.find_all(F.col("text"), F.lit("the"))).alias("at")).select("doc_id", F.col("at").cast("bigint").alias("at"))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.explode(T.find_all(F.col("text"), "the")).alias("at")).select("doc_id", F.col("at").cast("bigint").alias("at"))
 
 
 HINTS = [(1, "What is revenue in USD millions? Round to two decimal places."), (2, "Answer in units of percents, rounded to one decimal."), (3, "in thousands"), (4, "How many employees?")]
