@@ -4,14 +4,18 @@
    values are taken of it; ``BANDS`` bands of them give bucket keys, and all of them are
    folded into an odd sketch, a bitmap whose bits are the parities of the hashed samples.
 2. Texts with equal sets are one node (the smallest id) from here on.
-3. Round one: in every bucket of two or more nodes the smallest is the leader.  A node
-   is compared with one leader; the links confirmed on the full sets give components.
-   A bucket of n copies costs n comparisons, not n squared.
-4. Round two: only pairs of one bucket that are still in different components are left.
-   Those whose sizes and odd sketches (XOR population count) allow the wanted
-   similarity are confirmed on the full sets too.  So no link between components is lost
-   but by the bands (a pair at the threshold 0.85 shares no bucket with probability
-   (1 - 0.85**4)**32, about 1e-10) and the sketch bound (some 4.5 standard deviations).
+3. Rounds of stars: the leader of a bucket is the node that meets most others over all
+   its buckets (the text that copies were made from meets more than the copies do).
+   Nodes are compared with the leaders of their buckets; the links confirmed on the full
+   sets give components, and buckets that still hold several are led anew from among the
+   nodes outside the largest.  A bucket of n copies costs n comparisons a round.
+4. Last round: the pairs of one bucket that are still in different components.
+   Those whose sizes, odd sketches and set parities allow the wanted similarity are
+   confirmed on the full sets too.  The population count of two sets' XORed parities is
+   never more than the sets' difference, so that bound loses nothing; links between
+   components are lost only by the bands (a pair at the threshold 0.85 shares no bucket
+   with probability (1 - 0.85**4)**32, about 1e-10) and by the odd sketch of the samples
+   (some 4.5 standard deviations).
 
 Defined results: a text without words (null, empty, blank) has no shingles, is linked
 with nothing and is its own component; with fewer words than a shingle has, the whole
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, few_or_many, only
@@ -35,6 +39,10 @@ SAMPLES, BANDS = 128, 32
 SKETCH_BITS = 512
 #: Most differing sketch bits of a pair that may reach 0.85 (mean 36 there, deviation about 7).
 SKETCH_SLACK = 70
+#: Bits of the parities of the whole set.
+PARITY_BITS = 1024
+#: Rounds of stars before the remaining pairs.
+STARS = 2
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
@@ -90,8 +98,14 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-WORDS = SKETCH_BITS // 64
-SKETCHED = "doc_id long, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
+WORDS, PARITIES = SKETCH_BITS // 64, PARITY_BITS // 64
+BITS = [f"s{i}" for i in range(WORDS)] + [f"p{i}" for i in range(PARITIES)]
+SKETCHED = "doc_id long, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{b} long" for b in BITS)
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """How many elements of a set fall on each bit, modulo 2, as bytes."""
+    return np.packbits((np.bincount(((values >> U64(11)) % U64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8))
 
 
 def sketch_table(docs: DataFrame) -> DataFrame:
@@ -99,16 +113,17 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         sizes, f1, f2, samples = [], [], [], np.zeros((b.num_rows, SAMPLES), np.uint32)
+        parities = np.zeros((b.num_rows, PARITY_BITS // 8), np.uint8)
         for k, s in enumerate(shingle_sets(b.column("text"))):
             sizes.append(len(s))
             f1.append(s.sum(dtype=U64) if len(s) else U64(0))
             f2.append(np.bitwise_xor.reduce(mix(s)) if len(s) else U64(0))
             if len(s):
-                samples[k] = signature(s)
-        keys, sketch = band_keys(samples), odd_sketches(samples)
+                samples[k], parities[k] = signature(s), parity(s)
+        keys, sketch = band_keys(samples), np.concatenate([odd_sketches(samples), parities.view(np.int64)], axis=1)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
         cols = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(f1, U64).view(np.int64)), pa.array(np.array(f2, U64).view(np.int64)), bands]
-        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(WORDS)]], [c.split()[0] for c in SKETCHED.split(", ")])
+        return pa.RecordBatch.from_arrays([*cols, *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(BITS))]], [c.split()[0] for c in SKETCHED.split(", ")])
 
     return arrow_map(only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), one, SKETCHED)
 
@@ -159,37 +174,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = rows.filter("doc_id IS NOT NULL AND n > 0")
     key = ["f1", "f2", "n"]
     nodes = known.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    sketch = [f"s{i}" for i in range(WORDS)]
 
     # Bucket rows of buckets that hold two nodes or more.
     held = known.join(nodes, key).filter("doc_id = node").dropDuplicates(["node"])
-    spread = held.select("node", "n", *sketch, F.explode("bands").alias("bucket"))
-    crowd = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("bucket", "leader")
-    crowded = scratch.settle(spread.select("node", "bucket").join(crowd, "bucket"), "buckets")
+    spread = held.select("node", F.explode("bands").alias("bucket"))
+    crowd = spread.groupBy("bucket").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    crowded = scratch.settle(spread.join(crowd, "bucket"), "buckets")
+    degree = scratch.settle(crowded.groupBy("node").agg(F.sum("crowd").alias("degree")), "busy")
 
-    # The full sets of all nodes that may be compared.
-    busy = scratch.settle(crowded.select("node").distinct(), "busy")
-    ids = few_or_many(busy.select(F.col("node").alias("doc_id")))
+    # Sketches and full sets of all nodes that may be compared.
+    ids = few_or_many(degree.select(F.col("node").alias("doc_id")))
     texts = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id", "left_semi")
     sets = scratch.settle(set_table(texts), "sets")
-    facts = held.select("node", "n", *sketch).join(busy, "node", "left_semi")
-
-    first = crowded.filter("node > leader").groupBy(F.col("node").alias("v")).agg(F.min("leader").alias("u"))
-    first = scratch.settle(_plausible(first, facts, percent, slack), "first")
-    links = scratch.settle(confirmed(first, sets, percent), "links")
-    roots = connected_components(links, scratch)
-
-    # What the first round left apart.
-    placed = crowded.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
-    placed = scratch.settle(placed.join(mixed, "bucket").join(facts, "node"), "placed")
-    main = placed.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"))
+    facts = scratch.settle(held.select("node", "n", *BITS).join(degree, "node"), "facts")
+
+    rows_left = crowded.select("bucket", "node").join(degree, "node").withColumn("root", F.col("node"))
+    links = tried = None
+    for _ in range(STARS):
+        lead = rows_left.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("other"))).alias("top")).select("bucket", (-F.col("top.other")).alias("leader"))
+        asked = rows_left.join(lead, "bucket").filter("node <> leader").select(F.greatest("node", "leader").alias("v"), F.least("node", "leader").alias("u")).distinct()
+        if tried is not None:
+            asked = asked.join(tried, ["u", "v"], "left_anti")
+        asked = scratch.settle(_plausible(asked, facts, percent, slack), "asked")
+        found = scratch.settle(confirmed(asked, sets, percent), "links")
+        tried = asked if tried is None else tried.unionByName(asked)
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        roots = scratch.settle(connected_components(links, scratch), "roots")
+        rows_left = scratch.settle(_mixed(crowded, roots, degree), "mixed")
+
+    # What the stars left apart.
+    main = rows_left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"))
+    placed = rows_left.join(facts.drop("degree"), "node")
     x, y = placed.join(main, "bucket").filter("root <> main").alias("x"), placed.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    pairs = x.join(y, apart & fits & (_differing("x.", "y.") <= slack)).select(F.greatest("x.node", "y.node").alias("v"), F.least("x.node", "y.node").alias("u")).distinct()
-    second = scratch.settle(pairs.join(first, ["u", "v"], "left_anti"), "second")
-    more = scratch.settle(confirmed(second, sets, percent), "more")
+    pairs = x.join(y, apart & _fits("x.", "y.", percent, slack)).select(F.greatest("x.node", "y.node").alias("v"), F.least("x.node", "y.node").alias("u")).distinct()
+    last = scratch.settle(pairs.join(tried, ["u", "v"], "left_anti"), "last")
+    more = scratch.settle(confirmed(last, sets, percent), "more")
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more), scratch)
 
@@ -200,19 +222,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _differing(a: str, b: str):
-    total = F.lit(0)
-    for i in range(WORDS):
-        total = total + F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}")))
-    return total
+def _mixed(crowded: DataFrame, roots: DataFrame, degree: DataFrame) -> DataFrame:
+    """Rows (bucket, node, degree, root) of the buckets whose nodes are of several components."""
+    placed = crowded.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
+    return placed.join(mixed, "bucket").join(degree, "node").select("bucket", "node", "degree", "root")
+
+
+def _fits(a: str, b: str, percent: int, slack: int) -> Column:
+    """Whether sizes, odd sketches and set parities of two rows allow the similarity."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    unlike = lambda names: sum((F.bit_count(c(a, n).bitwiseXOR(c(b, n))) for n in names), F.lit(0))
+    sizes = F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent
+    # 100 * shared >= percent * union leaves a difference of (100 - percent) / (100 + percent) of both sizes at most.
+    most = (c(a, "n") + c(b, "n")) * (100 - percent)
+    return sizes & (unlike(BITS[:WORDS]) <= slack) & (unlike(BITS[WORDS:]) * (100 + percent) <= most)
 
 
 def _plausible(pairs: DataFrame, facts: DataFrame, percent: int, slack: int) -> DataFrame:
-    a = facts.select(F.col("node").alias("u"), *[F.col(c).alias(f"a_{c}") for c in facts.columns if c != "node"])
-    b = facts.select(F.col("node").alias("v"), *[F.col(c).alias(f"b_{c}") for c in facts.columns if c != "node"])
-    both = pairs.join(a, "u").join(b, "v")
-    fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    return both.filter(fits & (_differing("a_", "b_") <= slack)).select("u", "v")
+    a = facts.select(F.col("node").alias("u"), *[F.col(c).alias(f"a_{c}") for c in ["n", *BITS]])
+    b = facts.select(F.col("node").alias("v"), *[F.col(c).alias(f"b_{c}") for c in ["n", *BITS]])
+    return pairs.join(a, "u").join(b, "v").filter(_fits("a_", "b_", percent, slack)).select("u", "v")
 
 
 def without_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
