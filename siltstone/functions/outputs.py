@@ -16,7 +16,7 @@ def sections(text: str) -> tuple[dict[str, str], list[str]]:
     marks = list(_LABEL.finditer(text))
     found: dict[str, str] = {}
     issues = []
-    for m, behind in zip(marks, [*marks[1:], None], strict=True):
+    for m, behind in zip(marks, [*marks[1:], *[None] * bool(marks)], strict=True):
         if m[1] in found:
             issues.append(f"duplicate:{m[1].lower()}")
         found[m[1]] = text[m.end() : behind.start() if behind else len(text)].strip()
