@@ -197,6 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no benchmark item, all their columns."""
+    """The documents that leak no benchmark item, all their columns (a leaking row with a null id takes all such rows along)."""
     found = Scratch(docs.sparkSession, "leaks").settle(find_leaks(docs, benchmark).select("doc_id").distinct(), "found")
-    return docs.join(few_or_many(found), "doc_id", "left_anti").select(docs.columns)
+    leaking = few_or_many(found.withColumnRenamed("doc_id", "_leaking"))
+    return docs.join(leaking, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti").select(docs.columns)

@@ -69,9 +69,9 @@ def window_anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[start], start, anchor[start]
 
 
-def _splits(batch: pa.RecordBatch, seen: dict[int, int]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+def _splits(batch: pa.RecordBatch, seen: dict[int, int], name: str = "split") -> Iterator[tuple[int, int, pa.RecordBatch]]:
     """(split, ordinal of the first row in it, rows) of each run of one split in a batch."""
-    split = batch.column("split").to_numpy(zero_copy_only=False)
+    split = batch.column(name).to_numpy(zero_copy_only=False)
     cuts = [0, *(np.flatnonzero(split[1:] != split[:-1]) + 1).tolist(), len(split)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
@@ -333,12 +333,12 @@ def _intervals(repeated: tuple[str, str], split: int) -> dict[str, np.ndarray] |
     return {"ordinal": whole[0], "start": whole[1], "n": whole[2]}
 
 
-def _rest_of(batches, repeated: tuple[str, str]) -> Iterator[tuple[pa.RecordBatch, dict[str, list]]]:
+def _rest_of(batches, repeated: tuple[str, str], name: str = "split") -> Iterator[tuple[pa.RecordBatch, dict[str, list]]]:
     """Runs of rows and what their repeated intervals leave: counts, hashes and texts (bytes)."""
     seen: dict[int, int] = {}
     current, known = None, None
     for b in batches:
-        for split, base, rows in _splits(b, seen):
+        for split, base, rows in _splits(b, seen, name):
             if split != current:
                 known, current = _intervals(repeated, split), split
             for i, j, w in _words_of(rows):
@@ -398,12 +398,13 @@ def rewrite_documents(docs: DataFrame) -> DataFrame:
     if probe is not None and not probe.f:
         docs = scratch.settle(docs, "docs")
     repeated = find_repeats(with_splits(docs, scratch), scratch)
-    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    texts = docs.withColumn("split", split)
-    schema = docs.schema
+    name, schema = "split", docs.schema
+    while name in docs.columns:
+        name += "_"
+    texts = docs.withColumn(name, F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
     def run(batches):
-        for rows, result in _rest_of(batches, repeated):
+        for rows, result in _rest_of(batches, repeated, name):
             lost, kept = result["n_removed"], result["kept_text"]
             old = rows.column("text").to_pylist()
             new = [k.decode() if n else t for n, k, t in zip(lost, kept, old, strict=True)]
