@@ -405,3 +405,26 @@ def index_equivalence(spark, sf):
     q = e.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
     two = ids(R.top_k(R.sparse_dot(q, e, "item_id"), 5, "item_id"), "b")
     return one.join(two, "query_id", "left").agg(F.count("*").alias("n_queries"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("n_equal"))
+
+
+@query("answer_plan")
+def answer_plan(spark, sf):
+    """The batch twin of a question service: search, cut to five, label, render the prompt, key the request."""
+    from ..sources.tables import request_key
+
+    ranked = bm25_ranked(spark, sf, 5).join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
+    block = F.concat(F.lit("[C"), F.col("rank").cast("string"), F.lit("] "), T.snippet(F.col("text"), 120))
+    context = ranked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x.b), "\n\n").alias("context"))
+    asked = context.join(queries(spark, sf).select("query_id", "gold_text"), "query_id").withColumn("user", F.concat(T.snippet(F.col("gold_text"), 80), F.lit("\n\n"), F.col("context")))
+    params = F.create_map(F.lit("max_tokens"), F.lit("500"), F.lit("temperature"), F.lit("0"))
+    return asked.select("query_id", "user", request_key(F.lit("answer from the excerpts"), F.col("user"), params).alias("cache_key"))
+
+
+@query("vector_store_round_trip", f"WITH {_DENSE}, {ranked_sql('r', 'dense', 3, 'item_id')} SELECT query_id, item_id, score, rank::INT AS rank FROM r")
+def vector_store_round_trip(spark, sf):
+    """Half of the vectors appended to the other half, searched."""
+    from ..sources.tables import VectorTable
+
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    store = VectorTable(e.filter("item_id % 2 = 0"), 64).add(e.filter("item_id % 2 = 1"))
+    return store.search(e.filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("v").alias("q")), 3).select("query_id", "item_id", "score", "rank")
