@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, few_or_many, only
+from .common import Scratch, few_or_many, only, tidied
 from .textops import NOT_LETTER, U64, Words, blocks, flat, mix
 
 #: The masks, six tokens of spans of nine to twelve.
@@ -192,7 +192,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
                                 pa.array(x["matched"] / known.sizes[x["item"]]), *[pa.array(x[c].astype(np.int32)) for c in ("doc_word", "item_word")]]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "matched_tokens", "span_tokens", "coverage", "doc_word", "item_word"])
 
-        out = out.unionByName(texts.mapInArrow(run, f"doc_id {kind}, {SCHEMA}"))
+        out = out.unionByName(texts.mapInArrow(tidied(run), f"doc_id {kind}, {SCHEMA}"))
     return out
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, only
+from .common import Scratch, only, tidied
 
 WIDTH = 64
 FRAME_ROWS = 1024
@@ -317,7 +317,7 @@ def encode_documents(docs: DataFrame) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("doc_id").type), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "gif"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, gif binary")
+    return only(docs, "doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, gif binary")
 
 
 def frame_table(media: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def frame_table(media: DataFrame) -> DataFrame:
                     arrays = [pa.array([doc_id] * len(rows), b.column("doc_id").type), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]]
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "frame", "start_ms", "duration_ms", "pixels", "histogram"])
 
-    return only(media, "doc_id", "gif").mapInArrow(run, f"doc_id {kind}, frame int, start_ms long, duration_ms long, pixels long, histogram array<long>")
+    return only(media, "doc_id", "gif").mapInArrow(tidied(run), f"doc_id {kind}, frame int, start_ms long, duration_ms long, pixels long, histogram array<long>")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def read_back(media: DataFrame) -> DataFrame:
                 arrays = [b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, schema)
+    return media.mapInArrow(tidied(run), schema)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:

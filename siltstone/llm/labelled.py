@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, tidied
 
 FOLDS = 3
 HELD_OUT_FOLD = 1
@@ -46,5 +46,5 @@ def with_verdict(docs: DataFrame, scored_schema: str, score_batch, threshold: fl
                 score = pa.array(score_batch(b.column("text")), pa.float64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), score], ["doc_id", "held_out", "score"])
 
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double{scored_schema}")
+    scored = rows.mapInArrow(tidied(run), f"doc_id {kind}, held_out boolean, score double{scored_schema}")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, few_or_many, only
+from .common import Scratch, arrow_map, few_or_many, only, tidied
 from .graph import connected_components
 from .textops import U64, Words, blocks, flat, grams, mix
 
@@ -144,7 +144,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             if ids:
                 yield _set_batch(ids, sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, values array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, values array<long>")
 
 
 def _set_batch(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:

@@ -32,13 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only
+from .common import only, tidied
 from .textops import U64, Words
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct units a Python worker remembers before it starts anew.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
 #: Units longer than this many characters are not batched.
 LONGEST = 96
 _P = 0x9E3779B97F4A7C15 | 1
@@ -405,7 +405,7 @@ def share(spark: SparkSession, model: str = MODEL) -> _Shared:
     return _Shared(spark.sparkContext.broadcast(Vocabulary.load(model)))
 
 
-def _slices(column: pa.Array, limit: int = 4 << 20):
+def _slices(column: pa.Array, limit: int = 1 << 20):
     texts, held = [], 0
     for t in column:
         raw = t.as_buffer().to_pybytes() if t.is_valid else b""
@@ -439,7 +439,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, check: bool = True) ->
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return only(docs, "doc_id", "text").mapInArrow(run, schema)
+    return only(docs, "doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def decode_documents(coded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -456,4 +456,4 @@ def decode_documents(coded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = _worker(shared).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["doc_id", "text"])
 
-    return only(coded, "doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return only(coded, "doc_id", "ids").mapInArrow(tidied(run), f"doc_id {kind}, text string")

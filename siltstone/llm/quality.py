@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .labelled import HELD_OUT_FOLD, fold_of, labelled_sample, with_verdict
 from .textops import U64, Words, blocks, flat
 
@@ -185,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Qua
                 bags = pa.array([x[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), bags], ["doc_id", "y", "bag"])
 
-    rows = sorted(sample.mapInArrow(encode, f"doc_id {kind}, y int, bag binary").collect(), key=lambda r: (r.doc_id, r.bag))
+    rows = sorted(sample.mapInArrow(tidied(encode), f"doc_id {kind}, y int, bag binary").collect(), key=lambda r: (r.doc_id, r.bag))
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).dropna().filter(fold_of(F.col("doc_id")) != HELD_OUT_FOLD)
     prior = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     x = np.concatenate([np.frombuffer(r.bag, np.float32) for r in rows]).reshape(-1, FEATURES) if rows else np.zeros((0, FEATURES), np.float32)

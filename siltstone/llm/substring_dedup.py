@@ -37,7 +37,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, shuffle_width
+from .common import Scratch, only, shuffle_width, tidied
 from .fm_index import FMIndex
 from .textops import U64, Words, blocks, flat, grams, mix
 
@@ -120,8 +120,8 @@ def anchor_rows(texts: DataFrame, named: bool) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([anchor, pa.array(np.full(len(row), split)), pa.array(row + base)], ["anchor", "split", "ordinal"])
 
     if named:
-        return texts.mapInArrow(run, "anchor long, doc_id long").filter("doc_id IS NOT NULL")
-    return texts.mapInArrow(run, "anchor long, split long, ordinal long")
+        return texts.mapInArrow(tidied(run), "anchor long, doc_id long").filter("doc_id IS NOT NULL")
+    return texts.mapInArrow(tidied(run), "anchor long, split long, ordinal long")
 
 
 def by_split(rows: DataFrame, scratch: Scratch, name: str) -> str:
@@ -226,7 +226,7 @@ def stretches(texts: DataFrame, shared_anchors: str) -> DataFrame:
         cols = [shard[first], np.array([_digest(x) for x in words]), np.zeros(len(r)), ids[r + i].astype(np.int64), np.full(len(r), split), r + (i + base), place[first], size, words]
         yield _batch(cols, kinds, names)
 
-    return texts.mapInArrow(run, STRETCH)
+    return texts.mapInArrow(tidied(run), STRETCH)
 
 
 def _pair_key(ordinal: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -303,7 +303,7 @@ def search_shards(cuts: DataFrame) -> DataFrame:
             rows += [(split, ordinal, start + begin_at, n) for split, ordinal, start, _ in held[k][2]]
         yield _batch([np.array(c) for c in zip(*rows, strict=True)], kinds, names)
 
-    return dealt.mapInArrow(run, INTERVAL)
+    return dealt.mapInArrow(tidied(run), INTERVAL)
 
 
 def hot_windows(cuts: DataFrame) -> DataFrame:
@@ -377,7 +377,7 @@ def keep_rest(texts: DataFrame, repeated: tuple[str, str], with_text: bool = Fal
                 cols[-1] = cols[-1].cast(pa.string())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *cols], names)
 
-    return texts.mapInArrow(run, RESULT + (", kept_text string" if with_text else ""))
+    return texts.mapInArrow(tidied(run), RESULT + (", kept_text string" if with_text else ""))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -418,7 +418,7 @@ def rewrite_documents(docs: DataFrame) -> DataFrame:
                 cols.append(column)
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidied(run), schema)
 
 
 def find_repeats(texts: DataFrame, scratch: Scratch) -> tuple[str, str]:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidied
 from .labelled import HELD_OUT_FOLD, labelled_sample, with_verdict
 from .textops import NOT_LETTER, U64, Words, blocks, flat, mix
 
@@ -224,4 +225,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
             if b.num_rows:
                 yield b.filter(pa.array(shared.value.scores(b.column("text")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

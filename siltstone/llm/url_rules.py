@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, tidied
 
 MAX_RULES = 100_000
 Rule = tuple[str, str]
@@ -119,4 +119,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
             verdict = pa.array([f[1] if f else default for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, rule, verdict], [*b.schema.names, "rule", "verdict"])
 
-    return parts.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(tidied(judge), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only
+from .common import Scratch, only, tidied
 
 MIN_REVISIT = 1000
 #: A merged read spans gaps of up to MAX_GAP bytes and MAX_READ bytes in all.
@@ -126,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
         for i in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000], strict=True), kinds, strict=True)], names)
 
-    return planned.mapInArrow(write, INDEX)
+    return planned.mapInArrow(tidied(write), INDEX)
 
 
 def coalesce_ranges(spans: list[tuple[int, int]], max_gap: int = MAX_GAP, max_read: int = MAX_READ) -> list[tuple[int, int, int]]:
@@ -183,7 +183,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds[: len(cols)], strict=True)], names[: len(cols)])
                 i = j
 
-    return sorted_ranges.mapInArrow(read, schema)
+    return sorted_ranges.mapInArrow(tidied(read), schema)
 
 
 def archive_and_read(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
