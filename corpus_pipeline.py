@@ -13,6 +13,10 @@ from siltstone.llm import decontaminate, minhash_dedup, pieces, substring_dedup,
 from siltstone.llm.common import Scratch, prepare, table
 
 
+#: Similarity of five-word shingles, in percent, from which two documents are near copies (op8's 85 is that query's own).
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -20,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return minhash_dedup.without_copies(docs)
+    return minhash_dedup.without_copies(docs, percent=NEAR_PERCENT)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,19 @@ def test_stage_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+def test_near_copies_from_eighty_percent(spark, frame):
+    """Texts of 100 words: k changed words far apart leave (96 - 5k) of (96 + 5k) shingles."""
+    words = [f"w{i:03d}" for i in range(300)]
+
+    def changed(first, *places):
+        return " ".join("other" + str(i) if i in places else w for i, w in enumerate(words[first : first + 100]))
+
+    rows = [(1, changed(0)), (2, changed(0, 50)), (3, changed(100)), (4, changed(100, 30, 60)), (5, changed(200)), (6, changed(200, 1, 50))]
+    similar = lambda shared, size: shared / (2 * size - shared)
+    assert similar(91, 96) > 0.85 and similar(86, 96) < 0.815 and 0.8 < similar(86, 96) and 0.8 < similar(89, 96) < 0.87
+    docs = frame(rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3, 5}
+    below = frame([(1, changed(0)), (2, changed(0, 20, 50, 80))])
+    assert corpus_pipeline.drop_near_copies(spark, below, "").count() == 2
