@@ -29,6 +29,9 @@ from .textops import NOT_LETTER, U64, Words, blocks, flat, mix
 
 #: The masks, six tokens of spans of nine to twelve.
 MASKS = ("111010011", "1101001011", "11001010101", "101100100011")
+#: Masks that only items of so few tokens are looked for by: what the masks above miss of these.  They leave
+#: out every set of substitutions that still makes a leak (ends trimmed, as a copy may begin or end a document).
+SHORT_MASKS = {8: ("1111111", "11101111"), **dict.fromkeys((9, 10), ("11111111", "111011111", "111101111")), 11: ("1" * 11,)}
 MIN_ITEM = 8
 MIN_MATCH = 13
 ITEM_SHARE = 0.8
@@ -62,10 +65,8 @@ class SeedIndex:
         w = Words(buf, offsets, lower=True, space=NOT_TOKEN)
         self.hash, self.first = w.hash, w.first
         self.sizes = w.counts
-        longest = len(max(MASKS, key=len))
-        # Items too short for the masks are looked for whole.
-        short = {int(n) for n in self.sizes if MIN_ITEM <= n < longest}
-        self.masks = [*MASKS, *("1" * n for n in sorted(short))]
+        short = sorted({int(n) for n in self.sizes} & set(SHORT_MASKS))
+        self.masks = [*MASKS, *dict.fromkeys(m for n in short for m in SHORT_MASKS[n])]
         keys, items, places = [], [], []
         item_of = np.repeat(np.arange(len(ids)), self.sizes)
         for m in self.masks:
@@ -74,7 +75,7 @@ class SeedIndex:
                 continue
             at = np.flatnonzero(item_of[: len(s)] == item_of[len(m) - 1 :])
             size = self.sizes[item_of[at]]
-            at = at[(size == len(m)) if set(m) == {"1"} else (size >= MIN_ITEM)]
+            at = at[(size >= MIN_ITEM) if m in MASKS else np.isin(size, [n for n in short if m in SHORT_MASKS[n]])]
             keys.append(s[at])
             items.append(item_of[at])
             places.append(at - self.first[item_of[at]])

@@ -1,10 +1,13 @@
 """Round trips: archives, pieces, GIF files; URL rules; benchmark leaks."""
 
 import hashlib
+import itertools
+import math
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +18,7 @@ from siltstone.llm import pieces as P
 from siltstone.llm import queries as Q
 from siltstone.llm import url_rules as U
 from siltstone.llm import warc as W
+from siltstone.llm.textops import flat
 
 
 def test_sql_twins(spark, small, same_rows):
@@ -218,3 +222,28 @@ def test_seed_positions():
         assert D.seeds(other, mask)[0] == s[0]
         other[0] = 998
         assert D.seeds(other, mask)[0] != s[0]
+
+
+@pytest.mark.parametrize("size", [8, 9, 10, 11, 12, 14])
+def test_leaks_with_every_substitution(size):
+    """All sets of up to three substitutions against all stretches; at a document's ends the outer ones are cut off too."""
+    item = [f"t{i}" for i in range(size)]
+    texts, leaks = [], []
+    for r in range(4):
+        for gone in itertools.combinations(range(size), r):
+            same = [i not in gone for i in range(size)]
+            stretches = [(sum(1 if x else -3 for x in same[a:b]), sum(same[a:b]), -b, -a) for a in range(size) for b in range(a + 1, size + 1)]
+            best = max(s[0] for s in stretches)
+            # The first end of the best stretches, and of these the longest.
+            first = max((s for s in stretches if s[0] == best), key=lambda s: (s[2], s[3]))
+            words = [w if x else "other" for w, x in zip(item, same, strict=True)]
+            while words and words[0] == "other":
+                words = words[1:]
+            while words and words[-1] == "other":
+                words = words[:-1]
+            for text in (["a", "b", *[w if x else "other" for w, x in zip(item, same, strict=True)], "c", "d"], words):
+                texts.append(" ".join(text))
+                leaks.append(first[1] >= min(13, math.ceil(0.8 * size)))
+    got = D.leaks_of(D.SeedIndex([1], [" ".join(item)]), *flat(pa.array(texts, pa.large_string())))
+    found = set(got["row"].tolist())
+    assert any(leaks) and found == {i for i, leak in enumerate(leaks) if leak}
