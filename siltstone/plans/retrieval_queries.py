@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import retrieval as R
+from ..operators.containment import candidates
 from ..registry import query, table
 from .text_queries import line_blocks, with_offsets
 
@@ -40,21 +41,17 @@ def queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("gold_text"), F.slice(T.tokens(F.col("text")), 1, 8).alias("qt"))
 
 
-GRAM = 4
+def evidence(docs, items, form=None):
+    """(item_id, doc_id) pairs that may have the item's text in the document's, with both texts.
 
-
-def evidence(docs, items):
-    """(item_id, doc_id) pairs with the item's text in the document's.
-
-    A run of four tokens from within the item picks the candidates by an equi-join (the
-    benchmark side is a stated, small set); containment is then checked on the texts.
+    The beginning of every item, in the wanted form, picks the candidates whatever its
+    length and its word breaks (the benchmark side is a stated set, sent in blocks);
+    containment is then checked on the texts.  An item without characters in that form
+    has no evidence.
     """
-    t = T.tokens(F.col("text"))
-    key = items.select("item_id", F.col("text").alias("item_text"), F.array_join(F.slice(t, 3, GRAM), " ").alias("gram"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - GRAM + 1, F.lit(1))), lambda i: F.array_join(F.slice("t", i, GRAM), " "))
-    spread = docs.select("doc_id", t.alias("t")).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    found = spread.join(F.broadcast(key.select("item_id", "gram")), "gram").select("item_id", "doc_id").distinct()
-    return found.join(key.select("item_id", "item_text"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    form = form or (lambda c: c)
+    found = candidates(docs.select("doc_id", form(F.col("text")).alias("hay")), items.select("item_id", form(F.col("text")).alias("key")))
+    return found.join(items.select("item_id", F.col("text").alias("item_text")), "item_id").join(docs.select("doc_id", "text"), "doc_id")
 
 
 def gold(spark, sf):
@@ -162,7 +159,7 @@ def gold_figure_spot_check(spark, sf):
 @query("evidence_alignment_exact", """WITH b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS needle FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS hay FROM documents)
 SELECT item_id, doc_id, (instr(hay, needle) - 1)::BIGINT AS norm_start, ((length(hay) - length(replace(hay, needle, ''))) // length(needle))::BIGINT AS n_occurrences FROM b JOIN d ON contains(hay, needle)""")
 def evidence_alignment_exact(spark, sf):
-    found = evidence(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = evidence(table(spark, sf, "documents"), table(spark, sf, "benchmark"), T.normalise)
     norm = found.select("item_id", "doc_id", T.normalise(F.col("item_text")).alias("needle"), T.normalise(F.col("text")).alias("hay")).filter(F.contains("hay", "needle"))
     times = F.floor((F.length("hay") - F.length(F.replace("hay", "needle", F.lit("")))) / F.length("needle"))
     return norm.select("item_id", "doc_id", F.expr("locate(needle, hay) - 1").cast("bigint").alias("norm_start"), times.cast("bigint").alias("n_occurrences"))
@@ -175,7 +172,7 @@ m AS (SELECT *, median(spot - o) OVER (PARTITION BY item_id, doc_id) AS mid FROM
 SELECT item_id, doc_id, min(spot)::BIGINT AS norm_start, max(spot + n)::BIGINT AS norm_end, round(sum(n) / max(length(needle)), 6) AS coverage FROM k GROUP BY ALL HAVING sum(n) / max(length(needle)) >= 0.5""")
 def evidence_alignment_windows(spark, sf):
     """Alignment by 30-character windows that occur once: median implied start, outliers dropped, half of the needle at least."""
-    found = evidence(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = evidence(table(spark, sf, "documents"), table(spark, sf, "benchmark"), T.normalise)
     p = found.select("item_id", "doc_id", T.normalise(F.col("item_text")).alias("needle"), T.normalise(F.col("text")).alias("hay")).filter(F.contains("hay", "needle"))
     w = p.withColumn("o", F.explode(F.sequence(F.lit(0), F.greatest(F.length("needle") - 1, F.lit(0)), F.lit(30)))).withColumn("win", F.substring("needle", F.col("o") + 1, F.lit(30)))
     at = F.expr("locate(win, hay)")

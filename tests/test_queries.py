@@ -23,3 +23,22 @@ def test_entry(spark, small):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def put(spark, folder, docs, items):
+    spark.createDataFrame(list(enumerate(docs, 1)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_evidence_of_any_length_and_word_breaks(spark, tmp_path):
+    docs = ["the quick brown fox jumps over the lazy dog of the house", "the quick bro-\nwn foxjumps over the la zy dog", "über 漢字テスト das", "nothing here to be found at all", None, "", "x"]
+    items = ["brown fox jumps over the lazy dog", "quick", "漢字テスト", "dog of", "", None, "?!"]
+    sf = put(spark, tmp_path, docs, items)
+    plain = lambda t: "".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    pairs = [(i, d, x, y) for i, x in enumerate(items, 1) for d, y in enumerate(docs, 1) if x and y]
+    exact = {(i, d, plain(y).index(plain(x))) for i, d, x, y in pairs if plain(x) and plain(x) in plain(y)}
+    assert {(1, 2), (2, 1), (4, 1)} <= {e[:2] for e in exact}
+    assert {(r.item_id, r.doc_id, r.norm_start) for r in PLANS["evidence_alignment_exact"](spark, sf).collect()} == exact
+    scan = {r.item_id: r.in_corpus for r in PLANS["question_scan_in_corpus"](spark, sf).collect()}
+    assert {i for i, known in scan.items() if known} == {i for i, _, x, y in pairs if x in y}
