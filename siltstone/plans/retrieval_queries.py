@@ -41,6 +41,10 @@ def queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("gold_text"), F.slice(T.tokens(F.col("text")), 1, 8).alias("qt"))
 
 
+#: Characters of a window of an alignment that is not exact.
+WINDOW = 30
+
+
 def evidence(docs, items, form=None):
     """(item_id, doc_id) pairs that may have the item's text in the document's, with both texts.
 
@@ -183,6 +187,30 @@ def evidence_alignment_windows(spark, sf):
     return out.filter("c >= 0.5").select("item_id", "doc_id", "norm_start", "norm_end", F.round("c", 6).alias("coverage"))
 
 
+@query("evidence_alignment_partial", """WITH b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS needle FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS hay FROM documents),
+p AS (SELECT item_id, doc_id, needle, hay FROM b JOIN d ON length(needle) > 30 AND NOT contains(hay, needle)), w AS (SELECT *, substr(needle, (o + 1)::BIGINT, 30) AS win FROM (SELECT *, unnest(list_distinct(list_append(range(0, length(needle) - 29, 30), length(needle) - 30))) AS o FROM p)),
+h AS (SELECT item_id, doc_id, length(needle) AS size, o, instr(hay, win) - 1 AS spot FROM w WHERE instr(hay, win) > 0 AND instr(substr(hay, instr(hay, win) + 1), win) = 0),
+m AS (SELECT *, median(spot - o) OVER (PARTITION BY item_id, doc_id) AS mid FROM h), k AS (SELECT * FROM m WHERE abs(spot - o - mid) <= size)
+SELECT item_id, doc_id, min(spot)::BIGINT AS norm_start, max(spot + 30)::BIGINT AS norm_end, round(count(*) / ((max(size) + 29) // 30), 6) AS coverage FROM k GROUP BY ALL HAVING count(*) / ((max(size) + 29) // 30) >= 0.5""")
+def evidence_alignment_partial(spark, sf):
+    """Pairs that are not exact, by 30-character windows, the last flush with the end; any window may name the candidate."""
+    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    needles = items.select("item_id", T.normalise(F.col("text")).alias("needle")).filter(F.length("needle") > WINDOW)
+    places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length("needle") - WINDOW, F.lit(WINDOW)), F.array(F.length("needle") - WINDOW)))
+    windows = needles.withColumn("o", F.explode(places)).withColumn("win", F.substring("needle", F.col("o") + 1, F.lit(WINDOW)))
+    hays = docs.select("doc_id", T.normalise(F.col("text")).alias("hay"))
+    found = candidates(hays, windows.select("item_id", F.col("win").alias("key")))
+    p = found.join(needles, "item_id").join(hays, "doc_id").filter(~F.contains("hay", "needle"))
+    w = p.withColumn("o", F.explode(places)).withColumn("win", F.substring("needle", F.col("o") + 1, F.lit(WINDOW)))
+    at = F.expr("locate(win, hay)")
+    h = w.withColumn("at", at - 1).filter("at >= 0 AND locate(win, hay, at + 2) = 0").select("item_id", "doc_id", F.length("needle").alias("size"), "o", "at")
+    mid = h.groupBy("item_id", "doc_id").agg(F.median(F.col("at") - F.col("o")).alias("mid"))
+    k = h.join(mid, ["item_id", "doc_id"]).filter(F.abs(F.col("at") - F.col("o") - F.col("mid")) <= F.col("size"))
+    share = F.count("*") / F.ceil(F.max("size") / WINDOW)
+    out = k.groupBy("item_id", "doc_id").agg(F.min("at").cast("bigint").alias("norm_start"), F.max(F.col("at") + WINDOW).cast("bigint").alias("norm_end"), share.alias("c"))
+    return out.filter("c >= 0.5").select("item_id", "doc_id", "norm_start", "norm_end", F.round("c", 6).alias("coverage"))
+
+
 @query("question_scan_in_corpus", f"WITH {GOLD} SELECT item_id, length(text)::BIGINT AS n_chars, item_id IN (SELECT query_id FROM gold) AS in_corpus FROM benchmark")
 def question_scan_in_corpus(spark, sf):
     have = gold(spark, sf).select(F.col("query_id").alias("item_id")).distinct().withColumn("in_corpus", F.lit(True))

@@ -42,3 +42,43 @@ def test_evidence_of_any_length_and_word_breaks(spark, tmp_path):
     assert {(r.item_id, r.doc_id, r.norm_start) for r in PLANS["evidence_alignment_exact"](spark, sf).collect()} == exact
     scan = {r.item_id: r.in_corpus for r in PLANS["question_scan_in_corpus"](spark, sf).collect()}
     assert {i for i, known in scan.items() if known} == {i for i, _, x, y in pairs if x in y}
+
+
+def aligned(needle, hay):
+    """(start, end, coverage) of the window rule in plain Python, or None."""
+    import statistics
+
+    if len(needle) <= 30 or needle in hay:
+        return None
+    offsets = sorted({*range(0, len(needle) - 29, 30), len(needle) - 30})
+    spots = {o: [i for i in range(len(hay)) if hay.startswith(needle[o : o + 30], i)] for o in offsets}
+    anchors = [(o, at[0]) for o, at in spots.items() if len(at) == 1]
+    if not anchors:
+        return None
+    centre = statistics.median(p - o for o, p in anchors)
+    kept = [p for o, p in anchors if abs(p - o - centre) <= len(needle)]
+    return (min(kept), max(kept) + 30, round(len(kept) / len(offsets), 6)) if len(kept) * 2 >= len(offsets) else None
+
+
+def test_evidence_that_is_not_exact(spark, tmp_path):
+    import random
+
+    letters = random.Random(5)
+    prose = lambda n: "".join(letters.choice("abcdefghij") for _ in range(n))
+    item, short, odd = prose(130), prose(30), prose(95)
+    docs = [
+        prose(40) + item + prose(40),  # exact
+        prose(40) + item[:70] + "runningheader" + item[70:] + prose(9),  # inserted header
+        prose(40) + item[:64] + "z" + item[65:] + prose(40),  # changed figure
+        item[60:] + prose(50),  # cut copy: 60, 90 and the last window
+        item[70:] + prose(50),  # two of five windows
+        item[:64] + "z" + item[65:] + prose(7) + item[:64],  # repeated windows do not count: two of five
+        short[:29],
+        odd[1:] + prose(20),  # without the first window, the last one flush
+        prose(300),
+    ]
+    items = [item, short, odd]
+    sf = put(spark, tmp_path, docs, items)
+    want = {(i, d, *a) for i, x in enumerate(items, 1) for d, y in enumerate(docs, 1) if (a := aligned(x, y))}
+    assert {w[:2] for w in want} == {(1, 2), (1, 3), (1, 4), (3, 8)}
+    assert {tuple(r[c] for c in ("item_id", "doc_id", "norm_start", "norm_end", "coverage")) for r in PLANS["evidence_alignment_partial"](spark, sf).collect()} == want
