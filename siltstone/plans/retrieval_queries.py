@@ -313,6 +313,32 @@ def oracle_context(spark, sf):
     return k.select("query_id", "chunk_id", "class", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("place"))
 
 
+@query("oracle_context_filing", f"""WITH {CHUNKS}, {GOLD}, {RELEVANT}, {BM25}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS ord FROM gold),
+o AS (SELECT g.query_id, c.chunk_id, coalesce(s.score, 0) AS score FROM g JOIN chunks c USING (doc_id) LEFT JOIN scored s ON s.query_id = g.query_id AND s.chunk_id = c.chunk_id),
+b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM o),
+c AS (SELECT b.query_id, b.chunk_id, b.rank, min(g.ord) AS ord FROM b LEFT JOIN relevant r ON r.query_id = b.query_id AND r.chunk_id = b.chunk_id LEFT JOIN g ON g.query_id = r.query_id AND g.doc_id = r.doc_id GROUP BY ALL),
+k AS (SELECT *, CASE WHEN ord IS NULL THEN 2 WHEN row_number() OVER (PARTITION BY query_id, ord ORDER BY rank) = 1 THEN 0 ELSE 1 END AS class FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY class, CASE WHEN class = 0 THEN ord END, rank) AS pick FROM k)
+SELECT query_id, chunk_id, class, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS place FROM p WHERE pick <= 5""")
+def oracle_context_filing(spark, sf):
+    """The oracle's five out of every chunk of the question's gold documents, however low it scores (no shared term: zero).
+
+    Five of each class are enough for the five, so the limits are within groups.
+    """
+    g = gold(spark, sf).select("query_id", "doc_id").distinct()
+    c, q = chunks(spark, sf), queries(spark, sf)
+    scored = R.bm25(c, q, T.tokens(F.col("text")), F.col("qt")).withColumn("doc_id", F.floor(F.col("chunk_id") / 100000))
+    scored = scored.join(F.broadcast(g), ["query_id", "doc_id"], "left_semi").drop("doc_id")
+    own = c.select("doc_id", "chunk_id").join(F.broadcast(g), "doc_id").join(scored, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    own = own.join(relevant(spark, sf).select("query_id", "chunk_id", F.lit(True).alias("hit")).distinct(), ["query_id", "chunk_id"], "left")
+    first = F.row_number().over(Window.partitionBy("query_id", "doc_id", "hit").orderBy(F.desc("score"), "chunk_id")) == 1
+    k = own.withColumn("class", F.when(F.col("hit").isNull(), 2).when(first, 0).otherwise(1))
+    order = [F.when(F.col("class") == 0, F.col("doc_id")).asc_nulls_last(), F.desc("score"), F.asc("chunk_id")]
+    k = k.withColumn("pick", F.row_number().over(Window.partitionBy("query_id", "class").orderBy(*order))).filter("pick <= 5")
+    k = k.withColumn("pick", F.row_number().over(Window.partitionBy("query_id").orderBy("class", "pick"))).filter("pick <= 5")
+    return k.select("query_id", "chunk_id", "class", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).alias("place"))
+
+
 _METRICS = f"""{BM20}, hits AS (SELECT b.query_id, b.rank, r.doc_id FROM bm20 b JOIN relevant r ON r.query_id = b.query_id AND r.chunk_id = b.chunk_id), n AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY 1),
 nr AS (SELECT query_id, count(DISTINCT chunk_id) AS n_rel FROM relevant GROUP BY 1), ks AS (SELECT unnest([1, 3, 5, 10, 20]) AS k), hr AS (SELECT DISTINCT query_id, rank FROM hits),
 docs_at AS (SELECT b.query_id, min(b.rank) AS first_doc FROM bm20 b JOIN chunks c USING (chunk_id) WHERE (b.query_id, c.doc_id) IN (SELECT query_id, doc_id FROM gold) GROUP BY 1),

@@ -82,3 +82,16 @@ def test_evidence_that_is_not_exact(spark, tmp_path):
     want = {(i, d, *a) for i, x in enumerate(items, 1) for d, y in enumerate(docs, 1) if (a := aligned(x, y))}
     assert {w[:2] for w in want} == {(1, 2), (1, 3), (1, 4), (3, 8)}
     assert {tuple(r[c] for c in ("item_id", "doc_id", "norm_start", "norm_end", "coverage")) for r in PLANS["evidence_alignment_partial"](spark, sf).collect()} == want
+
+
+def test_oracle_context_below_rank_100(spark, tmp_path):
+    """120 documents repeat the question's first words; the gold document's chunks score below theirs, or nothing."""
+    words = "aa bb cc dd ee ff gg hh"
+    item = words + " ii jj kk ll mm nn oo pp"
+    gold = "zz " * 400 + item + " zz" * 400
+    sf = put(spark, tmp_path, [(words + " ") * 8 for _ in range(120)] + [gold], [item])
+    rows = PLANS["oracle_context_filing"](spark, sf).collect()
+    assert {r.chunk_id // 100000 for r in rows} == {121} and len(rows) == 5
+    # The item ends at 1,247: windows of 512 every 448, of which that from 896 holds it.
+    assert [(r.chunk_id % 100000, r["class"]) for r in rows if r["class"] < 2] == [(2, 0)]
+    assert sorted(r.place for r in rows) == [1, 2, 3, 4, 5]
