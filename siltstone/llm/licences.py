@@ -185,7 +185,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
     """Draws the bounded negatives, in the order of a hash, and fits."""
     runs = sorted({g for notices in NOTICES.values() for n in notices for g in grams_of(n) if g.count(" ") == 2})
     rows = paragraphs(only(docs, "doc_id", "text").withColumn("row", F.lit(0))).filter(~F.arrays_overlap("grams", F.array(*[F.lit(r) for r in runs])))
-    rows = rows.filter(~F.lower("line").rlike("all rights reserved|public domain")).select(F.substring("line", 1, 2000).alias("line"))
+    rows = rows.filter(~F.lower("line").rlike("all rights reserved|public domain")).select("line")
     drawn = rows.groupBy("line").count().orderBy(F.xxhash64("line"), "line").limit(negatives).collect()
     return fit(sorted(r.line for r in drawn))
 

@@ -144,3 +144,11 @@ def test_native_scan_equals_brute_force(frame, odd_texts):
 def test_no_python_in_the_licence_plan(frame):
     plan = L.scan_licences(frame([(1, "Released under the MIT License.")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_negatives_of_the_licence_fit_are_whole_lines(frame, monkeypatch):
+    """The marker stands behind 2,000 characters of its line."""
+    line, seen = "word " * 600 + "and a permission slip for the school trip", []
+    monkeypatch.setattr(L, "fit", seen.extend)
+    L.train(frame([(1, "first\n" + line + "\nlast")]))
+    assert seen == [line] and L.grams_of(seen[0])
