@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,6 +42,12 @@ SPACE = "▁"
 MEMORY = 1_000_000
 #: Units longer than this many characters are not batched.
 LONGEST = 96
+#: Pairs of pieces whose seam a worker remembers (a newer pair takes the place of an older one).
+SEAMS = 1 << 20
+#: Code points of the units that advance together.
+ADVANCE = 1 << 17
+_FILTER_BITS = 20
+_SPREAD = U64(0xD6E8FEB86659FD93)
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _POW = np.array([pow(_P, i, 1 << 64) for i in range(LONGEST + 64)], dtype=U64)
@@ -71,6 +78,9 @@ class Vocabulary:
         hashes = {_hash(np.array([ord(c) for c in p])): i for p, i in self.ids.items()}
         self.keys = np.array(sorted(hashes), dtype=U64)
         self.key_ids = np.array([hashes[k] for k in self.keys], dtype=np.int64)
+        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
+        with np.errstate(over="ignore"):
+            self.maybe[((self.keys * _SPREAD) >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
         n = len(self.pieces)
         # Merges come in the order of falling scores; single characters come before all.
         order = np.argsort(-self.scores, kind="stable")
@@ -140,10 +150,15 @@ class Vocabulary:
         return [ids.get(p, -1) for p in parts if p is not None]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of substring hashes, -1 where no piece has that hash."""
-        at = np.searchsorted(self.keys, hashes)
+        """Ids of substring hashes, -1 where no piece has that hash; a filter of bits spares most the search."""
+        out = np.full(hashes.shape, -1, np.int64)
+        with np.errstate(over="ignore"):
+            likely = np.nonzero(self.maybe[((hashes * _SPREAD) >> U64(64 - _FILTER_BITS)).astype(np.int64)])
+        some = hashes[likely]
+        at = np.searchsorted(self.keys, some)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, self.key_ids[at], -1)
+        out[likely] = np.where(self.keys[at] == some, self.key_ids[at], -1)
+        return out
 
     def seams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pieces a and b may stand side by side, for arrays of ids.
@@ -180,7 +195,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self._pairs, self._open = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._pairs, self._open = np.full(SEAMS, -1, np.int64), np.zeros(SEAMS, bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -190,83 +205,127 @@ class Encoder:
         self._starts = np.zeros(1, np.int64)
 
     def _seams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``Vocabulary.seams`` with the answers for the pairs met before kept in sorted arrays."""
-        pair, back = np.unique(a * len(self.v.pieces) + b, return_inverse=True)
-        if len(self._pairs) > MEMORY:
-            self._pairs, self._open = self._pairs[:0], self._open[:0]
-        at = np.searchsorted(self._pairs, pair)
-        known = np.zeros(len(pair), bool)
-        inside = at < len(self._pairs)
-        known[inside] = self._pairs[at[inside]] == pair[inside]
-        new = np.flatnonzero(~known)
+        """``Vocabulary.seams`` with the answers for pairs met before, each kept in the one cell its hash names."""
+        pair = a * len(self.v.pieces) + b
+        with np.errstate(over="ignore"):
+            cell = ((pair.astype(U64) * _SPREAD) >> U64(64 - SEAMS.bit_length() + 1)).astype(np.int64)
+        out = self._open[cell]
+        new = np.flatnonzero(self._pairs[cell] != pair)
         if len(new):
-            found = self.v.seams(pair[new] // len(self.v.pieces), pair[new] % len(self.v.pieces))
-            self._pairs = np.insert(self._pairs, at[new], pair[new])
-            self._open = np.insert(self._open, at[new], found)
-            at = np.searchsorted(self._pairs, pair)
-        return self._open[at][back]
+            asked, back = np.unique(pair[new], return_inverse=True)
+            out[new] = self.v.seams(asked // len(self.v.pieces), asked % len(self.v.pieces))[back]
+            # Two pairs of one cell: the answer must be that of the pair which stays there.
+            cells, last = np.unique(cell[new], return_index=True)
+            self._pairs[cells], self._open[cells] = pair[new[last]], out[new[last]]
+        return out
 
-    def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best last piece and its length for every prefix of n units of equal length (n x L code points).
+    def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best last piece and its length for every prefix of n units of equal length (n x L code points), and which units have a path.
 
         Id -1 stands for a single character outside the vocabulary.
         """
         v = self.v
         n, length = points.shape
+        sums = np.zeros((length + 1, n), U64)
         with np.errstate(over="ignore"):
-            sums = np.zeros((n, length + 1), U64)
-            np.cumsum((points.astype(U64) + U64(1)) * _POW[:length], axis=1, out=sums[:, 1:])
-        last = np.full((n, length + 1), -1, np.int64)
-        step = np.ones((n, length + 1), np.int64)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        floor = float(v.scores.min()) - 10
+            np.cumsum((points.T.astype(U64) + U64(1)) * _POW[:length, None], axis=0, out=sums[1:])
+        # Every substring that is a piece, by its end; longer ones first, so that of equal scores the shortest stays.
+        ends, begins, rows, ids = [], [], [], []
+        outside = np.zeros((length, n), bool)
+        for size in range(min(v.longest, length), 0, -1):
+            with np.errstate(over="ignore"):
+                found = v.find((sums[size:] - sums[:-size]) * _INV[: length - size + 1, None])
+            if size == 1:
+                outside = found < 0
+            begin, row = np.nonzero(found >= 0)
+            ends.append(begin + size)
+            begins.append(begin)
+            rows.append(row)
+            ids.append(found[begin, row])
+        end_of = np.concatenate(ends)
+        order = np.argsort(end_of, kind="stable")
+        begin_of, row_of, id_of = (np.concatenate(x)[order] for x in (begins, rows, ids))
+        cut = np.searchsorted(end_of[order], np.arange(1, length + 2))
+        last = np.full((length + 1, n), -1, np.int64)
+        step = np.ones((length + 1, n), np.int64)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        floor = 1.0 if v.merges else float(v.scores.min()) - 10
         for end in range(1, length + 1):
-            reach = min(v.longest, end)
-            score = np.full((n, reach), -np.inf)
-            ids = np.full((n, reach), -1, np.int64)
-            for size in range(1, reach + 1):
-                begin = end - size
-                with np.errstate(over="ignore"):
-                    found = v.find((sums[:, end] - sums[:, begin]) * _INV[begin])
-                at = np.flatnonzero((found >= 0) & np.isfinite(best[:, begin]))
-                if v.merges and begin and len(at):
-                    before = last[at, begin]
-                    inner = before >= 0
-                    ok = np.ones(len(at), bool)
-                    ok[inner] = self._seams(before[inner], found[at[inner]])
-                    at = at[ok]
-                ids[at, size - 1] = found[at]
-                score[at, size - 1] = best[at, begin] + (1.0 if v.merges else v.scores[found[at]])
-            lone = ~np.isfinite(score[:, 0]) & np.isfinite(best[:, end - 1])
-            # A character that is a piece of its own but not admissible here is no unknown one.
-            if v.merges:
-                with np.errstate(over="ignore"):
-                    lone &= v.find((sums[:, end] - sums[:, end - 1]) * _INV[end - 1]) < 0
-            score[lone, 0] = best[lone, end - 1] + (1.0 if v.merges else floor)
-            pick = score.argmax(axis=1)
-            row = np.arange(n)
-            best[:, end], last[:, end], step[:, end] = score[row, pick], ids[row, pick], pick + 1
-        if not np.isfinite(best[:, length]).all():
-            raise AssertionError("a unit has no segmentation")
-        return last, step
-
-    def _ids_of(self, units: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            if len(u) > LONGEST or (self.v.merges and u.startswith(SPACE * 2)):
-                out[i] = self._finish(self.v.merge(u) if self.v.merges else self._one(u), u)
-            else:
-                by_length.setdefault(len(u), []).append(i)
-        for length, rows in by_length.items():
-            for k in range(0, len(rows), 8192):
-                some = rows[k : k + 8192]
-                points = np.frombuffer("".join(units[i] for i in some).encode("utf-32-le"), dtype=np.uint32).reshape(len(some), length)
-                last, step = self.viterbi(points)
-                for i, ids in zip(some, _trace_back(last, step), strict=True):
-                    out[i] = ids if ids.min() >= 0 else self._finish(ids.tolist(), units[i])
-        return out
+            at = slice(cut[end - 1], cut[end])
+            begin, row, piece = begin_of[at], row_of[at], id_of[at]
+            ok = np.isfinite(best[begin, row])
+            begin, row, piece = begin[ok], row[ok], piece[ok]
+            if v.merges and len(row):
+                before = last[begin, row]
+                inner = np.flatnonzero((begin > 0) & (before >= 0))
+                ok = np.ones(len(row), bool)
+                ok[inner] = self._seams(before[inner], piece[inner])
+                begin, row, piece = begin[ok], row[ok], piece[ok]
+            score = best[begin, row] + (1.0 if v.merges else v.scores[piece])
+            top = np.where(outside[end - 1], best[end - 1] + floor, -np.inf)
+            np.maximum.at(top, row, score)
+            pick = np.flatnonzero(score == top[row])
+            last[end, row[pick]], step[end, row[pick]] = piece[pick], end - begin[pick]
+            best[end] = top
+        return last.T, step.T, np.isfinite(best[length])
+
+    def _learn(self, hashes: np.ndarray, joined: bytes, sizes: np.ndarray) -> None:
+        """Encodes new units, which lie one after the other in ``joined``, and remembers their ids."""
+        text = joined.decode("utf-8").replace(" ", SPACE)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        chars = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)])
+        behind = np.cumsum(sizes)
+        first = chars[behind - sizes]
+        length = chars[behind] - first
+        lone = length > LONGEST
+        if self.v.merges:
+            second = np.minimum(first + 1, len(points) - 1)
+            lone |= (length > 1) & (points[first] == ord(SPACE)) & (points[second] == ord(SPACE))
+        order, pool, counts = [], [], []
+
+        def add(units, ids, n):
+            order.append(units)
+            pool.append(ids)
+            counts.append(n)
+
+        def alone(i: int) -> np.ndarray:
+            unit = text[first[i] : first[i] + length[i]]
+            return self._finish(self.v.merge(unit) if self.v.merges else self._one(unit), unit)
+
+        rest = np.flatnonzero(~lone)
+        rest = rest[np.argsort(length[rest], kind="stable")]
+        cuts = np.flatnonzero(np.diff(length[rest])) + 1
+        for group in np.split(rest, cuts) if len(rest) else []:
+            size = int(length[group[0]])
+            width = max(1, ADVANCE // size)
+            for k in range(0, len(group), width):
+                some = group[k : k + width]
+                last, step, whole = self.viterbi(points[first[some][:, None] + np.arange(size)])
+                ids, n = _trace_back(last[whole], step[whole])
+                add(some[whole], ids, n)
+                odd = np.flatnonzero(ids < 0)
+                if len(odd):  # characters outside the vocabulary
+                    ends = np.cumsum(n)
+                    parts = np.split(ids, ends[:-1])
+                    for j in np.unique(np.searchsorted(ends, odd, "right")).tolist():
+                        i = some[whole][j]
+                        parts[j] = self._finish(parts[j].tolist(), text[first[i] : first[i] + size])
+                        n[j] = len(parts[j])
+                    pool[-1] = np.concatenate(parts)
+                lone[some[~whole]] = True
+        for i in np.flatnonzero(lone).tolist():
+            ids = alone(i)
+            add(np.array([i]), ids, np.array([len(ids)]))
+        base = len(self._starts) - 1
+        units = np.concatenate(order)
+        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(np.concatenate(counts))])
+        self._pool = np.concatenate([self._pool, *pool]).astype(np.int32, copy=False)
+        place = np.empty(len(units), np.int32)
+        place[units] = np.arange(base, base + len(units), dtype=np.int32)
+        at = np.searchsorted(self._keys, hashes)
+        self._keys = np.insert(self._keys, at, hashes)
+        self._place = np.insert(self._place, at, place)
 
     def _one(self, unit: str) -> list[int]:
         """Unigram Viterbi of one long unit."""
@@ -301,73 +360,84 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each."""
+        return next(self.encode_slices([texts]))
+
+    def encode_slices(self, slices: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` of every slice; the units new to this encoder are gathered from all slices and encoded together."""
+        if len(self._keys) > MEMORY:
+            self._forget()
+        split, new_hashes, new_bytes, new_sizes = [], [], [], []
+        for texts in slices:
+            unique, back, per_text, new, joined, sizes = self._units(texts)
+            split.append((unique, back, per_text))
+            new_hashes.append(new)
+            new_bytes.append(joined)
+            new_sizes.append(sizes)
+        hashes, first = np.unique(np.concatenate(new_hashes), return_index=True)
+        if len(hashes):
+            sizes = np.concatenate(new_sizes)
+            raw = np.frombuffer(b"".join(new_bytes), dtype=np.uint8)
+            start = np.cumsum(sizes) - sizes
+            self._learn(hashes, raw[_spread(start[first], sizes[first])].tobytes(), sizes[first])
+        for unique, back, per_text in split:
+            place = self._place[np.searchsorted(self._keys, unique)].astype(np.int64)[back]
+            length = self._starts[place + 1] - self._starts[place]
+            counts = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(per_text)])]
+            yield self._pool[_spread(self._starts[place], length)], np.diff(counts)
+
+    def _units(self, texts: list[bytes]):
+        """Distinct unit hashes, the unit of every place, units of each text; and hashes, bytes and sizes of those not met before."""
         marked = [b" " + t.replace(b"\xe2\x96\x81", b" ") if t else b"" for t in texts]
         sizes = np.array([len(m) for m in marked], dtype=np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         buf = np.frombuffer(b"".join(marked), dtype=np.uint8)
         if not len(buf):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(0, U64), b"", np.zeros(0, np.int64)
         space, feed = buf == 32, buf == 10
         start = feed.copy()
         start[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
         start[offsets[:-1][sizes > 0]] = True
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], len(buf))
-        hashes = _unit_hashes(buf, begin, end)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._keys) > MEMORY:
-            self._forget()
+        unique, first, back = np.unique(_unit_hashes(buf, begin, end), return_index=True, return_inverse=True)
         at = np.searchsorted(self._keys, unique)
         known = np.zeros(len(unique), bool)
         inside = at < len(self._keys)
         known[inside] = self._keys[at[inside]] == unique[inside]
         new = np.flatnonzero(~known)
-        if len(new):
-            whole = buf.tobytes()
-            units = [whole[a:b].decode("utf-8").replace(" ", SPACE) for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            coded = self._ids_of(units)
-            base = len(self._starts) - 1
-            self._keys = np.insert(self._keys, at[new], unique[new])
-            self._place = np.insert(self._place, at[new], np.arange(base, base + len(new), dtype=np.int32))
-            self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum([len(c) for c in coded])])
-            self._pool = np.concatenate([self._pool, *coded])
-            at = np.searchsorted(self._keys, unique)
-        pool, starts = self._pool, self._starts
-        place = self._place[at].astype(np.int64)[back]
-        length = starts[place + 1] - starts[place]
-        ends = np.cumsum(length)
-        source = np.arange(int(ends[-1])) + np.repeat(starts[place] - (ends - length), length)
-        unit_first = np.searchsorted(begin, offsets)
-        counts = np.concatenate([[0], ends])[unit_first]
-        return pool[source], np.diff(counts)
+        a, n = begin[first[new]], (end - begin)[first[new]]
+        return unique, back.astype(np.int32), np.diff(np.searchsorted(begin, offsets)), unique[new], buf[_spread(a, n)].tobytes(), n
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Texts of id sequences laid one after the other."""
         v = self.v
         size = v.raw_size[ids]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        out = v.raw[np.arange(total) + np.repeat(v.raw_start[ids] - (ends - size), size)].tobytes()
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = v.raw[_spread(v.raw_start[ids], size)].tobytes()
+        cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [out[a + (out[a : a + 1] == b" ") : b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _trace_back(last: np.ndarray, step: np.ndarray) -> list[np.ndarray]:
-    """Pieces of every row from its backpointers, all rows going back together."""
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def _trace_back(last: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all rows one after the other, and how many each has; all rows go back together."""
     n, length = last.shape[0], last.shape[1] - 1
     at, live, rounds = np.full(n, length), np.arange(n), []
+    counts = np.zeros(n, np.int64)
     while len(live):
         rounds.append((live, last[live, at[live]]))
+        counts[live] += 1
         at[live] -= step[live, at[live]]
         live = live[at[live] > 0]
-    counts = np.zeros(n, np.int64)
-    for rows, _ in rounds:
-        counts[rows] += 1
     ends = np.cumsum(counts)
-    flat = np.zeros(int(ends[-1]), np.int32)
+    flat = np.zeros(int(counts.sum()), np.int32)
     for k, (rows, ids) in enumerate(rounds):
         flat[ends[rows] - 1 - k] = ids
-    return np.split(flat, ends[:-1])
+    return flat, counts
 
 
 def _unit_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -427,8 +497,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, check: bool = True) ->
     def run(batches):
         for b in batches:
             encoder, at = _worker(shared), 0
-            for texts in _slices(b.column("text")):
-                ids, counts = encoder.encode(texts)
+            slices = list(_slices(b.column("text")))
+            for texts, (ids, counts) in zip(slices, encoder.encode_slices(slices), strict=True) if slices else ():
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 cols = [b.column("doc_id").slice(at, len(texts)), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
                 names = ["doc_id", "n_tokens", "ids"]
