@@ -17,11 +17,12 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, y, fold, text) of at most ``per_class`` documents of each class outside the held-out fold.
+    """(doc_id, y, fold, text) of at most ``per_class`` documents of each class outside the held-out fold, one row each.
 
     Which ones is fixed by a hash of the id, so that the sample does not depend on how
     the tables are partitioned.  Rows with a null id or label are passed over; repeated
-    labels of one document are averaged, ties being positive.
+    labels of one document are averaged, ties being positive; of the rows that repeat an id
+    the text with the least hash stands for all, so that a hot id does not add to the sample.
     """
     usable = labels.select(F.col("doc_id"), F.col(label).cast("double").alias("y")).dropna()
     usable = usable.filter(fold_of(F.col("doc_id")) != HELD_OUT_FOLD).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
@@ -29,8 +30,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     known = only(docs, "doc_id").distinct().join(usable, "doc_id")
     drawn = [known.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * per_class rows of three numbers at most
-    texts = only(docs, "doc_id", "text").join(chosen, "doc_id")
-    return texts.select("doc_id", "y", fold_of(F.col("doc_id")).cast("int").alias("fold"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = only(docs, "doc_id", "text").join(chosen, "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    one = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("doc_id", "y", fold_of(F.col("doc_id")).cast("int").alias("fold"), "text")
 
 
 def with_verdict(docs: DataFrame, scored_schema: str, score_batch, threshold: float) -> DataFrame:

@@ -2,20 +2,26 @@
 
 Features of a text are the words it contains and their first 4, 5 and 6 bytes (letters
 only, A-Z lower-cased), hashed into ``DIMENSIONS`` cells, present or absent.  A logistic
-regression with an L1 penalty is fitted to a bounded labelled sample.  For every
-labelled sentence that names an identity group, the sentence is written again with the
-other groups' terms, and the squared difference of the two logits is part of the loss:
-a neutral mention of a group must not move the score.  Fixed neutral and hostile frames
-carry the same penalty, so the constraint holds for terms the sample lacks.
+regression with an L1 penalty is fitted to a bounded labelled sample.  Every mention of
+an identity group in a labelled sentence is written again with each of the other terms of
+its kind, and the squared difference of the two logits is part of the loss: a neutral
+mention of a group must not move the score.  The swaps of one text weigh one together.
+Fixed neutral frames carry the same penalty, so the constraint holds for terms the sample
+lacks.  Features and swaps are made on the executors; the driver gets numbers of cells.
 The logit is then scaled on the part of the sample that the weights were not fitted to.
 
-Defined results: null and empty texts have the score of the bias; repeated rows are
-scored one by one; without usable labels of both classes every score is the share of
-positive labels (0 without labels); an empty table gives an empty result.
+Defined results: null and empty texts have the score of the bias; null ids are scored and
+never held out; repeated rows are scored one by one, and of repeated labelled rows one text
+is learnt from; without usable labels of both classes every score is the share of positive
+labels (0 without labels); an empty table gives an empty result; columns of ``docs`` beside
+id and text, whatever their names, are ignored when scoring and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,27 +74,48 @@ def distinct_pairs(row: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.nd
     return key // DIMENSIONS, key % DIMENSIONS
 
 
-def _distinct_features(texts: list[str], slice_rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    parts = [distinct_pairs(*feature_pairs(pa.array(texts[i : i + slice_rows], pa.large_string()))) for i in range(0, len(texts), slice_rows)]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([r + k * slice_rows for k, (r, _) in enumerate(parts)]), np.concatenate([c.astype(np.int32) for _, c in parts])
-
-
-def swapped_sentences(text: str, most: int = 8) -> list[tuple[str, str]]:
-    """Sentences that name a group, each with its counterfactuals (``most`` of a text at most)."""
-    out: list[tuple[str, str]] = []
-    for sentence in text.replace("\n", ".").split("."):
-        words = sentence.lower().split()
-        for i, word in enumerate(words):
-            bare = word.strip(",;:!?\"'()")
-            for other in _SWAPS.get(bare, ())[:2]:
-                if len(out) >= most:
-                    return out
-                out.append((" ".join(words), " ".join([*words[:i], other, *words[i + 1 :]])))
+#: The cells that only the sentence as written has, and those that only the swapped one has.
+Swap = tuple[tuple[int, ...], tuple[int, ...]]
+_NOT_WORD = re.compile("[^a-z\u0080-\U0010ffff]+")
+_A_TO_Z = {c: c + 32 for c in range(65, 91)}
+
+
+def word_cells(words: list[str]) -> dict[str, tuple[int, ...]]:
+    """The cells of each word."""
+    row, cell = distinct_pairs(*feature_pairs(pa.array(words, pa.large_string())))
+    parts = np.split(cell, np.searchsorted(row, np.arange(1, len(words)))) if len(words) else []
+    return {w: tuple(c.tolist()) for w, c in zip(words, parts, strict=True)}
+
+
+def swaps_of(texts: list[str]) -> list[dict[Swap, float]]:
+    """For each text, how every mention of a group changes the cells of its sentence when another term of its kind stands there.
+
+    Equal changes are one entry; the weights of a text add up to one.
+    """
+    named: list[list[list[str]]] = []
+    for text in texts:
+        sentences = [_NOT_WORD.split(s.translate(_A_TO_Z)) for s in re.split("[.\n]", text)]
+        named.append([w for w in sentences if not _SWAPS.keys().isdisjoint(w)])
+    cells = word_cells(sorted({w for sentences in named for words in sentences for w in words if w} | _SWAPS.keys()))
+    out = []
+    for sentences in named:
+        found: Counter[Swap] = Counter()
+        for words in sentences:
+            held = Counter(c for w in words if w for c in cells[w])
+            for word in words:
+                for other in _SWAPS.get(word, ()):
+                    mine, new = Counter(cells[word]), cells[other]
+                    lost = tuple(sorted(c for c in mine if held[c] == mine[c] and c not in new))
+                    found[lost, tuple(sorted(c for c in new if not held[c]))] += 1
+        total = sum(found.values())
+        out.append({swap: n / total for swap, n in found.items()})
     return out
 
 
+def frame_swaps() -> list[dict[Swap, float]]:
+    return swaps_of([f.format(t) for kind in IDENTITY_TERMS for t in kind for f in _FRAMES])
+
+
 @dataclass
 class ToxicityModel:
     weights: np.ndarray
@@ -105,25 +132,28 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(column), -30, 30)))
 
 
-def fit(texts: list[str], y: np.ndarray, calibrate: np.ndarray, pairs: list[tuple[str, str]], l1: float = 2e-3, swap_penalty: float = 1.0, steps: int = 300, min_docs: int = 3) -> ToxicityModel:
-    """Proximal gradient descent with momentum; ``calibrate`` marks rows that only scale the logit."""
-    row, cell = _distinct_features(texts)
+def fit(row: np.ndarray, cell: np.ndarray, y: np.ndarray, calibrate: np.ndarray, swaps: Iterable[dict[Swap, float]], l1: float = 2e-3, swap_penalty: float = 1.0, steps: int = 300, min_docs: int = 3) -> ToxicityModel:
+    """Proximal gradient descent with momentum on (row, cell) features; ``calibrate`` marks rows that only scale the logit."""
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(np.zeros(DIMENSIONS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     often = np.bincount(cell, minlength=DIMENSIONS) >= min(min_docs, max(1, len(y) // 20))
-    frames = [(f.format(a), f.format(b)) for kind in IDENTITY_TERMS for a, b in zip(kind, kind[1:], strict=False) for f in _FRAMES]
-    both = [t for pair in pairs + frames for t in pair]
-    prow, pcell = _distinct_features(both)
+    whole: Counter[Swap] = Counter()
+    for some in (*swaps, *frame_swaps()):
+        whole.update(some)
+    changes = [s for s in whole if s[0] or s[1]]
+    share = np.array([whole[s] for s in changes]) / sum(whole.values())
+    prow = np.repeat(np.arange(len(changes)), [len(a) + len(b) for a, b in changes])
+    pcell = np.array([c for a, b in changes for c in a + b], dtype=np.int64)
+    sign = np.array([v for a, b in changes for v in [1.0] * len(a) + [-1.0] * len(b)])
     names = np.flatnonzero(often)
     place = np.full(DIMENSIONS, -1)
     place[names] = np.arange(len(names))
     keep = place[cell] >= 0
     row, col = row[keep], place[cell[keep]]
     pkeep = place[pcell] >= 0
-    prow, pcol = prow[pkeep], place[pcell[pkeep]]
-    sign = np.where(prow % 2 == 0, 1.0, -1.0)
-    prow, n_pairs, d = prow // 2, len(both) // 2, len(names)
+    prow, pcol, sign = prow[pkeep], place[pcell[pkeep]], sign[pkeep]
+    n_swaps, d = len(changes), len(names)
 
     def solve(rows: np.ndarray) -> tuple[np.ndarray, float]:
         index = np.full(len(y), -1)
@@ -132,15 +162,15 @@ def fit(texts: list[str], y: np.ndarray, calibrate: np.ndarray, pairs: list[tupl
         r, c, t = index[row[mine]], col[mine], y[rows].astype(float)
         weight = np.where(t == 1, 0.5 / max(1, t.sum()), 0.5 / max(1, len(t) - t.sum()))
         w, b, w_old, b_old, momentum = np.zeros(d), 0.0, np.zeros(d), 0.0, 1.0
-        step = 1 / (0.25 * _norm(r, c, len(t), d, weight) + 2 * swap_penalty / n_pairs * _norm(prow, pcol, n_pairs, d, None, sign) + 0.25)
+        step = 1 / (0.25 * _norm(r, c, len(t), d, weight) + 2 * swap_penalty * _norm(prow, pcol, n_swaps, d, share, sign) + 0.25)
         for _ in range(steps):
             m = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
             vw, vb = w + (momentum - 1) / m * (w - w_old), b + (momentum - 1) / m * (b - b_old)
             w_old, b_old, momentum = w, b, m
             z = np.bincount(r, vw[c], minlength=len(t)) + vb
             g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - t)
-            gap = np.bincount(prow, sign * vw[pcol], minlength=n_pairs)
-            grad = np.bincount(c, g[r], minlength=d) + np.bincount(pcol, 2 * swap_penalty / n_pairs * gap[prow] * sign, minlength=d)
+            gap = share * np.bincount(prow, sign * vw[pcol], minlength=n_swaps)
+            grad = np.bincount(c, g[r], minlength=d) + np.bincount(pcol, 2 * swap_penalty * gap[prow] * sign, minlength=d)
             w = vw - step * grad
             w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
             b = vb - step * g.sum()
@@ -172,9 +202,7 @@ def _norm(r, c, n, d, weight, sign=None) -> float:
     top = 1.0
     s = np.ones(len(r)) if sign is None else sign
     for _ in range(15):
-        z = np.bincount(r, s * v[c], minlength=n)
-        if weight is not None:
-            z = z * weight
+        z = weight * np.bincount(r, s * v[c], minlength=n)
         u = np.bincount(c, s * z[r], minlength=d)
         top = float(np.linalg.norm(u))
         if top == 0:
@@ -201,13 +229,34 @@ def _platt(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 1e-3)), float(theta[1])
 
 
+def _encode(texts: list[str]) -> tuple[list[np.ndarray], list[list[tuple[tuple[int, ...], tuple[int, ...], float]]]]:
+    """Cells and swaps of each text."""
+    cells = []
+    for t in texts:
+        cells.append(np.unique(feature_pairs(pa.array([t], pa.large_string()))[1]).astype(np.int32))
+    return cells, [[(a, b, w) for (a, b), w in sorted(s.items())] for s in swaps_of(texts)]
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
-    """Fits on a bounded sample; fold 0 sets the weights, fold 2 the scale."""
-    rows = sorted(labelled_sample(docs, labels, "toxic", per_class).collect(), key=lambda r: r.doc_id)
-    texts = [r.text for r in rows]
-    pairs = [p for t in texts for p in swapped_sentences(t)]
+    """Fits on a bounded sample, whose features are made on the executors; fold 0 sets the weights, fold 2 the scale."""
+    sample = labelled_sample(docs, labels, "toxic", per_class)
+    swap = pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32())), ("weight", pa.float64())])
+
+    def encode(batches):
+        for b in batches:
+            if b.num_rows:
+                cells, swaps = _encode(b.column("text").to_pylist())
+                swaps = [[dict(zip(("lost", "gained", "weight"), s, strict=True)) for s in some] for some in swaps]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("fold"), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(swaps, pa.list_(swap))], ["doc_id", "y", "fold", "cells", "swaps"])
+
+    kind = dict(sample.dtypes)["doc_id"]
+    coded = sample.mapInArrow(tidied(encode), f"doc_id {kind}, y int, fold int, cells binary, swaps array<struct<lost: array<int>, gained: array<int>, weight: double>>")
+    rows = sorted(coded.collect(), key=lambda r: r.doc_id)
     assert all(r.fold != HELD_OUT_FOLD for r in rows)
-    return fit(texts, np.array([r.y for r in rows], dtype=int), np.array([r.fold == 2 for r in rows], dtype=bool), pairs)
+    cells = [np.frombuffer(r.cells, np.int32).astype(np.int64) for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(c) for c in cells])
+    swaps = [{(tuple(s.lost), tuple(s.gained)): s.weight for s in r.swaps} for r in rows]
+    return fit(row, np.concatenate([np.zeros(0, np.int64), *cells]), np.array([r.y for r in rows], dtype=int), np.array([r.fold == 2 for r in rows], dtype=bool), swaps)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,3 +22,8 @@ def odd_texts():
     """Null ids and texts, empty, blank, repeated, very long, one endless word."""
     base = " ".join(WORDS[:60])
     return [(1, base), (2, base), (3, None), (4, ""), (5, " \n\t "), (6, "one two"), (None, base), (7, " ".join(WORDS * 60)), (8, "x" * 30000), (9, base.replace("w030", "zzz")), (10, "tab\tand\x0bfeed ünï çödé 漢字 😀"), (6, "one two")]
+
+
+@pytest.fixture(scope="session")
+def medium(small):
+    return small.replace("0.001", "0.1")

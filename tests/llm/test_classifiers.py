@@ -75,14 +75,86 @@ def test_counterfactual_penalty():
         group = "women" if rng.random() < (0.9 if bad else 0.1) else "men"
         texts.append(" ".join([f"w{rng.integers(50)}" for _ in range(6)] + [group] + (["vilename"] if bad and rng.random() < 0.7 else [])))
         y.append(int(bad))
-    pairs = [p for t in texts for p in toxicity.swapped_sentences(t)]
-    none = np.zeros(400, bool)
-    free = toxicity.fit(texts, np.array(y), none, pairs, swap_penalty=1e-9)
-    tied = toxicity.fit(texts, np.array(y), none, pairs, swap_penalty=20.0)
+    row, cell = toxicity.distinct_pairs(*toxicity.feature_pairs(pa.array(texts)))
+    swaps, none = toxicity.swaps_of(texts), np.zeros(400, bool)
+    assert all(abs(sum(s.values()) - 1) < 1e-9 for s in swaps)
+    free = toxicity.fit(row, cell, np.array(y), none, swaps, swap_penalty=1e-9)
+    tied = toxicity.fit(row, cell, np.array(y), none, swaps, swap_penalty=20.0)
     gap = lambda m: abs(float(np.diff(m.logits(pa.array(["a talk with women", "a talk with men"])))[0]))
     assert gap(tied) < 0.25 * gap(free)
 
 
+def test_every_mention_is_swapped_with_every_other_term():
+    """Against sentences written out: the cells that differ, for all mentions of a long text."""
+    kind = next(k for k in toxicity.IDENTITY_TERMS if "hindu" in k)
+    text = "An old man. " + " ".join(f"w{i}" for i in range(50)) + ".\n" + ". ".join(f"the {t} of x{i}" + f", a {t}" * (i % 2) for i, t in enumerate(kind * 3 + kind[1:]))
+    cells_of = lambda t: set(toxicity.distinct_pairs(*toxicity.feature_pairs(pa.array([t])))[1].tolist())
+    want = set()
+    for sentence in text.replace("\n", ".").split("."):
+        words = sentence.lower().replace(",", " ").split()
+        for i, w in enumerate(words):
+            for k in toxicity.IDENTITY_TERMS:
+                for other in k if w in k else ():
+                    if other != w:
+                        a, b = cells_of(" ".join(words)), cells_of(" ".join([*words[:i], other, *words[i + 1 :]]))
+                        want.add((tuple(sorted(a - b)), tuple(sorted(b - a))))
+    assert set(toxicity.swaps_of([text])[0]) == want and len(want) > len(kind) * (len(kind) - 1) // 2
+
+
+def test_repeated_ids_do_not_add_to_the_sample(spark):
+    docs = spark.createDataFrame([(7 if i < 500 else i, f"text {i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(600)], "doc_id long, quality int, toxic int")
+    sample = labelled_sample(docs, labels, "toxic", 10)
+    rows = sample.collect()
+    assert len(rows) == 20 and len({r.doc_id for r in rows}) == 20
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_equal_one_by_one(spark, small, module):
+    """The query's scores against a scorer of one text at a time, written without batches."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = module.train(docs, labels)
+    got = {r.doc_id: r.score for r in module.score_documents(docs, labels).collect()}
+    for r in docs.collect()[::7]:
+        one = slow_toxicity(model, r.text or "") if module is toxicity else slow_quality(model, r.text or "")
+        assert abs(got[r.doc_id] - one) < 1e-4
+
+
+def slow_toxicity(model, text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = set("".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in low).split(" ")) - {""}
+    cells = {c for w in words for c in toxicity.word_cells([w])[w]}
+    z = model.bias + sum(float(model.weights[c]) for c in cells)
+    return 1 / (1 + np.exp(-z))
+
+
+def slow_quality(model, text):
+    x, counts = quality.passages(pa.array([text]))
+    x = (x - model.mean) / model.scale
+    total = np.zeros(len(model.p["c"]))
+    gates = []
+    for passage in x:
+        h = np.tanh(passage @ model.p["W"] + model.p["b"])
+        gates.append((float((np.tanh(h @ model.p["V"]) / (1 + np.exp(-h @ model.p["U"]))) @ model.p["a"]), h))
+    top = max(e for e, _ in gates)
+    share = [np.exp(e - top) for e, _ in gates]
+    for a, (_, h) in zip(share, gates, strict=True):
+        total += a / sum(share) * h
+    return 1 / (1 + np.exp(-(float(total @ model.p["c"]) + float(model.p["d"]) + model.shift)))
+
+
+#: Least held-out precision and recall at the query's threshold, least area under the curve, on the supplied labels.
+@pytest.mark.parametrize("op, label, precision, recall, area", [(Q.op5_quality, "quality", 0.97, 0.97, 0.99), (Q.op7_toxicity, "toxic", 0.7, 0.8, 0.95)])
+def test_held_out_labels(spark, medium, op, label, precision, recall, area):
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
+    rows = [(r.score, r.predicted, truth[r.doc_id]) for r in op(spark, medium).collect() if r.held_out and r.doc_id in truth]
+    hit, said, are = sum(p * t for _, p, t in rows), sum(p for _, p, _ in rows), sum(t for _, _, t in rows)
+    score, y = np.array([s for s, _, _ in rows]), np.array([t for _, _, t in rows], bool)
+    auc = np.mean([(s > score[~y]).mean() + (s == score[~y]).mean() / 2 for s in score[y]])
+    print(label, "precision", hit / said, "recall", hit / are, "area", auc)
+    assert hit / said >= precision and hit / are >= recall and auc >= area
+
+
 def test_quality_gradients_learn_one_bad_passage():
     good = [" ".join(f"w{i % 37}" for i in range(150)) for _ in range(40)]
     bad = [g[:300] + " " + " ".join("JUNK!!" for _ in range(60)) for g in good]

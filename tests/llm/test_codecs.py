@@ -41,6 +41,16 @@ def test_warc_odd_rows(spark):
     assert W.archive_and_read(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_null_and_repeated_ids(spark):
+    """Rows of one id with different payloads, one of which another page repeats; rows without an id."""
+    a, b = "a" * 1200, "b" * 1300
+    rows = [(1, "u", a, "x", "x"), (1, "u", b, "x", "x"), (2, "u", a, "x", "x"), (2, "u", b[:5], "x", "x"), (None, "u", a, "x", "x"), (None, "u", None, "x", "x"), (3, "u", b, "x", "x"), (3, "u", b, "x", "x")]
+    got = W.archive_and_read(spark.createDataFrame(rows, PAGES)).collect()
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(1, 1200, sha(a), "revisit", 2), (1, 1300, sha(b), "revisit", 3), (2, 1200, sha(a), "response", None), (2, 5, sha(b[:5]), "response", None), (None, 1200, sha(a), "response", None), (None, 0, sha(""), "response", None)] + [(3, 1300, sha(b), "response", None)] * 2
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_range_merging():
     assert W.coalesce_ranges([(0, 10), (10, 5), (100, 5), (1000, 5)], max_gap=90, max_read=120) == [(0, 3, 105), (3, 4, 5)]
     assert W.coalesce_ranges([]) == []
