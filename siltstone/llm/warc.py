@@ -14,9 +14,11 @@ of each file, and neighbouring ranges are merged into one read when the gap betw
 is small and the merged read stays bounded.
 
 Defined results: a null or empty html is an empty payload; a null URL is written as an
-empty target; repeated rows give repeated records; no pages give no records.  Page ids
-are expected to be unique; where they are not, each row still has its own record.
-Columns beside id, url and html are ignored.
+empty target; repeated rows give repeated records; no pages give no records.  Every row
+has its own record, whatever its id: rows of one id with different payloads are told
+apart by their digests, rows of one id with equal payloads are both of the same kind, and
+a row with a null id has a record without a number, which is always a response and which
+nothing refers to.  Columns beside id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ MIN_REVISIT = 1000
 #: A merged read spans gaps of up to MAX_GAP bytes and MAX_READ bytes in all.
 MAX_GAP = 64 << 10
 MAX_READ = 8 << 20
-#: Index rows are dealt to readers by windows of this many bytes of a file.
-WINDOW = 32 << 20
+#: Index rows are dealt to readers by windows of WINDOW bytes of a file, some READER_BYTES a task.
+WINDOW = 8 << 20
+READER_BYTES = 32 << 20
 
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
 
@@ -48,25 +51,34 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """Page id, payload size and hex SHA-1 of the payload, computed by built-in functions."""
+def with_sums(pages: DataFrame) -> DataFrame:
+    """Adds payload size and hex SHA-1 of the payload, computed by built-in functions."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.length(payload).cast("long").alias("n"), F.sha1(payload).alias("digest"))
+    return pages.withColumn("n", F.length(payload).cast("long")).withColumn("digest", F.sha1(payload))
 
 
 def revisits(sums: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page with a larger id holds too."""
-    big = sums.filter(F.col("n") >= min_revisit)
+    """(page_id, digest, refers_to) of the pages whose payload a page with a larger id holds too."""
+    big = sums.filter(F.col("n") >= min_revisit).select("page_id", "digest")
     held = big.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1")
-    return big.join(held, "digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return big.join(held, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def record_head(page_id: int, url: str, kind: str, digest: str, length: int, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def _page_of(urn: str | None) -> int | None:
+    number = urn.removeprefix("<urn:page:").removesuffix(">") if urn else ""
+    return int(number) if number else None
+
+
+def record_head(page_id: int | None, url: str, kind: str, digest: str, length: int, refers_to: int | None) -> bytes:
     """WARC/1.1 header block; deterministic, so that equal input gives equal archives."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
              f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8"]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*lines, f"Content-Length: {length}", "", ""]).encode()
 
 
@@ -93,9 +105,8 @@ def gzip_member(raw: bytes, level: int = 1) -> bytes:
 
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Lazy index of the archives that reading it writes to ``folder`` (a URI that executors reach)."""
-    wanted = only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
-    referred = revisits(digests(wanted), min_revisit)
-    planned = wanted.join(referred, "page_id", "left")
+    wanted = with_sums(only(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long")))
+    planned = wanted.join(revisits(wanted, min_revisit), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -149,12 +160,12 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     read_bytes and read_digest of the payload as read, and the payload when wanted.
     """
     spread = index.select("file", "offset", "length").withColumn("win", F.floor(F.col("offset") / F.lit(WINDOW)))
-    sorted_ranges = spread.repartition("file", "win").sortWithinPartitions("file", "offset")
+    # The index rows are small, what they stand for is not: the number of readers follows the bytes to read.
+    total = int(spread.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
+    readers = max(-(-total // READER_BYTES), index.sparkSession.sparkContext.defaultParallelism)
+    sorted_ranges = spread.repartition(readers, "file", "win").sortWithinPartitions("file", "offset")
     schema = "page_id long, record_type string, refers_to long, stored_digest string, read_bytes long, read_digest string" + (", payload binary" if with_payload else "")
 
-    def page_of(urn: str | None) -> int | None:
-        return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_name, source = None, None
         for b in batches:
@@ -174,7 +185,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     rows = []
                     for at, n in spans[first:past]:
                         fields, payload = parse_record(zlib.decompress(raw[at - begin : at - begin + n], 31))
-                        row = (page_of(fields["warc-record-id"]), fields["warc-type"], page_of(fields.get("warc-refers-to")),
+                        row = (_page_of(fields["warc-record-id"]), fields["warc-type"], _page_of(fields.get("warc-refers-to")),
                                fields["warc-payload-digest"].removeprefix("sha1:"), len(payload), hashlib.sha1(payload).hexdigest())
                         rows.append((*row, payload) if with_payload else row)
                     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
@@ -196,10 +207,10 @@ def archive_and_read(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFr
     index = scratch.settle(write_archives(pages, folder, min_revisit), "index")
     records = scratch.settle(read_records(index, with_payload=False), "records")
     whole = records.filter("record_type = 'response'").select("page_id", F.col("read_bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), "record_type", "refers_to")
-    # The digest in a revisit's header must be that of the response read back, which tells its size.
-    sizes = whole.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
-    joined = records.filter("record_type = 'revisit'").select("page_id", "record_type", "stored_digest", "refers_to").join(sizes, "refers_to", "left")
-    same = F.col("stored_digest") == F.col("payload_digest")
-    checked = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.format_string("revisit of page %s has another digest than its response", F.col("page_id"))))
+    # A response of that number with the digest in the revisit's header must have been read back; it tells the size.
+    sizes = whole.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stored_digest"), "payload_bytes").distinct()
+    joined = records.filter("record_type = 'revisit'").select("page_id", "record_type", "stored_digest", "refers_to").join(sizes, ["refers_to", "stored_digest"], "left")
+    lost = F.raise_error(F.format_string("revisit of page %s has another digest than its response", F.col("page_id")))
+    checked = F.when(F.col("payload_bytes").isNotNull(), F.col("stored_digest")).otherwise(lost)
     revisited = joined.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
     return whole.unionByName(revisited)
