@@ -7,40 +7,115 @@ import math
 import re
 from typing import Any
 
+#: Labels of an output, the token of absence, and the issues that make an output partial.
 LABELS = ("REASONING", "ANSWER", "CITATIONS", "QUOTES", "CONFIDENCE")
-_LABEL = re.compile(r"^\s*(" + "|".join(LABELS) + r")\s*:[ \t]*", re.M)
+ABSENT_TOKENS = ("not_in_documents", "not in documents")
+PARTIAL = ("missing_", "citations_unparseable", "confidence_unparseable", "quotes_unparseable", "empty_reasoning", "empty_citations")
+_EMPHASIS = "*_"
+_BLANK = " \t"
+_QUOTE_MARKS = "\"'“”‘’"
+
+
+def _label(line: str, heading: bool = True) -> tuple[str, str] | None:
+    """The label that a line begins with, whatever its case and emphasis, and what stands behind it."""
+    rest = line.lstrip(_BLANK)
+    if heading and 0 < len(rest) - len(rest.lstrip("#")) <= 6:
+        rest = rest.lstrip("#").lstrip(_BLANK)
+    rest = rest.lstrip(_EMPHASIS + _BLANK)
+    name = next((x for x in LABELS if rest[: len(x)].upper() == x), None)
+    if name is None:
+        return None
+    behind = rest[len(name) :].lstrip(_EMPHASIS + _BLANK)
+    return (name, behind[1:].lstrip(_BLANK).lstrip(_EMPHASIS)) if behind.startswith(":") else None
 
 
 def sections(text: str) -> tuple[dict[str, str], list[str]]:
-    """Text behind each label up to the next; of repeated labels the last counts and is reported."""
-    marks = list(_LABEL.finditer(text))
-    found: dict[str, str] = {}
-    issues = []
-    for m, behind in zip(marks, [*marks[1:], *[None] * bool(marks)], strict=True):
-        if m[1] in found:
-            issues.append(f"duplicate:{m[1].lower()}")
-        found[m[1]] = text[m.end() : behind.start() if behind else len(text)].strip()
-    return found, issues
-
-
-def parse_output(text: str, n_chunks: int) -> dict[str, Any]:
-    """Answer, citations within and out of range, confidence, issues and the state of the whole."""
+    """Text behind each label up to the next; of repeated labels the last counts; what is out of order is reported."""
+    found: dict[str, list[str]] = {}
+    issues: list[str] = []
+    into: list[str] | None = None
+    early = False
+    for line in text.split("\n"):
+        mark = _label(line)
+        if mark is None:
+            early |= into is None and bool(line.strip())
+            if into is not None:
+                into.append(line)
+        while mark is not None:  # a label right behind another leaves that one empty
+            name, rest = mark
+            mark = _label(rest, heading=False)
+            if mark is not None:
+                issues.append(f"empty_{name.lower()}_chained")
+            if name in found:
+                issues.append(f"duplicate_{name.lower()}")
+            into = found[name] = [] if mark is not None else [rest]
+    if found and early:
+        issues.append("text_before_first_field")
+    return {name: "\n".join(lines).strip() for name, lines in found.items()}, issues
+
+
+def _bare(text: str) -> str:
+    return text.strip().strip(_EMPHASIS).strip()
+
+
+def _numbers_behind_c(text: str) -> list[int]:
+    """The numbers of all words C1, c02, ... in order, each once."""
+    words = "".join(c if c.isalnum() or c == "_" else " " for c in text).split()
+    return list(dict.fromkeys(int(w[1:]) for w in words if w[0] in "cC" and w[1:].isdecimal()))
+
+
+def _none(text: str) -> bool:
+    return text.strip(_EMPHASIS + ". \t\n").lower() in ("none", "n/a", "na")
+
+
+def _quote_lines(text: str) -> list[dict[str, Any]]:
+    """Quotes, one a line as ``C2: "words"``; lines without a label go on with the quote before."""
+    out: list[dict[str, Any]] = []
+    for line in text.splitlines():
+        head, colon, words = line.strip().removeprefix("-").removeprefix("*").strip().partition(":")
+        label = head.strip().removeprefix("[").removesuffix("]")
+        if colon and words.strip() and label[:1] in ("c", "C") and label[1:].isdecimal():
+            out.append({"label": int(label[1:]), "text": words.strip()})
+        elif line.strip() and out:
+            out[-1]["text"] += "\n" + line.strip()
+    return [q | {"text": q["text"].strip().strip(_QUOTE_MARKS).strip()} for q in out]
+
+
+def _percentage(text: str) -> int | None:
+    """A whole number up to 100, which a percent sign or ``/100`` may follow."""
+    number = "".join(text.split()).removesuffix("/100").removesuffix("%")
+    return int(number) if number.isdecimal() and len(number) <= 3 and int(number) <= 100 else None
+
+
+def parse_output(text: str, n_chunks: int, requested: tuple[str, ...] = ("ANSWER", "CITATIONS", "CONFIDENCE")) -> dict[str, Any]:
+    """Fields of a model's output, what is wrong with it, and the state of the whole: ok, partial or failed."""
     found, issues = sections(text)
-    answer = found.get("ANSWER") or None
-    cited = [int(c) for c in re.findall(r"\bC(\d+)\b", found.get("CITATIONS", ""))]
-    inside = list(dict.fromkeys(c for c in cited if 1 <= c <= n_chunks))
-    outside = list(dict.fromkeys(c for c in cited if not 1 <= c <= n_chunks))
-    raw = found.get("CONFIDENCE", "")
-    number = re.fullmatch(r"(\d{1,3})\s*%?", raw)
-    confidence = int(number[1]) if number and int(number[1]) <= 100 else None
-    if outside:
-        issues.append("invalid_citations")
-    if raw and confidence is None:
-        issues.append("bad_confidence")
-    missing = [x for x in ("ANSWER", "CITATIONS", "CONFIDENCE") if x not in found]
-    issues += [f"missing:{x.lower()}" for x in missing]
-    state = "failed" if "ANSWER" in missing else "partial" if issues else "ok"
-    return {"status": state, "answer": answer, "citations": inside, "invalid_citations": outside, "confidence": confidence, "issues": issues}
+    issues += sorted(f"unrequested_{x.lower()}" for x in found if x not in requested)
+    answer = _bare(found.get("ANSWER", "")) or None
+    said = " ".join("".join(c if c.isalnum() or c == "_" else " " for c in (text if answer is None else answer).lower()).split())
+    out: dict[str, Any] = {"status": "failed", "answer": answer, "citations": [], "invalid_citations": [], "quotes": [], "confidence": None, "reasoning": None}
+    out["abstained"] = any(f" {t} " in f" {said} " for t in ABSENT_TOKENS)
+    if answer is None:
+        return out | {"issues": [*issues, "missing_answer"]}
+    issues += [f"missing_{x.lower()}" for x in LABELS if x in requested and x not in found]
+    if (body := found.get("CITATIONS")) is not None:
+        cited = _numbers_behind_c(body)
+        out["citations"] = [c for c in cited if 1 <= c <= n_chunks]
+        out["invalid_citations"] = [c for c in cited if not 1 <= c <= n_chunks]
+        checks = {"citation_out_of_range": bool(out["invalid_citations"]), "empty_citations": not body and "empty_citations_chained" not in issues, "citations_unparseable": bool(body) and not cited and not _none(body)}
+        issues += [name for name, wrong in checks.items() if wrong]
+    if (body := found.get("QUOTES")) is not None:
+        quotes = out["quotes"] = _quote_lines(body)
+        checks = {"quotes_unparseable": bool(body) and not quotes and not _none(body), "quote_for_uncited_label": bool({q["label"] for q in quotes} - set(out["citations"])), "citations_without_quotes": bool(out["citations"]) and not quotes}
+        issues += [name for name, wrong in checks.items() if wrong]
+    if (body := found.get("CONFIDENCE")) is not None:
+        first, _, more = body.partition("\n")
+        out["confidence"] = _percentage(_bare(first))
+        issues += ["confidence_unparseable"] * (out["confidence"] is None) + ["text_after_confidence"] * bool(more)
+    if (body := found.get("REASONING")) is not None:
+        out["reasoning"] = body
+        issues += ["empty_reasoning"] * (not body)
+    return out | {"status": "partial" if any(i.startswith(PARTIAL) for i in issues) else "ok", "issues": issues}
 
 
 def _norm(text: str) -> str:
@@ -61,6 +136,13 @@ def quote_status(quote: str, own: str, others: list[str]) -> str:
     return "other_excerpt" if any(q in _norm(o) for o in others) else "not_found"
 
 
+def quote_fidelity(quotes: list[dict[str, Any]], chunks: dict[int, str]) -> dict[str, Any]:
+    """State of every quote against the chunk of its label and the others, and the shares that are faithful and exact."""
+    states = [quote_status(q["text"], chunks.get(q["label"], ""), [t for k, t in chunks.items() if k != q["label"]]) for q in quotes]
+    share = lambda *good: sum(s in good for s in states) / len(states) if states else None
+    return {"n_quotes": len(states), "states": states, "faithful_rate": share("exact", "near"), "exact_rate": share("exact")}
+
+
 def lookup(record: Any, path: str) -> Any:
     """Value at a dotted path, or None."""
     for key in path.split("."):

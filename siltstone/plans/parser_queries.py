@@ -47,29 +47,90 @@ def clopper_pearson(spark, sf):
     return g.mapInPandas(run, "model string, prompt string, k long, n long, lo double, hi double")
 
 
-@query("output_parse")
+#: Outputs written around a turn, by (conv_id + turn) % 8.
+_OUTPUT_FORMS = ("REASONING: r\nANSWER: {t}\nCITATIONS: C1, C{n}\nCONFIDENCE: {c}", "**Answer:** **{t}**\n## citations: [c1], C{n}, C1\n_Confidence_: {c} / 100", "preamble\nANSWER: first\nANSWER: {t}\nCITATIONS: NONE\nCONFIDENCE: {c}%",
+                 "ANSWER: {t}\nCITATIONS: CONFIDENCE: {c}", "NOT_IN_DOCUMENTS", "ANSWER: *not in documents*\nCITATIONS: some pages\nCONFIDENCE: high", "ANSWER: {t}\nCITATIONS: C{n}\nCONFIDENCE: {c}\nmore", "ANSWER:\nCONFIDENCE: {c}")
+
+
+@query("output_parse", """WITH b AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, turn + 3 AS n, conv_id % 120 AS c FROM conversations)
+SELECT conv_id, turn, CASE WHEN k IN (4, 7) THEN 'failed' WHEN k IN (3, 5) OR c > 100 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN k NOT IN (4, 5, 7) AND c <= 100 THEN c END::INT AS confidence,
+CASE WHEN k IN (0, 1) THEN CASE WHEN n BETWEEN 2 AND 5 THEN 2 ELSE 1 END WHEN k = 6 THEN (n BETWEEN 1 AND 5)::INT ELSE 0 END::INT AS n_citations, CASE WHEN k IN (0, 1, 6) THEN (n > 5)::INT ELSE 0 END::INT AS n_invalid, k IN (4, 5) AS abstained,
+CASE k WHEN 3 THEN 'empty_citations_chained' WHEN 4 THEN 'missing_answer' WHEN 5 THEN 'citations_unparseable,confidence_unparseable' WHEN 7 THEN 'missing_answer'
+ELSE array_to_string(list_filter([CASE WHEN k = 2 THEN 'duplicate_answer' END, CASE WHEN k = 2 THEN 'text_before_first_field' END, CASE WHEN k IN (0, 1, 6) AND n > 5 THEN 'citation_out_of_range' END, CASE WHEN c > 100 THEN 'confidence_unparseable' END, CASE WHEN k = 6 THEN 'text_after_confidence' END], lambda x: x IS NOT NULL), ',') END
+|| CASE WHEN k = 3 AND c > 100 THEN ',confidence_unparseable' ELSE '' END AS issues FROM b""")
 def output_parse(spark, sf):
-    """Conversation turns written as model output and parsed again."""
+    """Conversation turns written as model output in eight forms and parsed again."""
     c = table(spark, sf, "conversations")
-    raw = F.concat(F.lit("REASONING: r\nANSWER: "), F.substring("text", 1, 40), F.lit("\nCITATIONS: C1, C"), (F.col("turn") + 3).cast("string"), F.lit("\nCONFIDENCE: "), (F.col("conv_id") % 120).cast("string"))
+    raw = F.get(F.array(*[F.lit(f) for f in _OUTPUT_FORMS]), ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))
+    # The turn's own words must not hold a label at the beginning of a line.
+    words = F.concat(F.lit("it says "), F.regexp_replace("text", "[*_\\s]+", " "))
+    for name, value in (("{n}", (F.col("turn") + 3).cast("string")), ("{c}", (F.col("conv_id") % 120).cast("string")), ("{t}", words)):
+        raw = F.replace(raw, F.lit(name), value)
 
     def run(frames):
         for f in frames:
-            p = [O.parse_output(t, 5) for t in f.raw]
-            yield pd.DataFrame({"conv_id": f.conv_id, "turn": f.turn, "status": [x["status"] for x in p], "confidence": [x["confidence"] for x in p], "n_citations": [len(x["citations"]) for x in p], "n_invalid": [len(x["invalid_citations"]) for x in p], "issues": [",".join(x["issues"]) for x in p]}).astype({"confidence": "Int64"})
+            p = [O.parse_output(t, 5, ("REASONING", "ANSWER", "CITATIONS", "CONFIDENCE") if t.startswith("REASONING") else ("ANSWER", "CITATIONS", "CONFIDENCE")) for t in f.raw]
+            yield pd.DataFrame({"conv_id": f.conv_id, "turn": f.turn, "status": [x["status"] for x in p], "confidence": [x["confidence"] for x in p], "n_citations": [len(x["citations"]) for x in p], "n_invalid": [len(x["invalid_citations"]) for x in p], "abstained": [x["abstained"] for x in p], "issues": [",".join(x["issues"]) for x in p]}).astype({"confidence": "Int64"})
 
-    return c.select("conv_id", "turn", raw.alias("raw")).mapInPandas(run, "conv_id long, turn long, status string, confidence int, n_citations int, n_invalid int, issues string")
+    return c.select("conv_id", "turn", raw.alias("raw")).mapInPandas(run, "conv_id long, turn long, status string, confidence int, n_citations int, n_invalid int, abstained boolean, issues string")
 
 
 @query("quote_fidelity")
 def quote_fidelity(spark, sf):
-    """Quotes cut from each document, some changed, held against it."""
-    d = table(spark, sf, "documents").filter("n_chars > 200")
-    cut = F.substring("text", 50, 60)
-    quote = F.when(F.col("doc_id") % 3 == 0, cut).when(F.col("doc_id") % 3 == 1, F.concat(F.substring("text", 50, 30), F.lit("zq"), F.substring("text", 80, 30))).otherwise(F.lit("words that nobody wrote in any of them"))
+    """Quotes of every document: each of its lines, its longest line with two letters put in, and words that nobody wrote."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "status": [O.quote_status(q, t, []) for q, t in zip(f.quote, f.text, strict=True)]})
+            rows = []
+            for doc_id, text in zip(f.doc_id, f.text, strict=True):
+                lines = text.split("\n")
+                long = max(lines, key=len)
+                quotes = [{"label": 1, "text": t} for t in (*lines, long[: len(long) // 2] + "zq" + long[len(long) // 2 :], "words that nobody wrote in any of them")]
+                r = O.quote_fidelity(quotes, {1: text})
+                rows.append((doc_id, r["n_quotes"], ",".join(sorted(set(r["states"]))), r["faithful_rate"], r["exact_rate"]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_quotes", "states", "faithful_rate", "exact_rate"])
+
+    return d.mapInPandas(run, "doc_id long, n_quotes int, states string, faithful_rate double, exact_rate double")
+
 
-    return d.select("doc_id", "text", quote.alias("quote")).mapInPandas(run, "doc_id long, status string")
+#: Answers to a gold of X (or of minus X) in thousands, by o_orderkey % 8; m is X in millions, k a thousand times X, d twice X.
+_GRADED = ("Sales were ${x:,} thousand (up 3.5%).", "Sales were ${m:.3f} million.", "It was ${k}.", "It was ${x} million.", "It was ${d}.", "There were none at all.", "It declined by ${x:,} thousand.", "It was ${x:,} thousand, as (5) says.")
+
+
+@query("numeric_grade", """WITH k AS (SELECT o_orderkey, o_orderkey % 8 AS k FROM orders) SELECT o_orderkey, CASE WHEN k IN (0, 1, 2, 6) THEN 'correct' WHEN k = 3 THEN 'unit_error' WHEN k IN (4, 7) THEN 'incorrect' END AS label,
+CASE WHEN k IN (0, 1, 2, 6) THEN 'correct' WHEN k = 3 THEN 'unit_error' WHEN k IN (4, 7) THEN 'incorrect' END AS any_label, CASE k WHEN 6 THEN 'sign_in_words' WHEN 7 THEN 'sign_mismatch' END AS sign, CASE WHEN k IN (0, 7) THEN 2 WHEN k = 5 THEN 0 ELSE 1 END::INT AS n_figures,
+CASE WHEN k IN (0, 1, 2, 6) THEN 'correct' WHEN k = 3 THEN 'unit_error' WHEN k IN (4, 7) THEN 'incorrect' END AS at_ten_percent FROM k""")
+def numeric_grade(spark, sf):
+    """Gold answers and answers about every order's price, graded from their texts."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for key, price in zip(f.o_orderkey, f.x, strict=True):
+                x, k = int(price) + 1000, int(key) % 8
+                gold = G.gold_figure(f"{'-' * (k >= 6)}${x:,}.00", "What is the total in USD thousands? Round to zero decimal places.")
+                g = G.grade_numeric(_GRADED[k].format(x=x, m=x / 1000, k=x * 1000, d=2 * x), gold)
+                rows.append((key, g["label"], g["any_label"], g["sign"], g["n_figures"], g["sensitivity"][0.1]))
+            yield pd.DataFrame(rows, columns=["o_orderkey", "label", "any_label", "sign", "n_figures", "at_ten_percent"])
+
+    return table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("x")).mapInPandas(run, "o_orderkey long, label string, any_label string, sign string, n_figures int, at_ten_percent string")
+
+
+@query("numeric_support", """WITH k AS (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders) SELECT o_orderkey, CASE WHEN k = 3 THEN 0 ELSE 2 END::INT AS n_figures, CASE k WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INT AS n_in_cited, CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INT AS n_in_context,
+CASE k WHEN 0 THEN 1.0 WHEN 2 THEN 0.5 END::DOUBLE AS in_cited_rate, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 END::DOUBLE AS in_context_rate FROM k""")
+def numeric_support(spark, sf):
+    """Answers with a price and a share against texts that hold them: scaled and rounded, elsewhere, in part, or no figures at all."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for key, price in zip(f.o_orderkey, f.x, strict=True):
+                x, k = int(price) + 1000, int(key) % 4
+                table_row = f"Total {x / 1000:.3f} against 12.46 % before"
+                cited, context = {0: ([table_row], [table_row]), 1: ([], [table_row]), 2: ([f"Total {x * 2}, share 12.5"], [f"Total {x * 2}, share 12.5"]), 3: ([table_row], [table_row])}[k]
+                s = G.support("none of 5" if k == 3 else f"It was ${x:,}, or 12.5% of all 7.", cited, context)
+                rows.append((key, s["n_figures"], s["n_in_cited"], s["n_in_context"], s["in_cited_rate"], s["in_context_rate"]))
+            yield pd.DataFrame(rows, columns=["o_orderkey", "n_figures", "n_in_cited", "n_in_context", "in_cited_rate", "in_context_rate"])
+
+    return table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("x")).mapInPandas(run, "o_orderkey long, n_figures int, n_in_cited int, n_in_context int, in_cited_rate double, in_context_rate double")

@@ -95,25 +95,36 @@ def strip_wrapper(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(T.strip_wrapper(raw), 256).alias("body_sha"))
 
 
-TABLES = [(1, 1, ["Item", "2020", "2021"]), (1, 2, ["Sales", "$1,200", "(300)"]), (2, 1, ["a", "b"]), (2, 2, ["c", "1.5%"]), (3, 1, ["1", "2"]), (4, 1, ["x\ny", "z"]), (4, 2, ["p", "q"]), (5, 1, ["only"]), (5, 2, ["7"])]
-_TABLE_VALUES = ", ".join(f"({t}, {r}, [{', '.join(chr(39) + c.replace(chr(10), '~') + chr(39) for c in cells)}])" for t, r, cells in TABLES)
+#: Small tables for every customer: a row for each order, with cells whose forms depend on its key.
+_CELLS = """CASE o_orderkey % 4 WHEN 0 THEN [o_orderstatus, '$' || o_orderkey, '(' || (o_orderkey % 100) || ')'] WHEN 1 THEN [o_orderstatus || chr(10) || 'of', 'n. ' || o_orderkey, ''] WHEN 2 THEN ['-' || o_orderkey, o_orderpriority, 'x'] ELSE ['total', 'is', (o_orderkey % 90) || '.5 %'] END"""
+_TABLE_ROWS = f"t AS (SELECT o_custkey AS table_id, o_orderkey AS row_no, {_CELLS} AS cells FROM orders)"
 
 
-@query("table_serialise", f"WITH t(table_id, row_no, cells) AS (VALUES {_TABLE_VALUES}) SELECT table_id, string_agg(replace(array_to_string(cells, ' | '), '~', ' '), chr(10) ORDER BY row_no) AS body FROM t GROUP BY table_id")
+def order_cells(spark, sf):
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    row = (
+        F.when(key % 4 == 0, F.array(F.col("o_orderstatus"), F.concat(F.lit("$"), text), F.concat(F.lit("("), (key % 100).cast("string"), F.lit(")"))))
+        .when(key % 4 == 1, F.array(F.concat(F.col("o_orderstatus"), F.lit("\nof")), F.concat(F.lit("n. "), text), F.lit("")))
+        .when(key % 4 == 2, F.array(F.concat(F.lit("-"), text), F.col("o_orderpriority"), F.lit("x")))
+        .otherwise(F.array(F.lit("total"), F.lit("is"), F.concat((key % 90).cast("string"), F.lit(".5 %"))))
+    )
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("table_id"), key.alias("row_no"), row.alias("cells"))
+
+
+@query("table_serialise", f"WITH {_TABLE_ROWS} SELECT table_id, string_agg(replace(array_to_string(cells, ' | '), chr(10), ' '), chr(10) ORDER BY row_no) AS body FROM t GROUP BY table_id")
 def table_serialise(spark, sf):
-    rows = literal_rows(spark, TABLES, "table_id int, row_no int, cells array<string>")
     line = F.array_join(F.transform("cells", lambda c: F.replace(c, F.lit("\n"), F.lit(" "))), " | ")
-    return rows.select("table_id", F.struct("row_no", line.alias("line")).alias("r")).groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x.line), "\n").alias("body"))
+    return order_cells(spark, sf).select("table_id", F.struct("row_no", line.alias("line")).alias("r")).groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda x: x.line), "\n").alias("body"))
 
 
-@query("table_classifier", f"""WITH t(table_id, row_no, cells) AS (VALUES {_TABLE_VALUES}), c AS (SELECT table_id, row_no, unnest(cells) AS cell, len(cells) AS width FROM t)
-SELECT table_id, count(DISTINCT row_no) >= 2 AND max(width) >= 2 AND avg(CASE WHEN trim(cell) <> '' THEN regexp_matches(cell, '^\\s*[$(]*[0-9][0-9,]*(\\.[0-9]+)?[)%]*\\s*$')::INT END) >= 0.25 AS is_data_table FROM c GROUP BY table_id""")
+@query("table_classifier", f"""WITH {_TABLE_ROWS}, c AS (SELECT table_id, row_no, replace(unnest(cells), ' ', '') AS cell, len(cells) AS width FROM t), f AS (SELECT *, ltrim(cell[1:1], '$(-') || cell[2:] AS body FROM c),
+g AS (SELECT *, rtrim(rtrim(body, '%'), ')') AS core FROM f)
+SELECT table_id, count(DISTINCT row_no) >= 2 AND max(width) >= 2 AND coalesce(avg(CASE WHEN cell <> '' THEN (len(core) > 0 AND TRY_CAST(replace(core, ',', '') AS DOUBLE) IS NOT NULL)::INT END) >= 0.25, false) AS is_data_table FROM g GROUP BY table_id""")
 def table_classifier(spark, sf):
-    """Two rows and columns at least, and a quarter of the filled cells numeric."""
-    rows = literal_rows(spark, TABLES, "table_id int, row_no int, cells array<string>")
-    cells = rows.select("table_id", "row_no", F.size("cells").alias("width"), F.explode("cells").alias("cell"))
-    numeric = F.when(F.trim("cell") != "", F.col("cell").rlike(r"^\s*[$(]*[0-9][0-9,]*(\.[0-9]+)?[)%]*\s*$").cast("int"))
-    return cells.groupBy("table_id").agg(((F.countDistinct("row_no") >= 2) & (F.max("width") >= 2) & (F.avg(numeric) >= 0.25)).alias("is_data_table"))
+    """Two rows and columns at least, and a quarter of the filled cells numeric; negative amounts are numeric."""
+    cells = order_cells(spark, sf).select("table_id", "row_no", F.size("cells").alias("width"), F.explode("cells").alias("cell")).withColumn("cell", F.replace("cell", F.lit(" "), F.lit("")))
+    numeric = F.when(F.col("cell") != "", F.col("cell").rlike(r"^[-$(]?[0-9,]+(\.[0-9]*)?\)?%?$").cast("int"))
+    return cells.groupBy("table_id").agg(((F.countDistinct("row_no") >= 2) & (F.max("width") >= 2) & F.coalesce(F.avg(numeric) >= 0.25, F.lit(False))).alias("is_data_table"))
 
 
 _LINES = r"""lines AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
@@ -179,24 +190,31 @@ def cover_period(spark, sf):
     return orders.select("o_orderkey", T.cover_period(cover).cast("string").alias("period_end"))
 
 
-COMPANIES = [(1, "Acme Corp."), (2, "ACME CORPORATION /DE"), (3, "The Beta Co., Inc."), (4, "Gamma Holdings Group Ltd"), (5, "3M Company"), (6, "Zed & Sons LLC")]
-_COMPANY_VALUES = ", ".join(f"({i}, '{n}')" for i, n in COMPANIES)
+_ENDINGS = ("", " Corp.", " CORPORATION /DE", " Co., Inc.", " Holdings Group Ltd", " Company", " & Sons LLC", " Limited")
 
 
-@query("company_normalise", f"""WITH c(id, name) AS (VALUES {_COMPANY_VALUES}), u AS (SELECT id, name, trim(regexp_replace(regexp_replace(regexp_replace(upper(name), '\\s*/[A-Z]{{2,}}/?$', ''), '[.,]', '', 'g'), '\\s+', ' ', 'g')) AS s FROM c)
-SELECT id, regexp_replace(regexp_replace(s, '( (INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|COMPANIES|LTD|LLC|PLC|LP|HOLDINGS|GROUP|THE))+$', ''), '[^A-Z0-9]', '', 'g') AS company_key FROM u""")
+@query("company_normalise", "SELECT c_custkey AS id, 'CUSTOMER' || lpad(c_custkey::VARCHAR, 9, '0') || CASE WHEN c_custkey % 8 = 6 THEN 'SONS' ELSE '' END AS company_key FROM customer")
 def company_normalise(spark, sf):
-    return literal_rows(spark, COMPANIES, "id int, name string").select("id", T.company_key(F.col("name")).alias("company_key"))
-
+    """Customers' names with legal endings, which the key must not hold."""
+    key = F.col("c_custkey")
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (key % 8 + 1).cast("int"))
+    name = F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0"), ending)
+    return table(spark, sf, "customer").select(key.alias("id"), T.company_key(name).alias("company_key"))
 
-NAMES = [(1, "ACME_2022_10K"), (2, "BETA_INC_2021Q3_10Q"), (3, "notes.txt"), (4, "GAMMA_2020_8K_dated-2020-01-02")]
-_NAME_VALUES = ", ".join(f"({i}, '{n}')" for i, n in NAMES)
 
-
-@query("document_names", f"""WITH c(id, name) AS (VALUES {_NAME_VALUES}) SELECT id, CASE WHEN ok THEN regexp_extract(name, p, 1) END AS company, CASE WHEN ok THEN regexp_extract(name, p, 2)::INT END AS year,
-CASE WHEN ok THEN nullif(regexp_extract(name, p, 3), '')::INT END AS quarter, CASE WHEN ok THEN regexp_extract(name, p, 4) END AS form FROM (SELECT *, '^(.+)_([0-9]{{4}})(?:Q([0-9]))?_(.+)$' AS p, regexp_matches(name, '^(.+)_([0-9]{{4}})(?:Q([0-9]))?_(.+)$') AS ok FROM c)""".replace("name, p, ", "name, '^(.+)_([0-9]{4})(?:Q([0-9]))?_(.+)$', "))
+@query("document_names", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 3 THEN 'CO_' || o_custkey END AS company, CASE WHEN o_orderkey % 4 < 3 THEN year(o_orderdate)::INT END AS year,
+CASE WHEN o_orderkey % 4 = 1 THEN quarter(o_orderdate)::INT END AS quarter, CASE o_orderkey % 4 WHEN 0 THEN '10K' WHEN 1 THEN '10Q' WHEN 2 THEN '8K_dated-' || strftime(o_orderdate, '%Y-%m-%d') END AS form FROM orders""")
 def document_names(spark, sf):
-    return literal_rows(spark, NAMES, "id int, name string").select("id", T.document_name(F.col("name")).alias("d")).select("id", "d.company", "d.year", "d.quarter", "d.form")
+    """Names of yearly, quarterly and dated filings, and names that are of no such form."""
+    key, year = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    stem = F.concat(F.lit("CO_"), F.col("o_custkey").cast("string"), F.lit("_"), year)
+    name = (
+        F.when(key % 4 == 0, F.concat(stem, F.lit("_10K")))
+        .when(key % 4 == 1, F.concat(stem, F.lit("Q"), F.quarter("o_orderdate").cast("string"), F.lit("_10Q")))
+        .when(key % 4 == 2, F.concat(stem, F.lit("_8K_dated-"), F.date_format("o_orderdate", "yyyy-MM-dd")))
+        .otherwise(F.concat(F.lit("notes "), year, F.lit(".txt")))
+    )
+    return table(spark, sf, "orders").select(key.alias("id"), T.document_name(name).alias("d")).select("id", "d.company", "d.year", "d.quarter", "d.form")
 
 
 @query("fiscal_calendar", """SELECT o_orderkey, (year(o_orderdate) - CASE WHEN month(o_orderdate) = 1 AND day(o_orderdate) <= 7 THEN 1 ELSE 0 END)::INT AS fiscal_year,
@@ -223,59 +241,62 @@ def find_all_overlapping(spark, sf):
     return docs.select("doc_id", F.explode(T.find_all(F.col("text"), "the")).alias("at")).select("doc_id", F.col("at").cast("bigint").alias("at"))
 
 
-HINTS = [(1, "What is revenue in USD millions? Round to two decimal places."), (2, "Answer in units of percents, rounded to one decimal."), (3, "in thousands"), (4, "How many employees?")]
+@query("unit_hint", """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 1e3 WHEN 1 THEN 1e6 WHEN 2 THEN 1e9 WHEN 3 THEN 1e12 END::DOUBLE AS scale, o_orderkey % 7 = 3 OR o_orderkey % 7 = 5 AS is_percent,
+CASE WHEN o_orderkey % 3 = 0 THEN 1 + o_orderkey % 4 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 10 END::INT AS decimals FROM orders""")
+def unit_hint(spark, sf):
+    """Questions that ask for scales, percentages and decimals in several wordings."""
+    key = F.col("o_orderkey")
+    pick = lambda k, *ways: F.element_at(F.array(*[F.lit(w) for w in ways]), (k + 1).cast("int"))
+    scale = pick(key % 5, " in USD thousands", " in millions", " in US dollars billions", ", USD trillion,", " in order")
+    percent = pick(key % 7, "", " of percent", "", " in units of percents", " percent", " as a percentage", "")
+    places = F.when(key % 3 == 0, F.concat(F.lit(" Round to "), pick(key % 4, "one", "two", "three", "four"), F.lit(" decimal places."))).when(key % 3 == 1, F.concat(F.lit(" Rounded your answer to "), (key % 10).cast("string"), F.lit(" decimals."))).otherwise(F.lit(" To two decimal places."))
+    question = F.concat(F.lit("What is the total of order "), key.cast("string"), scale, percent, F.lit("?"), places)
+    return table(spark, sf, "orders").select(key.alias("id"), T.unit_hint(question).alias("h")).select("id", "h.scale", "h.is_percent", "h.decimals")
 
 
-@query("unit_hint", f"""WITH q(id, q) AS (VALUES {', '.join(f"({i}, '{q}')" for i, q in HINTS)}), m AS (SELECT id, lower(q) AS q, lower(regexp_extract(q, '(?i)\\b(?:in\\s+(?:USD|US\\s*dollars?|dollars?|[$])?\\s*|USD\\s+)(thousand|million|billion|trillion)s?\\b', 1)) AS u, lower(regexp_extract(q, '(?i)round\\w*\\s+(?:\\w+\\s+){{0,3}}?to\\s+(one|two|three|four|[0-9])\\s+decimal', 1)) AS d FROM q)
-SELECT id, CASE u WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'trillion' THEN 1e12 END::DOUBLE AS scale, regexp_matches(q, 'units\\s+of\\s+percents?|as\\s+a\\s+percent(?:age)?|in\\s+percent(?:age)?s?\\b') AS is_percent,
-CASE d WHEN 'one' THEN 1 WHEN 'two' THEN 2 WHEN 'three' THEN 3 WHEN 'four' THEN 4 WHEN '' THEN NULL ELSE TRY_CAST(d AS INT) END AS decimals FROM m""")
-def unit_hint(spark, sf):
-    q = F.col("q")
-    unit = F.lower(F.regexp_extract(q, r"(?i)\b(?:in\s+(?:USD|US\s*dollars?|dollars?|[$])?\s*|USD\s+)(thousand|million|billion|trillion)s?\b", 1))
-    places = F.lower(F.regexp_extract(q, r"(?i)round\w*\s+(?:\w+\s+){0,3}?to\s+(one|two|three|four|[0-9])\s+decimal", 1))
-    scale, decimals = F.lit(None).cast("double"), places.try_cast("int")
-    for word, value in (("thousand", 1e3), ("million", 1e6), ("billion", 1e9), ("trillion", 1e12)):
-        scale = F.when(unit == word, value).otherwise(scale)
-    for word, value in (("one", 1), ("two", 2), ("three", 3), ("four", 4)):
-        decimals = F.when(places == word, value).otherwise(decimals)
-    percent = F.lower(q).rlike(r"units\s+of\s+percents?|as\s+a\s+percent(?:age)?|in\s+percent(?:age)?s?\b")
-    return literal_rows(spark, HINTS, "id int, q string").select("id", scale.alias("scale"), percent.alias("is_percent"), decimals.alias("decimals"))
-
-
-FIGURES = [(1, 1.5, 1e9, True, False), (2, 1500.0, 1.0, False, False), (3, 1500000.0, 1.0, False, False), (4, 1600.0, 1e6, True, False), (5, 15.0, 1.0, False, True), (6, -1500.0, 1.0, False, False)]
-_FIG = f"f(id, number, scale, explicit, percent) AS (VALUES {', '.join(f'({i}, {n}::DOUBLE, {s}::DOUBLE, {e}, {p})' for i, n, s, e, p in FIGURES)})"
+_FIG = "f AS (SELECT o_orderkey AS id, round(o_totalprice, 0) AS number, CASE o_orderkey % 4 WHEN 0 THEN 1e9 WHEN 1 THEN 1e6 ELSE 1.0 END::DOUBLE AS scale, o_orderkey % 4 < 2 AS explicit, o_orderkey % 4 = 3 AS percent FROM orders)"
 _READ = "CASE WHEN percent THEN [number / 100 / 1e6] WHEN explicit THEN [number * scale / 1e6] ELSE [number, number / 1e6] END"
 
 
-@query("figure_readings", f"WITH {_FIG} SELECT id, unnest({_READ}) AS reading FROM f")
+def order_figures(spark, sf):
+    key = F.col("o_orderkey")
+    scale = F.when(key % 4 == 0, 1e9).when(key % 4 == 1, 1e6).otherwise(1.0)
+    return table(spark, sf, "orders").select(key.alias("id"), F.round("o_totalprice", 0).alias("number"), scale.alias("scale"), (key % 4 < 2).alias("explicit"), (key % 4 == 3).alias("percent"))
+
+
+@query("figure_readings", f"WITH {_FIG} SELECT id, round(unnest({_READ}), 6) AS reading FROM f")
 def figure_readings(spark, sf):
-    f = literal_rows(spark, FIGURES, "id int, number double, scale double, explicit boolean, percent boolean")
     r = N.readings(F.col("number"), F.col("percent"), F.col("scale"), F.col("explicit"), F.lit(False), F.lit(1e6))
-    return f.select("id", F.explode(r).alias("reading"))
+    return order_figures(spark, sf).select("id", F.explode(r).alias("reading")).select("id", F.round("reading", 6).alias("reading"))
 
 
 _FACTORS = (1e3, 1e6, 1e9, 1e-3, 1e-6, 1e-9, 100.0, 0.01)
-_NEAR = "abs({x} - 1500) <= greatest(0.01 * 1500, 0.5 * 0.01) * (1 + 1e-9) + 1e-12"
+_NEAR = "abs({x} - 150000) <= greatest(0.1 * 150000, 0.5 * 0.01) * (1 + 1e-9) + 1e-12"
 
 
 @query("numeric_tolerance_grade", f"""WITH {_FIG}, r AS (SELECT id, unnest({_READ}) AS x FROM f), k AS (SELECT unnest([1.0, 1e3, 1e6, 1e9, 1e-3, 1e-6, 1e-9, 100.0, 0.01]::DOUBLE[]) AS k)
 SELECT id, CASE WHEN bool_or(k = 1 AND {_NEAR.format(x='x * k')}) THEN 'correct' WHEN bool_or({_NEAR.format(x='x * k')}) THEN 'unit_error' ELSE 'incorrect' END AS label, bool_or(k = 1 AND {_NEAR.format(x='-x')}) AS sign_mismatch FROM r, k GROUP BY id""")
 def numeric_tolerance_grade(spark, sf):
-    """Grades of written figures against a gold of 1500.00 in millions: tolerance, then wrong units, then wrong."""
-    f = literal_rows(spark, FIGURES, "id int, number double, scale double, explicit boolean, percent boolean")
-    near = lambda x: N.within(x, F.lit(1500.0), 0.01, F.lit(2))
+    """Grades of written figures against a gold of 150,000 in millions: tolerance, then wrong units, then wrong."""
+    near = lambda x: N.within(x, F.lit(150000.0), 0.1, F.lit(2))
     r = N.readings(F.col("number"), F.col("percent"), F.col("scale"), F.col("explicit"), F.lit(False), F.lit(1e6))
     factors = F.array(*[F.lit(k) for k in _FACTORS])
     label = F.when(F.exists("r", near), "correct").when(F.exists("r", lambda x: F.exists(factors, lambda k: near(x * k))), "unit_error").otherwise("incorrect")
-    return f.select("id", r.alias("r")).select("id", label.alias("label"), F.exists("r", lambda x: near(-x)).alias("sign_mismatch"))
+    return order_figures(spark, sf).select("id", r.alias("r")).select("id", label.alias("label"), F.exists("r", lambda x: near(-x)).alias("sign_mismatch"))
 
 
-ANSWERS = [(1, None, True), (2, None, False), (3, "N/A", False), (4, "The excerpts do not provide it", False), (5, "The excerpts do not provide it but 5 percent", False), (6, "Revenue was 12", False), (7, "It cannot be determined", False), (8, "Yes, there is not enough information", False)]
+#: Answers around an order's key, by key % 12; the last two are null.
+_ANSWERS = ("The excerpts do not provide it", "The context provided did not fully disclose item {}", "It was not found in any of the given filings", "Order {} cannot be reliably determined", "Yes, there is not enough detailed information", "No relevant data about this were available",
+            "The information is missing.", "N/A.", "The total of {} is in the document", "No, the documents show {}; not more")
 
 
-@query("decline_rules", """WITH a(id, status) AS (VALUES (1, 'declined'), (2, 'unparsed'), (3, 'declined'), (4, 'declined'), (5, 'partial'), (6, 'answered'), (7, 'declined'), (8, 'partial')) SELECT * FROM a""")
+@query("decline_rules", """WITH a AS (SELECT o_orderkey AS id, o_orderkey % 12 AS k FROM orders) SELECT id, CASE WHEN k IN (0, 2, 6, 7) THEN 'declined' WHEN k IN (1, 3, 4, 5) THEN 'partial' WHEN k IN (8, 9) THEN 'answered' WHEN id % 24 < 12 THEN 'declined' ELSE 'unparsed' END AS status FROM a""")
 def decline_rules(spark, sf):
-    return literal_rows(spark, ANSWERS, "id int, answer string, token boolean").select("id", T.answer_status(F.col("answer"), F.col("token")).alias("status"))
+    """Declining, partly declining, bare and missing answers."""
+    key = F.col("o_orderkey")
+    answer = F.replace(F.get(F.array(*[F.lit(a) for a in _ANSWERS]), (key % 12).cast("int")), F.lit("{}"), key.cast("string"))
+    token = (key % 12 >= 10) & (key % 24 < 12)
+    return table(spark, sf, "orders").select(key.alias("id"), T.answer_status(answer, token).alias("status"))
 
 
 @query("snippets", "SELECT doc_id, CASE WHEN length(s) > 80 THEN rtrim(substr(s, 1, 79)) || '…' ELSE s END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents)")
@@ -304,13 +325,21 @@ def token_costs(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", bound.alias("token_bound"), N.call_cost(bound, F.lit(200), F.lit(3.0), F.lit(15.0), F.col("turn") % 2 == 0).alias("cost"))
 
 
-RANGES = [(1, ">= 0.5"), (2, "0.2 to 0.5"), (3, "< 10%"), (4, "10-25%"), (5, "> 75%")]
-
-
-@query("range_options", """WITH r(id, lo, hi, strict) AS (VALUES (1, 0.5, 'inf'::DOUBLE, false), (2, 0.2, 0.5, false), (3, '-inf'::DOUBLE, 0.1, true), (4, 0.1, 0.25, false), (5, 0.75, 'inf'::DOUBLE, true)), v AS (SELECT unnest([0.1, 0.3, 0.5, 0.75]) AS v)
-SELECT id, v::DOUBLE AS v, CASE WHEN strict THEN v > lo AND v < hi ELSE v >= lo AND v <= hi END AS inside FROM r, v""")
+@query("range_options", """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, o_orderkey % 40 AS a, o_orderkey % 40 + 20 AS b FROM orders), v AS (SELECT unnest([5, 20, 30, 55]) AS x),
+j AS (SELECT *, CASE k WHEN 0 THEN x >= a WHEN 1 THEN x >= a AND x <= b WHEN 2 THEN x < a WHEN 3 THEN x >= a AND x <= b ELSE x > b END AS inside FROM r, v) SELECT id, (x / 100)::DOUBLE AS v, inside FROM j""")
 def range_options(spark, sf):
-    options = literal_rows(spark, RANGES, "id int, option string").select("id", T.range_bounds(F.col("option")).alias("r"), F.explode(F.array(*[F.lit(v) for v in (0.1, 0.3, 0.5, 0.75)])).alias("v"))
+    """Bounds written in five ways, in percent and as fractions, against four values."""
+    key, a, b = F.col("o_orderkey"), F.col("o_orderkey") % 40, F.col("o_orderkey") % 40 + 20
+    fraction = lambda x: F.format_string("0.%02d", x)
+    text = lambda x: x.cast("string")
+    option = (
+        F.when(key % 5 == 0, F.concat(F.lit(">= "), fraction(a)))
+        .when(key % 5 == 1, F.concat(fraction(a), F.lit(" to "), fraction(b)))
+        .when(key % 5 == 2, F.concat(F.lit("< "), text(a), F.lit("%")))
+        .when(key % 5 == 3, F.concat(text(a), F.lit("-"), text(b), F.lit("%")))
+        .otherwise(F.concat(F.lit("> "), text(b), F.lit("%")))
+    )
+    options = table(spark, sf, "orders").select(key.alias("id"), T.range_bounds(option).alias("r")).withColumn("v", F.explode(F.array(*[F.lit(v) for v in (0.05, 0.2, 0.3, 0.55)])))
     v, lo, hi = F.col("v"), F.round("r.lo", 12), F.round("r.hi", 12)
     return options.select("id", "v", F.when(F.col("r.strict"), (v > lo) & (v < hi)).otherwise((v >= lo) & (v <= hi)).alias("inside"))
 

@@ -13,9 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Elements that make blocks, elements that are not rendered, elements without an end, limits of tables and headers.
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th"}
 SKIPPED = {"script", "style", "ix:header", "head", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+TABLE_ROWS = TABLE_COLUMNS = 2
+TABLE_NUMERIC = 0.25
+HEADER_CHARS = 120
 _BREAK = re.compile(r"page-break-(before|after)\s*:\s*always", re.I)
 
 
@@ -26,9 +30,16 @@ def serialise(rows: list[list[str]]) -> str:
 
 def is_data_table(rows: list[list[str]]) -> bool:
     """Two rows and columns at least, a quarter of the filled cells numeric."""
-    cells = [c.strip() for r in rows for c in r if c.strip()]
-    numeric = sum(bool(re.fullmatch(r"[$(]*\d[\d,]*(?:\.\d+)?[)%]*", c)) for c in cells)
-    return len(rows) >= 2 and max(map(len, rows)) >= 2 and bool(cells) and numeric / len(cells) >= 0.25
+    filled = [c.replace(" ", "") for r in rows for c in r if c.strip()]
+    large = len(rows) >= TABLE_ROWS and max(map(len, rows)) >= TABLE_COLUMNS
+    return large and bool(filled) and sum(map(is_numeric, filled)) >= TABLE_NUMERIC * len(filled)
+
+
+def is_numeric(cell: str) -> bool:
+    """A cell without blanks that is a number: one opening mark at most, digits and commas, a decimal part, closing marks."""
+    core = cell.removesuffix("%").removesuffix(")")
+    whole, _, part = core[core[:1] in ("$", "(", "-") :].partition(".")
+    return bool(whole) and set(whole) <= set("0123456789,") and set(part) <= set("0123456789")
 
 
 class _Reader(HTMLParser):
@@ -50,7 +61,7 @@ class _Reader(HTMLParser):
         text = re.sub(r"[ \t\r\f\v]+", " ", "".join(self.text)).strip()
         self.text = []
         if text:
-            if self.heading or (self.bold and len(text) <= 120 and "\n" not in text):
+            if self.heading or (self.bold and len(text) <= HEADER_CHARS and "\n" not in text):
                 self.section = text
             self.blocks.append((text, self.page, self.section, False))
         self.bold = self.heading = False

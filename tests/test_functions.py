@@ -35,8 +35,7 @@ def test_normalise(spark):
 @pytest.mark.parametrize("text, want", [("$2,500 million", (2500, 1e6, False, True)), ("up 25 bps", (0.25, 1.0, True, False)), ("3.1x", (3.1, 1.0, False, False)), ("(12.0%)", (12.0, 1.0, True, False)), ("$6,489M", (6489, 1e6, False, True))])
 def test_figure(text, want):
     (f,) = G.figures(text)
-    assert (f.number, f.scale, f.percent, f.currency) == want
-    assert text[f.start : f.end].strip() == f.text
+    assert (f.amount, f.factor or 1.0, f.share, f.money) == want
 
 
 @pytest.mark.parametrize("text", ["December 31, 2021", "10-K", "3M sold", "12 months ended", "in 2020", "", None])
@@ -44,12 +43,49 @@ def test_no_figure(text):
     assert G.figures(text) == []
 
 
-def test_gold_and_primary():
-    assert G.gold_figure("$1577.00", 1e6, 2) == (1577.0, 1e6, 2)
-    assert G.gold_figure("one 5 and 6") is None
-    assert G.primary("It was (3.5) so a = 7.25 in all.", False).number == 7.25
-    assert G.supported("It rose 12.5 and 3", ["12.5 was seen"]) == 1.0
-    assert G.supported("none", []) is None
+@pytest.mark.parametrize("text, want", [("a-5 and 10-5", [5, 10, 5]), ("-$5, $-6, - 7, \u22128", [-5, -6, -7, -8]), ("US$5, USD 6, a$7", [5, 6]), ("1.2.3 or v1,000", [1.2]), ("1,234,567.89 dollars", [1234567.89]), ("2nd, 4Q, C3, 5million", []), ("5 per cent, 6 %, 7 pct, 8 percentage points", [5, 6, 7, 8]), ("May 5, Sept. 6, 7 weeks, 8-month, 61.33 days", [61.33]), ("$2,020 in 2021 or 2,022", [2020, 2022])])
+def test_figures_of_a_sentence(text, want):
+    assert [f.amount for f in G.figures(text)] == want
+
+
+def test_gold():
+    assert G.gold_figure("$1577.00", "in USD millions, rounded to one decimal") == (1577.0, 1e6, "currency", 1)
+    assert G.gold_figure("12.5%") == (12.5, 1.0, "percent", 1) and G.gold_figure("0.66 increase now", "as a percentage").kind == "percent"
+    assert G.gold_figure("one 5 and 6") is None and G.gold_figure("it rose by 5 or so they say") is None and G.gold_figure("none") is None
+
+
+@pytest.mark.parametrize("answer, kind, want", [("It was (3.5) so a = 7.25 in all.", "plain", 7.25), ("24.26 (revenue of $6,489M). More 5.", "plain", 24.26), ("$19,815M - $13,997M = $5,818M", "currency", 5818), ("About 5. Then = 6 and 7", "plain", 5), ("It grew 8% to $9", "currency", 9), ("It grew 8%. Yes", "plain", 8), ("only (4.5)", "plain", 4.5), ("just 3.5%", "currency", 3.5)])
+def test_primary(answer, kind, want):
+    assert G.primary(answer, kind).amount == want
+
+
+@pytest.mark.parametrize("answer, gold, want", [("$1.5 billion", (1500, 1e6, "currency", 2), ("correct", None)), ("1,500", (1500, 1e6, "currency", 2), ("correct", None)), ("$1,500,000", (1500, 1e6, "currency", 2), ("unit_error", None)), ("$1,600 million", (1500, 1e6, "currency", 2), ("incorrect", None)),
+                                                ("declined by 0.02", (-0.02, 1, "plain", 2), ("correct", "sign_in_words")), ("0.02", (-0.02, 1, "plain", 2), ("incorrect", "sign_mismatch")), ("$0.3 million", (0, 1, "plain", 2), ("incorrect", None)), ("0.125", (12.5, 1, "percent", 1), ("correct", None)),
+                                                ("up 25 bps", (0.25, 1, "percent", 2), ("correct", None)), ("68%", (0.68, 1, "plain", 2), ("correct", None)), ("none", (1, 1, "plain", 0), (None, None))])
+def test_grade(answer, gold, want):
+    g = G.grade_numeric(answer, G.Gold(*gold))
+    assert (g["label"], g["sign"]) == want
+    if answer == "$1,600 million":
+        assert g["sensitivity"] == {0.01: "incorrect", 0.05: "incorrect", 0.1: "correct"}
+
+
+def test_support():
+    assert G.support("It rose 12.5 and 3", ["12.5 was seen"], ["12.5 was seen"])["in_cited_rate"] == 1.0
+    assert G.support("$7.45 billion", ["7,453"], [])["n_in_cited"] == 1 and G.support("7.4 billion", ["7,453"], [])["n_in_cited"] == 0
+    assert G.support("12.5 and 13.5", [], ["12.46"]) == {"n_figures": 2, "n_in_cited": 0, "n_in_context": 1, "in_cited_rate": None, "in_context_rate": 0.5}
+    assert G.support("none", [], [])["in_context_rate"] is None
+
+
+@pytest.mark.parametrize("text, want", [("The context provided does not really disclose it", True), ("the filings did mention it", False), ("It is not explicitly stated in any of the provided documents", True), ("cannot be accurately determined", True), ("We can't answer", True), ("not enough of the data", True),
+                                        ("No relevant data on 2020, as far as we see, were given", True), ("no, the information provided shows 5", False), ("information is unavailable", True), ("no data. It was provided", False), ("The text, like others, doesn't break out sales", True), ("", False)])
+def test_declines(spark, text, want):
+    assert one(spark, T.declines(F.lit(text))) is want
+
+
+def test_status(spark):
+    rows = [(None, True, "declined"), (None, False, "unparsed"), ("N/A", False, "declined"), ("**NOT_IN_DOCUMENTS**", False, "declined"), ("It was 5", True, "partial"), ("Yes. It cannot be verified", False, "partial"), ("It cannot be verified", False, "declined"), ("Sales rose", False, "answered")]
+    df = spark.createDataFrame([r[:2] for r in rows], "a string, t boolean")
+    assert [r.s for r in df.select(T.answer_status(F.col("a"), F.col("t")).alias("s")).collect()] == [r[2] for r in rows]
 
 
 def test_clopper_pearson():
@@ -61,11 +97,29 @@ def test_clopper_pearson():
         G.clopper_pearson(3, 2)
 
 
+def test_binomial_interval_of_many_trials():
+    """Against sums of the distribution's terms: a tail at each bound is half of alpha."""
+    for k, n in [(3, 40), (39, 40), (200, 400), (1, 1)]:
+        lo, hi = G.clopper_pearson(k, n)
+        below = lambda p, most: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(most + 1))
+        assert abs(1 - below(lo, k - 1) - 0.025) < 1e-8 and (k == n or abs(below(hi, k) - 0.025) < 1e-8)
+
+
+FULL = "**Reasoning:** because\n## Answer: **5**\nCITATIONS: [C1], c02, C9\nQUOTES:\n- C1: \"one\ntwo\"\nC2: x\nConfidence: 80 / 100"
+
+
 def test_output_parser():
-    p = O.parse_output("REASONING: x\nANSWER: 5\nCITATIONS: C1, C9\nCONFIDENCE: 80", 5)
-    assert p == {"status": "partial", "answer": "5", "citations": [1], "invalid_citations": [9], "confidence": 80, "issues": ["invalid_citations"]}
-    assert O.parse_output("ANSWER: a\nANSWER: b\nCITATIONS: C1\nCONFIDENCE: high", 5)["answer"] == "b"
-    assert O.parse_output("no labels", 5)["status"] == "failed"
+    p = O.parse_output("REASONING: x\nANSWER: 5\nCITATIONS: C1, C9\nCONFIDENCE: 80", 5, O.LABELS)
+    assert (p["status"], p["answer"], p["citations"], p["invalid_citations"], p["confidence"], p["issues"]) == ("partial", "5", [1], [9], 80, ["missing_quotes", "citation_out_of_range"])
+    full = O.parse_output(FULL, 5, O.LABELS)
+    assert full["status"] == "ok" and full["answer"] == "5" and full["quotes"] == [{"label": 1, "text": "one\ntwo"}, {"label": 2, "text": "x"}] and full["confidence"] == 80 and full["reasoning"] == "because"
+    again = O.parse_output("so\nANSWER: a\nANSWER: b\nCITATIONS: C1\nCONFIDENCE: high", 5)
+    assert again["answer"] == "b" and again["issues"] == ["duplicate_answer", "text_before_first_field", "confidence_unparseable"] and again["confidence"] is None
+    chained = O.parse_output("ANSWER: x\nCITATIONS: CONFIDENCE: 70%", 5)
+    assert chained["citations"] == [] and chained["confidence"] == 70 and chained["issues"] == ["empty_citations_chained"] and chained["status"] == "partial"
+    assert O.parse_output("the NOT_IN_DOCUMENTS token", 5)["abstained"] and O.parse_output("no labels", 5)["status"] == "failed"
+    assert O.parse_output("ANSWER: my final answer: 5\nCITATIONS: none\nCONFIDENCE: 101", 5)["issues"] == ["confidence_unparseable"]
+    assert O.parse_output("ANSWER: a\nCITATIONS: C1\nQUOTES: C2: y\nCONFIDENCE: 1", 5)["issues"] == ["unrequested_quotes", "quote_for_uncited_label"]
 
 
 def test_quotes_and_records():
