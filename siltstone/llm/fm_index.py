@@ -3,6 +3,9 @@
 The index serves matches of at most ``depth`` words, so suffixes are only sorted by that
 many words.  Queries advance in lanes: all of them take one step to the left at a time,
 so that a step is a few numpy calls whatever the number of lanes.
+
+What is kept is compressed: bit planes with a count for every 64 bits, one bit a suffix for
+where runs of equal suffixes begin, and the owners of runs as numbers of the narrowest type.
 """
 
 from __future__ import annotations
@@ -36,21 +39,60 @@ def prefix_ranks(symbols: np.ndarray, depth: int) -> dict[int, np.ndarray]:
     return out
 
 
+class Bits:
+    """Packed bits with a running count for every word of 64: rank and select."""
+
+    def __init__(self, ones: np.ndarray):
+        padded = np.zeros((len(ones) // 64 + 1) * 64, np.uint8)
+        padded[: len(ones)] = ones
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many bits are set before each position."""
+        word = at >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & ((U64(1) << (at & 63).astype(U64)) - U64(1)))
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Position of the bit that has k set bits before it, by halving its word."""
+        word = np.searchsorted(self.before, k, "right") - 1
+        rest, x, at = k - self.before[word], self.words[word], word.astype(np.int64) << 6
+        for width in (32, 16, 8, 4, 2, 1):
+            low = x & U64((1 << width) - 1)
+            count = np.bitwise_count(low).astype(np.int64)
+            go = rest >= count
+            rest, at, x = np.where(go, rest - count, rest), np.where(go, at + width, at), np.where(go, x >> U64(width), low)
+        return at
+
+
+class Runs:
+    """Runs of equal neighbours in a sorted array, one bit each."""
+
+    def __init__(self, values: np.ndarray):
+        new = np.ones(len(values) + 1, bool)  # a bit behind the end closes the last run
+        new[1:-1] = values[1:] != values[:-1]
+        self.bits = Bits(new)
+
+    def number(self, at: np.ndarray) -> np.ndarray:
+        return self.bits.rank(at + 1) - 1
+
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the run at each place."""
+        k = self.number(at)
+        return self.bits.select(k), self.bits.select(k + 1)
+
+
 class WaveletMatrix:
     """Rank queries on a sequence of small integers, one packed bit plane for each binary digit."""
 
     def __init__(self, values: np.ndarray, alphabet: int):
         self.levels = max(1, int(alphabet - 1).bit_length())
         self.n = len(values)
-        self.bits, self.before, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
         v = values.astype(np.int64)
         for level in range(self.levels - 1, -1, -1):
             one = (v >> level) & 1
-            padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
-            padded[: self.n] = one
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            self.bits.append(words)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]))
+            self.bits.append(Bits(one))
             self.zeros.append(self.n - int(one.sum()))
             flag = one.astype(bool)
             v = np.concatenate([v[~flag], v[flag]])
@@ -59,9 +101,7 @@ class WaveletMatrix:
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
-            word = at >> 6
-            below = (U64(1) << (at & 63).astype(U64)) - U64(1)
-            ones = self.before[k][word] + np.bitwise_count(self.bits[k][word] & below)
+            ones = self.bits[k].rank(at)
             one = (symbol >> (self.levels - 1 - k)) & 1
             at = np.where(one == 1, self.zeros[k] + ones, at - ones)
         return at
@@ -90,22 +130,18 @@ class FMIndex:
         alphabet = len(self.vocabulary) + 1
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
         self.tree = WaveletMatrix(bwt, alphabet)
-        owner = np.repeat(np.asarray(owners, dtype=np.int64), sizes + 1)[order] if len(text) else np.zeros(0, np.int64)
-        self.group_low, self.group_high = self._groups(ranks[depth - 1][order])
-        low, _ = self._groups(ranks[depth][order])
-        starts = np.unique(low)
-        self.least_owner = np.minimum.reduceat(owner, starts)[np.searchsorted(starts, low)] if len(text) else owner
-
-    @staticmethod
-    def _groups(sorted_ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of the run of equal values around every place."""
-        n = len(sorted_ranks)
-        new = np.ones(n, bool)
-        new[1:] = sorted_ranks[1:] != sorted_ranks[:-1]
-        starts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        ends = np.append(starts[1:], n)
-        return starts[run], ends[run]
+        self.shorter, self.whole = Runs(ranks[depth - 1][order]), Runs(ranks[depth][order])
+        self.owners, code = np.unique(np.asarray(owners, dtype=np.int64), return_inverse=True)
+        of = np.repeat(code, sizes + 1)[order] if len(text) else np.zeros(0, np.int64)
+        starts = self.whole.bits.select(np.arange(self.whole.number(np.array([len(text) - 1]))[0] + 1)) if len(text) else of
+        self.least_owner = (np.minimum.reduceat(of, starts) if len(text) else of).astype(np.min_scalar_type(max(len(self.owners) - 1, 0)))
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of what answers queries: bit planes, run marks, owners, vocabulary."""
+        bits = [*self.tree.bits, self.shorter.bits, self.whole.bits]
+        arrays = [x for b in bits for x in (b.words, b.before)] + [self.least_owner, self.owners, self.vocabulary, self.smaller, self.tree.base]
+        return sum(x.nbytes for x in arrays)
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """Symbols of word hashes; words that the index lacks have the symbol 0."""
@@ -139,7 +175,7 @@ class FMIndex:
             lo, hi, s = low[live], high[live], size[live]
             full = s == depth
             lo_full = lo[full]
-            lo[full], hi[full] = self.group_low[lo_full], self.group_high[lo_full]
+            lo[full], hi[full] = self.shorter.around(lo_full)
             s[full] = depth - 1
             both = self.tree.rank(np.concatenate([c, c]), np.concatenate([lo, hi])) + np.concatenate([self.smaller[c], self.smaller[c]])
             lo, hi = both[: len(c)], both[len(c) :]
@@ -154,7 +190,7 @@ class FMIndex:
             own = place < begin[live] + lane
             length[place[own]] = s[own]
             whole = own & (s == depth)
-            owner[place[whole]] = self.least_owner[lo[whole]]
+            owner[place[whole]] = self.owners[self.least_owner[self.whole.number(lo[whole])]]
             at[live] -= 1
             live = live[at[live] >= begin[live]]
         return length, owner

@@ -11,7 +11,7 @@ import pytest
 from siltstone.llm import minhash_dedup as M
 from siltstone.llm import queries as Q
 from siltstone.llm import substring_dedup as S
-from siltstone.llm.fm_index import FMIndex, WaveletMatrix
+from siltstone.llm.fm_index import FMIndex, Runs, WaveletMatrix
 from siltstone.llm.textops import Words, flat, grams
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -126,15 +126,31 @@ def passages(seed):
     return out
 
 
-@pytest.mark.parametrize("hot, size", [(S.HOT, S.INDEX_WORDS), (3, 50)])
-def test_repeats_equal_brute_force(frame, monkeypatch, hot, size):
+@pytest.mark.parametrize("hot, size, load", [(S.HOT, S.INDEX_WORDS, S.SHARD_ANCHORS), (3, 50, S.SHARD_ANCHORS), (1000, 50, 5), (6, 50, 5)])
+def test_repeats_equal_brute_force(frame, monkeypatch, hot, size, load):
+    """Anchors searched by shard, by hash range, and shards of a document in several parts."""
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "INDEX_WORDS", size)
+    monkeypatch.setattr(S, "SHARD_ANCHORS", load)
     pairs = passages(4)
     got = S.remove_repeats(frame(pairs)).collect()
     assert sorted(map(tuple, got)) == sorted(repeats(pairs))
 
 
+def test_rows_of_any_plan_are_told_apart(spark, frame, tmp_path):
+    """Two scans of one file united, rows multiplied by a join, filtered and partitioned rows."""
+    pairs = passages(7)
+    frame(pairs).coalesce(1).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    twice = d.join(spark.createDataFrame([(1,), (2,)], "k int"))
+    key = lambda r: tuple(str(v) for v in r)
+    for df, want in ((d, pairs), (d.filter("doc_id >= 4").unionByName(d.filter("doc_id < 4")), pairs), (twice, pairs * 2), (d.filter("doc_id % 3 > 0"), [p for p in pairs if p[0] % 3])):
+        assert sorted(map(tuple, S.remove_repeats(df).collect()), key=key) == sorted(repeats(want), key=key)
+        texts = {i: n for i, _, n, _ in repeats(want)}
+        rewritten = S.rewrite_documents(df).collect()
+        assert len(rewritten) == len(want) and all(len(WORD.findall(r.text.encode())) == len(WORD.findall(dict(pairs)[r.doc_id].encode())) - texts[r.doc_id] for r in rewritten)
+
+
 def test_repeats_odd_rows(frame, odd_texts):
     key = lambda r: tuple(str(v) for v in r)
     got = [tuple(r) for r in S.remove_repeats(frame(odd_texts)).collect()]
@@ -157,6 +173,22 @@ def test_wavelet_ranks():
         assert t.rank(np.array([c]), np.array([i]))[0] == (v[:i] == c).sum()
 
 
+def test_runs_and_compression():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 64, 65, 1000):
+        v = np.sort(rng.integers(0, max(1, n // 3), n))
+        r = Runs(v)
+        begin, end = r.around(np.arange(n))
+        for i in range(n):
+            same = np.flatnonzero(v == v[i])
+            assert (begin[i], end[i]) == (same[0], same[-1] + 1)
+        assert (r.number(np.arange(n)) == np.unique(v, return_inverse=True)[1]).all()
+    words = rng.integers(0, 5000, 60_000).astype(np.uint64)
+    index = FMIndex(list(words.reshape(600, 100)), np.arange(600), 13)
+    # A plain suffix array with ranges and owners would take 32 bytes a word.
+    assert index.nbytes / len(words) < 8
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(0)
     for _ in range(20):
