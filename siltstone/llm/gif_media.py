@@ -2,14 +2,16 @@
 
 ``encode_gif`` stores bytes losslessly as the 8-bit samples of a paletted animation
 (64 samples a row, frames of up to ``FRAME_ROWS`` rows).  ``decode_gif`` reads any GIF:
-global and local palettes, interlacing, transparency, disposal, delays.  ``frame_table``
-turns a table of GIF files into one row per frame: its time, and a histogram over
-4 x 4 x 4 colour cells of the composed canvas.
+global and local palettes, interlacing, transparency, disposal, delays.  ``decode_media``
+stores with every file its timed frames: when each is shown and for how long, and a
+histogram over 4 x 4 x 4 colour cells of the composed canvas; ``frame_table`` has a row for
+each of them.  Features of a file are computed from these columns by built-in functions.
 
 Texts: a null is empty; bytes 0 are appended up to a positive multiple of 64, so an empty
 text is one row of zeros; very long texts become many frames, coded one at a time; equal
-texts give equal files; repeated rows are coded one by one; an empty table gives an empty
-result.  A damaged file raises ``ValueError``.
+texts give equal files; repeated rows are coded one by one; rows with a null id are kept as
+they are; columns of the input beside id and text, whatever their names, are ignored; an
+empty table gives an empty result.  A damaged file raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import Scratch, only, tidied
 
@@ -287,15 +290,20 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount(cell, minlength=64)
 
 
-def colour_cells(width: int, height: int, frames: list[Frame]) -> np.ndarray:
-    """Sum of the histograms of all frames; frames that cover the canvas need no composing."""
+def timed_frames(width: int, height: int, frames: list[Frame]) -> list[tuple[int, int, int, list[int]]]:
+    """(start in ms, duration in ms, opaque pixels, histogram) of the canvas at every frame; if all frames cover it, none is composed."""
     if all(f.transparent is None and (f.left, f.top, f.width, f.height) == (0, 0, width, height) for f in frames):
-        total = np.zeros(64, np.int64)
+        cells = []
         for f in frames:
             high = (f.palette >> 6).astype(np.int64)
-            total += np.bincount(high @ [16, 4, 1], np.bincount(f.samples.ravel(), minlength=len(f.palette)), minlength=64).astype(np.int64)
-        return total
-    return sum((histogram(c) for c in compose(width, height, frames)), np.zeros(64, np.int64))
+            cells.append(np.bincount(high @ [16, 4, 1], np.bincount(f.samples.ravel(), minlength=len(f.palette)), minlength=64).astype(np.int64))
+    else:
+        cells = [histogram(c) for c in compose(width, height, frames)]
+    out, clock = [], 0
+    for f, c in zip(frames, cells, strict=True):
+        out.append((clock, f.delay_cs * 10, int(c.sum()), c.tolist()))
+        clock += f.delay_cs * 10
+    return out
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
@@ -320,54 +328,52 @@ def encode_documents(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, gif binary")
 
 
-def frame_table(media: DataFrame) -> DataFrame:
-    """One row per frame of the ``gif`` column: number, start and duration in ms, opaque pixels, histogram."""
-    kind = dict(media.dtypes)["doc_id"]
+FRAMES = "array<struct<start_ms: long, duration_ms: long, pixels: long, histogram: array<long>>>"
 
-    def run(batches):
-        for b in batches:
-            for doc_id, gif in zip(b.column("doc_id"), b.column("gif"), strict=True):
-                rows, clock = [], 0
-                width, height, frames = decode_gif(gif.as_py())
-                for k, canvas in enumerate(compose(width, height, frames)):
-                    cells = histogram(canvas)
-                    rows.append((k, clock, frames[k].delay_cs * 10, int(cells.sum()), cells.tolist()))
-                    clock += frames[k].delay_cs * 10
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                    arrays = [pa.array([doc_id] * len(rows), b.column("doc_id").type), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "frame", "start_ms", "duration_ms", "pixels", "histogram"])
-
-    return only(media, "doc_id", "gif").mapInArrow(tidied(run), f"doc_id {kind}, frame int, start_ms long, duration_ms long, pixels long, histogram array<long>")
-
-
-def read_back(media: DataFrame) -> DataFrame:
-    """Decodes stored files: payload and file digests and a feature of the frames, one row per file."""
+
+def decode_media(media: DataFrame) -> DataFrame:
+    """Reads stored files (doc_id, n_bytes, gif): digests of payload and file, canvas size and the timed frames, one row per file."""
     kind = dict(media.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, frames {FRAMES}"
+    fields = ("start_ms", "duration_ms", "pixels", "histogram")
+    frame = pa.struct([(n, pa.list_(pa.int64()) if n == "histogram" else pa.int64()) for n in fields])
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(frame))
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "frames"]
 
     def run(batches):
         for b in batches:
             rows = []
-            for size, gif in zip(b.column("n_bytes").to_pylist(), b.column("gif"), strict=True):
+            for gif in b.column("gif"):
                 raw = gif.as_py()
                 width, height, frames = decode_gif(raw)
                 payload = b"".join(f.samples.tobytes() for f in frames)
-                cells = colour_cells(width, height, frames)
-                top = np.argsort(-cells, kind="stable")[:4]
-                shown = ",".join(f"{c:02d}:{cells[c]}" for c in top if cells[c])
-                feature = f"{len(frames)}x{width}x{height};{sum(f.delay_cs for f in frames) * 10}ms;{shown}"
-                rows.append((size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
+                timed = [dict(zip(fields, t, strict=True)) for t in timed_frames(width, height, frames)]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), width, height, timed))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                arrays = [b.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *arrays], names)
+
+    return only(media, "doc_id", "n_bytes", "gif").mapInArrow(tidied(run), schema)
+
+
+def frame_table(media: DataFrame) -> DataFrame:
+    """One row per frame of the ``gif`` column: number, start and duration in ms, opaque pixels, histogram."""
+    files = only(media, "doc_id", "gif").withColumn("n_bytes", F.lit(None).cast("long"))
+    return decode_media(files).select("doc_id", F.posexplode("frames").alias("frame", "f")).select("doc_id", "frame", "f.*")
+
 
-    return media.mapInArrow(tidied(run), schema)
+def feature(frames: Column, width: Column, height: Column) -> Column:
+    """Frames, canvas, time shown and the four most frequent colour cells of all frames, from the frame columns."""
+    total = F.aggregate(frames, F.array_repeat(F.lit(0).cast("long"), 64), lambda t, f: F.zip_with(t, f["histogram"], lambda a, b: a + b))
+    used = F.filter(F.transform(total, lambda n, cell: F.struct((-n).alias("n"), cell.alias("cell"))), lambda x: x["n"] < 0)
+    shown = F.array_join(F.transform(F.slice(F.array_sort(used), 1, 4), lambda x: F.format_string("%02d:%d", x["cell"], -x["n"])), ",")
+    time = F.aggregate(frames, F.lit(0).cast("long"), lambda t, f: t + f["duration_ms"])
+    return F.format_string("%dx%dx%d;%dms;%s", F.size(frames), width, height, time, shown)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
-    """Stores every text as a GIF file in the shared folder and derives the digests from what is read back."""
+    """Stores every text as a GIF file in the shared folder, reads the files back into timed frames, and derives digests and features from those."""
     scratch = Scratch(docs.sparkSession, "gif")
-    return read_back(scratch.settle(encode_documents(docs), "media"))
+    stored = scratch.settle(decode_media(scratch.settle(encode_documents(docs), "media")), "frames")
+    digests = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    return stored.select(*digests, feature(F.col("frames"), F.col("width"), F.col("height")).alias("feature"))
