@@ -9,8 +9,9 @@
    Nodes are compared with the leaders of their buckets; the links confirmed on the full
    sets give components, and buckets that still hold several are led anew from among the
    nodes outside the largest.  A bucket of n copies costs n comparisons a round.
-4. Last round: the pairs of one bucket that are still in different components.
-   Those whose sizes, odd sketches and set parities allow the wanted similarity are
+4. Last round: the pairs of one bucket that are still in different components and whose
+   sizes fall in the same or neighbouring classes (of ratio ``percent``, so no pair is
+   lost); sizes are keys of the join, and Spark splits what is still skewed.  Those whose sizes, odd sketches and set parities allow the wanted similarity are
    confirmed on the full sets too.  The population count of two sets' XORed parities is
    never more than the sets' difference, so that bound loses nothing; links between
    components are lost only by the bands (a pair at the threshold 0.85 shares no bucket
@@ -20,7 +21,9 @@
 Defined results: a text without words (null, empty, blank) has no shingles, is linked
 with nothing and is its own component; with fewer words than a shingle has, the whole
 sequence is the one shingle; equal ids are one node; a null id is not linked and has a
-null component; repeated rows are all returned; an empty table gives an empty result.
+null component; repeated rows are all returned; columns of the input beside id and text,
+whatever their names, are ignored (and kept by ``without_copies``); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -206,9 +209,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # What the stars left apart.
     main = rows_left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", -F.col("root"))).alias("main"))
-    placed = rows_left.join(facts.drop("degree"), "node")
-    x, y = placed.join(main, "bucket").filter("root <> main").alias("x"), placed.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
+    size_class = F.floor(F.log("n") / (np.log(100 / percent) * 1.0001)).cast("int")
+    placed = rows_left.join(facts.drop("degree"), "node").withColumn("sizes", size_class)
+    x = placed.join(main, "bucket").filter("root <> main").withColumn("sizes", F.explode(F.array(*[F.col("sizes") + k for k in (-1, 0, 1)])))
+    x, y = x.alias("x"), placed.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.sizes") == F.col("y.sizes")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("x.main")) | (F.col("x.node") < F.col("y.node")))
     pairs = x.join(y, apart & _fits("x.", "y.", percent, slack)).select(F.greatest("x.node", "y.node").alias("v"), F.least("x.node", "y.node").alias("u")).distinct()
     last = scratch.settle(pairs.join(tried, ["u", "v"], "left_anti"), "last")
     more = scratch.settle(confirmed(last, sets, percent), "more")
