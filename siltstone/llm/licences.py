@@ -11,12 +11,16 @@ families seen from notices of families unseen is ``unknown``.  A prediction stan
 if the paragraph shares enough of its n-grams with a notice of that family; otherwise it
 is ``unknown`` too.
 
+One pass over the texts writes a row per document with its lines that hold a marker, which
+settles the rows; everything else is computed from that table.
+
 Scoring is built from functions of Spark SQL: no Python runs on the executors.
 
 Defined results: null, empty and blank texts have no paragraphs and the family null;
 very long lines are one paragraph, of which only the n-grams around licence words are
-made; every row of the input has one row of output, repeated rows too; an empty table
-gives an empty result; columns beside id and text are ignored.
+made; every row of the input has one row of output, repeated rows and null ids too; of
+notices of equal rank the first of a text decides its family; an empty table gives an empty
+result; columns beside id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -113,34 +117,42 @@ def _solve(sets: list[set[str]], y: np.ndarray, vocabulary: dict[str, int], step
 
 
 def fit(negatives: list[str]) -> LicenceModel:
-    """Fits the classifier and calibrates its unknown class by leaving families out, a third at a time."""
-    sets, y = [], []
+    """Fits the classifier and calibrates its unknown class by leaving families and notices out, a third at a time.
+
+    A fit without some families and without some notices of the others tells how sure it is
+    of notices of families it knows and of families it does not; neither is judged on what
+    it was fitted to.
+    """
+    sets, y, part_of = [], [], []
     for k, family in enumerate(FAMILIES):
-        for notice in NOTICES[family]:
+        for n, notice in enumerate(NOTICES[family]):
             for a in _BEFORE:
                 for z in _AFTER:
                     sets.append(grams_of(a + notice + z))
                     y.append(k)
+                    part_of.append(n % 3)
     plain = ["The committee gave permission to build a licensed restaurant.", "You need a licence to drive.", "Seats are reserved for members.", "A library of public records.", "The driver lost his license.", ""]
     for text in [*plain, *negatives]:
         sets.append(grams_of(text))
         y.append(NONE)
-    y = np.array(y)
+        part_of.append(-1)
+    y, part_of = np.array(y), np.array(part_of)
     vocabulary = {g: i for i, g in enumerate(sorted({g for s, k in zip(sets, y, strict=True) if k != NONE for g in s}))}
     w, b = _solve(sets, y, vocabulary)
     names = list(vocabulary)
     model = LicenceModel({n: [float(v) for v in w[i]] for n, i in vocabulary.items()}, [float(v) for v in b], 0.5)
     known, unseen = [], []
     for part in range(3):
-        out = np.array([k != NONE and k % 3 == part for k in y])
-        keep = np.flatnonzero(~out)
+        strange = (y != NONE) & (y % 3 == part)
+        aside = (y != NONE) & ~strange & (part_of == (part + y) % 3)
+        keep = np.flatnonzero(~strange & ~aside)
         wp, bp = _solve([sets[i] for i in keep], y[keep], vocabulary, steps=400)
         some = LicenceModel({n: [float(v) for v in wp[i]] for n, i in zip(names, range(len(names)), strict=True)}, [float(v) for v in bp], 0.5)
-        for i in np.flatnonzero(y != NONE):
+        for i in np.flatnonzero(strange | aside):
             best = float(some.probabilities(sets[i])[:NONE].max())
-            (unseen if out[i] else known).append(best)
-    # Halfway between what nearly all notices of learnt families reach and nearly none of the others does.
-    model.threshold = float(np.clip((np.quantile(known, 0.01) + np.quantile(unseen, 0.9)) / 2, 0.3, 0.9))
+            (unseen if strange[i] else known).append(best)
+    # Between what most held-out notices of known families reach and what most notices of unknown families stay below.
+    model.threshold = float(np.clip((np.quantile(known, 0.1) + np.quantile(unseen, 0.9)) / 2, 0.3, 0.9))
     return model
 
 
@@ -150,11 +162,14 @@ def _local(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def has_marker(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for m in MARKERS:
-        out = out | F.contains(low, F.lit(m))
-    return out
+    """Whether a text holds a marker; the lambda over an array of one binds the lower-cased text, which is made once."""
+    def any_of(low: Column) -> Column:
+        out = F.lit(False)
+        for m in MARKERS:
+            out = out | F.contains(low, F.lit(m))
+        return out
+
+    return F.element_at(F.transform(F.array(F.lower(text)), any_of), 1)
 
 
 def gram_column(paragraph: Column) -> Column:
@@ -175,29 +190,33 @@ def gram_column(paragraph: Column) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, place and grams of every paragraph with a marker."""
-    lines = docs.filter(has_marker(F.col("text"))).select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.filter(has_marker(F.col("line"))).select("row", "doc_id", "place", "line", gram_column(F.col("line")).alias("grams"))
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """row (a number), doc_id and the marked lines with their places of every row of ``docs``; to be written before use, as the number is drawn."""
+    lines = F.transform(F.split("text", "\n"), lambda line, place: F.struct(place.alias("place"), line.alias("line")))
+    kept = F.when(has_marker(F.col("text")), F.filter(lines, lambda x: has_marker(x["line"])))
+    return only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", kept.alias("lines"))
+
+
+def paragraphs(marked: DataFrame) -> DataFrame:
+    """row, doc_id, place, line and grams of every paragraph with a marker."""
+    return marked.select("row", "doc_id", F.inline("lines")).select("row", "doc_id", "place", "line", gram_column(F.col("line")).alias("grams"))
 
 
-def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
-    """Draws the bounded negatives, in the order of a hash, and fits."""
+def train(found: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
+    """Draws the bounded negatives from the paragraphs, in the order of a hash, and fits."""
     runs = sorted({g for notices in NOTICES.values() for n in notices for g in grams_of(n) if g.count(" ") == 2})
-    rows = paragraphs(only(docs, "doc_id", "text").withColumn("row", F.lit(0))).filter(~F.arrays_overlap("grams", F.array(*[F.lit(r) for r in runs])))
+    rows = found.filter(~F.arrays_overlap("grams", F.array(*[F.lit(r) for r in runs])))
     rows = rows.filter(~F.lower("line").rlike("all rights reserved|public domain")).select("line")
     drawn = rows.groupBy("line").count().orderBy(F.xxhash64("line"), "line").limit(negatives).collect()
     return fit(sorted(r.line for r in drawn))
 
 
-def licence_paragraphs(docs: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> DataFrame:
+def licence_paragraphs(found: DataFrame, model: LicenceModel, confirm: float = CONFIRM) -> DataFrame:
     """row, doc_id, place, family, probability, overlap, confirmed of every paragraph that is a licence notice."""
-    spark = docs.sparkSession
+    spark = found.sparkSession
     names = [f"w{k}" for k in range(NONE + 1)]
     known = _local(spark, [{"gram": g, **dict(zip(names, v, strict=True))} for g, v in model.weights.items()], "gram string, " + ", ".join(f"{n} double" for n in names))
     notices = _local(spark, [{"predicted": f, "template": sorted(grams_of(n))} for f, ns in NOTICES.items() for n in ns], "predicted string, template array<string>")
-    # Paragraphs with a marker are few; written once, they are neither made again nor inlined into what follows.
-    found = Scratch(spark, "licences").settle(paragraphs(docs).drop("line"), "paragraphs")
     hits = found.select("row", "doc_id", "place", "grams", F.explode("grams").alias("gram")).join(F.broadcast(known), "gram")
     sums = hits.groupBy("row", "doc_id", "place").agg(F.first("grams").alias("grams"), *[F.sum(n).alias(n) for n in names])
     # Softmax over an array; lambdas over arrays of one bind what is used more than once.
@@ -217,13 +236,13 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel, confirm: float = CO
 
 def scan_licences(docs: DataFrame, negatives: int = NEGATIVES) -> DataFrame:
     """One row per document row: doc_id, n_notices, families (sorted, comma-separated), family (of the likeliest confirmed notice, else unknown), probability."""
-    model = train(docs, negatives)
-    rows = only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    found = licence_paragraphs(rows, model)
+    scratch = Scratch(docs.sparkSession, "licences")
+    marked = scratch.settle(marked_lines(docs), "marked")
+    # Written once, the paragraphs are neither made again nor inlined into what follows.
+    found = scratch.settle(paragraphs(marked), "paragraphs")
     best = F.max_by("family", F.struct(F.col("confirmed"), F.col("probability"), -F.col("place")))
-    by_row = found.groupBy("row", "doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), best.alias("family"), F.max("probability").alias("probability"))
-    marked = F.coalesce(has_marker(F.col("text")), F.lit(False))
-    some = rows.filter(marked).select("row", "doc_id").join(by_row.drop("doc_id"), "row", "left")
-    none = rows.filter(~marked).select("row", "doc_id")
-    whole = some.unionByName(none, allowMissingColumns=True)
+    notices = licence_paragraphs(found.drop("line"), train(found, negatives))
+    by_row = notices.groupBy("row").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), best.alias("family"), F.max("probability").alias("probability"))
+    some = marked.filter("lines IS NOT NULL").select("row", "doc_id").join(by_row, "row", "left")
+    whole = some.unionByName(marked.filter("lines IS NULL").select("row", "doc_id"), allowMissingColumns=True)
     return whole.select("doc_id", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("families", F.lit("")).alias("families"), "family", F.round("probability", 6).alias("probability"))

@@ -204,7 +204,7 @@ def brute(text, model):
 def test_native_scan_equals_brute_force(frame, odd_texts):
     texts = odd_texts + [(20, "words\nReleased under the MIT License.\nmore"), (21, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0."), (22, "Licensed under the Frobnicate License 7"), (23, "the reserved seats\nAll rights reserved."), (24, "x " * 5000 + "This work is licensed under the GNU General Public License, version 3.")]
     docs = frame(texts)
-    m = L.train(docs)
+    m = L.train(L.paragraphs(L.marked_lines(docs)))
     got = L.scan_licences(docs).collect()
     key = lambda r: tuple(map(str, r))
     assert sorted([(r.doc_id, r.n_notices, r.families) for r in got], key=key) == sorted([(i, *brute(t, m)) for i, t in texts], key=key)
@@ -222,5 +222,30 @@ def test_negatives_of_the_licence_fit_are_whole_lines(frame, monkeypatch):
     """The marker stands behind 2,000 characters of its line."""
     line, seen = "word " * 600 + "and a permission slip for the school trip", []
     monkeypatch.setattr(L, "fit", seen.extend)
-    L.train(frame([(1, "first\n" + line + "\nlast")]))
+    L.train(L.paragraphs(L.marked_lines(frame([(1, "first\n" + line + "\nlast")]))))
     assert seen == [line] and L.grams_of(seen[0])
+
+
+#: Phrasings that the notices do not hold, by family; and lines that are no notices.
+PHRASINGS = [("mit", "MIT licensed, see the file."), ("mit", "Distributed under the terms of the MIT License"), ("mit", "License: MIT"), ("apache", "Available under the Apache License, Version 2.0 or later"), ("apache", "This software uses the Apache-2.0 license."), ("gpl", "You may copy it under the GNU General Public License version 3"), ("gpl", "Released under the GNU GPL, version 3"),
+             ("lgpl", "Distributed under the GNU Lesser General Public License, version 2.1"), ("agpl", "Available under the GNU Affero General Public License"), ("bsd", "Distributed under the 3-Clause BSD License"), ("mpl", "Subject to the Mozilla Public License 2.0"), ("cc-by", "Shared under CC BY 4.0"), ("cc-by", "Available under the Creative Commons Attribution License"),
+             ("cc-by-nc", "Shared under CC BY-NC 4.0"), ("public-domain", "This text is in the public domain."), ("proprietary", "Copyright 2021 Someone. All rights reserved.")]
+OTHERS = ["The driver showed a licence and was let through.", "Permission to enter was not given.", "He reserved a table at the common room.", "The copyright debate went on for hours.", "An apache helicopter landed nearby.", "The old gnu stood by the river."]
+
+
+def test_recall_on_other_phrasings(model):
+    """What a fit on the notices alone makes of wordings it was not given; the share is in the README."""
+    named = known = 0
+    for family, line in PHRASINGS:
+        p = model.probabilities(L.grams_of(line))
+        named += p.argmax() != L.NONE
+        known += p.argmax() == L.FAMILIES.index(family) and p.max() >= model.threshold
+    wrong = sum(model.probabilities(L.grams_of(t)).argmax() != L.NONE and model.probabilities(L.grams_of(t))[:-1].max() >= model.threshold for t in OTHERS)
+    print("threshold", model.threshold, "found", named, "named", known, "of", len(PHRASINGS), "false", wrong, "of", len(OTHERS))
+    assert named >= 14 and known >= 14 and wrong == 0
+
+
+def test_rows_keep_their_families_on_any_partitioning(frame):
+    texts = [(i, ["no marker", "Released under the MIT License.", "Licensed under CC BY 4.0.", None, ""][i % 5]) for i in range(400)]
+    got = {r.doc_id: r.family for r in L.scan_licences(frame(texts).repartition(7)).collect()}
+    assert got == {i: [None, "mit", "cc-by", None, None][i % 5] for i, _ in texts}

@@ -130,8 +130,10 @@ def test_gif_large(kind):
     payload = {"zeros": bytes(n), "random": np.random.default_rng(0).integers(0, 256, n, dtype=np.uint8).tobytes(), "text": (b"all work and no play " * n)[:n]}[kind]
     w, h, frames = G.decode_gif(G.encode_gif(payload))
     assert len(frames) == 2 and (w, h) == (64, 1024) and b"".join(f.samples.tobytes() for f in frames) == payload
-    slow = sum(G.histogram(c) for c in G.compose(w, h, frames))
-    assert (slow == G.colour_cells(w, h, frames)).all()
+    shown = [G.histogram(c).tolist() for c in G.compose(w, h, frames)]
+    assert [t[3] for t in G.timed_frames(w, h, frames)] == shown and [t[:2] for t in G.timed_frames(w, h, frames)] == [(0, 100), (100, 100)]
+    w, h, whole = G.decode_gif(G.encode_gif(payload[: 64 * 700]))
+    assert [t[3] for t in G.timed_frames(w, h, whole)] == [G.histogram(c).tolist() for c in G.compose(w, h, whole)]
 
 
 def animation():
@@ -169,6 +171,25 @@ def test_damaged_gif():
             G.decode_gif(bad)
 
 
+def test_features_equal_slow_ones(frame, odd_texts):
+    """Features against frames composed pixel by pixel from the payload, for texts of one and of several frames."""
+    texts = [(i, t) for i, t in odd_texts if i is not None] + [(50, "ab" * 70000), (51, "é\n" * 30)]
+    got = {r.doc_id: r.feature for r in G.store_and_read(frame(texts)).collect()}
+    palette = G.default_palette()
+    for i, t in texts:
+        p = G.pad((t or "").encode())
+        rows = [p[k : k + 64] for k in range(0, len(p), 64)]
+        canvas, counts, n = [b"\0" * 64] * min(len(rows), 1024), {}, 0
+        for k in range(0, len(rows), 1024):
+            part, n = rows[k : k + 1024], n + 1
+            canvas = part + canvas[len(part) :]
+            for sample in b"".join(canvas):
+                r, g, b = palette[sample] >> 6
+                counts[int(r) * 16 + int(g) * 4 + int(b)] = counts.get(int(r) * 16 + int(g) * 4 + int(b), 0) + 1
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert got[i] == f"{n}x64x{len(canvas)};{n * 100}ms;" + ",".join(f"{c:02d}:{m}" for c, m in top)
+
+
 def test_gif_odd_rows(frame, odd_texts):
     got = G.store_and_read(frame(odd_texts)).collect()
     assert len(got) == len(odd_texts)
