@@ -6,19 +6,26 @@ not hide a copy.  The seeds of the benchmark items are joined with those of ever
 document; each hit fixes a diagonal (document position less item position), along which
 the two token sequences are compared.  The best-scoring stretch (one for a match, minus
 three for a mismatch) is a leak if it has ``MIN_MATCH`` matching tokens, or four fifths of
-a shorter item's.
+a shorter item's.  Items of fewer than ``MIN_ITEM`` tokens are found where they stand whole.
+
+Equal seeds in a row, as monotonous texts have them, are one run; two runs that meet give a
+range of diagonals instead of all pairs of their places, and the ranges are compared in
+slices of bounded size, of which only the best stretch of a row and item is kept.
 
 The benchmark is joined in blocks of at most ``BLOCK_BYTES`` of text, each broadcast, so
 its size bounds neither memory nor correctness: every block meets every document.
 
-Defined results: null and empty texts have no tokens and no leaks; items of fewer than
-``MIN_ITEM`` tokens are never reported; of several copies of an item in one document the
-longest is reported, then the first; repeated rows are reported each; empty tables give
-an empty result; columns beside ids and texts are ignored.
+Defined results: null and empty texts have no tokens and no leaks, null items none either;
+of several copies of an item in one document the longest is reported, then the first;
+repeated rows are reported each, and rows with a null id with that id; empty tables give
+an empty result; columns beside ids and texts, whatever their names, are ignored (and kept
+by ``without_leaks``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +38,10 @@ from .textops import NOT_LETTER, U64, Words, blocks, flat, mix
 MASKS = ("111010011", "1101001011", "11001010101", "101100100011")
 #: Masks that only items of so few tokens are looked for by: what the masks above miss of these.  They leave
 #: out every set of substitutions that still makes a leak (ends trimmed, as a copy may begin or end a document).
-SHORT_MASKS = {8: ("1111111", "11101111"), **dict.fromkeys((9, 10), ("11111111", "111011111", "111101111")), 11: ("1" * 11,)}
+SHORT_MASKS = {**{n: ("1" * n,) for n in range(1, 8)}, 8: ("1111111", "11101111"), **dict.fromkeys((9, 10), ("11111111", "111011111", "111101111")), 11: ("1" * 11,)}
 MIN_ITEM = 8
+#: Diagonals that are compared in one go.
+SLICE = 1 << 19
 MIN_MATCH = 13
 ITEM_SHARE = 0.8
 MISMATCH = 3
@@ -79,61 +88,99 @@ class SeedIndex:
             keys.append(s[at])
             items.append(item_of[at])
             places.append(at - self.first[item_of[at]])
-        key = np.concatenate(keys) if keys else np.zeros(0, U64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = np.concatenate(items)[order] if keys else np.zeros(0, np.int64)
-        self.place = np.concatenate(places)[order] if keys else np.zeros(0, np.int64)
+        key, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, items, places))
+        order = np.lexsort((place, item, key))
+        key, item, place = key[order].astype(U64), item[order], place[order]
+        # Equal seeds in a row of one item are one entry.
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)
+        first = np.flatnonzero(new)
+        self.key, self.item, self.place = key[first], item[first], place[first]
+        self.run = np.diff(np.append(first, len(key)))
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[(self.key >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def probe(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in ``found``, index entry) of every equal pair of seeds."""
-        at = np.flatnonzero(self.maybe[(found >> U64(64 - _FILTER_BITS)).astype(np.int64)])
+    def probe(self, found: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
+        """Columns (row, item, first diagonal, number of diagonals) of every run of equal seeds that meets an entry.
+
+        ``row`` tells the row of every token, ``span`` how many tokens a seed needs.
+        """
+        inside = row[: len(found)] == row[span - 1 :][: len(found)]
+        at = np.flatnonzero(inside & self.maybe[(found >> U64(64 - _FILTER_BITS)).astype(np.int64)])
+        new = np.ones(len(at), bool)
+        new[1:] = (found[at[1:]] != found[at[:-1]]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        at = at[first]
         low = np.searchsorted(self.key, found[at], "left")
         n = np.searchsorted(self.key, found[at], "right") - low
-        hit = n > 0
-        at, low, n = at[hit], low[hit], n[hit]
+        at, low, n, size = (x[n > 0] for x in (at, low, n, size))
         ends = np.cumsum(n)
         entry = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - n), n)
-        return np.repeat(at, n), entry
+        at, size = np.repeat(at, n), np.repeat(size, n)
+        return np.stack([row[at], self.item[entry], at - self.place[entry] - self.run[entry] + 1, size + self.run[entry] - 1])
+
+
+def _slices(ranges: np.ndarray) -> Iterator[np.ndarray]:
+    """Distinct (row, item, diagonal) of the ranges, some ``SLICE`` before repeats go at a time; a long range is cut."""
+    row, item, begin, n = ranges
+    while len(n):
+        past = int(np.searchsorted(np.cumsum(n), SLICE, "right"))
+        take, last = (past, None) if past else (1, SLICE)
+        size = n[:take] if last is None else np.array([last])
+        ends = np.cumsum(size)
+        diagonal = np.arange(int(ends[-1])) + np.repeat(begin[:take] - (ends - size), size)
+        yield np.unique(np.stack([np.repeat(row[:take], size), np.repeat(item[:take], size), diagonal]), axis=1) if len(diagonal) < 4096 else _distinct(np.repeat(row[:take], size), np.repeat(item[:take], size), diagonal)
+        if last is None:
+            row, item, begin, n = row[take:], item[take:], begin[take:], n[take:]
+        else:
+            begin, n = begin.copy(), n.copy()
+            begin[0] += last
+            n[0] -= last
+
+
+def _distinct(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    low, items = int(diagonal.min()), int(item.max()) + 1
+    width = int(diagonal.max()) - low + 1
+    key = np.unique((row * items + item) * width + (diagonal - low))
+    return np.stack([key // width // items, key // width % items, key % width + low])
 
 
 def leaks_of(index: SeedIndex, buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Leaks of a run of documents: row, item, matched tokens, length and place of the stretch."""
     w = Words(buf, offsets, lower=True, space=NOT_TOKEN)
     row_of = np.repeat(np.arange(len(offsets) - 1), w.counts)
-    found = []
-    for m in index.masks:
-        s = seeds(w.hash, m)
-        if len(s):
-            at, entry = index.probe(s)
-            inside = row_of[at] == row_of[at + len(m) - 1]
-            at, entry = at[inside], entry[inside]
-            found.append(np.stack([row_of[at], index.item[entry], at - index.place[entry]]))
+    found = [index.probe(s, row_of, len(m)) for m in index.masks if len(s := seeds(w.hash, m))]
     names = ("row", "item", "matched", "span", "doc_word", "item_word")
-    if not found or not sum(f.shape[1] for f in found):
-        return {n: np.zeros(0, np.int64) for n in names}
-    hits = np.unique(np.concatenate(found, axis=1), axis=1)
-    parts = []
-    # Comparisons of about equal item length share a matrix.
+    best = np.zeros((6, 0), np.int64)
+    if found:
+        ranges = np.concatenate(found, axis=1)
+        # Sorted, so that the diagonals of one row and item mostly fall into one slice and repeats go before they are compared.
+        for hits in _slices(ranges[:, np.lexsort((ranges[2], ranges[1], ranges[0]))]):
+            best = _best(index, np.concatenate([best, *_stretches(index, w, hits)], axis=1))
+    return dict(zip(names, best, strict=True))
+
+
+def _stretches(index: SeedIndex, w: Words, hits: np.ndarray) -> Iterator[np.ndarray]:
+    """The best stretch of every hit that is a leak; comparisons of about equal item length share a matrix."""
     size = index.sizes[hits[1]]
     order = np.argsort(size, kind="stable")
     i = 0
     while i < len(order):
         j = i + max(1, min(len(order) - i, (1 << 20) // max(1, int(size[order[min(len(order) - 1, i + 4096)]]))))
-        some = hits[:, order[i:j]]
-        parts.append(_compare(index, w, some))
+        found = _compare(index, w, hits[:, order[i:j]])
+        need = np.minimum(MIN_MATCH, np.ceil(ITEM_SHARE * index.sizes[found[1]]))
+        yield found[:, found[2] >= need]
         i = j
-    row, item, matched, span, doc_word, item_word = np.concatenate(parts, axis=1)
-    need = np.minimum(MIN_MATCH, np.ceil(ITEM_SHARE * index.sizes[item]))
-    good = matched >= need
-    row, item, matched, span, doc_word, item_word = (x[good] for x in (row, item, matched, span, doc_word, item_word))
-    order = np.lexsort((item_word, doc_word, -matched, index.ids[item], row))
-    row, item, matched, span, doc_word, item_word = (x[order] for x in (row, item, matched, span, doc_word, item_word))
-    best = np.ones(len(row), bool)
-    best[1:] = (row[1:] != row[:-1]) | (index.ids[item[1:]] != index.ids[item[:-1]])
-    return dict(zip(names, (x[best] for x in (row, item, matched, span, doc_word, item_word)), strict=True))
+
+
+def _best(index: SeedIndex, found: np.ndarray) -> np.ndarray:
+    """Of several stretches of a row and an item the longest, then the first."""
+    row, item, matched, _, doc_word, item_word = found
+    found = found[:, np.lexsort((item_word, doc_word, -matched, index.ids[item], row))]
+    first = np.ones(found.shape[1], bool)
+    first[1:] = (found[0, 1:] != found[0, :-1]) | (index.ids[found[1, 1:]] != index.ids[found[1, :-1]])
+    return found[:, first]
 
 
 def _compare(index: SeedIndex, w: Words, hits: np.ndarray) -> np.ndarray:
@@ -197,8 +244,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no benchmark item, all their columns (a leaking row with a null id takes all such rows along)."""
-    found = Scratch(docs.sparkSession, "leaks").settle(find_leaks(docs, benchmark).select("doc_id").distinct(), "found")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, min_item: int = MIN_ITEM) -> DataFrame:
+    """The documents that leak no benchmark item of ``min_item`` tokens or more, all their columns (a leaking row with a null id takes all such rows along).
+
+    A shorter item standing whole in a document is reported by ``find_leaks``, but says
+    too little to remove the document.
+    """
+    leaks = find_leaks(docs, benchmark).filter(F.round(F.col("matched_tokens") / F.col("coverage")) >= min_item)
+    found = Scratch(docs.sparkSession, "leaks").settle(leaks.select("doc_id").distinct(), "found")
     leaking = few_or_many(found.withColumnRenamed("doc_id", "_leaking"))
     return docs.join(leaking, F.col("doc_id").eqNullSafe(F.col("_leaking")), "left_anti").select(docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import re
 import struct
 import zlib
 
@@ -218,18 +219,18 @@ def test_url_rules(spark):
         U.judge_urls(rows, rules, max_rules=2)
 
 
-ITEMS = [(1, " ".join(f"alpha{i}" for i in range(30))), (2, " ".join(f"beta{i}" for i in range(9))), (3, "too short"), (4, None), (5, " ".join(f"gamma{i}" for i in range(40)))]
+ITEMS = [(1, " ".join(f"alpha{i}" for i in range(30))), (2, " ".join(f"beta{i}" for i in range(9))), (3, "very short"), (4, None), (5, " ".join(f"gamma{i}" for i in range(40)))]
 
 
 def test_leaks(spark, frame):
     a, b, g = ITEMS[0][1], ITEMS[1][1], ITEMS[4][1].split()
     changed = [w if i % 7 else "changed" for i, w in enumerate(a.split())]
-    docs = [(1, "x y " + a.upper() + ". z"), (2, " ".join(changed)), (3, b + " end"), (4, " ".join(a.split()[:10])), (5, "clean words only here"), (6, None), (7, ""), (8, " ".join(g[10:25])), (None, a), (9, a + " " + a), (9, a)]
+    docs = [(1, "x y " + a.upper() + ". z"), (2, " ".join(changed)), (3, b + " end"), (4, " ".join(a.split()[:10])), (5, "clean words, very SHORT ones only"), (6, None), (7, ""), (8, " ".join(g[10:25])), (None, a), (9, a + " " + a), (9, a)]
     bench = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, doc_id string")
     for block in (D.BLOCK_BYTES, 100):  # one block, and several
         got = sorted((str(r.doc_id), r.item_id, r.matched_tokens) for r in D.find_leaks(frame(docs), bench, block).collect())
-        assert [x[2] for x in got if x[0] != "2"] == [30, 9, 15, 30, 30, 30]
-        assert [x[:2] for x in got] == [("1", 1), ("2", 1), ("3", 2), ("8", 5), ("9", 1), ("9", 1), ("None", 1)]
+        assert [x[2] for x in got if x[0] != "2"] == [30, 9, 2, 15, 30, 30, 30]
+        assert [x[:2] for x in got] == [("1", 1), ("2", 1), ("3", 2), ("5", 3), ("8", 5), ("9", 1), ("9", 1), ("None", 1)]
     assert D.find_leaks(frame([]), bench).count() == 0 and D.find_leaks(frame(docs), bench.filter("false")).count() == 0
     kept = {r.doc_id for r in D.without_leaks(frame(docs), bench).collect()}
     assert kept == {4, 5, 6, 7}
@@ -244,6 +245,76 @@ def test_leaks_equal_exact_containment(spark, small):
     assert want <= got
 
 
+def brute_leaks(items, texts, seeded=True):
+    """{(row, item): matched tokens} by all diagonals, one token at a time; ``seeded``: only those on which some mask agrees."""
+    toks = lambda t: re.findall("[a-z0-9]+", t.lower())
+    out = {}
+    for r, text in enumerate(texts):
+        d = toks(text)
+        for i, item in enumerate(items):
+            q = toks(item)
+            masks = [*(D.MASKS if len(q) >= D.MIN_ITEM else ()), *D.SHORT_MASKS.get(len(q), ())]
+            top = (0, 0)
+            for shift in range(1 - len(q), len(d)):
+                inside = [0 <= k + shift < len(d) for k in range(len(q))]
+                same = [x and q[k] == d[k + shift] for k, x in enumerate(inside)]
+                hit = any(all(o == "0" or same[k + j] for j, o in enumerate(m)) and inside[k] and inside[k + len(m) - 1] for m in masks for k in range(len(q) - len(m) + 1))
+                if seeded and not hit:
+                    continue
+                best = matched = score = n = 0
+                for k in range(len(q)):
+                    if not inside[k] or score + (1 if same[k] else -D.MISMATCH) < 0:
+                        score, n = 0, 0
+                        continue
+                    score, n = score + (1 if same[k] else -D.MISMATCH), n + same[k]
+                    if score > best:
+                        best, matched = score, n
+                if q and matched >= min(D.MIN_MATCH, math.ceil(D.ITEM_SHARE * len(q))):
+                    top = max(top, (matched, 1))
+            if top[1]:
+                out[r, i] = top[0]
+    return out
+
+
+def test_leaks_equal_brute_force(monkeypatch):
+    """Both ways, on random texts of few words, monotonous and periodic ones, and copies with substitutions; slices of all sizes."""
+    rng = np.random.default_rng(8)
+    word = lambda n, v: " ".join(f"w{rng.integers(v)}" for _ in range(n))
+    items = [word(rng.integers(1, 40), v) for v in (2, 3, 50, 50, 1000, 1000, 1000)] + ["aa " * 20, "aa bb " * 12, "aa bb cc " * 8, "x y z"]
+    texts = [word(60, v) for v in (2, 3, 50)] + ["aa " * 50, "bb aa " * 30, "cc aa bb " * 20 + "aa " * 30, "", "one x y z two"]
+    for item in items:
+        changed = [t if rng.random() > 0.12 else "other" for t in item.split()]
+        texts.append(word(9, 30) + " " + " ".join(changed) + " " + word(9, 30))
+    want = brute_leaks(items, texts)
+    assert len(want) >= 15
+    for size in (1 << 19, 7):
+        monkeypatch.setattr(D, "SLICE", size)
+        got = D.leaks_of(D.SeedIndex(list(range(len(items))), items), *flat(pa.array(texts, pa.large_string())))
+        assert {(int(r), int(i)): int(n) for r, i, n in zip(got["row"], got["item"], got["matched"], strict=True)} == want
+
+
+@pytest.mark.parametrize("rate, least", [(0.05, 0.999), (0.1, 0.99), (0.15, 0.95), (0.2, 0.9)])
+def test_recall_of_substituted_items(rate, least):
+    """Of copies with so many tokens substituted at random that are leaks on some diagonal, the share that a seed finds."""
+    rng = np.random.default_rng(int(rate * 100))
+    items = [" ".join(f"i{k}x{j}" for j in range(n)) for k, n in enumerate(rng.integers(15, 64, 60))]
+    texts = [" ".join("before it " + " ".join(t if rng.random() > rate else f"s{rng.integers(1 << 30)}" for t in item.split()) + " behind".split()[0] for item in [q]) for q in items for _ in range(4)]
+    got = D.leaks_of(D.SeedIndex(list(range(len(items))), items), *flat(pa.array(texts, pa.large_string())))
+    found = set(zip(got["row"].tolist(), got["item"].tolist(), strict=True))
+    leaks = {(r, i) for r, t in enumerate(texts) for i in [r // 4] if brute_leaks([items[i]], [t], seeded=False)}
+    print("substituted", rate, "leaks", len(leaks), "found", len(found & leaks) / len(leaks))
+    assert found <= leaks and len(found) >= least * len(leaks)
+
+
+def test_monotonous_texts_end():
+    """Every place of the items meets every place of the text."""
+    import time
+
+    items, begin = ["ha " * 400] * 50, time.process_time()
+    got = D.leaks_of(D.SeedIndex(list(range(50)), items), *flat(pa.array(["ha " * 2000, "ho ha " * 500], pa.large_string())))
+    assert len(got["row"]) == 50 and set(got["matched"].tolist()) == {400} and time.process_time() - begin < 60
+
+
 def test_seed_positions():
     h = np.arange(1, 40, dtype=np.uint64)
     for mask in D.MASKS:
