@@ -13,10 +13,15 @@ def plain_windows(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFr
     """Windows at fixed steps; a tail that the window before already holds is left out."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than the window")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < F.length("text")))
-    rows = docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(starts).alias("s"))
-    start = F.col("s").cast("bigint")
-    return rows.select("doc_id", (F.col("doc_id") * 100000 + F.floor(start / (size - overlap))).alias("chunk_id"), start.alias("char_start"), F.least(start + size, F.length("text")).cast("bigint").alias("char_end"), F.substring("text", F.col("s") + 1, F.lit(size)).alias("text"))
+    step, reach = size - overlap, -(-size // (size - overlap))
+    # The text is cut into steps once: positions in a long text are never counted anew for every window.
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    cut = docs.filter(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), pieces.alias("pieces"))
+    windows = F.transform("pieces", lambda _, i: F.substring(F.array_join(F.slice(F.col("pieces"), i + 1, F.lit(reach)), ""), 1, size))
+    starts = F.greatest(F.ceil((F.col("n") - overlap) / step), F.lit(1)).cast("int")
+    rows = cut.select("doc_id", "n", F.posexplode(F.slice(windows, F.lit(1), starts)).alias("i", "text"))
+    start = F.col("i").cast("bigint") * step
+    return rows.select("doc_id", (F.col("doc_id") * 100000 + F.col("i")).alias("chunk_id"), start.alias("char_start"), F.least(start + size, F.col("n")).cast("bigint").alias("char_end"), "text")
 
 
 def snapped_bounds(text: str, size: int = 512, overlap: int = 64) -> Iterator[tuple[int, int]]:

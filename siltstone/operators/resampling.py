@@ -16,18 +16,28 @@ from pyspark.sql.window import Window
 from ..functions.text import md5_int
 
 
+def resampled(units: DataFrame, key: str, by: Sequence[str], seed: int, resamples: int) -> DataFrame:
+    """``resamples`` draws with replacement from the units of every group: the columns of a unit with the draw's number b.
+
+    Units are numbered by their key; draw (b, j) takes the unit whose number is the hash
+    modulo the number of units.
+    """
+    by = list(by)
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    numbered = units.withColumn("_j", F.row_number().over(w.orderBy(key)) - 1).withColumn("_k", F.count("*").over(w))
+    draws = numbered.select(*by, "_j", "_k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = draws.select(*by, "b", (md5_int(F.lit(str(seed)), F.col("b").cast("string"), F.col("_j").cast("string")) % F.col("_k")).cast("int").alias("_j"))
+    return draws.join(numbered.drop("_k"), [*by, "_j"]).drop("_j")
+
+
 def resample_means(units: DataFrame, key: str, by: Sequence[str], seed: int, resamples: int) -> DataFrame:
     """Means of ``resamples`` draws with replacement from the units of every group.
 
     ``units`` has one row per cluster with the columns total and weight (sum and count of
-    its members).  Clusters are numbered by their key; draw (b, j) takes the cluster
-    whose number is the hash modulo the number of clusters.
+    its members).
     """
     by = list(by)
-    numbered = units.withColumn("j", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1).withColumn("k", F.count("*").over(Window.partitionBy(*by)))
-    draws = numbered.select(*by, "j", "k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.select(*by, "b", (md5_int(F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string")) % F.col("k")).cast("int").alias("j"))
-    drawn = draws.join(numbered.select(*by, "j", "total", "weight"), [*by, "j"])
+    drawn = resampled(units.select(*by, key, "total", "weight"), key, by, seed, resamples)
     sums = drawn.groupBy(*by, "b").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
     return sums.select(*by, "b", F.when(F.col("weight") > 0, F.col("total") / F.col("weight")).alias("mean"))
 

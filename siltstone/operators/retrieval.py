@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
+#: Questions that meet all chunks in one pass; more of them are several passes.
+QUERY_BLOCK = 2000
+#: Pairs of a chunk and a question that are scored in one go.
+PAIRS = 1 << 20
+
+
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[DataFrame]:
+    """The questions in parts of some ``block`` each, dealt by a hash of their ids."""
+    n = -(-queries.count() // block)
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
 
 
 def top_k(scored: DataFrame, k: int, item: str, by: str = "query_id", score: str = "score") -> DataFrame:
@@ -16,55 +33,172 @@ def top_k(scored: DataFrame, k: int, item: str, by: str = "query_id", score: str
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, tokens: Column) -> DataFrame:
-    """(chunk_id, term, tf, dl) of every chunk and term."""
-    t = chunks.select("chunk_id", tokens.alias("t"))
-    return t.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def term_weights(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column) -> tuple[list[tuple[int, str, float]], float]:
+    """(query_id, term, weight) of a block of questions' terms that some chunk holds, and the chunks' mean length.
+
+    One pass over the chunks: distinct terms are counted with partial aggregates, and so
+    is one more term of every chunk that tells its length.  What comes back is a row for
+    each term asked for and each length, and for all other terms how many have a frequency.
+    The inverse document frequency of terms that most chunks have would be negative; it
+    is a quarter of the vocabulary's mean instead.  Repeated terms of a question count
+    each time.
+    """
+    asked = {r.query_id: Counter(r.t or ()) for r in queries.select("query_id", query_tokens.alias("t")).collect()}
+    wanted = chunks.sparkSession.createDataFrame([(t,) for t in sorted({"", *(t for c in asked.values() for t in c)})], "named string")
+    # The lambda over an array of one binds the tokens, which are then made once.
+    marked = F.element_at(F.transform(F.array(tokens), lambda t: F.array_append(F.array_distinct(t), F.concat(F.lit("#"), F.size(t).cast("string")))), 1)
+    counted = chunks.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    known = counted.join(F.broadcast(wanted), F.col("term") == F.col("named"), "left").withColumn("named", F.when(F.col("term").startswith("#"), F.col("term")).otherwise(F.col("named")))
+    rows = known.groupBy("named", "df").agg(F.count("*").alias("terms")).collect()
+    sizes = [(int(r.named[1:]), r.df) for r in rows if r.named is not None and r.named.startswith("#")]
+    n, total = sum(m for _, m in sizes), sum(size * m for size, m in sizes)
+    if not n:
+        return [], 1.0
+    rest = [r for r in rows if r.named is None or not r.named.startswith("#")]
+    idf = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
+    mean = sum(r.terms * idf(r.df) for r in rest) / max(sum(r.terms for r in rest), 1)
+    known = {r.named: idf(r.df) if idf(r.df) >= 0 else EPSILON * mean for r in rest if r.named is not None}
+    return [(q, term, times * known[term]) for q, c in asked.items() for term, times in c.items() if term in known], total / n
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column) -> DataFrame:
-    """(query_id, chunk_id, score) of the pairs that share a term.
+def saturation(tf, dl, avgdl):
+    """What a term that stands tf times in dl words counts, for columns as for arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
-    The inverse document frequency of terms that most chunks have would be negative; it
-    is a quarter of the vocabulary's mean instead.  Repeated query terms count each time.
-    Only the query terms' postings are joined; everything global (chunks, mean length,
-    mean idf) is a one-row aggregate.
+
+def bm25_pairs(part_of: DataFrame, chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column) -> DataFrame:
+    """(query_id, chunk_id, score) of all pairs that share a term, for a part of the chunks with the weights of all."""
+    out = None
+    for block in query_blocks(queries):
+        rows, avgdl = term_weights(chunks, block, tokens, query_tokens)
+        weights = chunks.sparkSession.createDataFrame(rows, "query_id long, term string, weight double")
+        found = _pairs(part_of, weights, avgdl, tokens)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _pairs(chunks: DataFrame, weights: DataFrame, avgdl: float, tokens: Column) -> DataFrame:
+    t = chunks.select("chunk_id", tokens.alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    post = t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), avgdl)
+    return post.join(F.broadcast(weights), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k: int) -> DataFrame:
+    """(query_id, chunk_id, score) of at least the k best chunks of every question that share a term with it.
+
+    The weights of a block of questions are sent to all tasks; a batch of chunks is
+    scored by one product of matrices and gives its own k best.  Nothing but these is
+    shuffled.
     """
-    post = postings(chunks, tokens)
-    size = chunks.select(F.size(tokens).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
-    raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    asked = queries.select("query_id", F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(raw.join(asked.select("term").distinct(), "term", "left_semi"), "term").crossJoin(F.broadcast(mean))
-    weighed = weighed.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
-    hit = post.join(weighed.select("query_id", "term", "times", "idf", "avgdl"), "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def with_zero_scores(scored: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Adds the zero-scored chunks that a top k may need.
+    spark, out = chunks.sparkSession, None
+    listed = chunks.select("chunk_id", tokens.alias("t"))
+    for block in query_blocks(queries):
+        rows, avgdl = term_weights(chunks, block, tokens, query_tokens)
+        terms, asked = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
+        place, spot = {q: i for i, q in enumerate(asked)}, {t: i for i, t in enumerate(terms)}
+        weight = np.zeros((len(asked), len(terms)))
+        for q, term, w in rows:
+            weight[place[q], spot[term]] = w
+        shared = spark.sparkContext.broadcast((asked, terms, weight, avgdl))
+
+        def score(batch: pa.RecordBatch, shared=shared) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            asked, terms, weight, avgdl = shared.value
+            lists = batch.column("t")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            term = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)[term >= 0]
+            key, tf = np.unique(row * max(len(terms), 1) + term[term >= 0], return_counts=True)
+            row, term = key // max(len(terms), 1), key % max(len(terms), 1)
+            part = saturation(tf, sizes[row], avgdl)
+            has = (weight != 0).T.astype(np.float32)
+            step = max(1, PAIRS // max(len(terms), len(asked), 1))
+            for a in range(0, len(sizes), step):
+                low, high = np.searchsorted(row, [a, a + step])
+                grid = np.zeros((min(step, len(sizes) - a), len(terms)))
+                grid[row[low:high] - a, term[low:high]] = part[low:high]
+                yield a, grid @ weight.T, ((grid > 0).astype(np.float32) @ has) > 0
+
+        found = _batch_best(listed, score, shared, k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _batch_best(listed: DataFrame, score: Callable, shared, k: int) -> DataFrame:
+    """(query_id, chunk_id, score) of the k best of every question within each batch.
+
+    ``score`` gives, for a batch, (first row, scores, which pairs count) of parts of its
+    rows; the questions' ids come first in ``shared``.
+    """
+    kind = dict(listed.dtypes)["chunk_id"]
+
+    def run(batches):
+        for b in batches:
+            asked = shared.value[0]
+            if not b.num_rows or not len(asked):
+                continue
+            ids = b.column("chunk_id").to_numpy(zero_copy_only=False)
+            for first, values, counts in score(b):
+                whole = np.where(counts, np.floor(values * 1e6 + 0.5), -np.inf)
+                if len(whole) > k:  # what falls behind the k-th cannot be among the best
+                    bar = np.partition(whole, len(whole) - k, axis=0)[len(whole) - k]
+                    row, query = np.nonzero((whole >= bar) & counts)
+                else:
+                    row, query = np.nonzero(counts)
+                order = np.lexsort((ids[first + row], -whole[row, query], query))
+                row, query = row[order], query[order]
+                start = np.searchsorted(query, np.arange(len(asked)))
+                best = np.arange(len(query)) - start[query] < k
+                row, query = row[best], query[best]
+                cols = [pa.array(np.asarray(asked)[query], pa.int64()), b.column("chunk_id").take(pa.array(first + row)), pa.array(values[row, query], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "chunk_id", "score"])
+
+    scored = listed.mapInArrow(run, f"query_id long, chunk_id {kind}, score double")
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def with_zero_scores(best: DataFrame, chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k: int) -> DataFrame:
+    """Adds the chunks without a shared term that a top k may need, with the score 0.
 
     They tie and are taken by id, so of each query only the first 2k ids can be among
     them: at most k - 1 of those are scored when fewer than k chunks are.
     """
-    first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    fill = queries.select("query_id").crossJoin(F.broadcast(first)).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return scored.unionByName(fill.withColumn("score", F.lit(0.0)))
+    first = chunks.select("chunk_id", tokens.alias("_ct")).orderBy("chunk_id").limit(2 * k)
+    pairs = queries.select("query_id", query_tokens.alias("_qt")).crossJoin(F.broadcast(first)).filter(~F.arrays_overlap("_qt", "_ct"))
+    return best.unionByName(pairs.select("query_id", "chunk_id", F.lit(0.0).alias("score")))
 
 
-def hashed_vectors(rows: DataFrame, key: str, tokens: Column, bucket: Column, size: int = 64) -> DataFrame:
-    """Sparse unit vectors (key, cell, w) of token counts in hashed cells: a stand-in for an embedding model."""
-    t = rows.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    cells = t.groupBy(key, (bucket % size).alias("cell")).agg(F.sum("tf").alias("c"))
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
-    return cells.select(key, "cell", (F.col("c") / norm).alias("w"))
+def hashed_search(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, bucket: Callable[[Column], Column], k: int, size: int = 64) -> DataFrame:
+    """(query_id, chunk_id, score) of at least the k best chunks by inner products of unit vectors of hashed token counts.
 
+    The vectors stand in for an embedding model.  Cells are made by built-in functions;
+    a batch of chunks becomes a matrix that the questions' vectors (a block of them, sent
+    to all tasks) are multiplied with, and gives its own k best.
+    """
+    cells_of = lambda t: F.transform(t, lambda x: F.pmod(bucket(x), F.lit(size)).cast("int"))
+    listed, out = chunks.select("chunk_id", cells_of(tokens).alias("cells")), None
 
-def sparse_dot(queries: DataFrame, items: DataFrame, item: str) -> DataFrame:
-    joined = items.join(F.broadcast(queries.withColumnRenamed("w", "qw")), "cell")
-    return joined.groupBy("query_id", item).agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+    def vectors(lists: pa.ListArray) -> np.ndarray:
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        v = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * size + cells, minlength=len(sizes) * size).reshape(len(sizes), size).astype(np.float64)
+        return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+
+    for block in query_blocks(queries):
+        rows = sorted((r.query_id, list(r.cells)) for r in block.select("query_id", cells_of(query_tokens).alias("cells")).collect())
+        shared = chunks.sparkSession.sparkContext.broadcast(([r[0] for r in rows], vectors(pa.array([r[1] for r in rows], pa.list_(pa.int32())))))
+
+        def score(batch: pa.RecordBatch, shared=shared) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            asked, q = shared.value
+            v = vectors(batch.column("cells"))
+            step = max(1, PAIRS // max(len(asked), 1))
+            for a in range(0, len(v), step):
+                values = v[a : a + step] @ q.T
+                yield a, values, values > 0
+
+        found = _batch_best(listed, score, shared, k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,8 +207,32 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Exact inner products of a stated set of query vectors (query_id, q) with all vectors (item_id, v)."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    """Exact inner products of a stated set of query vectors (query_id, q), in blocks, with all vectors (item_id, v)."""
+    out = None
+    for block in query_blocks(queries):
+        found = vectors.crossJoin(F.broadcast(block)).select("query_id", "item_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def matrix_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``dense``, reduced to at least the k best of every query, by one product of matrices for a batch of vectors."""
+    listed, out = vectors.select(F.col("item_id").alias("chunk_id"), "v"), None
+    for block in query_blocks(queries):
+        rows = sorted((r.query_id, r.q) for r in block.select("query_id", "q").collect())
+        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
+
+        def score(batch: pa.RecordBatch, shared=shared) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            asked, q = shared.value
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            step = max(1, PAIRS // max(len(asked), 1))
+            for a in range(0, len(v), step):
+                values = v[a : a + step] @ q.T
+                yield a, values, np.ones(values.shape, bool)
+
+        found = _batch_best(listed, score, shared, k).withColumnRenamed("chunk_id", "item_id")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def fuse(lists: list[DataFrame], k: int, item: str = "chunk_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,10 +11,11 @@ from ..functions import numbers as N
 from ..functions.text import md5_int
 from ..operators import agreement as A
 from ..operators import resampling as S
-from ..registry import query, table
+from ..registry import PLANS, SQL, query, table
 from .evaluation_tables import ARM, CLAIMS_RUNS_SQL, CLAIMS_SQL, GROUNDED_SQL, RUNS_SQL, TRACES_SQL, claims, grounded, sql_draw, traces
 
-RESAMPLES = 100
+#: Draws of a bootstrap, deals of a permutation.
+RESAMPLES = 10_000
 CORRECT = "CASE WHEN label = 'correct' THEN true WHEN label IN ('incorrect', 'unit_error', 'partially_correct') THEN false END"
 
 
@@ -198,9 +201,10 @@ def outcome_stability(spark, sf):
 
 
 def draw_sql(seed: int, units: str, by: str, key: str) -> str:
+    same = " AND ".join(f"n.{c.strip()} = d.{c.strip()}" for c in by.split(","))
     return f"""num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS j, count(*) OVER (PARTITION BY {by}) AS k FROM {units}),
 dr AS (SELECT {by}, b, ('0x' || substr(md5(concat_ws('|', '{seed}', b, j)), 1, 8))::BIGINT % k AS pick FROM num, (SELECT unnest(range({RESAMPLES})) AS b)),
-rep AS (SELECT d.{by}, b, sum(total) / nullif(sum(weight), 0) AS mean FROM dr d JOIN num n ON n.{by} = d.{by} AND n.j = d.pick GROUP BY ALL)"""
+rep AS (SELECT {", ".join("d." + c.strip() for c in by.split(","))}, b, sum(total) / nullif(sum(weight), 0) AS mean FROM dr d JOIN num n ON {same} AND n.j = d.pick GROUP BY ALL)"""
 
 
 @query("cluster_bootstrap_ci", f"WITH {CLAIMS_SQL}, {GROUNDED_SQL}, u AS (SELECT condition, question_id, sum(groundedness) AS total, count(groundedness) AS weight FROM traces JOIN grounded USING (trace_id) GROUP BY ALL), {draw_sql(7, 'u', 'condition', 'question_id')} SELECT condition, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, count_if(mean IS NULL) AS n_undefined FROM rep GROUP BY 1")
@@ -211,11 +215,11 @@ def cluster_bootstrap_ci(spark, sf):
     return S.percentile_interval(S.resample_means(u, "question_id", ["condition"], 7, RESAMPLES), ["condition"]).select("condition", r6("lo").alias("lo"), r6("hi").alias("hi"), "n_undefined")
 
 
-@query("mean_ci", f"WITH u AS (SELECT event_type, user_id, sum(value) AS total, count(*) AS weight FROM events GROUP BY ALL), {draw_sql(11, 'u', 'event_type', 'user_id')} SELECT event_type, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep GROUP BY 1")
+@query("mean_ci", f"WITH {TRACES_SQL}, u AS (SELECT model, question_id, sum(confidence) AS total, count(confidence) AS weight FROM traces GROUP BY ALL), {draw_sql(11, 'u', 'model', 'question_id')} SELECT model, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep GROUP BY 1")
 def mean_ci(spark, sf):
-    """Mean value by event type; a user's events are drawn together."""
-    u = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("total"), F.count("*").alias("weight"))
-    return S.percentile_interval(S.resample_means(u, "user_id", ["event_type"], 11, RESAMPLES), ["event_type"]).select("event_type", r6("lo").alias("lo"), r6("hi").alias("hi"))
+    """Mean confidence by model; a question's traces are drawn together."""
+    u = traces(spark, sf).groupBy("model", "question_id").agg(F.sum("confidence").alias("total"), F.count("confidence").alias("weight"))
+    return S.percentile_interval(S.resample_means(u, "question_id", ["model"], 11, RESAMPLES), ["model"]).select("model", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
 _DIFF = """d AS (SELECT a.model, a.question_id, avg((a.label = 'correct')::INT) - avg((b.label = 'correct')::INT) AS total, 1 AS weight FROM traces a JOIN traces b ON a.question_id = b.question_id AND a.model = b.model AND a.condition = 'oracle' AND b.condition = 'retrieved' AND a.prompt = b.prompt WHERE a.label IS NOT NULL AND b.label IS NOT NULL GROUP BY ALL)"""
@@ -327,16 +331,31 @@ def selection_per_run(spark, sf):
     return r.withColumn("p", F.row_number().over(w)).filter("p = 1").groupBy("model", "prompt").agg(F.count("*").alias("wins"))
 
 
-@query("q1_retrieval_vs_grounded", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, u AS (SELECT question_id, {sql_draw('recall', 'question_id')} % 3 / 2 AS recall, avg(groundedness) AS g, avg((status = 'answered')::INT) AS answered FROM traces LEFT JOIN grounded USING (trace_id) WHERE condition = 'retrieved' GROUP BY ALL),
-r AS (SELECT *, rank() OVER (ORDER BY recall) + (count(*) OVER (PARTITION BY recall) - 1) / 2.0 AS rx, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS ry FROM u WHERE g IS NOT NULL)
-SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho, round(avg(CASE WHEN recall > 0 THEN g END) - avg(CASE WHEN recall = 0 THEN g END), 6) AS hit_minus_miss, round(avg(answered), 6) AS answer_rate FROM r""")
+_MID = "rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0"
+
+
+@query("q1_retrieval_vs_grounded", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, v AS (SELECT question_id, {sql_draw('recall', 'question_id')} % 3 / 2 AS recall, avg(CASE WHEN condition = 'retrieved' THEN groundedness END) AS g, avg(CASE WHEN condition = 'oracle' THEN groundedness END) AS o, avg(CASE WHEN condition = 'retrieved' THEN (status = 'answered')::INT END) AS answered FROM traces LEFT JOIN grounded USING (trace_id) GROUP BY ALL),
+u AS (SELECT 1 AS one, question_id, recall, round(g, 9) AS g, o, answered FROM v WHERE g IS NOT NULL), r AS (SELECT *, {_MID.format(by='one', c='recall')} AS rx, {_MID.format(by='one', c='g')} AS ry FROM u),
+num AS (SELECT *, row_number() OVER (ORDER BY question_id) - 1 AS j, count(*) OVER () AS k FROM u), dr AS (SELECT b, ('0x' || substr(md5(concat_ws('|', '13', b, j)), 1, 8))::BIGINT % k AS pick FROM num, (SELECT unnest(range({RESAMPLES})) AS b)),
+m AS (SELECT d.b, n.recall, n.g FROM dr d JOIN num n ON n.j = d.pick), q AS (SELECT b, {_MID.format(by='b', c='recall')} AS rx, {_MID.format(by='b', c='g')} AS ry FROM m),
+c AS (SELECT b, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM q GROUP BY b), i AS (SELECT quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM c)
+SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho, round(max(lo), 6) AS rho_lo, round(max(hi), 6) AS rho_hi, round(avg(CASE WHEN recall > 0 THEN g END) - avg(CASE WHEN recall = 0 THEN g END), 6) AS hit_minus_miss, round(avg(answered), 6) AS answer_rate,
+count(CASE WHEN recall = 0 THEN o END) AS n_oracle_pairs, round(avg(CASE WHEN recall = 0 THEN o - g END), 6) AS oracle_minus_retrieved FROM r, i""")
 def q1_retrieval_vs_grounded(spark, sf):
-    t = traces(spark, sf).filter("condition = 'retrieved'").join(grounded(claims(spark, sf)).select("trace_id", "groundedness"), "trace_id", "left")
+    """A unit for every question: rank correlation with its bootstrap interval, hits against misses, and what the oracle adds where nothing was found."""
+    t = traces(spark, sf).join(grounded(claims(spark, sf)).select("trace_id", "groundedness"), "trace_id", "left")
     recall = (md5_int(F.lit("recall"), F.col("question_id").cast("string")) % 3 / 2).alias("recall")
-    u = t.groupBy("question_id", recall).agg(F.avg("groundedness").alias("g"), F.avg((F.col("status") == "answered").cast("int")).alias("answered")).filter("g IS NOT NULL")
+    of = lambda condition, c: F.avg(F.when(F.col("condition") == condition, c))
+    u = t.groupBy("question_id", recall).agg(F.round(of("retrieved", F.col("groundedness")), 9).alias("g"), of("oracle", F.col("groundedness")).alias("o"), of("retrieved", (F.col("status") == "answered").cast("int")).alias("answered")).filter("g IS NOT NULL")
     r = A.mid_ranks(A.mid_ranks(u, "recall", name="rx"), "g", name="ry")
+    drawn = S.resampled(u.select("question_id", "recall", "g"), "question_id", [], 13, RESAMPLES)
+    ranked = A.mid_ranks(A.mid_ranks(drawn, "recall", ["b"], name="rx"), "g", ["b"], name="ry")
+    rho = ranked.groupBy("b").agg(N.guarded_corr(F.col("rx"), F.col("ry")).alias("mean"))
+    interval = rho.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     hit = F.avg(F.when(F.col("recall") > 0, F.col("g"))) - F.avg(F.when(F.col("recall") == 0, F.col("g")))
-    return r.agg(F.count("*").alias("n"), r6(N.guarded_corr(F.col("rx"), F.col("ry"))).alias("rho"), r6(hit).alias("hit_minus_miss"), r6(F.avg("answered")).alias("answer_rate"))
+    missed = F.col("recall") == 0
+    one = r.agg(F.count("*").alias("n"), r6(N.guarded_corr(F.col("rx"), F.col("ry"))).alias("rho"), r6(hit).alias("hit_minus_miss"), r6(F.avg("answered")).alias("answer_rate"), F.count(F.when(missed, F.col("o"))).alias("n_oracle_pairs"), r6(F.avg(F.when(missed, F.col("o") - F.col("g")))).alias("oracle_minus_retrieved"))
+    return one.crossJoin(interval).select("n", "rho", r6(F.col("q")[0]).alias("rho_lo"), r6(F.col("q")[1]).alias("rho_hi"), "hit_minus_miss", "answer_rate", "n_oracle_pairs", "oracle_minus_retrieved")
 
 
 @query("q2_quadrants", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, x AS (SELECT *, {CORRECT} AS c FROM traces JOIN grounded USING (trace_id))
@@ -347,6 +366,43 @@ def q2_quadrants(spark, sf):
     return g.select(F.coalesce("condition", F.lit("all")).alias("condition"), F.coalesce("question_type", F.lit(-1)).cast("bigint").alias("question_type"), "n", "lucky", "ungrounded_given_correct")
 
 
+@query("q2_ungrounded_interval", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, u AS (SELECT condition, question_id, count_if({CORRECT} AND NOT fully_grounded) AS total, count_if({CORRECT}) AS weight FROM traces JOIN grounded USING (trace_id) WHERE fully_grounded IS NOT NULL GROUP BY ALL), {draw_sql(17, 'u', 'condition', 'question_id')},
+o AS (SELECT condition, sum(total) / sum(weight) AS rate FROM u GROUP BY 1) SELECT condition, round(max(rate), 6) AS ungrounded_given_correct, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep JOIN o USING (condition) GROUP BY 1""")
+def q2_ungrounded_interval(spark, sf):
+    """How often a correct answer is not fully grounded, with the interval over questions."""
+    x = traces(spark, sf).join(grounded(claims(spark, sf)).select("trace_id", "fully_grounded"), "trace_id").filter("fully_grounded IS NOT NULL").withColumn("c", F.coalesce(N.is_correct(F.col("label")), F.lit(False)))
+    u = x.groupBy("condition", "question_id").agg(F.count_if(F.col("c") & ~F.col("fully_grounded")).alias("total"), F.count_if("c").alias("weight"))
+    i = S.percentile_interval(S.resample_means(u, "question_id", ["condition"], 17, RESAMPLES), ["condition"])
+    rate = u.groupBy("condition").agg((F.sum("total") / F.sum("weight")).alias("rate"))
+    return rate.join(i, "condition").select("condition", r6("rate").alias("ungrounded_given_correct"), r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+@query("q2_mechanism", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL} SELECT condition, CASE WHEN bit_count(cited_bits) = 0 THEN 'nothing_cited' WHEN n_contradicted > 0 THEN 'contradicted' WHEN n_supported = 0 THEN 'nothing_supported' ELSE 'partly_supported' END AS mechanism, count(*) AS n
+FROM traces JOIN grounded USING (trace_id) WHERE {CORRECT} AND NOT fully_grounded GROUP BY ALL""")
+def q2_mechanism(spark, sf):
+    """What kept correct answers from being grounded."""
+    x = traces(spark, sf).join(grounded(claims(spark, sf)), "trace_id").filter(N.is_correct(F.col("label")) & ~F.col("fully_grounded"))
+    why = F.when(F.bit_count("cited_bits") == 0, "nothing_cited").when(F.col("n_contradicted") > 0, "contradicted").when(F.col("n_supported") == 0, "nothing_supported").otherwise("partly_supported")
+    return x.groupBy("condition", why.alias("mechanism")).agg(F.count("*").alias("n"))
+
+
+@query("q2_review_sample", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, x AS (SELECT condition, trace_id, row_number() OVER (PARTITION BY condition ORDER BY {sql_draw('review', 'trace_id')}, trace_id) AS place FROM traces JOIN grounded USING (trace_id) WHERE {CORRECT} AND NOT fully_grounded) SELECT condition, trace_id, place::INT AS place FROM x WHERE place <= 5""")
+def q2_review_sample(spark, sf):
+    """Five correct but ungrounded answers of each condition for a reader, in seeded order (a sampling operator)."""
+    x = traces(spark, sf).join(grounded(claims(spark, sf)).select("trace_id", "fully_grounded"), "trace_id").filter(N.is_correct(F.col("label")) & ~F.col("fully_grounded"))
+    w = Window.partitionBy("condition").orderBy(md5_int(F.lit("review"), F.col("trace_id")), "trace_id")
+    return x.select("condition", "trace_id", F.row_number().over(w).alias("place")).filter("place <= 5")
+
+
+@query("q3_sensitivity", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, x AS (SELECT t.below, confidence < t.below AS doubtful, NOT fully_grounded AS ungrounded FROM traces JOIN grounded USING (trace_id), (VALUES (30), (50), (70), (90)) t(below) WHERE confidence IS NOT NULL AND fully_grounded IS NOT NULL)
+SELECT below, count(*) AS n, round(count_if(doubtful AND ungrounded) / nullif(count_if(doubtful OR ungrounded), 0), 6) AS jaccard, round(avg((doubtful = ungrounded)::INT), 6) AS agreement FROM x GROUP BY below""")
+def q3_sensitivity(spark, sf):
+    """Agreement of low confidence and lack of grounding for several thresholds of confidence."""
+    x = traces(spark, sf).join(grounded(claims(spark, sf)).select("trace_id", "fully_grounded"), "trace_id").filter("confidence IS NOT NULL AND fully_grounded IS NOT NULL").withColumn("below", F.explode(F.array(*[F.lit(b) for b in (30, 50, 70, 90)])))
+    doubtful, ungrounded = F.col("confidence") < F.col("below"), ~F.col("fully_grounded")
+    return x.groupBy("below").agg(F.count("*").alias("n"), r6(A.jaccard(doubtful, ungrounded)).alias("jaccard"), r6(F.avg((doubtful == ungrounded).cast("int"))).alias("agreement"))
+
+
 _SIGNALS = "(CASE WHEN confidence IS NOT NULL THEN (confidence >= 70)::INT END)"
 
 
@@ -370,17 +426,84 @@ def q4_categories(spark, sf):
     return traces(spark, sf).groupBy(category, "condition", "model").agg(F.count("*").alias("n"), r6(F.avg(F.coalesce(F.col("label") == "correct", F.lit(False)).cast("int"))).alias("accuracy"), r6(F.avg((F.col("status") == "declined").cast("int"))).alias("decline_rate"))
 
 
-@query("q5_prompt_contrast", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, x AS (SELECT condition, model, prompt, question_id, groundedness AS g, (status = 'answered')::INT AS answered FROM traces JOIN grounded USING (trace_id))
-SELECT t.condition, t.model, t.prompt, count(*) AS n, round(avg(t.g - b.g), 6) AS d_groundedness, round(avg(t.answered - b.answered), 6) AS d_answered, CASE WHEN avg(t.g - b.g) - stddev_samp(t.g - b.g) > 0 THEN 'real_improvement' WHEN avg(t.g - b.g) + stddev_samp(t.g - b.g) < 0 THEN 'worse' WHEN count(*) < 2 THEN 'undetermined' ELSE 'no_effect' END AS reading
-FROM x t JOIN x b ON t.question_id = b.question_id AND t.condition = b.condition AND t.model = b.model AND b.prompt = 'p1' AND t.prompt <> 'p1' WHERE t.g IS NOT NULL AND b.g IS NOT NULL GROUP BY ALL""")
+@query("q4_difference", f"""WITH {TRACES_SQL}, c AS (SELECT condition, model, question_id, question_id % 4 AS cat, avg(coalesce(label = 'correct', false)::INT) AS v FROM traces WHERE question_id % 4 < 2 GROUP BY ALL),
+u AS (SELECT condition, model, cat, question_id, v AS total, 1 AS weight FROM c), {draw_sql(19, 'u', 'condition, model, cat', 'question_id')}, d AS (SELECT a.condition, a.model, a.b, b.mean - a.mean AS diff FROM rep a JOIN rep b ON a.condition = b.condition AND a.model = b.model AND a.b = b.b AND a.cat = 0 AND b.cat = 1),
+o AS (SELECT condition, model, avg(CASE WHEN cat = 1 THEN v END) - avg(CASE WHEN cat = 0 THEN v END) AS observed FROM c GROUP BY ALL)
+SELECT condition, model, round(max(observed), 6) AS difference, round(quantile_cont(diff, 0.025), 6) AS lo, round(quantile_cont(diff, 0.975), 6) AS hi FROM d JOIN o USING (condition, model) GROUP BY ALL""")
+def q4_difference(spark, sf):
+    """Accuracy on category b less that on category a, with the interval of independent draws of both."""
+    c = traces(spark, sf).withColumn("k", F.col("question_id") % 4).filter("k < 2").groupBy("condition", "model", "question_id", "k").agg(F.avg(F.coalesce(F.col("label") == "correct", F.lit(False)).cast("int")).alias("total")).withColumn("weight", F.lit(1))
+    rep = S.resample_means(c, "question_id", ["condition", "model", "k"], 19, RESAMPLES)
+    two = rep.groupBy("condition", "model", "b").agg((F.max(F.when(F.col("k") == 1, F.col("mean"))) - F.max(F.when(F.col("k") == 0, F.col("mean")))).alias("mean"))
+    i = S.percentile_interval(two, ["condition", "model"])
+    o = c.groupBy("condition", "model").agg((F.avg(F.when(F.col("k") == 1, F.col("total"))) - F.avg(F.when(F.col("k") == 0, F.col("total")))).alias("d"))
+    return o.join(i, ["condition", "model"]).select("condition", "model", r6("d").alias("difference"), r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+_ARM_KEYS = "condition, model, prompt"
+
+
+def _interval_sql(name: str, units: str, seed: int) -> str:
+    """Lower and upper bound of every arm's mean, as the table ``name``; the working tables get the name too."""
+    sql = draw_sql(seed, units, _ARM_KEYS, "question_id")
+    for old in ("num", "dr", "rep"):
+        sql = re.sub(rf"\b{old}\b", f"{old}_{name}", sql)
+    return f"{sql}, {name} AS (SELECT {_ARM_KEYS}, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep_{name} GROUP BY ALL)"
+
+
+@query("q5_prompt_contrast", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, s AS (SELECT trace_id, max(cited_bits) AS cited, bit_or(CASE WHEN kind = 'document' AND judge = 'supported' THEN support_bits ELSE 0 END) AS support FROM claims GROUP BY 1),
+x AS (SELECT condition, model, prompt, question_id, groundedness AS g, bit_count(cited & support) / nullif(bit_count(cited), 0) AS p, (status = 'answered')::INT AS answered FROM traces JOIN grounded USING (trace_id) JOIN s USING (trace_id)),
+d AS (SELECT t.condition, t.model, t.prompt, t.question_id, t.g - b.g AS dg, t.p - b.p AS dp, t.answered - b.answered AS da FROM x t JOIN x b ON t.question_id = b.question_id AND t.condition = b.condition AND t.model = b.model AND b.prompt = 'p1' AND t.prompt <> 'p1' WHERE t.g IS NOT NULL AND b.g IS NOT NULL),
+ug AS (SELECT condition, model, prompt, question_id, dg AS total, 1 AS weight FROM d), up AS (SELECT condition, model, prompt, question_id, dp AS total, 1 AS weight FROM d WHERE dp IS NOT NULL),
+{_interval_sql('ig', 'ug', 23)}, {_interval_sql('ip', 'up', 29)}, a AS (SELECT {_ARM_KEYS}, count(*) AS n, round(avg(dg), 6) AS d_groundedness, round(avg(dp), 6) AS d_precision, round(avg(da), 6) AS d_answered FROM d GROUP BY ALL)
+SELECT a.*, ig.lo AS g_lo, ig.hi AS g_hi, ip.lo AS p_lo, ip.hi AS p_hi, CASE WHEN ig.lo > 0 THEN 'real_improvement' WHEN ig.hi < 0 THEN 'worse' WHEN ip.hi < 0 THEN 'apparent_only' ELSE 'no_effect' END AS reading FROM a JOIN ig USING ({_ARM_KEYS}) LEFT JOIN ip USING ({_ARM_KEYS})""")
 def q5_prompt_contrast(spark, sf):
-    """Each prompt against the base on the questions scored in both, with the reading of the change."""
-    x = traces(spark, sf).join(grounded(claims(spark, sf)).select("trace_id", "groundedness"), "trace_id").filter("groundedness IS NOT NULL").select(*ARM, "question_id", F.col("groundedness").alias("g"), (F.col("status") == "answered").cast("int").alias("answered"))
-    base = x.filter("prompt = 'p1'").select("question_id", "condition", "model", F.col("g").alias("g0"), F.col("answered").alias("a0"))
-    d = F.col("g") - F.col("g0")
-    none = F.lit(None).cast("double")
-    g = x.filter("prompt <> 'p1'").join(base, ["question_id", "condition", "model"]).groupBy(*ARM).agg(F.count("*").alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"), F.avg(F.col("answered") - F.col("a0")).alias("da"))
-    return g.select(*ARM, "n", r6("m").alias("d_groundedness"), r6("da").alias("d_answered"), N.interval_reading((F.col("m") - F.col("s"), F.col("m") + F.col("s")), (none, none)).alias("reading"))
+    """Each prompt against the base on the questions scored in both: changes of groundedness and citation precision with bootstrap intervals, read together."""
+    c = claims(spark, sf)
+    ok = (F.col("kind") == "document") & (F.col("judge") == "supported")
+    cited = c.groupBy("trace_id").agg(F.max("cited_bits").alias("cited"), F.bit_or(F.when(ok, F.col("support_bits")).otherwise(F.lit(0))).alias("support"))
+    x = traces(spark, sf).join(grounded(c).select("trace_id", "groundedness"), "trace_id").join(cited, "trace_id").filter("groundedness IS NOT NULL")
+    x = x.select(*ARM, "question_id", F.col("groundedness").alias("g"), F.try_divide(F.bit_count(F.col("cited").bitwiseAND(F.col("support"))), F.bit_count("cited")).alias("p"), (F.col("status") == "answered").cast("int").alias("answered"))
+    base = x.filter("prompt = 'p1'").select("question_id", "condition", "model", F.col("g").alias("g0"), F.col("p").alias("p0"), F.col("answered").alias("a0"))
+    d = x.filter("prompt <> 'p1'").join(base, ["question_id", "condition", "model"]).select(*ARM, "question_id", (F.col("g") - F.col("g0")).alias("dg"), (F.col("p") - F.col("p0")).alias("dp"), (F.col("answered") - F.col("a0")).alias("da"))
+
+    def interval(column: str, name: str, seed: int):
+        u = d.filter(F.col(column).isNotNull()).select(*ARM, "question_id", F.col(column).alias("total"), F.lit(1).alias("weight"))
+        return S.percentile_interval(S.resample_means(u, "question_id", ARM, seed, RESAMPLES), ARM).select(*ARM, r6("lo").alias(f"{name}_lo"), r6("hi").alias(f"{name}_hi"))
+
+    g = d.groupBy(*ARM).agg(F.count("*").alias("n"), r6(F.avg("dg")).alias("d_groundedness"), r6(F.avg("dp")).alias("d_precision"), r6(F.avg("da")).alias("d_answered"))
+    both = g.join(interval("dg", "g", 23), list(ARM)).join(interval("dp", "p", 29), list(ARM), "left")
+    return both.withColumn("reading", N.interval_reading((F.col("g_lo"), F.col("g_hi")), (F.col("p_lo"), F.col("p_hi"))))
+
+
+#: What the analysis takes from each of its questions: keys of a row, and measures.
+ANALYSIS = {
+    "q1_retrieval_vs_grounded": ((), ("n", "rho", "rho_lo", "rho_hi", "hit_minus_miss", "answer_rate", "oracle_minus_retrieved")),
+    "q2_quadrants": (("condition", "question_type"), ("n", "lucky", "ungrounded_given_correct")),
+    "q2_ungrounded_interval": (("condition",), ("ungrounded_given_correct", "lo", "hi")),
+    "q3_signal_pairs": (("a", "b"), ("n", "agreement", "jaccard")),
+    "q5_prompt_contrast": (ARM, ("n", "d_groundedness", "g_lo", "g_hi", "d_precision", "p_lo", "p_hi")),
+    "human_check": (("prompt", "rater"), ("n", "groundedness")),
+}
+
+
+def analysis_report(spark, sf):
+    """The whole analysis as one table: question, cell, measure, value."""
+    out = None
+    for name, (keys, measures) in ANALYSIS.items():
+        cell = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+        part = PLANS[name](spark, sf).select(F.lit(name).alias("question"), cell.alias("cell"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("m")).select("question", "cell", "m.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _analysis_sql() -> str:
+    parts = []
+    for name, (keys, measures) in ANALYSIS.items():
+        cell = f"concat_ws('/', {', '.join(f'{k}::VARCHAR' for k in keys)})" if keys else "''"
+        rows = ", ".join(f"{{'measure': '{m}', 'value': {m}::DOUBLE}}" for m in measures)
+        parts.append(f"SELECT question, cell, unnest(m, recursive := true) FROM (SELECT '{name}' AS question, {cell} AS cell, unnest([{rows}]) AS m FROM ({SQL[name]}))")
+    return " UNION ALL ".join(parts)
 
 
 @query("human_check", f"WITH {CLAIMS_SQL}, s AS (SELECT prompt, 'judge' AS rater, judge AS v FROM claims WHERE kind = 'document' UNION ALL SELECT prompt, 'human', human FROM claims WHERE kind = 'document') SELECT prompt, rater, count(*) AS n, round(avg((v = 'supported')::INT), 6) AS groundedness FROM s GROUP BY ALL")
@@ -477,9 +600,13 @@ def evaluation_record(spark, sf):
     return t.select("trace_id", label.alias("final_label"), source.alias("source"), F.coalesce("n_document", F.lit(0)).alias("n_document"))
 
 
-@query("interval_readings", "SELECT * FROM (VALUES (1, 'real_improvement'), (2, 'worse'), (3, 'apparent_only'), (4, 'no_effect'), (5, 'undetermined')) v(id, reading)")
+@query("interval_readings", """WITH x AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 < 5 THEN (o_orderkey % 21 - 10) / 10.0 END AS a, CASE WHEN o_orderkey % 5 < 3 THEN (o_orderkey % 15 - 10) / 10.0 END AS c FROM orders)
+SELECT id, CASE WHEN a IS NULL THEN 'undetermined' WHEN a > 0 THEN 'real_improvement' WHEN a + 0.45 < 0 THEN 'worse' WHEN c + 0.25 < 0 THEN 'apparent_only' ELSE 'no_effect' END AS reading FROM x""")
 def interval_readings(spark, sf):
-    from ..registry import literal_rows
+    """Intervals of several signs, some of them missing, read together."""
+    key = F.col("o_orderkey")
+    a, c = F.when(key % 6 < 5, (key % 21 - 10) / 10.0), F.when(key % 5 < 3, (key % 15 - 10) / 10.0)
+    return table(spark, sf, "orders").select(key.alias("id"), N.interval_reading((a, a + 0.45), (c, c + 0.25)).alias("reading"))
+
 
-    rows = literal_rows(spark, [(1, 0.1, 0.2, 0.1, 0.2), (2, -0.2, -0.1, None, None), (3, -0.1, 0.1, -0.2, -0.1), (4, -0.1, 0.1, None, None), (5, None, None, None, None)], "id int, a double, b double, c double, d double")
-    return rows.select("id", N.interval_reading((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("reading"))
+query("analysis_report", _analysis_sql())(analysis_report)

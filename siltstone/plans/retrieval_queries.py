@@ -73,7 +73,7 @@ def relevant(spark, sf):
 
 def bm25_ranked(spark, sf, k):
     c, q = chunks(spark, sf), queries(spark, sf)
-    return R.top_k(R.bm25(c, q, T.tokens(F.col("text")), F.col("qt")), k, "chunk_id")
+    return R.top_k(R.bm25(c, q, T.tokens(F.col("text")), F.col("qt"), k), k, "chunk_id")
 
 
 @query("chunk_fixed_plain", f"WITH {CHUNKS} SELECT doc_id, chunk_id, char_start, char_end, sha256(text) AS sha FROM chunks")
@@ -232,9 +232,8 @@ def relevant_in_corpus(spark, sf):
 @query("bm25_topk", f"""WITH {CHUNKS}, {BM25}, fill AS (SELECT query_id, chunk_id, 0.0 AS score FROM q, chunks WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM scored)), alls AS (SELECT * FROM scored UNION ALL SELECT * FROM fill), {ranked_sql('r', 'alls', 5)}
 SELECT query_id, chunk_id, score::DOUBLE AS score, rank::INT AS rank FROM r""")
 def bm25_topk(spark, sf):
-    c, q = chunks(spark, sf), queries(spark, sf)
-    scored = R.bm25(c, q, T.tokens(F.col("text")), F.col("qt"))
-    return R.top_k(R.with_zero_scores(scored, c, q, 5), 5, "chunk_id")
+    c, q, tokens, asked = chunks(spark, sf), queries(spark, sf), T.tokens(F.col("text")), F.col("qt")
+    return R.top_k(R.with_zero_scores(R.bm25(c, q, tokens, asked, 5), c, q, tokens, asked, 5), 5, "chunk_id")
 
 
 _DENSE = """dense AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)), 6) AS score, e.label = q.label AS same FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)"""
@@ -251,13 +250,20 @@ def dense_topk(spark, sf):
     return R.top_k(dense_scores(spark, sf), 10, "item_id").select("query_id", "item_id", "score", "rank")
 
 
+def own_scores(c, q, own):
+    """Scores of the chunks of the documents of ``own`` (weights are those of the whole corpus), with their doc_id."""
+    tokens = T.tokens(F.col("text"))
+    mine = c.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    return R.bm25_pairs(mine, c, q, tokens, F.col("qt")).withColumn("doc_id", F.floor(F.col("chunk_id") / 100000))
+
+
 @query("scoped_topk", f"WITH {CHUNKS}, {GOLD}, {BM25}, own AS (SELECT s.query_id, s.chunk_id, s.score FROM scored s JOIN chunks c USING (chunk_id) WHERE (s.query_id, c.doc_id) IN (SELECT query_id, doc_id FROM gold)), {ranked_sql('r', 'own', 3)} SELECT query_id, chunk_id, score, rank::INT AS rank FROM r")
 def scoped_topk(spark, sf):
     """The same scores, restricted to the chunks of the documents that hold the evidence."""
     c, q = chunks(spark, sf), queries(spark, sf)
     own = gold(spark, sf).select("query_id", "doc_id").distinct()
-    scored = R.bm25(c, q, T.tokens(F.col("text")), F.col("qt")).withColumn("doc_id", F.floor(F.col("chunk_id") / 100000))
-    return R.top_k(scored.join(F.broadcast(own), ["query_id", "doc_id"], "left_semi"), 3, "chunk_id").select("query_id", "chunk_id", "score", "rank")
+    scored = own_scores(c, q, own)
+    return R.top_k(scored.join(own, ["query_id", "doc_id"], "left_semi"), 3, "chunk_id").select("query_id", "chunk_id", "score", "rank")
 
 
 _HASHED = """cells AS (SELECT chunk_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS cell, sum(tf) AS c FROM post GROUP BY ALL), vec AS (SELECT chunk_id, cell, c / sqrt(sum(c * c) OVER (PARTITION BY chunk_id)) AS w FROM cells),
@@ -265,15 +271,14 @@ qcells AS (SELECT query_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS ce
 hashed AS (SELECT query_id, chunk_id, round(sum(vec.w * qvec.w), 6) AS score FROM vec JOIN qvec USING (cell) GROUP BY ALL)"""
 
 
-def hashed_scores(spark, sf):
-    bucket = T.md5_int(F.col("term"))
-    q = R.hashed_vectors(queries(spark, sf), "query_id", F.col("qt"), bucket)
-    return R.sparse_dot(q, R.hashed_vectors(chunks(spark, sf), "chunk_id", T.tokens(F.col("text")), bucket), "chunk_id")
+def hashed_ranked(spark, sf, k):
+    c, q = chunks(spark, sf), queries(spark, sf)
+    return R.top_k(R.hashed_search(c, q, T.tokens(F.col("text")), F.col("qt"), T.md5_int, k), k, "chunk_id")
 
 
 @query("hashed_embedding_topk", f"WITH {CHUNKS}, {BM25}, {_HASHED}, {ranked_sql('r', 'hashed', 10)} SELECT query_id, chunk_id, score, rank::INT AS rank FROM r")
 def hashed_embedding_topk(spark, sf):
-    return R.top_k(hashed_scores(spark, sf), 10, "chunk_id").select("query_id", "chunk_id", "score", "rank")
+    return hashed_ranked(spark, sf, 10).select("query_id", "chunk_id", "score", "rank")
 
 
 _FUSED = f"""{ranked_sql('b100', 'scored', 100)}, {ranked_sql('h100', 'hashed', 100)}, united AS (SELECT query_id, chunk_id, rank FROM b100 UNION ALL SELECT query_id, chunk_id, rank FROM h100),
@@ -282,7 +287,7 @@ fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank))::DOUBLE, 9) AS
 
 @query("rrf_hybrid", f"WITH {CHUNKS}, {BM25}, {_HASHED}, {_FUSED}, {ranked_sql('r', 'fused', 10)} SELECT query_id, chunk_id, score, rank::INT AS rank FROM r")
 def rrf_hybrid(spark, sf):
-    return R.fuse([bm25_ranked(spark, sf, 100), R.top_k(hashed_scores(spark, sf), 100, "chunk_id")], 10).select("query_id", "chunk_id", "score", "rank")
+    return R.fuse([bm25_ranked(spark, sf, 100), hashed_ranked(spark, sf, 100)], 10).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("rerank_topk", f"""WITH {CHUNKS}, {BM25}, {ranked_sql('b50', 'scored', 50)}, j AS (SELECT b.query_id, b.chunk_id, b.rank AS prev, list_distinct(q.qt) AS qs, list_distinct(regexp_extract_all(lower(c.text), '{TOK}')) AS cs FROM b50 b JOIN q USING (query_id) JOIN chunks c USING (chunk_id)),
@@ -327,9 +332,8 @@ def oracle_context_filing(spark, sf):
     """
     g = gold(spark, sf).select("query_id", "doc_id").distinct()
     c, q = chunks(spark, sf), queries(spark, sf)
-    scored = R.bm25(c, q, T.tokens(F.col("text")), F.col("qt")).withColumn("doc_id", F.floor(F.col("chunk_id") / 100000))
-    scored = scored.join(F.broadcast(g), ["query_id", "doc_id"], "left_semi").drop("doc_id")
-    own = c.select("doc_id", "chunk_id").join(F.broadcast(g), "doc_id").join(scored, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = own_scores(c, q, g).join(g, ["query_id", "doc_id"], "left_semi").drop("doc_id")
+    own = c.select("doc_id", "chunk_id").join(g, "doc_id").join(scored, ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     own = own.join(relevant(spark, sf).select("query_id", "chunk_id", F.lit(True).alias("hit")).distinct(), ["query_id", "chunk_id"], "left")
     first = F.row_number().over(Window.partitionBy("query_id", "doc_id", "hit").orderBy(F.desc("score"), "chunk_id")) == 1
     k = own.withColumn("class", F.when(F.col("hit").isNull(), 2).when(first, 0).otherwise(1))
@@ -357,7 +361,7 @@ def metrics(ranked, rel, golds, depth=20, ks=(1, 3, 5, 10, 20)):
     per_gold = ranked.join(rel.select("query_id", "chunk_id", "doc_id"), ["query_id", "chunk_id"])
     firsts = per_gold.groupBy("query_id", "doc_id").agg(F.min("rank").alias("r")).groupBy("query_id").agg(F.collect_list("r").alias("firsts"))
     hits = per_gold.groupBy("query_id").agg(F.collect_set("rank").alias("hits"))
-    in_doc = ranked.withColumn("doc_id", F.floor(F.col("chunk_id") / 100000)).join(F.broadcast(golds.select("query_id", "doc_id").distinct()), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_doc"))
+    in_doc = ranked.withColumn("doc_id", F.floor(F.col("chunk_id") / 100000)).join(golds.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_doc"))
     n = golds.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     n_rel = rel.groupBy("query_id").agg(F.countDistinct("chunk_id").alias("n_rel"))
     q = n
@@ -409,7 +413,7 @@ grid AS (SELECT method, query_id % 2 AS half, g.query_id, count(DISTINCT CASE WH
 
 def grid(spark, sf):
     """Recall at five of each method, question and half of the questions."""
-    b, h = bm25_ranked(spark, sf, 100), R.top_k(hashed_scores(spark, sf), 100, "chunk_id")
+    b, h = bm25_ranked(spark, sf, 100), hashed_ranked(spark, sf, 100)
     lists = {"bm25": b.filter("rank <= 5"), "dense": h.filter("rank <= 5"), "hybrid": R.fuse([b, h], 5)}
     cells = None
     for name, ranked in lists.items():
@@ -447,15 +451,15 @@ def dense_relevance(spark, sf):
     return r.groupBy("query_id").agg(F.round(F.avg(same.cast("int")), 6).alias("precision_at_10"), F.coalesce(F.round(1 / F.min(F.when(same & (F.col("item_id") != F.col("query_id")), F.col("rank"))), 6), F.lit(0.0)).alias("rr"))
 
 
-@query("index_equivalence", f"WITH {_DENSE}, {ranked_sql('r', 'dense', 5, 'item_id')}, a AS (SELECT query_id, list(item_id ORDER BY rank) AS ids FROM r GROUP BY 1) SELECT count(*) AS n_queries, count(*) AS n_equal FROM a")
+@query("index_equivalence", f"WITH {_DENSE}, {ranked_sql('r', 'dense', 5, 'item_id')} SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS ids, true AS equal FROM r GROUP BY 1")
 def index_equivalence(spark, sf):
-    """The ordered top five by array expressions and by a join of exploded cells must be equal."""
-    ids = lambda r, name: r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x.item_id).alias(name))
-    one = ids(R.top_k(dense_scores(spark, sf), 5, "item_id"), "a")
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.posexplode("embedding").alias("cell", "w")).withColumn("w", F.col("w").cast("double"))
-    q = e.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
-    two = ids(R.top_k(R.sparse_dot(q, e, "item_id"), 5, "item_id"), "b")
-    return one.join(two, "query_id", "left").agg(F.count("*").alias("n_queries"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("n_equal"))
+    """The ordered top five by array expressions and by products of matrices of a batch, and whether they are equal."""
+    ids = lambda r, name: r.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x.item_id), ",").alias(name))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    q = e.filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
+    one = ids(R.top_k(R.dense(q, e), 5, "item_id"), "ids")
+    two = ids(R.top_k(R.matrix_search(e, q, 5), 5, "item_id"), "other")
+    return one.join(two, "query_id", "full").select("query_id", "ids", F.col("ids").eqNullSafe(F.col("other")).alias("equal"))
 
 
 @query("answer_plan")

@@ -14,6 +14,14 @@ def r6(c):
     return F.round(c, 6)
 
 
+def pieces(rows, wanted, key):
+    """(key, piece) of all substrings of ``whole`` whose length some wanted piece has; the lengths of names are few."""
+    sizes = wanted.select(F.length("piece").alias("n")).distinct().agg(F.collect_list("n").alias("sizes"))
+    fits = F.filter("sizes", lambda n: n <= F.length("whole"))
+    cut = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.length("whole") - n + 1), lambda i: F.substring(F.col("whole"), i, n))))
+    return rows.crossJoin(F.broadcast(sizes)).select(key, F.explode(F.array_distinct(cut)).alias("piece"))
+
+
 _NORM = "regexp_replace(upper({x}), '[^A-Z0-9]', '', 'g')"
 
 
@@ -39,10 +47,11 @@ def entity_resolution_cascade(spark, sf):
         found = left.join(known, on).groupBy("id").agg(F.min("cik").alias("cik")).withColumn("method", F.lit(method))
         steps.append(found)
         left = left.join(found.select("id"), "id", "left_anti")
-    # Containment is a theta join, kept to the few names that are left and a checked dimension.
-    near = (F.length("k") >= 5) & (F.length("tk") >= 5) & (F.contains("k", "tk") | F.contains("tk", "k"))
-    small = F.broadcast(titles) if n <= 100_000 else titles
-    steps.append(left.join(small, near).groupBy("id").agg(F.min("cik").alias("cik")).withColumn("method", F.lit("title_substring")))
+    # Containment both ways as equi-joins: a name holds another if one of its pieces of that name's length equals it.
+    long, titled = left.filter(F.length("k") >= 5), titles.filter(F.length("tk") >= 5)
+    inside = pieces(long.select("id", F.col("k").alias("whole")), titled.select(F.col("tk").alias("piece")), "id").join(titled.select("cik", F.col("tk").alias("piece")), "piece").select("id", "cik")
+    around = pieces(titled.select("cik", F.col("tk").alias("whole")), long.select(F.col("k").alias("piece")), "cik").join(long.select("id", F.col("k").alias("piece")), "piece").select("id", "cik")
+    steps.append(inside.unionByName(around).groupBy("id").agg(F.min("cik").alias("cik")).withColumn("method", F.lit("title_substring")))
     every = steps[0]
     for other in steps[1:]:
         every = every.unionByName(other)
@@ -108,12 +117,24 @@ def replay_cache_join(spark, sf):
     return j.select("trace_id", F.coalesce("in", F.lit(False)).alias("hit"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.when(F.col("in").isNull(), "replay_miss").alias("error"))
 
 
-@query("budget_running_cap", "SELECT event_id, event_type, round(sum(value / 1000) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS spent, sum(value / 1000) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 30 AS allowed FROM events")
+@query("budget_running_cap", """WITH r AS (SELECT event_id, event_type, sum(value / 1000) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spent, sum(value / 1000) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events)
+SELECT event_id, event_type, round(spent, 6) AS spent, round(total, 6) AS total, round(spent, 6) <= 30 AND round(total, 6) <= 100 AS allowed FROM r""")
 def budget_running_cap(spark, sf):
-    """Running spend of a phase against its cap."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(F.col("value") / 1000).over(w)
-    return table(spark, sf, "events").select("event_id", "event_type", r6(spent).alias("spent"), (spent <= 30).alias("allowed"))
+    """Running spend of a phase and of all phases against their caps.
+
+    Sums are taken by hour first and carried forward over the hours, so that no task sees
+    a whole phase, however many calls it has.
+    """
+    e = table(spark, sf, "events").select("event_id", "event_type", "ts", (F.col("value") / 1000).alias("cost"), F.date_trunc("hour", "ts").alias("hour"))
+
+    def running(rows, by, name):
+        before = Window.partitionBy(*by).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+        carried = rows.groupBy(*by, "hour").agg(F.sum("cost").alias("s")).select(*by, "hour", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("carried"))
+        within = Window.partitionBy(*by, "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("within", F.sum("cost").over(within)).join(carried, [*by, "hour"]).withColumn(name, r6(F.col("within") + F.col("carried"))).drop("within", "carried")
+
+    r = running(running(e, ["event_type"], "spent"), [], "total")
+    return r.select("event_id", "event_type", "spent", "total", ((F.col("spent") <= 30) & (F.col("total") <= 100)).alias("allowed"))
 
 
 @query("spend_rollup", "SELECT coalesce(event_type, 'all') AS phase, coalesce(user_id % 3, -1)::BIGINT AS model, count(*) AS calls, round(sum(value / 1000), 4) AS cost FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (event_type), (user_id % 3), ())")
@@ -149,14 +170,34 @@ def distinct_requests(spark, sf):
     return r.groupBy("model", "k").count().groupBy("model").agg(F.sum("count").alias("asked"), F.count("*").alias("sent"))
 
 
-@query("replay_verification", f"WITH {TRACES_SQL}, x AS (SELECT condition, model, prompt, sha256(concat_ws('|', prompt, question_id)) AS a, sha256(concat_ws('|', prompt, CASE WHEN {sql_draw('tamper', 'trace_id')} % 50 = 0 THEN -1 ELSE question_id END)) AS b, status <> 'unparsed' AS reparsed FROM traces) SELECT condition, model, prompt, count(*) AS n, count_if(a = b) AS prompt_ok, count_if(reparsed) AS parse_ok, count_if(a = b AND reparsed) AS all_ok FROM x GROUP BY ALL")
+_TAMPERED = ("file", "key", "output", "parse")
+
+
+@query("replay_verification", f"""WITH {TRACES_SQL}, x AS (SELECT condition, model, prompt, {', '.join(f"{sql_draw('tamper_' + t, 'trace_id')} % 50 <> 0 AS {t}_ok" for t in _TAMPERED)}, {sql_draw('cached', 'trace_id')} % 10 <> 0 AS cached FROM traces)
+SELECT condition, model, prompt, count(*) AS n, count_if(file_ok) AS file_ok, count_if(file_ok AND key_ok) AS key_ok, count_if(cached) AS from_cache, count_if(cached AND file_ok AND key_ok AND output_ok) AS output_ok, count_if(parse_ok) AS parse_ok, count_if(file_ok AND key_ok AND parse_ok AND (output_ok OR NOT cached)) AS all_ok FROM x GROUP BY ALL""")
 def replay_verification(spark, sf):
-    """Hashes recomputed and compared, counted by file (arm)."""
-    q = F.col("question_id").cast("string")
-    moved = F.when(T.md5_int(F.lit("tamper"), F.col("trace_id")) % 50 == 0, F.lit("-1")).otherwise(q)
-    same = T.canonical_key(F.col("prompt"), q) == T.canonical_key(F.col("prompt"), moved)
-    parsed = F.col("status") != "unparsed"
-    return traces(spark, sf).groupBy("condition", "model", "prompt").agg(F.count("*").alias("n"), F.count_if(same).alias("prompt_ok"), F.count_if(parsed).alias("parse_ok"), F.count_if(same & parsed).alias("all_ok"))
+    """Four checks of a trace against what it was made from: prompt file, request key, cached output, parsed fields; counted by arm.
+
+    Stored values are recomputed; a trace in fifty has been tampered with at each point.
+    """
+    drawn = lambda tag, n: T.md5_int(F.lit(tag), F.col("trace_id")) % n == 0
+    t = traces(spark, sf).select("trace_id", "condition", "model", "prompt", "question_id", "label")
+    text = F.concat(F.lit("# system\nanswer\n# user\n"), F.col("prompt"))
+    stored = t.select(
+        "*", F.sha2(F.when(drawn("tamper_file", 50), F.concat(text, F.lit(" "))).otherwise(text), 256).alias("file_sha"),
+        F.concat(F.lit("ANSWER: "), F.coalesce("label", F.lit("none"))).alias("raw"), F.when(drawn("tamper_parse", 50), F.lit("?")).otherwise(F.coalesce("label", F.lit("none"))).alias("parsed"),
+    )
+    request = lambda sha, question: T.canonical_key(sha, F.col("model"), question)
+    asked = F.when(drawn("tamper_key", 50), F.lit("-1")).otherwise(F.col("question_id").cast("string"))
+    stored = stored.withColumn("key", request(F.col("file_sha"), F.concat_ws("/", asked, F.col("trace_id"))))
+    now = request(F.sha2(text, 256), F.concat_ws("/", F.col("question_id").cast("string"), F.col("trace_id")))
+    # The cache was filled by the requests as they are made now.
+    cache = stored.filter(~drawn("cached", 10)).select(now.alias("key"), F.when(drawn("tamper_output", 50), F.concat("raw", F.lit("!"))).otherwise(F.col("raw")).alias("cached"), "trace_id")
+    j = stored.join(cache, ["trace_id"], "left").withColumn("hit", F.when(cache["key"] == stored["key"], F.col("cached")))
+    file_ok, parse_ok = F.col("file_sha") == F.sha2(text, 256), F.regexp_extract("raw", "^ANSWER: (.*)$", 1) == F.col("parsed")
+    key_ok, output_ok, kept = stored["key"] == now, F.coalesce(F.col("hit") == F.col("raw"), F.lit(False)), F.col("cached").isNotNull()
+    n = F.count_if
+    return j.groupBy("condition", "model", "prompt").agg(F.count("*").alias("n"), n(file_ok).alias("file_ok"), n(key_ok).alias("key_ok"), n(kept).alias("from_cache"), n(output_ok).alias("output_ok"), n(parse_ok).alias("parse_ok"), n(file_ok & key_ok & parse_ok & (output_ok | ~kept)).alias("all_ok"))
 
 
 @query("dry_run_cost", f"WITH {TRACES_SQL}, m AS (SELECT model, count_if({sql_draw('have', 'trace_id')} % 3 <> 0) AS missing, avg(CASE WHEN {sql_draw('smp', 'trace_id')} % 10 = 0 THEN 100 + n_claims * 40 END) AS sampled FROM traces GROUP BY 1), p(model, price) AS (VALUES ('m1', 3.0), ('m2', 0.8)) SELECT model, missing, round(missing * sampled * price / 1e6, 9)::DOUBLE AS cost FROM m JOIN p USING (model)")
@@ -239,19 +280,22 @@ def context_per_condition(spark, sf):
     return k.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", label.alias("l")))), lambda x: x.l), ",").alias("labels"))
 
 
-@query("judge_output_validation", """SELECT * FROM (VALUES (1, true, 2), (2, false, 0), (3, false, 2), (4, false, 1)) v(id, valid, n_verdicts)""")
+@query("judge_output_validation", """WITH x AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, 1 + o_orderkey % 3 AS n FROM orders) SELECT id, k = 0 AS valid, CASE WHEN k = 1 THEN 0 WHEN k = 5 THEN n + 1 ELSE n END::INT AS n_verdicts FROM x""")
 def judge_output_validation(spark, sf):
-    """Strict reading of judge output: known verdicts, ids 1..n once, excerpts only for supported claims."""
-    raw = [
-        (1, 2, '[{"id": 1, "verdict": "supported", "excerpts": ["C1"]}, {"id": 2, "verdict": "unsupported", "excerpts": []}]'),
-        (2, 2, "not json"),
-        (3, 2, '[{"id": 1, "verdict": "supported", "excerpts": []}, {"id": 1, "verdict": "supported", "excerpts": []}]'),
-        (4, 1, '[{"id": 1, "verdict": "maybe", "excerpts": []}]'),
-    ]
-    v = F.from_json("raw", "array<struct<id: int, verdict: string, excerpts: array<string>>>")
-    rows = literal_rows(spark, raw, "id int, n int, raw string").withColumn("v", v)
+    """Strict reading of judge output: known verdicts, ids 1..n once, excerpts only for supported claims.
+
+    Outputs of six kinds for every order: sound, no JSON, a repeated id, an unknown
+    verdict, excerpts for an unsupported claim, a claim too many.
+    """
+    k, n = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 3 + 1).cast("int")
+    last = lambda i: i == n
+    item = lambda i: F.struct(
+        F.when((k == 2) & last(i), i + 1).otherwise(i).alias("id"), F.when((k == 3) & last(i), "maybe").when((k == 4) | (i % 2 == 0), "unsupported").otherwise("supported").alias("verdict"),
+        F.when((k == 4) | (i % 2 == 1), F.array(F.lit("C1"))).otherwise(F.array().cast("array<string>")).alias("excerpts"),
+    )
+    raw = F.when(k == 1, "not json").otherwise(F.to_json(F.transform(F.sequence(F.lit(1), n + (k == 5).cast("int")), item)))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), n.alias("n"), raw.alias("raw")).withColumn("v", F.from_json("raw", "array<struct<id: int, verdict: string, excerpts: array<string>>>"))
     kinds = F.array(F.lit("supported"), F.lit("unsupported"), F.lit("contradicted"))
-    known = F.forall("v", lambda x: F.array_contains(kinds, x.verdict))
+    known = F.forall("v", lambda x: F.array_contains(kinds, x.verdict) & ((x.verdict == "supported") | (F.size(x.excerpts) == 0)))
     complete = F.array_sort(F.transform("v", lambda x: x.id)) == F.sequence(F.lit(1), F.col("n"))
-    size = F.when(F.col("v").isNull(), 0).otherwise(F.size("v"))
-    return rows.select("id", F.coalesce(known & complete & (size == F.col("n")), F.lit(False)).alias("valid"), F.when(F.col("raw").startswith("["), size).otherwise(0).alias("n_verdicts"))
+    return rows.select("id", F.coalesce(known & complete, F.lit(False)).alias("valid"), F.when(F.col("raw").startswith("["), F.size("v")).otherwise(0).alias("n_verdicts"))

@@ -25,8 +25,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     return add
 
 
+#: Tables of whole texts, whose rows are dear to work on.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals out a table of fewer splits than there are cores (a small one, or one row group); a large table stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
