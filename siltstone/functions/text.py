@@ -42,8 +42,14 @@ def tokens(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Lower-cased ASCII letters and digits only."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    """Lower-cased ASCII letters and digits only; the one letter whose lower case is two characters is none of them."""
+    return F.regexp_replace(F.lower(F.replace(text, F.lit("İ"), F.lit(""))), "[^a-z0-9]", "")
+
+
+def kept_offsets(text: Column) -> Column:
+    """For each character of the normal form, where it stands in the text (0-based)."""
+    places = F.transform(F.split(F.replace(text, F.lit("İ"), F.lit("_")), ""), lambda c, i: F.when(F.lower(c).rlike("^[a-z0-9]$"), i))
+    return F.array_compact(places)
 
 
 def find_all(haystack: Column, needle: str) -> Column:

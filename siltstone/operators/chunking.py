@@ -39,17 +39,18 @@ def snapped_bounds(text: str, size: int = 512, overlap: int = 64) -> Iterator[tu
         begin = end - overlap if end - overlap > begin else end
 
 
-def snapped_windows(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
-    """doc_id, place, char_start, char_end of snapped windows: a map over texts, no shuffle."""
+def snapped_windows(docs: DataFrame, size: int = 512, overlap: int = 64, with_text: bool = False) -> DataFrame:
+    """doc_id, place, char_start, char_end (and text) of snapped windows: a map over texts, no shuffle."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than the window")
 
     def run(frames):
         for f in frames:
-            rows = [(d, k, a, z) for d, t in zip(f.doc_id, f.text, strict=True) for k, (a, z) in enumerate(snapped_bounds(t or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "place", "char_start", "char_end"])
+            rows = [(d, k, a, z, t[a:z] if with_text else None) for d, t in zip(f.doc_id, f.text, strict=True) for k, (a, z) in enumerate(snapped_bounds(t or "", size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "place", "char_start", "char_end", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, place int, char_start long, char_end long")
+    rows = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, place int, char_start long, char_end long, text string")
+    return rows if with_text else rows.drop("text")
 
 
 def packed(blocks: DataFrame, most: int = 1024, table_alone: bool = False) -> DataFrame:

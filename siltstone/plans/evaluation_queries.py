@@ -139,6 +139,23 @@ def confusion_matrix(spark, sf):
     return A.confusion(claims(spark, sf), "judge", "human", labels)
 
 
+_DETECTED = f"""det AS (SELECT condition, CASE WHEN status IN ('answered', 'partial', 'declined') THEN status END AS rule, CASE WHEN status = 'unparsed' THEN NULL WHEN {sql_draw('jt', 'trace_id')} % 100 < 12 THEN CASE status WHEN 'answered' THEN 'partial' WHEN 'partial' THEN 'declined' ELSE 'answered' END ELSE status END AS judged FROM traces),
+views AS (SELECT 'three_way/' || condition AS view, rule, judged FROM det UNION ALL SELECT 'declined_or_not/' || condition, (rule = 'declined')::VARCHAR, (judged = 'declined')::VARCHAR FROM det)"""
+
+
+@query("detector_agreement", f"WITH {TRACES_SQL}, {_DETECTED}, {_kappa_sql('views', 'rule', 'judged', 'view')} SELECT view, n, round(agreement, 6) AS agreement, round(kappa, 6) AS kappa FROM k")
+def detector_agreement(spark, sf):
+    """The rule's type of an answer against the judge's, in three classes and as declined or not."""
+    status = F.col("status")
+    other = F.when(status == "answered", "partial").when(status == "partial", "declined").otherwise("answered")
+    judged = F.when(status != "unparsed", F.when(md5_int(F.lit("jt"), F.col("trace_id")) % 100 < 12, other).otherwise(status))
+    d = traces(spark, sf).select("condition", F.when(status != "unparsed", status).alias("rule"), judged.alias("judged"))
+    view = lambda name, a, b: F.struct(F.concat(F.lit(name + "/"), F.col("condition")).alias("view"), a.alias("rule"), b.alias("judged"))
+    two = lambda c: (F.col(c) == "declined").cast("string")
+    both = d.select(F.explode(F.array(view("three_way", F.col("rule"), F.col("judged")), view("declined_or_not", two("rule"), two("judged")))).alias("v")).select("v.*")
+    return A.cohen_kappa(both, "rule", "judged", ["view"]).select("view", "n", r6("agreement").alias("agreement"), r6("kappa").alias("kappa"))
+
+
 @query("grader_crosscheck", f"WITH {TRACES_SQL}, g AS (SELECT *, CASE WHEN {sql_draw('num', 'trace_id')} % 10 < 8 THEN label ELSE 'incorrect' END AS numeric_label FROM traces WHERE status = 'answered') SELECT coalesce(label, 'none') AS judge, coalesce(numeric_label, 'none') AS numeric_label, count(*) AS n, count_if(coalesce(label = 'unit_error', false)) AS unit_flags FROM g GROUP BY 1, 2")
 def grader_crosscheck(spark, sf):
     t = traces(spark, sf).filter("status = 'answered'")
@@ -314,6 +331,19 @@ def arm_selection(spark, sf):
     return one.crossJoin(two).select("model", "prompt", "second_model", "second_prompt", r6(F.col("rate") - F.col("r2")).alias("lead"))
 
 
+@query("selection_lead_interval", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, {_RATES}, k AS (SELECT *, row_number() OVER (ORDER BY round(rate, 6) DESC, round(accuracy, 6) DESC, prompt, model) AS place FROM rates WHERE condition = 'retrieved'),
+g AS (SELECT k.place, t.question_id, coalesce(label = 'correct' AND fully_grounded, false)::INT AS good FROM traces t LEFT JOIN grounded USING (trace_id) JOIN k ON k.condition = t.condition AND k.model = t.model AND k.prompt = t.prompt WHERE k.place <= 2),
+u AS (SELECT 2 AS place, a.question_id, a.good - b.good AS total, 1 AS weight FROM g a JOIN g b ON a.question_id = b.question_id AND a.place = 1 AND b.place = 2), {draw_sql(37, 'u', 'place', 'question_id')}, o AS (SELECT avg(total) AS lead FROM u)
+SELECT round(max(lead), 6) AS lead, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep, o""")
+def selection_lead_interval(spark, sf):
+    """The lead of the best arm over the next on shared questions, with its bootstrap interval."""
+    top = arm_ranking(spark, sf).filter("condition = 'retrieved' AND place <= 2").select(*ARM, "place")
+    g = arm_rates(spark, sf).join(F.broadcast(top), list(ARM)).select("place", "question_id", "good")
+    u = g.filter("place = 1").select("question_id", F.col("good").alias("best")).join(g.filter("place = 2"), "question_id").select("place", "question_id", (F.col("best") - F.col("good")).alias("total"), F.lit(1).alias("weight"))
+    i = S.percentile_interval(S.resample_means(u, "question_id", ["place"], 37, RESAMPLES), ["place"])
+    return u.agg(F.avg("total").alias("lead")).crossJoin(i).select(r6("lead").alias("lead"), r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
 @query("pooled_replicate_diff", f"""WITH {CLAIMS_RUNS_SQL}, {GROUNDED_SQL}, g AS (SELECT *, coalesce(label = 'correct' AND fully_grounded, false)::INT AS good FROM traces LEFT JOIN grounded USING (trace_id)), q AS (SELECT model, prompt, question_id, avg(good) AS v FROM g WHERE condition = 'retrieved' GROUP BY ALL)
 SELECT a.model, a.prompt, count(*) AS n, round(avg(a.v - b.v), 6) AS difference FROM q a JOIN q b ON a.question_id = b.question_id AND b.model = 'm1' AND b.prompt = 'p1' GROUP BY ALL""")
 def pooled_replicate_diff(spark, sf):

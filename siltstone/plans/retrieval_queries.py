@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import retrieval as R
+from ..operators import resampling as S
 from ..operators.containment import candidates
-from ..registry import query, table
+from ..registry import SQL, query, table
+from .evaluation_queries import RESAMPLES, draw_sql
 from .text_queries import line_blocks, with_offsets
 
 TOK = "[a-z]+|[0-9]+(?:[.][0-9]+)?"
@@ -65,7 +67,10 @@ def gold(spark, sf):
 
 
 def relevant(spark, sf):
-    c, g = chunks(spark, sf).drop("text"), gold(spark, sf)
+    return relevant_of(chunks(spark, sf).drop("text"), gold(spark, sf))
+
+
+def relevant_of(c, g):
     ov = R.overlap(F.col("char_start"), F.col("char_end"), F.col("gold_start"), F.col("gold_end"))
     hit = R.relevant(ov, F.col("char_end") - F.col("char_start"), F.col("gold_end") - F.col("gold_start"))
     return c.join(g, "doc_id").withColumn("ov", ov).filter(hit)
@@ -91,6 +96,20 @@ def chunk_fixed_snapped(spark, sf):
     return C.snapped_windows(table(spark, sf, "documents"))
 
 
+#: Chunkings that the grid and the statistics compare.
+CHUNKINGS = ("plain512", "plain256", "snapped512")
+_SNAPPED_CHUNKS = SQL["chunk_fixed_snapped"].removeprefix("WITH RECURSIVE ").rsplit("SELECT doc_id, place", 1)[0].rstrip() + """, chunks AS (SELECT doc_id, doc_id * 100000 + place AS chunk_id, s AS char_start, e AS char_end, substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS text FROM w)"""
+CHUNKING_SQL = dict(zip(CHUNKINGS, (CHUNKS, CHUNKS.replace("512", "256").replace("448", "224").replace("s + 64", "s + 32"), _SNAPPED_CHUNKS), strict=True))
+
+
+def chunking(spark, sf, name):
+    docs = table(spark, sf, "documents")
+    if name == "snapped512":
+        rows = C.snapped_windows(docs, with_text=True)
+        return rows.select("doc_id", (F.col("doc_id") * 100000 + F.col("place")).alias("chunk_id"), "char_start", "char_end", "text")
+    return C.plain_windows(docs, 256, 32) if name == "plain256" else C.plain_windows(docs)
+
+
 def document_blocks(spark, sf):
     """Lines as blocks: short ones without a full stop head a section, lines with bars are tables."""
     b = with_offsets(line_blocks(table(spark, sf, "documents")))
@@ -118,10 +137,17 @@ def chunk_round_trip(spark, sf):
     return c.join(d, "doc_id").groupBy("doc_id").agg(F.count_if(same).alias("mismatches"), F.count("*").alias("n_chunks"), ((F.min("char_start") == 0) & (F.max("char_end") == F.max(F.length("text")))).alias("covered"))
 
 
-@query("chunk_stats", f"WITH {CHUNKS} SELECT doc_id % 3 AS strategy, count(*) AS n, round(avg(char_end - char_start), 6) AS mean_chars, median(char_end - char_start) AS median_chars, count_if(contains(text, '|')) AS table_chunks FROM chunks GROUP BY 1")
+_STATS = "count(*) AS n, round(avg(char_end - char_start), 6) AS mean_chars, median(char_end - char_start) AS median_chars, min(char_end - char_start) AS least_chars, count_if(contains(text, '|')) AS table_chunks"
+
+
+@query("chunk_stats", " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {CHUNKING_SQL[c]} SELECT '{c}' AS strategy, {_STATS} FROM chunks)" for c in CHUNKINGS))
 def chunk_stats(spark, sf):
-    size = F.col("char_end") - F.col("char_start")
-    return chunks(spark, sf).groupBy((F.col("doc_id") % 3).alias("strategy")).agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_chars"), F.median(size).alias("median_chars"), F.count_if(F.contains("text", F.lit("|"))).alias("table_chunks"))
+    """Sizes of the chunks of every chunking."""
+    size, out = F.col("char_end") - F.col("char_start"), None
+    for name in CHUNKINGS:
+        part = chunking(spark, sf, name).agg(F.count("*").alias("n"), F.round(F.avg(size), 6).alias("mean_chars"), F.median(size).alias("median_chars"), F.min(size).alias("least_chars"), F.count_if(F.contains("text", F.lit("|"))).alias("table_chunks")).withColumn("strategy", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _BLOCKS = """lines AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
@@ -295,11 +321,16 @@ s AS (SELECT query_id, chunk_id, prev, round(len(list_intersect(qs, cs)) / len(l
 SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prev) AS rank FROM s) WHERE rank <= 5""")
 def rerank_topk(spark, sf):
     """The best 50 scored again by token overlap; ties keep their order."""
-    c = chunks(spark, sf).select("chunk_id", T.tokens(F.col("text")).alias("ct"))
-    top = bm25_ranked(spark, sf, 50).select("query_id", "chunk_id", F.col("rank").alias("prev")).join(queries(spark, sf).select("query_id", "qt"), "query_id").join(c, "chunk_id")
+    return reranked(bm25_ranked(spark, sf, 50), chunks(spark, sf), queries(spark, sf), 5)
+
+
+def reranked(ranked, c, q, k):
+    """The chunks of ranked lists ordered by token overlap with the question, then as before."""
+    wanted = ranked.select("query_id", "chunk_id", F.col("rank").alias("prev"))
+    top = c.join(wanted, "chunk_id").select("query_id", "chunk_id", "prev", T.tokens(F.col("text")).alias("ct")).join(q.select("query_id", "qt"), "query_id")
     scored = top.withColumn("score", F.round(F.size(F.array_intersect("qt", "ct")) / F.size(F.array_union("qt", "ct")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "prev")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "chunk_id", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("oracle_context", f"""WITH {CHUNKS}, {GOLD}, {RELEVANT}, {BM25}, {ranked_sql('b100', 'scored', 100)}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS ord FROM gold),
@@ -407,40 +438,81 @@ def interval_union_coverage(spark, sf):
     return total.join(covered, "query_id", "left").select("query_id", F.coalesce("covered", F.lit(0)).alias("covered"), F.round(F.coalesce("covered", F.lit(0)) / F.col("total"), 6).alias("span_recall"))
 
 
-_CELLS = f"""{ranked_sql('rb', 'scored', 5)}, {ranked_sql('rh', 'hashed', 5)}, {ranked_sql('rf', 'fused', 5)}, cell AS (SELECT 'bm25' AS method, query_id, chunk_id, rank FROM rb UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM rh UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM rf),
-grid AS (SELECT method, query_id % 2 AS half, g.query_id, count(DISTINCT CASE WHEN r.chunk_id IS NOT NULL THEN g.doc_id END) / count(DISTINCT g.doc_id) AS recall5 FROM gold g CROSS JOIN (VALUES ('bm25'), ('dense'), ('hybrid')) mm(method) LEFT JOIN cell USING (method, query_id) LEFT JOIN relevant r ON r.query_id = g.query_id AND r.doc_id = g.doc_id AND r.chunk_id = cell.chunk_id GROUP BY ALL)"""
+#: The grid: chunkings, sizes of hashed vectors, methods.
+SIZES, METHODS = (64, 256), ("bm25", "dense", "hybrid", "hybrid_rerank")
 
 
-def grid(spark, sf):
-    """Recall at five of each method, question and half of the questions."""
-    b, h = bm25_ranked(spark, sf, 100), hashed_ranked(spark, sf, 100)
-    lists = {"bm25": b.filter("rank <= 5"), "dense": h.filter("rank <= 5"), "hybrid": R.fuse([b, h], 5)}
-    cells = None
-    for name, ranked in lists.items():
-        part = ranked.select(F.lit(name).alias("method"), "query_id", "chunk_id")
-        cells = part if cells is None else cells.unionByName(part)
-    g = gold(spark, sf).select("query_id", "doc_id").distinct()
-    hit = cells.join(relevant(spark, sf).select("query_id", "doc_id", "chunk_id"), ["query_id", "chunk_id"]).groupBy("method", "query_id").agg(F.countDistinct("doc_id").alias("found"))
-    asked = g.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("method", F.explode(F.array(*[F.lit(m) for m in lists])))
-    return asked.join(hit, ["method", "query_id"], "left").select("method", (F.col("query_id") % 2).alias("half"), "query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall5"))
+def _grid_part(name: str, size: int) -> str:
+    return f"""SELECT '{name}' AS chunking, {size} AS cells, method, query_id, recall5, rr FROM (WITH RECURSIVE {CHUNKING_SQL[name]}, {GOLD}, {RELEVANT}, {BM25}, {_HASHED.replace('% 64', f'% {size}')}, {_FUSED},
+{ranked_sql('rb', 'scored', 5)}, {ranked_sql('rh', 'hashed', 5)}, {ranked_sql('rf', 'fused', 20)}, j AS (SELECT f.query_id, f.chunk_id, f.rank AS prev, list_distinct(q.qt) AS qs, list_distinct(regexp_extract_all(lower(c.text), '{TOK}')) AS cs FROM rf f JOIN q USING (query_id) JOIN chunks c USING (chunk_id)),
+o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(qs, cs)) / len(list_distinct(list_concat(qs, cs))), 6) DESC, prev) AS rank FROM j),
+cell AS (SELECT 'bm25' AS method, query_id, chunk_id, rank FROM rb UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM rh UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM rf WHERE rank <= 5 UNION ALL SELECT 'hybrid_rerank', query_id, chunk_id, rank FROM o WHERE rank <= 5)
+SELECT method, g.query_id, count(DISTINCT CASE WHEN r.chunk_id IS NOT NULL THEN g.doc_id END) / count(DISTINCT g.doc_id) AS recall5, coalesce(max(CASE WHEN r.chunk_id IS NOT NULL THEN 1.0 / cell.rank END), 0)::DOUBLE AS rr
+FROM gold g CROSS JOIN (VALUES ('bm25'), ('dense'), ('hybrid'), ('hybrid_rerank')) mm(method) LEFT JOIN cell USING (method, query_id) LEFT JOIN relevant r ON r.query_id = g.query_id AND r.doc_id = g.doc_id AND r.chunk_id = cell.chunk_id GROUP BY ALL)"""
 
 
-@query("retrieval_grid", f"WITH {CHUNKS}, {GOLD}, {RELEVANT}, {BM25}, {_HASHED}, {_FUSED}, {_CELLS} SELECT method, half, count(*) AS n, round(avg(recall5), 6) AS recall5 FROM grid GROUP BY ALL")
+_GRID = "grid AS (" + " UNION ALL ".join(_grid_part(c, size) for c in CHUNKINGS for size in SIZES) + ")"
+
+
+def grid(spark, sf):
+    """Recall at five and reciprocal rank of each chunking, vector size, method and question."""
+    q, golds, tokens, asked, cells = queries(spark, sf), gold(spark, sf), T.tokens(F.col("text")), F.col("qt"), None
+    for name in CHUNKINGS:
+        c = chunking(spark, sf, name)
+        rel = relevant_of(c.drop("text"), golds).select("query_id", "doc_id", "chunk_id").distinct()
+        b = R.top_k(R.bm25(c, q, tokens, asked, 100), 100, "chunk_id")
+        for size in SIZES:
+            h = R.top_k(R.hashed_search(c, q, tokens, asked, T.md5_int, 100, size), 100, "chunk_id")
+            f = R.fuse([b, h], 20)
+            lists = None
+            for method, ranked in zip(METHODS, (b, h, f, reranked(f, c, q, 5)), strict=True):
+                part = ranked.filter("rank <= 5").select(F.lit(method).alias("method"), "query_id", "chunk_id", "rank")
+                lists = part if lists is None else lists.unionByName(part)
+            hit = lists.join(rel, ["query_id", "chunk_id"]).groupBy("method", "query_id").agg(F.countDistinct("doc_id").alias("found"), F.max(1 / F.col("rank")).alias("rr"))
+            part = hit.select(F.lit(name).alias("chunking"), F.lit(size).alias("cells"), "method", "query_id", "found", "rr")
+            cells = part if cells is None else cells.unionByName(part)
+    n = golds.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    every = F.array(*[F.struct(F.lit(c).alias("chunking"), F.lit(s).alias("cells"), F.lit(m).alias("method")) for c in CHUNKINGS for s in SIZES for m in METHODS])
+    asked_for = n.withColumn("g", F.explode(every)).select("query_id", "n", "g.*")
+    out = asked_for.join(cells, ["chunking", "cells", "method", "query_id"], "left")
+    return out.select("chunking", "cells", "method", "query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall5"), F.coalesce("rr", F.lit(0.0)).alias("rr"))
+
+
+@query("retrieval_grid", f"WITH {_GRID} SELECT chunking, cells, method, count(*) AS n, round(avg(recall5), 6) AS recall5, round(avg(rr), 6) AS mrr FROM grid GROUP BY ALL")
 def retrieval_grid(spark, sf):
-    return grid(spark, sf).groupBy("method", "half").agg(F.count("*").alias("n"), F.round(F.avg("recall5"), 6).alias("recall5"))
+    return grid(spark, sf).groupBy("chunking", "cells", "method").agg(F.count("*").alias("n"), F.round(F.avg("recall5"), 6).alias("recall5"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-@query("factor_decomposition", f"""WITH {CHUNKS}, {GOLD}, {RELEVANT}, {BM25}, {_HASHED}, {_FUSED}, {_CELLS}, c AS (SELECT method, half::VARCHAR AS half, avg(recall5) AS v FROM grid GROUP BY ALL), t AS (SELECT avg(v) AS m, sum((v - (SELECT avg(v) FROM c)) ** 2) AS ss FROM c),
-l AS (SELECT 'method' AS factor, method AS level, avg(v) AS mean, count(*) AS n FROM c GROUP BY method UNION ALL SELECT 'half', half, avg(v), count(*) FROM c GROUP BY half)
+@query("factor_decomposition", f"""WITH {_GRID}, c AS (SELECT chunking, cells::VARCHAR AS cells, method, avg(recall5) AS v FROM grid GROUP BY ALL), t AS (SELECT avg(v) AS m, sum((v - (SELECT avg(v) FROM c)) ** 2) AS ss FROM c),
+l AS (SELECT 'method' AS factor, method AS level, avg(v) AS mean, count(*) AS n FROM c GROUP BY method UNION ALL SELECT 'embedding', cells, avg(v), count(*) FROM c GROUP BY cells UNION ALL SELECT 'chunking', chunking, avg(v), count(*) FROM c GROUP BY chunking)
 SELECT factor, count(*) AS levels, round(max(mean) - min(mean), 6) AS spread, round(sum(n * (mean - m) ** 2) / nullif(max(ss), 0), 6) AS share FROM l, t GROUP BY factor""")
 def factor_decomposition(spark, sf):
-    """Share of the variance between cells that each factor's level means explain (a balanced grid)."""
-    c = grid(spark, sf).groupBy("method", F.col("half").cast("string").alias("half")).agg(F.avg("recall5").alias("v"))
-    t = c.agg(F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("ss"))
-    levels = c.groupingSets([["method"], ["half"]], "method", "half").agg(F.avg("v").alias("mean"), F.count("*").alias("n"), F.grouping("method").alias("other"))
-    named = levels.crossJoin(F.broadcast(t)).withColumn("factor", F.when(F.col("other") == 0, "method").otherwise("half"))
-    d = F.col("mean") - F.col("m")
-    return named.groupBy("factor").agg(F.count("*").alias("levels"), F.round(F.max("mean") - F.min("mean"), 6).alias("spread"), F.round(F.try_divide(F.sum(F.col("n") * d * d), F.max("ss")), 6).alias("share"))
+    """Share of the variance between the grid's cells that the level means of chunking, embedding and method explain."""
+    c = grid(spark, sf).groupBy("chunking", F.col("cells").cast("string").alias("cells"), "method").agg(F.avg("recall5").alias("v"))
+    level = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(k).alias("level")) for f, k in (("chunking", "chunking"), ("embedding", "cells"), ("method", "method"))])).alias("l")
+    # The sums for the whole are taken along, so that the grid is made once.
+    levels = c.select("v", level).groupBy("l.factor", "l.level").agg(F.avg("v").alias("mean"), F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2"))
+    n, s1, s2 = F.sum("n"), F.sum("s"), F.sum("s2")
+    between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - s1 * s1 / n
+    ss = F.when(s2 - s1 * s1 / n > 1e-12, s2 - s1 * s1 / n)
+    return levels.groupBy("factor").agg(F.count("*").alias("levels"), F.round(F.max("mean") - F.min("mean"), 6).alias("spread"), F.round(between / ss, 6).alias("share"))
+
+
+@query("retrieval_winner", f"""WITH {_GRID}, c AS (SELECT chunking || '/' || cells || '/' || method AS cell, round(avg(recall5), 6) AS recall5, round(avg(rr), 6) AS mrr FROM grid GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY recall5 DESC, mrr DESC, cell) AS place FROM c),
+p AS (SELECT k.place, g.query_id, g.recall5 AS v FROM grid g JOIN k ON k.cell = g.chunking || '/' || g.cells || '/' || g.method WHERE k.place <= 6), u AS (SELECT b.place, b.query_id, a.v - b.v AS total, 1 AS weight FROM p a JOIN p b ON a.query_id = b.query_id AND a.place = 1 AND b.place > 1),
+{draw_sql(31, 'u', 'place', 'query_id')}, i AS (SELECT place, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, round(avg((round(mean, 9) <= 0)::INT), 6) AS p_not_better FROM rep GROUP BY 1)
+SELECT k.place::INT AS place, cell, recall5, mrr, lo, hi, p_not_better FROM k LEFT JOIN i USING (place) WHERE k.place <= 6""")
+def retrieval_winner(spark, sf):
+    """The best cells of the grid, and the first against each of the next five by a paired bootstrap over questions (a report of six rows)."""
+    g = grid(spark, sf).withColumn("cell", F.concat_ws("/", "chunking", F.col("cells").cast("string"), "method"))
+    c = g.groupBy("cell").agg(F.round(F.avg("recall5"), 6).alias("recall5"), F.round(F.avg("rr"), 6).alias("mrr"))
+    k = c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("recall5"), F.desc("mrr"), "cell"))).filter("place <= 6")
+    p = g.select("cell", "query_id", F.col("recall5").alias("v")).join(F.broadcast(k.select("cell", "place")), "cell")
+    first = p.filter("place = 1").select("query_id", F.col("v").alias("best"))
+    u = p.filter("place > 1").join(first, "query_id").select("place", "query_id", (F.col("best") - F.col("v")).alias("total"), F.lit(1).alias("weight"))
+    rep = S.resample_means(u, "query_id", ["place"], 31, RESAMPLES)
+    i = S.percentile_interval(rep, ["place"]).join(rep.groupBy("place").agg(F.round(F.avg((F.round("mean", 9) <= 0).cast("int")), 6).alias("p_not_better")), "place")
+    return k.join(i, "place", "left").select("place", "cell", "recall5", "mrr", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "p_not_better")
 
 
 @query("dense_relevance", f"WITH {_DENSE}, {ranked_sql('r', 'dense', 10, 'item_id')} SELECT query_id, round(avg(same::INT), 6) AS precision_at_10, coalesce(round(1.0 / min(CASE WHEN same AND item_id <> query_id THEN rank END), 6), 0)::DOUBLE AS rr FROM r GROUP BY query_id")

@@ -243,15 +243,6 @@ def generation_arm_summary(spark, sf):
     return traces(spark, sf).groupBy("condition", "model", "prompt").agg(flag(F.col("status") != "unparsed").alias("parse_rate"), flag(F.col("status") == "declined").alias("abstain_rate"), r6(F.avg(F.bit_count("cited_bits"))).alias("mean_citations"), r6(F.avg("confidence")).alias("mean_confidence"), F.median("confidence").alias("median_confidence"), F.sum("n_claims").alias("claims"))
 
 
-@query("request_log", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sha256(string_agg(event_id || ':' || event_type, ',' ORDER BY event_id)) AS digest FROM events GROUP BY 1")
-def request_log(spark, sf):
-    """Daily request logs: rows as JSON lines, summed up by day."""
-    e = table(spark, sf, "events").select("ts", F.to_json(F.struct("event_id", "event_type")).alias("line"))
-    back = e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.from_json("line", "event_id long, event_type string").alias("r"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r.event_id", "r.event_type"))), lambda x: F.concat(x.event_id.cast("string"), F.lit(":"), x.event_type)), ",")
-    return back.groupBy("day").agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("digest"))
-
-
 @query("events_latency_windows", "SELECT event_type, epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS window_start, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS slowest FROM events GROUP BY ALL")
 def events_latency_windows(spark, sf):
     """Tumbling windows of an hour; the streaming twin is ``streaming.events.latency_windows``."""

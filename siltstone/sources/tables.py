@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import dense, top_k
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under the one the cluster names; a temporary one on a single machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_chunks(chunks: DataFrame, folder: str) -> None:
     """One folder per chunking strategy; a scan of one strategy reads only its folder."""
     chunks.write.mode("overwrite").partitionBy("strategy").parquet(folder)
