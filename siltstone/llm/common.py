@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with texts of some 100 kB at most a batch stays within some 100 MB.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch; documents of usual length make a batch of some megabytes.
+BATCH_ROWS = 1000
 #: Bytes of an Arrow batch, whatever its rows (documents may be very long).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,7 +28,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a data folder; a small one, read in fewer splits than there are cores, is dealt out to them."""
+    rows = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext._jsc.sc().getCheckpointDir()
         if context.isDefined():
             return context.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(where)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
