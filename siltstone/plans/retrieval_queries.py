@@ -250,8 +250,9 @@ def chunk_gold_relevance(spark, sf):
 
 @query("relevant_in_corpus", f"WITH {CHUNKS}, {GOLD}, {RELEVANT} SELECT g.query_id, count(DISTINCT r.chunk_id) AS n_relevant, count(DISTINCT CASE WHEN r.chunk_id IS NOT NULL THEN g.doc_id END) AS n_reachable FROM gold g LEFT JOIN relevant r ON r.query_id = g.query_id AND r.doc_id = g.doc_id GROUP BY 1")
 def relevant_in_corpus(spark, sf):
-    r = relevant(spark, sf).select("query_id", "doc_id", "chunk_id")
-    joined = gold(spark, sf).select("query_id", "doc_id").join(r, ["query_id", "doc_id"], "left")
+    golds = gold(spark, sf)
+    r = relevant_of(chunks(spark, sf).drop("text"), golds).select("query_id", "doc_id", "chunk_id")
+    joined = golds.select("query_id", "doc_id").join(r, ["query_id", "doc_id"], "left")
     return joined.groupBy("query_id").agg(F.countDistinct("chunk_id").alias("n_relevant"), F.countDistinct(F.when(F.col("chunk_id").isNotNull(), F.col("doc_id"))).alias("n_reachable"))
 
 
@@ -411,15 +412,20 @@ def metrics(ranked, rel, golds, depth=20, ks=(1, 3, 5, 10, 20)):
     )
 
 
+def bm25_metrics(spark, sf):
+    golds = gold(spark, sf)
+    return metrics(bm25_ranked(spark, sf, 20), relevant_of(chunks(spark, sf).drop("text"), golds), golds)
+
+
 @query("retrieval_metrics_at_k", f"WITH {CHUNKS}, {GOLD}, {RELEVANT}, {BM25}, {_METRICS} SELECT * FROM metrics")
 def retrieval_metrics_at_k(spark, sf):
-    return metrics(bm25_ranked(spark, sf, 20), relevant(spark, sf), gold(spark, sf))
+    return bm25_metrics(spark, sf)
 
 
 @query("mean_retrieval_metrics", f"WITH {CHUNKS}, {GOLD}, {RELEVANT}, {BM25}, {_METRICS} SELECT k, count(*) AS n_questions, round(avg(recall), 5) AS recall, round(avg(precision_at), 5) AS precision_at, round(avg(rr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg, round(avg(doc_hit::INT), 5) AS doc_hit FROM metrics GROUP BY k")
 def mean_retrieval_metrics(spark, sf):
     """The flagship: what share of the gold evidence lexical search puts in the top k."""
-    m = metrics(bm25_ranked(spark, sf, 20), relevant(spark, sf), gold(spark, sf))
+    m = bm25_metrics(spark, sf)
     mean = lambda c: F.round(F.avg(c), 5)
     return m.groupBy("k").agg(F.count("*").alias("n_questions"), mean("recall").alias("recall"), mean("precision_at").alias("precision_at"), mean("rr").alias("mrr"), mean("ndcg").alias("ndcg"), mean(F.col("doc_hit").cast("int")).alias("doc_hit"))
 
