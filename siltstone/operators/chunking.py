@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,18 +63,39 @@ def packed(blocks: DataFrame, most: int = 1024, table_alone: bool = False) -> Da
     ``blocks``: doc_id, pos, section, is_table, char_start, char_end.  Only bounds enter
     the fold, so a group is the offsets of one document, never its text.
     """
-    b = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "is_table", "char_start", "char_end"))).alias("b"))
-    state = "struct<first: bigint, section: string, table: boolean, chunk: int, of: array<int>>"
-    empty = F.from_json(F.lit('{"first": -1, "chunk": -1, "of": [], "table": false}'), state)
-
-    def step(s, x):
-        other = ~s.section.eqNullSafe(x.section)
-        cut = (s["first"] < 0) | other | (x.char_end - s["first"] > most)
-        if table_alone:
-            cut = cut | x.is_table | s.table
-        chunk = s.chunk + cut.cast("int")
-        return F.struct(F.when(cut, x.char_start).otherwise(s["first"]).alias("first"), x.section.alias("section"), x.is_table.alias("table"), chunk.alias("chunk"), F.concat(s.of, F.array(chunk)).alias("of"))
-
-    folded = b.select("doc_id", "b", F.aggregate("b", empty, step, lambda s: s.of).alias("of"))
-    rows = folded.select("doc_id", F.explode(F.arrays_zip("b", "of")).alias("r"))
-    return rows.groupBy("doc_id", F.col("r.of").alias("place")).agg(F.min("r.b.char_start").alias("char_start"), F.max("r.b.char_end").alias("char_end"), F.min_by("r.b.section", "r.b.pos").alias("section"), F.bool_or("r.b.is_table").alias("is_table"), F.count("*").alias("n_blocks"))
+    parts = ("pos", "section", "is_table", "char_start", "char_end")
+    b = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("b"))
+    kind = dict(blocks.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, place int, char_start long, char_end long, section string, is_table boolean, n_blocks long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()]
+
+    def chunks_of(rows) -> Iterator[tuple]:
+        first = None  # the block that opened the chunk, its last end, whether it has a table, its number of blocks
+        for _, section, table, start, end in rows:
+            if first is not None and section == first[0] and end - first[1] <= most and not (table_alone and (table or last_table)):
+                stop, any_table, n = max(stop, end), any_table or table, n + 1
+            else:
+                if first is not None:
+                    yield first[1], stop, first[0], any_table, n
+                first, stop, any_table, n = (section, start), end, table, 1
+            last_table = table
+        if first is not None:
+            yield first[1], stop, first[0], any_table, n
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("b")
+            fields = [lists.flatten().field(c).to_pylist() for c in parts]
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            rows, owners, begin = [], [], 0
+            for d, end in enumerate(ends):
+                for place, chunk in enumerate(chunks_of(zip(*(f[begin:end] for f in fields), strict=True))):
+                    rows.append((place, *chunk))
+                    owners.append(d)
+                begin = end
+            if rows:
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owners)), *cols], names)
+
+    return b.mapInArrow(run, schema)
