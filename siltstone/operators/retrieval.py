@@ -97,13 +97,13 @@ def bm25(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Co
         rows, avgdl = term_weights(chunks, block, tokens, query_tokens)
         terms, asked = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
         place, spot = {q: i for i, q in enumerate(asked)}, {t: i for i, t in enumerate(terms)}
-        weight = np.zeros((len(asked), len(terms)))
+        weight, has = np.zeros((len(asked), len(terms))), np.zeros((len(terms), len(asked)), np.float32)  # a weight may be zero
         for q, term, w in rows:
-            weight[place[q], spot[term]] = w
-        shared = spark.sparkContext.broadcast((asked, terms, weight, avgdl))
+            weight[place[q], spot[term]], has[spot[term], place[q]] = w, 1
+        shared = spark.sparkContext.broadcast((asked, terms, weight, has, avgdl))
 
         def score(batch: pa.RecordBatch, shared=shared) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            asked, terms, weight, avgdl = shared.value
+            asked, terms, weight, has, avgdl = shared.value
             lists = batch.column("t")
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             term = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -111,7 +111,6 @@ def bm25(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Co
             key, tf = np.unique(row * max(len(terms), 1) + term[term >= 0], return_counts=True)
             row, term = key // max(len(terms), 1), key % max(len(terms), 1)
             part = saturation(tf, sizes[row], avgdl)
-            has = (weight != 0).T.astype(np.float32)
             step = max(1, PAIRS // max(len(terms), len(asked), 1))
             for a in range(0, len(sizes), step):
                 low, high = np.searchsorted(row, [a, a + step])

@@ -174,6 +174,71 @@ def test_top_k_and_fusion(spark):
     assert [r.chunk_id for r in R.fuse([a, b], 3).orderBy("rank").collect()] == [20, 10, 30]
 
 
+def slow_bm25(chunks, queries):
+    """{(query, chunk): score} of the pairs that share a term, one pair at a time."""
+    n, avg = len(chunks), sum(len(t) for t in chunks.values()) / len(chunks)
+    df = {}
+    for t in chunks.values():
+        for term in set(t):
+            df[term] = df.get(term, 0) + 1
+    idf = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    out = {}
+    for q, terms in queries.items():
+        for c, t in chunks.items():
+            if set(terms) & set(t):
+                out[q, c] = sum((idf[x] if idf[x] >= 0 else 0.25 * mean) * t.count(x) * 2.5 / (t.count(x) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for x in terms if x in df)
+    return out
+
+
+@pytest.mark.parametrize("block, pairs", [(2000, 1 << 20), (2, 7)])
+def test_bm25_equals_slow_scores(spark, monkeypatch, block, pairs):
+    """Repeated terms, terms that most chunks have, ties, empty chunks and questions; in one block and in several."""
+    import random
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    monkeypatch.setattr(R, "PAIRS", pairs)
+    rng = random.Random(5)
+    chunks = {i: [rng.choice("aaabcdefgh") for _ in range(rng.randrange(0, 12))] for i in range(60)}
+    queries = {i: [rng.choice("abcdxyh") for _ in range(rng.randrange(0, 5))] for i in range(7)}
+    c = spark.createDataFrame([(i, " ".join(t)) for i, t in chunks.items()], "chunk_id long, text string").repartition(5)
+    q = spark.createDataFrame([(i, t) for i, t in queries.items()], "query_id long, qt array<string>")
+    tokens, asked, want = T.tokens(F.col("text")), F.col("qt"), slow_bm25(chunks, queries)
+    best = lambda scores, k: {(i, c): (round(s, 6), r) for i in queries for r, (s, c) in enumerate(sorted(((s, c) for (j, c), s in scores.items() if j == i), key=lambda x: (-round(x[0], 6), x[1]))[:k], 1)}
+    found = R.top_k(R.bm25(c, q, tokens, asked, 4), 4, "chunk_id").collect()
+    assert {(r.query_id, r.chunk_id): (round(r.score, 6), r["rank"]) for r in found} == best(want, 4)
+    every = {(r.query_id, r.chunk_id): r.score for r in R.bm25_pairs(c, c, q, tokens, asked).collect()}
+    assert every.keys() == want.keys() and all(abs(every[k] - want[k]) < 1e-5 for k in want)
+    filled = R.top_k(R.with_zero_scores(R.bm25(c, q, tokens, asked, 60), c, q, tokens, asked, 60), 60, "chunk_id").collect()
+    assert {(r.query_id, r.chunk_id): (round(r.score, 6), r["rank"]) for r in filled} == best({(i, c): want.get((i, c), 0.0) for i in queries if queries[i] for c in chunks}, 60) | {(r.query_id, r.chunk_id): (0.0, r["rank"]) for r in filled if not queries[r.query_id]}
+    none = R.bm25(c.filter("false"), q, tokens, asked, 4).count() + R.bm25(c, q.filter("false"), tokens, asked, 4).count()
+    assert none == 0
+
+
+def test_hashed_search_equals_slow_products(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    texts = {i: [f"t{(i * 7 + j * j) % 23}" for j in range(i % 6)] for i in range(40)}
+    asked = {i: texts[i * 5 + 1] for i in range(5)}
+    cell = lambda t: int(t[1:]) % 8
+    vector = lambda ts: [sum(cell(t) == k for t in ts) for k in range(8)]
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v] if any(v) else v
+    scores = {(q, c): sum(x * y for x, y in zip(unit(vector(a)), unit(vector(b)), strict=True)) for q, a in asked.items() for c, b in texts.items()}
+    c = spark.createDataFrame([(i, t) for i, t in texts.items()], "chunk_id long, t array<string>").repartition(3)
+    q = spark.createDataFrame([(i, t) for i, t in asked.items()], "query_id long, qt array<string>")
+    found = R.top_k(R.hashed_search(c, q, F.col("t"), F.col("qt"), lambda x: F.substring(x, 2, 9).cast("int"), 3, 8), 3, "chunk_id").collect()
+    want = {(i, c) for i in asked for _, c in sorted((-round(scores[i, c], 6), c) for c in texts if scores[i, c] > 0)[:3]}
+    assert {(r.query_id, r.chunk_id) for r in found} == want
+
+
+def test_plain_windows(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "é😀"[i % 2] for i in range(233))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x"), (5, text[:30]), (6, "a\nb" * 9)], "doc_id long, text string")
+    for size, lap in ((20, 5), (10, 8), (30, 0)):
+        got = sorted(tuple(r) for r in C.plain_windows(docs, size, lap).select("doc_id", "char_start", "char_end", "text").collect())
+        want = [(d, s, min(s + size, len(t)), t[s : s + size]) for d, t in ((1, text), (4, "x"), (5, text[:30]), (6, "a\nb" * 9)) for s in range(0, len(t), size - lap) if s == 0 or s + lap < len(t)]
+        assert got == sorted(want)
+
+
 def test_union_length(spark):
     iv = spark.createDataFrame([(1, 0, 60), (1, 40, 80), (1, 90, 95)], "k int, s long, e long")
     assert R.union_length(iv, ["k"]).first().covered == 85
