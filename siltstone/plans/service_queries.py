@@ -25,11 +25,12 @@ def pieces(rows, wanted, key):
 _NORM = "regexp_replace(upper({x}), '[^A-Z0-9]', '', 'g')"
 
 
-@query("entity_resolution_cascade", f"""WITH asked AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN s_name WHEN 1 THEN s_suppkey::VARCHAR WHEN 2 THEN lower(s_name) || '.' WHEN 3 THEN s_name || ' International' ELSE 'Nobody' || c_custkey END AS q FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)),
+@query("entity_resolution_cascade", f"""WITH size AS MATERIALIZED (SELECT count(*) AS n FROM supplier), asked AS MATERIALIZED (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN s_name WHEN 1 THEN s_suppkey::VARCHAR WHEN 2 THEN lower(s_name) || '.' WHEN 3 THEN s_name || ' International' ELSE 'Nobody' || c_custkey END AS q FROM (SELECT c_custkey, c_custkey % n AS own FROM customer, size) JOIN supplier ON s_suppkey = own),
 t AS (SELECT s_suppkey AS cik, s_name AS title, s_suppkey::VARCHAR AS ticker, {_NORM.format(x='s_name')} AS k FROM supplier),
 a AS (SELECT *, {_NORM.format(x='q')} AS k FROM asked), o AS (SELECT id, 99999 AS cik, 'override' AS method, 0 AS p FROM a WHERE q = 'Nobody4'),
 m AS (SELECT * FROM o UNION ALL SELECT a.id, t.cik, 'ticker', 1 FROM a JOIN t ON a.q = t.ticker UNION ALL SELECT a.id, t.cik, 'title_exact', 2 FROM a JOIN t USING (k)
- UNION ALL SELECT a.id, t.cik, 'title_substring', 3 FROM a JOIN t ON length(a.k) >= 5 AND length(t.k) >= 5 AND (contains(a.k, t.k) OR contains(t.k, a.k))),
+ UNION ALL SELECT p.id, t.cik, 'title_substring', 3 FROM (SELECT DISTINCT id, substr(k, i::BIGINT, n) AS piece FROM (SELECT id, k, n, unnest(range(1, length(k) - n + 2)) AS i FROM a, (SELECT DISTINCT length(k) AS n FROM t WHERE length(k) >= 5) WHERE length(k) >= n)) p JOIN t ON t.k = p.piece
+ UNION ALL SELECT a.id, p.cik, 'title_substring', 3 FROM (SELECT DISTINCT cik, substr(k, i::BIGINT, n) AS piece FROM (SELECT cik, k, n, unnest(range(1, length(k) - n + 2)) AS i FROM t, (SELECT DISTINCT length(k) AS n FROM a WHERE length(k) >= 5) WHERE length(k) >= n)) p JOIN a ON a.k = p.piece),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, cik) AS r FROM m) SELECT asked.id, b.cik::BIGINT AS cik, coalesce(b.method, 'unresolved') AS method FROM asked LEFT JOIN b ON b.id = asked.id AND b.r = 1""")
 def entity_resolution_cascade(spark, sf):
     """Override, ticker, equal normal form, containment; each step sees only what the ones before left."""
