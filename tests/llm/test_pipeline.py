@@ -58,7 +58,7 @@ def test_near_copies_from_eighty_percent(spark, frame):
 def folder(spark, tmp_path_factory):
     """Labels and a benchmark for the stages: two hostile words, one item."""
     where = tmp_path_factory.mktemp("stages")
-    labels = [(i, 1, i % 2) for i in range(200)]
+    labels = [(i, 1, i % 2) for i in range(100, 200)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(20)), "x"), (2, None, "x"), (3, "yes", "x")], "item_id long, text string, doc_id string").write.parquet(f"{where}/benchmark.parquet")
     return str(where)
