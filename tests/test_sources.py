@@ -46,12 +46,12 @@ def test_request_key_ignores_parameter_order(spark):
 
 @pytest.mark.parametrize("answer, label", [("$1.5 billion", "correct"), ("1,500", "correct"), ("1,500,000", "unit_error"), ("$1,600 million", "incorrect"), ("none", None)])
 def test_numeric_grades(answer, label):
-    g = G.grade_numeric(answer, 1500.0, 1e6, 2)
+    g = G.grade_numeric(answer, G.Gold(1500.0, 1e6, "currency", 2))
     assert g["label"] == label
     if answer == "$1,600 million":
         assert g["sensitivity"][0.1] == "correct"
 
 
 def test_zero_gold_has_no_unit_error():
-    assert G.grade_numeric("$0.3 million", 0.0, 1e6, 2)["label"] == "incorrect"
+    assert G.grade_numeric("$0.3 million", G.Gold(0.0, 1e6, "currency", 2))["label"] == "incorrect"
     assert G.verdict_schema(["C1"])["items"]["additionalProperties"] is False
