@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Chunk ids of a document start at its id times this many: enough for texts of four thousand million characters.
+CHUNK_IDS = 10_000_000
+
+
 def plain_windows(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """Windows at fixed steps; a tail that the window before already holds is left out."""
     if overlap >= size:
@@ -23,7 +27,7 @@ def plain_windows(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFr
     starts = F.greatest(F.ceil((F.col("n") - overlap) / step), F.lit(1)).cast("int")
     rows = cut.select("doc_id", "n", F.posexplode(F.slice(windows, F.lit(1), starts)).alias("i", "text"))
     start = F.col("i").cast("bigint") * step
-    return rows.select("doc_id", (F.col("doc_id") * 100000 + F.col("i")).alias("chunk_id"), start.alias("char_start"), F.least(start + size, F.col("n")).cast("bigint").alias("char_end"), "text")
+    return rows.select("doc_id", (F.col("doc_id") * CHUNK_IDS + F.col("i")).alias("chunk_id"), start.alias("char_start"), F.least(start + size, F.col("n")).cast("bigint").alias("char_end"), "text")
 
 
 def snapped_bounds(text: str, size: int = 512, overlap: int = 64) -> Iterator[tuple[int, int]]:

@@ -15,7 +15,7 @@ from .evaluation_queries import RESAMPLES, draw_sql
 from .text_queries import line_blocks, with_offsets
 
 TOK = "[a-z]+|[0-9]+(?:[.][0-9]+)?"
-CHUNKS = """chunks AS (SELECT doc_id, doc_id * 100000 + s // 448 AS chunk_id, s AS char_start, least(s + 512, length(text))::BIGINT AS char_end, substr(text, (s + 1)::BIGINT, 512) AS text
+CHUNKS = """chunks AS (SELECT doc_id, doc_id * 10000000 + s // 448 AS chunk_id, s AS char_start, least(s + 512, length(text))::BIGINT AS char_end, substr(text, (s + 1)::BIGINT, 512) AS text
   FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 448)) AS s FROM documents WHERE length(text) > 0) WHERE s = 0 OR s + 64 < length(text))"""
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id, (instr(d.text, b.text) - 1)::BIGINT AS gold_start, (instr(d.text, b.text) - 1 + length(b.text))::BIGINT AS gold_end FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 RELEVANT = """rel AS (SELECT g.query_id, c.chunk_id, c.doc_id, g.gold_start, g.gold_end, greatest(least(c.char_end, g.gold_end) - greatest(c.char_start, g.gold_start), 0) AS ov, c.char_start, c.char_end FROM chunks c JOIN gold g ON c.doc_id = g.doc_id),
@@ -98,7 +98,7 @@ def chunk_fixed_snapped(spark, sf):
 
 #: Chunkings that the grid and the statistics compare.
 CHUNKINGS = ("plain512", "plain256", "snapped512")
-_SNAPPED_CHUNKS = SQL["chunk_fixed_snapped"].removeprefix("WITH RECURSIVE ").rsplit("SELECT doc_id, place", 1)[0].rstrip() + """, chunks AS (SELECT doc_id, doc_id * 100000 + place AS chunk_id, s AS char_start, e AS char_end, substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS text FROM w)"""
+_SNAPPED_CHUNKS = SQL["chunk_fixed_snapped"].removeprefix("WITH RECURSIVE ").rsplit("SELECT doc_id, place", 1)[0].rstrip() + """, chunks AS (SELECT doc_id, doc_id * 10000000 + place AS chunk_id, s AS char_start, e AS char_end, substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS text FROM w)"""
 CHUNKING_SQL = dict(zip(CHUNKINGS, (CHUNKS, CHUNKS.replace("512", "256").replace("448", "224").replace("s + 64", "s + 32"), _SNAPPED_CHUNKS), strict=True))
 
 
@@ -106,7 +106,7 @@ def chunking(spark, sf, name):
     docs = table(spark, sf, "documents")
     if name == "snapped512":
         rows = C.snapped_windows(docs, with_text=True)
-        return rows.select("doc_id", (F.col("doc_id") * 100000 + F.col("place")).alias("chunk_id"), "char_start", "char_end", "text")
+        return rows.select("doc_id", (F.col("doc_id") * C.CHUNK_IDS + F.col("place")).alias("chunk_id"), "char_start", "char_end", "text")
     return C.plain_windows(docs, 256, 32) if name == "plain256" else C.plain_windows(docs)
 
 
@@ -281,7 +281,7 @@ def own_scores(c, q, own):
     """Scores of the chunks of the documents of ``own`` (weights are those of the whole corpus), with their doc_id."""
     tokens = T.tokens(F.col("text"))
     mine = c.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
-    return R.bm25_pairs(mine, c, q, tokens, F.col("qt")).withColumn("doc_id", F.floor(F.col("chunk_id") / 100000))
+    return R.bm25_pairs(mine, c, q, tokens, F.col("qt")).withColumn("doc_id", F.floor(F.col("chunk_id") / C.CHUNK_IDS))
 
 
 @query("scoped_topk", f"WITH {CHUNKS}, {GOLD}, {BM25}, own AS (SELECT s.query_id, s.chunk_id, s.score FROM scored s JOIN chunks c USING (chunk_id) WHERE (s.query_id, c.doc_id) IN (SELECT query_id, doc_id FROM gold)), {ranked_sql('r', 'own', 3)} SELECT query_id, chunk_id, score, rank::INT AS rank FROM r")
@@ -393,7 +393,7 @@ def metrics(ranked, rel, golds, depth=20, ks=(1, 3, 5, 10, 20)):
     per_gold = ranked.join(rel.select("query_id", "chunk_id", "doc_id"), ["query_id", "chunk_id"])
     firsts = per_gold.groupBy("query_id", "doc_id").agg(F.min("rank").alias("r")).groupBy("query_id").agg(F.collect_list("r").alias("firsts"))
     hits = per_gold.groupBy("query_id").agg(F.collect_set("rank").alias("hits"))
-    in_doc = ranked.withColumn("doc_id", F.floor(F.col("chunk_id") / 100000)).join(golds.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_doc"))
+    in_doc = ranked.withColumn("doc_id", F.floor(F.col("chunk_id") / C.CHUNK_IDS)).join(golds.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_doc"))
     n = golds.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     n_rel = rel.groupBy("query_id").agg(F.countDistinct("chunk_id").alias("n_rel"))
     q = n

@@ -91,7 +91,7 @@ def test_oracle_context_below_rank_100(spark, tmp_path):
     gold = "zz " * 400 + item + " zz" * 400
     sf = put(spark, tmp_path, [(words + " ") * 8 for _ in range(120)] + [gold], [item])
     rows = PLANS["oracle_context_filing"](spark, sf).collect()
-    assert {r.chunk_id // 100000 for r in rows} == {121} and len(rows) == 5
+    assert {r.chunk_id // 10_000_000 for r in rows} == {121} and len(rows) == 5
     # The item ends at 1,247: windows of 512 every 448, of which that from 896 holds it.
-    assert [(r.chunk_id % 100000, r["class"]) for r in rows if r["class"] < 2] == [(2, 0)]
+    assert [(r.chunk_id % 10_000_000, r["class"]) for r in rows if r["class"] < 2] == [(2, 0)]
     assert sorted(r.place for r in rows) == [1, 2, 3, 4, 5]
