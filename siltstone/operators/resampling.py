@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 from ..functions.text import md5_int
 
 
+def _width(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def resampled(units: DataFrame, key: str, by: Sequence[str], seed: int, resamples: int) -> DataFrame:
     """``resamples`` draws with replacement from the units of every group: the columns of a unit with the draw's number b.
 
@@ -25,7 +29,8 @@ def resampled(units: DataFrame, key: str, by: Sequence[str], seed: int, resample
     by = list(by)
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     numbered = units.withColumn("_j", F.row_number().over(w.orderBy(key)) - 1).withColumn("_k", F.count("*").over(w))
-    draws = numbered.select(*by, "_j", "_k").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    # Few rows stand for many draws: they are dealt out by number, not by size.
+    draws = numbered.select(*by, "_j", "_k").repartition(_width(units), *by, "_j").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draws = draws.select(*by, "b", (md5_int(F.lit(str(seed)), F.col("b").cast("string"), F.col("_j").cast("string")) % F.col("_k")).cast("int").alias("_j"))
     return draws.join(numbered.drop("_k"), [*by, "_j"]).drop("_j")
 
@@ -57,7 +62,7 @@ def permuted(rows: DataFrame, value: str, strata: Sequence[str], key: str, seed:
     strata = list(strata)
     w = Window.partitionBy(*strata).orderBy(key)
     fixed = rows.withColumn("n", F.row_number().over(w)).drop(value)
-    copies = rows.select(*strata, key, value).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    copies = rows.select(*strata, key, value).repartition(_width(rows), key).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = md5_int(F.lit(str(seed)), F.col("b").cast("string"), F.col(key).cast("string"))
     dealt = copies.withColumn("n", F.row_number().over(Window.partitionBy(*strata, "b").orderBy(order, key))).select(*strata, "b", "n", value)
     return fixed.join(dealt, [*strata, "n"])
