@@ -231,11 +231,21 @@ def load_levels(spark, sf):
 @query("distribution_summary", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(n) AS n, round(quantile_cont(value, 0.95), 6) AS p95_linear, round(max(CASE WHEN i = greatest(1, round_even(0.95 * n, 0)) THEN value END), 6) AS p95_bankers, round(max(CASE WHEN i = greatest(1, floor(0.95 * n)) THEN value END), 6) AS p95_floor FROM r GROUP BY 1""")
 def distribution_summary(spark, sf):
-    """Three definitions of the 95th percentile: linear, index by banker's rounding, index by floor."""
+    """Three definitions of the 95th percentile: linear, index by banker's rounding, index by floor.
+
+    Values are counted by their whole part first; only the parts that hold a wanted index
+    are put in order, so that no task orders a whole event type.
+    """
+    e = table(spark, sf, "events").select("event_type", "event_id", "value", F.floor("value").alias("part"))
     w = Window.partitionBy("event_type")
-    r = table(spark, sf, "events").select("event_type", "value", F.row_number().over(w.orderBy("value", "event_id")).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda i: r6(F.max(F.when(F.col("i") == F.greatest(F.lit(1), i), F.col("value"))))
-    return r.groupBy("event_type").agg(F.max("n").alias("n"), r6(F.percentile("value", 0.95)).alias("p95_linear"), at(F.bround(F.lit(0.95) * F.col("n"), 0)).alias("p95_bankers"), at(F.floor(F.lit(0.95) * F.col("n"))).alias("p95_floor"))
+    parts = e.groupBy("event_type", "part").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(w)).withColumn("before", F.sum("c").over(w.orderBy("part")) - F.col("c"))
+    index = {"bankers": F.bround(F.lit(0.95) * F.col("n"), 0), "floor": F.floor(F.lit(0.95) * F.col("n"))}
+    parts = parts.select("event_type", "part", "n", "c", "before", *[F.greatest(F.lit(1), i).cast("long").alias(k) for k, i in index.items()])
+    inside = lambda k: (F.col(k) > F.col("before")) & (F.col(k) <= F.col("before") + F.col("c"))
+    ordered = e.join(parts.filter(inside("bankers") | inside("floor")), ["event_type", "part"]).withColumn("i", F.row_number().over(Window.partitionBy("event_type", "part").orderBy("value", "event_id")) + F.col("before"))
+    at = lambda k: r6(F.max(F.when(F.col("i") == F.col(k), F.col("value")))).alias(f"p95_{k}")
+    linear = e.groupBy("event_type").agg(r6(F.percentile("value", 0.95)).alias("p95_linear"))
+    return ordered.groupBy("event_type").agg(F.max("n").alias("n"), at("bankers"), at("floor")).join(linear, "event_type").select("event_type", "n", "p95_linear", "p95_bankers", "p95_floor")
 
 
 @query("generation_arm_summary", f"WITH {TRACES_SQL} SELECT condition, model, prompt, round(avg((status <> 'unparsed')::INT), 6) AS parse_rate, round(avg((status = 'declined')::INT), 6) AS abstain_rate, round(avg(bit_count(cited_bits)), 6) AS mean_citations, round(avg(confidence), 6) AS mean_confidence, median(confidence) AS median_confidence, sum(n_claims)::BIGINT AS claims FROM traces GROUP BY ALL")
