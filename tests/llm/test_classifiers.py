@@ -52,6 +52,32 @@ def test_odd_rows(frame, judged, odd_texts, module):
     assert len({r.score for r in empty}) == 1
 
 
+WORDLESS = [None, "", " \n\t ", "12, 34!", "…" * 3]
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_texts_without_words(spark, frame, judged, module):
+    """Alone in their batches, and as labelled rows that are learnt from."""
+    docs, labels, _ = judged
+    odd = [i for i in range(1000, 1100) if not held(i)][: 2 * len(WORDLESS)]
+    texts = list(zip(odd, WORDLESS * 2, strict=True))
+    told = labels.unionByName(spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate(odd)], "doc_id long, quality int, toxic int"))
+    alone = frame(texts).repartition(len(texts), "doc_id").unionByName(frame([(1, "plain word1 and word2")]))
+    got = {r.doc_id: r for r in module.score_documents(docs.select("doc_id", "text").unionByName(alone.select("doc_id", "text")), told).collect()}
+    assert all(0 <= got[i].score <= 1 for i in odd) and len(got) == 900 + len(odd)
+    assert len({got[i].score for i in odd[:3]}) == 1
+    only_odd = module.score_documents(alone, told.join(alone.select("doc_id"), "doc_id")).collect()
+    assert len(only_odd) == len(texts) + 1 and all(0 <= r.score <= 1 for r in only_odd)
+
+
+def test_word_hashes_of_runs_without_words():
+    from siltstone.llm.textops import Words
+
+    for raw in (b"", b"   ", b"\n\t"):
+        w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert len(w.hash) == 0 and len(w.span_hash(w.start, w.end)) == 0
+
+
 def test_labels_of_the_held_out_fold_are_not_read(judged):
     docs, labels, _ = judged
     sample = labelled_sample(docs, labels, "toxic", 10_000)

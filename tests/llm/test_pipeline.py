@@ -93,6 +93,21 @@ def test_stages_on_odd_rows(spark, frame, odd_texts, folder, name, stage):
     assert stage(spark, frame([]), folder).count() == 0
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_one_row_a_partition(spark, frame, odd_texts, folder, tmp_path, name, stage):
+    """Rows without words alone in their partitions, and labelled ones among them, give what they give beside others."""
+    import shutil
+
+    shutil.copytree(folder, tmp_path / "in")
+    wordless = [(i, t) for i, t in zip(range(400, 410), [None, "", " \n ", "12, 34!", "--"] * 2, strict=True)]
+    spark.createDataFrame([(i, 1, i % 2) for i, _ in wordless], "doc_id long, quality int, toxic int").write.mode("append").parquet(f"{tmp_path}/in/labels.parquet")
+    rows = [*odd_texts, *wordless, (401, ""), (120, "plain words number 120 of a longer text"), (121, "plain words number 121 of a longer text vilescum")]
+    docs = frame(rows)
+    key = lambda r: tuple((r[c] is None, str(r[c])) for c in sorted(r.asDict()))
+    together, alone = (sorted(stage(spark, d, str(tmp_path / "in")).collect(), key=key) for d in (docs.coalesce(1), docs.repartitionByRange(len(rows), "doc_id", "text")))
+    assert together == alone
+
+
 def test_run_on_an_empty_table(spark, frame, folder, tmp_path):
     import shutil
 
