@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, gif_media, licences, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
+from . import decontaminate, gif_media, kmeans, licences, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -52,8 +52,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_licence_scan": op2_licence_scan, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters}
+    return {"op1_decontamination": op1_decontamination, "op2_licence_scan": op2_licence_scan, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters, "op13_centroid_clustering": op13_centroid_clustering}
 
 
 OP4_SQL = """
@@ -100,5 +104,27 @@ FROM t LEFT JOIN k ON k.doc_id = t.doc_id
 """
 
 
+def _clustering_sql(rounds: int = 5) -> str:
+    distance = "list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "h AS (SELECT v, sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v ORDER BY h, v LIMIT 40)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM h)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT v.r, v.vec_id, v.v, min({{'d': {distance}, 'k': c.k}}) AS b FROM v CROSS JOIN c{i} c GROUP BY v.r, v.vec_id, v.v)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT b.k AS k, u.i, sum(v[u.i::BIGINT])::BIGINT AS s, count(*) AS n FROM a{i}, UNNEST(range(1, 65)) u(i) GROUP BY b.k, u.i)")
+            steps.append(f"m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{i} GROUP BY k)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k)")
+    last = f"""SELECT a.vec_id, a.b.k::INTEGER AS cluster, a.b.d AS distance, (sum(a.b.d) OVER (PARTITION BY a.b.k))::BIGINT AS cluster_inertia,
+       (sum(a.b.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.k = a.b.k"""
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
+OP13_SQL = _clustering_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filters": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filters": OP10_SQL, "op13_centroid_clustering": OP13_SQL}
