@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, gif_media, kmeans, licences, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
+from . import conversations, decontaminate, gif_media, kmeans, licences, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -52,12 +52,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_licence_scan": op2_licence_scan, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters, "op13_centroid_clustering": op13_centroid_clustering}
+    return {"op1_decontamination": op1_decontamination, "op2_licence_scan": op2_licence_scan, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters, "op11_conversation_repair": op11_conversation_repair, "op13_centroid_clustering": op13_centroid_clustering}
 
 
 OP4_SQL = """
@@ -104,6 +108,44 @@ FROM t LEFT JOIN k ON k.doc_id = t.doc_id
 """
 
 
+# Forward costs with the audit beside them: of paths to one state at one cost the least audit may stand for all, as no audit of a cheapest path begins another.
+OP11_SQL = r"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+-- crc32, a table of 256 entries by eight shifts, folded over the bytes of the key
+tab AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c // 2) ELSE c // 2 END) AS c FROM range(0, 256) r(b))),
+lot AS (SELECT k, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i::BIGINT])::UBIGINT)), lambda c, x: xor(tab.tab[(xor(c % 256, x) + 1)::BIGINT], c // 256))) % 20 AS lot
+        FROM (SELECT DISTINCT k FROM o), tab),
+d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, CASE WHEN lot = 3 THEN 2 ELSE 1 END AS copies
+      FROM o JOIN lot USING (k) WHERE lot <> 0),
+e AS (SELECT d.conv_id, turn, role, text, row_number() OVER (PARTITION BY d.conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d, UNNEST(range(0, copies)) u(j)),
+f AS (SELECT *, rtrim(text, E' 	
+') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS later, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS prior, count(*) OVER (PARTITION BY conv_id) AS size FROM e),
+g AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN later THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             prior IS NOT NULL AND left(prior, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM f),
+st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+              count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM g GROUP BY conv_id),
+-- a state is (cost, audit, repaired rows); n, s, u, a: what the repaired roles end in
+r(conv_id, i, size, n, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, max(size), {'c': 0::BIGINT, 'e': '', 'o': []::VARCHAR[]}, {'c': 1000000000::BIGINT, 'e': '', 'o': []::VARCHAR[]}, {'c': 1000000000::BIGINT, 'e': '', 'o': []::VARCHAR[]}, {'c': 1000000000::BIGINT, 'e': '', 'o': []::VARCHAR[]} FROM g GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, size,
+         {'c': n.c + 2, 'e': n.e || 'D', 'o': n.o},
+         list_min([{'c': s.c + 2, 'e': s.e || 'D', 'o': s.o}, {'c': n.c + CASE WHEN must OR x <> 's' THEN 1000000000 ELSE due END, 'e': n.e || 'K', 'o': list_append(n.o, role || ':' || text)}]),
+         list_min([{'c': u.c + 2, 'e': u.e || 'D', 'o': u.o}] || list_transform([n, s, a], lambda q: {'c': q.c + CASE WHEN must OR x <> 'u' THEN 1000000000 ELSE due END, 'e': q.e || 'K', 'o': list_append(q.o, role || ':' || text)})
+                  || list_transform([n, s, a], lambda q: {'c': q.c + CASE WHEN must THEN 1000000000 ELSE due + 1 END, 'e': q.e || 'R', 'o': list_append(q.o, 'user:' || text)})),
+         list_min([{'c': a.c + 2, 'e': a.e || 'D', 'o': a.o}, {'c': u.c + CASE WHEN must OR x <> 'a' THEN 1000000000 ELSE due END, 'e': u.e || 'K', 'o': list_append(u.o, role || ':' || text)},
+                   {'c': u.c + CASE WHEN must THEN 1000000000 ELSE due + 1 END, 'e': u.e || 'R', 'o': list_append(u.o, 'assistant:' || text)}])
+  FROM (SELECT conv_id, i, size, n, s, u, list_min([a, {'c': u.c + 5, 'e': u.e || 'I', 'o': list_append(u.o, 'assistant:')}]) AS a, role, text, x, must, due
+        FROM (SELECT r.conv_id, g.i, r.size, r.n, r.s, r.a, list_min([r.u] || list_transform([r.n, r.s, r.a], lambda q: {'c': q.c + 5, 'e': q.e || 'I', 'o': list_append(q.o, 'user:')})) AS u,
+                     g.role, g.text, left(g.role, 1) AS x, g.fault IN ('blank', 'duplicate') AS must, CASE WHEN g.fault = 'truncated' THEN 5 ELSE 0 END AS due
+              FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1))),
+t AS (SELECT conv_id, list_min([n, a, {'c': u.c + 5, 'e': u.e || 'I', 'o': list_append(u.o, 'assistant:')}, {'c': s.c + 10, 'e': s.e || 'II', 'o': list_concat(s.o, ['user:', 'assistant:'])}]) AS b FROM r WHERE i = size)
+SELECT c.conv_id, coalesce(st.gaps, 0)::BIGINT AS gaps, coalesce(st.blank, 0)::BIGINT AS blank, coalesce(st.duplicate, 0)::BIGINT AS duplicate, coalesce(st.truncated, 0)::BIGINT AS truncated, coalesce(st.illegal, 0)::BIGINT AS illegal,
+       coalesce(t.b.c, 0)::BIGINT AS cost, coalesce(t.b.e, '') AS audit, sha256(coalesce(array_to_string(t.b.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def _clustering_sql(rounds: int = 5) -> str:
     distance = "list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
     steps = [
@@ -127,4 +169,4 @@ OP13_SQL = _clustering_sql()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filters": OP10_SQL, "op13_centroid_clustering": OP13_SQL}
+    return {"op4_warc": OP4_SQL, "op8_minhash_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filters": OP10_SQL, "op11_conversation_repair": OP11_SQL, "op13_centroid_clustering": OP13_SQL}
