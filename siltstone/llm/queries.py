@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, gif_media, kmeans, licences, minhash_dedup, pieces, quality, substring_dedup, toxicity, url_rules, warc
+from . import conversations, decontaminate, gif_media, kmeans, licences, minhash_dedup, pieces, quality, substring_dedup, token_files, toxicity, url_rules, warc
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -56,12 +56,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_licence_scan": op2_licence_scan, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters, "op11_conversation_repair": op11_conversation_repair, "op13_centroid_clustering": op13_centroid_clustering}
+    return {"op1_decontamination": op1_decontamination, "op2_licence_scan": op2_licence_scan, "op3_sentencepiece": op3_sentencepiece, "op4_warc": op4_warc, "op5_quality": op5_quality, "op6_gif_media": op6_gif_media, "op7_toxicity": op7_toxicity, "op8_minhash_dedup": op8_minhash_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_url_filters": op10_url_filters, "op11_conversation_repair": op11_conversation_repair, "op12_token_files": op12_token_files, "op13_centroid_clustering": op13_centroid_clustering}
 
 
 OP4_SQL = """
@@ -119,7 +123,8 @@ d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
       FROM o JOIN lot USING (k) WHERE lot <> 0),
 e AS (SELECT d.conv_id, turn, role, text, row_number() OVER (PARTITION BY d.conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d, UNNEST(range(0, copies)) u(j)),
 f AS (SELECT *, rtrim(text, E' 	
-') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS later, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS prior, count(*) OVER (PARTITION BY conv_id) AS size FROM e),
+
+') AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS later, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS prior, count(*) OVER (PARTITION BY conv_id) AS size FROM e),
 g AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN later THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
              prior IS NOT NULL AND left(prior, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM f),
 st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
