@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,23 +12,12 @@ from .figures import DIGIT_WORDS, QUESTION_SCALES
 
 TOKEN = r"[a-z]+|\d+(?:\.\d+)?"
 #: Word lists of declining answers.
-DECLINE_WORDS = {
-    "source": "excerpt excerpts document documents context filing filings passage passages source sources material materials text",
-    "facts": "information data",
-    "detail": "detail details",
-    "figure": "figure figures",
-    "given": "provided",
-    "do": "do does did",
-    "not": "not",
-    "say": "contain provide include mention specify state disclose report show give present have list offer cover supply identify describe discuss indicate detail address reference explain reveal",
-    "said": "provided included available mentioned stated disclosed specified found contained reported given shown listed present detailed",
-    "break": "break", "broken": "broken", "out": "out", "in": "in within among", "inside": "in", "the": "the these", "any": "any", "of": "of",
-    "offered": "provided given available", "held": "provided available given included",
-    "can": "can", "unable": "unable", "to": "to", "possible": "possible", "impossible": "impossible", "be": "be",
-    "surely": "fully reliably accurately precisely definitively",
-    "work": "determine determined calculate calculated compute computed answer answered derive derived identify identified assess assessed confirm confirmed verify verified quantify quantified",
-    "lacking": "insufficient", "enough": "enough", "no": "no", "is": "is are", "available": "available", "gone": "unavailable missing",
-}
+SOURCE_WORDS = "excerpt excerpts document documents context filing filings passage passages source sources material materials text".split()
+FACT_WORDS = "information data detail details figure figures".split()
+SAYING_WORDS = """contain contained provide provided include included mention mentioned specify specified state stated disclose disclosed report reported show shown give given present presented
+have list listed break broken offer cover supply identify describe discuss indicate detail detailed address reference explain reveal available found""".split()
+WORKING_WORDS = "determine determined calculate calculated compute computed answer answered derive derived identify identified assess assessed confirm confirmed verify verified quantify quantified".split()
+GIVEN_WORDS = "provided available given included".split()
 #: Marks of absence, legal suffixes that do not tell companies apart.
 ABSENT = ("not in documents", "not_in_documents", "none", "n/a", "na", "unknown")
 COMPANY_SUFFIXES = ("INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "COMPANIES", "LTD", "LIMITED", "LLC", "PLC", "LP", "HOLDINGS", "GROUP", "THE")
@@ -102,60 +92,57 @@ def year_end_month(period_end: Column) -> Column:
     return F.when(early, 12).otherwise(F.month(period_end))
 
 
-#: Ways of declining, as rows of word classes.  ``*n`` stands for up to n words, ``~n`` for up to n words or commas;
-#: alternatives are parted by bars, a question mark makes a step optional.
-_OUR_SOURCE = "source|facts given|given facts"
-DECLINES = (
-    (_OUR_SOURCE, "~13", "do", "not", "*1", "say|break out"),
-    ("not", "*1", "said|broken out", "in", "the|any|any of the?", "offered?", _OUR_SOURCE),
-    ("can not|unable to|not possible to|impossible to", "be?", "surely?", "work"),
-    ("lacking|not enough", "*2", "facts|detail"),
-    ("no", "*2", "facts|detail|figure", "~10", "held|inside the " + "|inside the ".join(_OUR_SOURCE.split("|"))),
-    ("facts", "is", "not available|gone"),
-)
-
-
-def _word_signs() -> tuple[dict[str, str], dict[str, str]]:
-    """A sign for every set of classes that a word may have, by word; and the signs of each class."""
-    classes: dict[str, set[str]] = {}
-    for name, words in DECLINE_WORDS.items():
-        for w in words.split():
-            classes.setdefault(w, set()).add(name)
-    kinds = sorted({frozenset(c) for c in classes.values()}, key=sorted)
-    sign = {kind: chr(ord("A") + i) if i < 26 else chr(ord("a") + i - 26) for i, kind in enumerate(kinds)}
-    return {w: sign[frozenset(c)] for w, c in classes.items()}, {name: "".join(sign[k] for k in kinds if name in k) for name in DECLINE_WORDS}
-
-
-WORD_SIGN, CLASS_SIGNS = _word_signs()
-
-
-def _rule(steps: tuple[str, ...]) -> str:
-    """The pattern of a row of steps over signs: a sign for each word, a comma for other marks, a bar where a clause ends."""
-    out = ""
-    for step in steps:
-        optional = step.endswith("?")
-        if step[0] in "*~":
-            out += f"[^|{',' if step[0] == '*' else ''}]{{0,{step[1:]}}}"
-        else:
-            ways = ["".join(f"[{CLASS_SIGNS[c]}]" for c in way.split()) for way in step.removesuffix("?").split("|")]
-            out += f"(?:{'|'.join(ways)})" + "?" * optional
-    return out
-
-
-def word_signs(text: Column) -> Column:
-    """A text as one sign for each word (``.`` for words of no class), commas for other marks and bars for ends of clauses."""
+#: Own rule: what a denial, an inability and a want are called, once ``CONTRACTED`` phrases are one word.
+CONTRACTED = (("can't", "cannot"), ("n't", " not"), ("can not", "cannot"), ("not possible", "impossible"), ("not enough", "insufficient"), ("not available", "unavailable"))
+DENIALS, INABILITIES = ("not", "never"), ("cannot", "unable", "impossible")
+WANTS, LOSSES = ("insufficient",), ("unavailable", "missing")
+#: Words that may stand between a denial and what it denies, between an inability and its verb, between a want and its noun.
+SAY_REACH, WORK_REACH, FACT_REACH = 3, 4, 3
+
+
+def clause_words(text: Column) -> Column:
+    """The clauses of a text (parted by points, semicolons and line ends) as lists of words, numbers and commas."""
     plain = F.lower(text)
-    for short, long in (("can't", "can not"), ("cannot", "can not"), ("n't", " not"), (".", " | "), (";", " | "), ("\n", " | ")):
+    for short, long in CONTRACTED:
         plain = F.replace(plain, F.lit(short), F.lit(long))
-    parts = F.split(F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s|]+", " , "), r"\s+", " ")), " ")
-    known = F.create_map(*[F.lit(x) for pair in sorted(WORD_SIGN.items()) for x in pair])
-    return F.array_join(F.transform(parts, lambda w: F.coalesce(F.try_element_at(known, w), F.when(w.isin(",", "|"), w), F.lit("."))), "")
+    return F.transform(F.split(plain, r"[.;\n]"), lambda c: F.regexp_extract_all(c, F.lit("[a-z]+|[0-9]+|,"), F.lit(0)))
+
+
+def _has(words: Column, some: Iterable[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in some]))
+
+
+def _ahead(words: Column, i: Column, reach: int) -> Column:
+    """The words behind place i (from 0), up to a comma."""
+    found = F.slice(words, i + 2, reach)
+    comma = F.array_position(found, ",").cast("int")
+    return F.when(comma > 0, F.slice(found, 1, comma - 1)).otherwise(found)
+
+
+def _denied(words: Column) -> Column:
+    """In one clause: a denial just before a verb of saying where a source is named, an inability just before
+    a verb of working out, or a want beside a noun for facts."""
+    source = _has(words, SOURCE_WORDS) | (_has(words, FACT_WORDS) & _has(words, GIVEN_WORDS))
+
+    def at(i: Column) -> Column:
+        w = F.get(words, i)
+        before = F.slice(words, F.greatest(i - FACT_REACH + 1, F.lit(1)), F.least(i, F.lit(FACT_REACH)))
+        facts_ahead, facts_before = _has(_ahead(words, i, FACT_REACH), FACT_WORDS), _has(before, FACT_WORDS)
+        rest = F.slice(words, i + 2, F.size(words))
+        return (
+            (w.isin(*DENIALS) & _has(_ahead(words, i, SAY_REACH), SAYING_WORDS) & source)
+            | (w.isin(*INABILITIES) & _has(_ahead(words, i, WORK_REACH), WORKING_WORDS))
+            | (w.isin(*WANTS) & facts_ahead)
+            | (w.isin(*LOSSES) & (facts_before | source))
+            | ((w == "no") & facts_ahead & (_has(rest, GIVEN_WORDS) | _has(rest, SOURCE_WORDS)))
+        )
+
+    return (F.size(words) > 0) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), at)
 
 
 def declines(answer: Column) -> Column:
-    """Whether an answer says, in one of the ways of ``DECLINES``, that it cannot be given."""
-    signs = word_signs(answer)
-    return signs.rlike("|".join(map(_rule, DECLINES)))
+    """Whether a clause of an answer says that it cannot be given."""
+    return F.exists(clause_words(answer), _denied)
 
 
 def bare_token(answer: Column) -> Column:

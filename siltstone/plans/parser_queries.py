@@ -98,9 +98,30 @@ def quote_fidelity(spark, sf):
 _GRADED = ("Sales were ${x:,} thousand (up 3.5%).", "Sales were ${m:.3f} million.", "It was ${k}.", "It was ${x} million.", "It was ${d}.", "There were none at all.", "It declined by ${x:,} thousand.", "It was ${x:,} thousand, as (5) says.")
 
 
-@query("numeric_grade", """WITH k AS (SELECT o_orderkey, o_orderkey % 8 AS k FROM orders) SELECT o_orderkey, CASE WHEN k IN (0, 1, 2, 6) THEN 'correct' WHEN k = 3 THEN 'unit_error' WHEN k IN (4, 7) THEN 'incorrect' END AS label,
-CASE WHEN k IN (0, 1, 2, 6) THEN 'correct' WHEN k = 3 THEN 'unit_error' WHEN k IN (4, 7) THEN 'incorrect' END AS any_label, CASE k WHEN 6 THEN 'sign_in_words' WHEN 7 THEN 'sign_mismatch' END AS sign, CASE WHEN k IN (0, 7) THEN 2 WHEN k = 5 THEN 0 ELSE 1 END::INT AS n_figures,
-CASE WHEN k IN (0, 1, 2, 6) THEN 'correct' WHEN k = 3 THEN 'unit_error' WHEN k IN (4, 7) THEN 'incorrect' END AS at_ten_percent FROM k""")
+_GRADED_SQL = """o AS (SELECT o_orderkey, o_orderkey % 8 AS k, floor(o_totalprice)::BIGINT + 1000 AS x FROM orders),
+figs AS (SELECT *, CASE k WHEN 0 THEN [{'a': x::DOUBLE, 'f': 1e3, 's': false}, {'a': 3.5, 'f': NULL, 's': true}] WHEN 1 THEN [{'a': x / 1000.0, 'f': 1e6, 's': false}] WHEN 2 THEN [{'a': x * 1000.0, 'f': NULL, 's': false}]
+  WHEN 3 THEN [{'a': x::DOUBLE, 'f': 1e6, 's': false}] WHEN 4 THEN [{'a': 2.0 * x, 'f': NULL, 's': false}] WHEN 5 THEN []::STRUCT(a DOUBLE, f DOUBLE, s BOOLEAN)[] WHEN 6 THEN [{'a': x::DOUBLE, 'f': 1e3, 's': false}]
+  ELSE [{'a': x::DOUBLE, 'f': 1e3, 's': false}, {'a': 5.0, 'f': NULL, 's': false}] END::STRUCT(a DOUBLE, f DOUBLE, s BOOLEAN)[] AS figs FROM o),
+f AS (SELECT o_orderkey, k = 6 AS falling, CASE WHEN k >= 6 THEN -x ELSE x END::DOUBLE AS gold, u.i, figs[u.i::BIGINT] AS g FROM figs, UNNEST(range(1, len(figs) + 1)) u(i)),
+r AS (SELECT *, CASE WHEN g.s THEN [g.a / 100 / 1e3] WHEN g.f IS NOT NULL THEN [g.a * g.f / 1e3] ELSE [g.a, g.a / 1e3] END AS r FROM f)"""
+
+
+def _grade_sql(tolerance: float) -> str:
+    """Number of the grade of readings r, from 0 (correct) to 2 (incorrect)."""
+    near = lambda y: f"abs({y} - gold) <= greatest({tolerance} * abs(gold), 0.5) * (1 + 1e-9) + 1e-12"
+    some = lambda test: f"len(list_filter(r, lambda y: {test})) > 0"
+    factors = ", ".join(f"{k!r}::DOUBLE" for k in G.UNIT_FACTORS)
+    unit = some(f"len(list_filter([{factors}], lambda q: ({near('y * q')}) OR (gold < 0 AND y > 0 AND {near('-y * q')}))) > 0")
+    return f"CASE WHEN {some(near('y'))} THEN 0 WHEN falling AND gold < 0 AND {some('y > 0 AND ' + near('-y'))} THEN 0 WHEN {unit} THEN 1 ELSE 2 END"
+
+
+_TURNED = "len(list_filter(r, lambda y: y <> 0 AND abs(-y - gold) <= greatest(0.01 * abs(gold), 0.5) * (1 + 1e-9) + 1e-12)) > 0"
+_DIRECT = "len(list_filter(r, lambda y: abs(y - gold) <= greatest(0.01 * abs(gold), 0.5) * (1 + 1e-9) + 1e-12)) > 0"
+
+
+@query("numeric_grade", f"""WITH {_GRADED_SQL}, m AS (SELECT *, {_grade_sql(0.01)} AS grade, {_grade_sql(0.1)} AS wide FROM r),
+p AS (SELECT o_orderkey, arg_min(grade, i) AS main, min(grade) AS best, arg_min(wide, i) AS wide, count(*) AS n, arg_min(CASE WHEN {_DIRECT} THEN '' WHEN falling AND grade = 0 THEN 'sign_in_words' WHEN grade = 2 AND {_TURNED} THEN 'sign_mismatch' ELSE '' END, i) AS sign FROM m GROUP BY 1)
+SELECT o.o_orderkey, ['correct', 'unit_error', 'incorrect'][p.main + 1] AS label, ['correct', 'unit_error', 'incorrect'][p.best + 1] AS any_label, nullif(p.sign, '') AS sign, coalesce(p.n, 0)::INT AS n_figures, ['correct', 'unit_error', 'incorrect'][p.wide + 1] AS at_ten_percent FROM o LEFT JOIN p USING (o_orderkey)""")
 def numeric_grade(spark, sf):
     """Gold answers and answers about every order's price, graded from their texts."""
 
@@ -117,8 +138,15 @@ def numeric_grade(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("x")).mapInPandas(run, "o_orderkey long, label string, any_label string, sign string, n_figures int, at_ten_percent string")
 
 
-@query("numeric_support", """WITH k AS (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders) SELECT o_orderkey, CASE WHEN k = 3 THEN 0 ELSE 2 END::INT AS n_figures, CASE k WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INT AS n_in_cited, CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END::INT AS n_in_context,
-CASE k WHEN 0 THEN 1.0 WHEN 2 THEN 0.5 END::DOUBLE AS in_cited_rate, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 END::DOUBLE AS in_context_rate FROM k""")
+_HELD = """len(list_filter(v, lambda y: len(list_filter([0, 3, 6, 9, -3, -6, -9], lambda p: (p = 0 OR digits >= 3) AND y >= (a - slack) * pow(10.0, p) AND y <= (a + slack) * pow(10.0, p))) > 0)) > 0"""
+
+
+@query("numeric_support", f"""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, floor(o_totalprice)::BIGINT + 1000 AS x FROM orders),
+mine AS (SELECT o_orderkey, k, x, u.m.a AS a, u.m.digits AS digits, 0.5 * pow(10.0, -u.m.places) * (1 + 1e-9) + 1e-12 AS slack FROM o, UNNEST([{{'a': x::DOUBLE, 'digits': length(x::VARCHAR), 'places': 0}}, {{'a': 12.5::DOUBLE, 'digits': 3, 'places': 1}}, {{'a': 7.0::DOUBLE, 'digits': 1, 'places': 0}}]) u(m) WHERE k <> 3 AND u.m.digits >= 2),
+texts AS (SELECT *, CASE WHEN k = 2 THEN [2.0 * x, 12.5] ELSE [x / 1000.0, 12.46] END::DOUBLE[] AS v FROM mine),
+h AS (SELECT o_orderkey, {_HELD} AS held, k <> 1 AS cites FROM texts),
+s AS (SELECT o_orderkey, count(*) AS n, count(*) FILTER (held AND cites) AS here, count(*) FILTER (held) AS anywhere, bool_or(cites) AS cites FROM h GROUP BY 1)
+SELECT o.o_orderkey, coalesce(s.n, 0)::INT AS n_figures, coalesce(s.here, 0)::INT AS n_in_cited, coalesce(s.anywhere, 0)::INT AS n_in_context, CASE WHEN s.cites THEN s.here / s.n END::DOUBLE AS in_cited_rate, (s.anywhere / s.n)::DOUBLE AS in_context_rate FROM o LEFT JOIN s USING (o_orderkey)""")
 def numeric_support(spark, sf):
     """Answers with a price and a share against texts that hold them: scaled and rounded, elsewhere, in part, or no figures at all."""
 

@@ -264,10 +264,10 @@ def order_figures(spark, sf):
     return table(spark, sf, "orders").select(key.alias("id"), F.round("o_totalprice", 0).alias("number"), scale.alias("scale"), (key % 4 < 2).alias("explicit"), (key % 4 == 3).alias("percent"))
 
 
-@query("figure_readings", f"WITH {_FIG} SELECT id, round(unnest({_READ}), 6) AS reading FROM f")
+@query("figure_readings", f"WITH {_FIG} SELECT id, unnest({_READ}) AS reading FROM f")
 def figure_readings(spark, sf):
     r = N.readings(F.col("number"), F.col("percent"), F.col("scale"), F.col("explicit"), F.lit(False), F.lit(1e6))
-    return order_figures(spark, sf).select("id", F.explode(r).alias("reading")).select("id", F.round("reading", 6).alias("reading"))
+    return order_figures(spark, sf).select("id", F.explode(r).alias("reading"))
 
 
 _FACTORS = (1e3, 1e6, 1e9, 1e-3, 1e-6, 1e-9, 100.0, 0.01)
@@ -285,17 +285,42 @@ def numeric_tolerance_grade(spark, sf):
     return order_figures(spark, sf).select("id", r.alias("r")).select("id", label.alias("label"), F.exists("r", lambda x: near(-x)).alias("sign_mismatch"))
 
 
-#: Answers around an order's key, by key % 12; the last two are null.
-_ANSWERS = ("The excerpts do not provide it", "The context provided did not fully disclose item {}", "It was not found in any of the given filings", "Order {} cannot be reliably determined", "Yes, there is not enough detailed information", "No relevant data about this were available",
-            "The information is missing.", "N/A.", "The total of {} is in the document", "No, the documents show {}; not more")
+#: Parts of answers; an order's key takes one of each kind by its remainders, which have no common divisor.
+_OPENINGS = ("", "", "Yes, ", "No, ", "In short: ")
+_SUBJECTS = ("the excerpts", "this total", "the data provided", "order {}", "information", "we", "the given figures")
+_VERBS = ("do not fully disclose", "can't be determined", "is missing", "was", "are unable to quantify", "never list", "is not available", "do not rise to", "cannot tell", "show", "is insufficient", "does not, as said, state")
+_TAILS = ("", " in the filings", " by the details.", "; no relevant data were given", ". There is not enough detailed information", ", no figures. Provided later", " N/A", " here\nunknown", " in any of the materials", " for 5", " of no further detail in this context")
+_BARE = ("N/A.", "**none**", "Unknown", "NOT_IN_DOCUMENTS")
 
 
-@query("decline_rules", """WITH a AS (SELECT o_orderkey AS id, o_orderkey % 12 AS k FROM orders) SELECT id, CASE WHEN k IN (0, 2, 6, 7) THEN 'declined' WHEN k IN (1, 3, 4, 5) THEN 'partial' WHEN k IN (8, 9) THEN 'answered' WHEN id % 24 < 12 THEN 'declined' ELSE 'unparsed' END AS status FROM a""")
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for w in words) + "]"
+
+
+_AHEAD = "list_slice(w, i + 1, CASE WHEN coalesce(list_position(list_slice(w, i + 1, i + {n}), ','), 0) > 0 THEN i + list_position(list_slice(w, i + 1, i + {n}), ',') - 1 ELSE i + {n} END)"
+
+
+def _answers_sql() -> str:
+    part = lambda words: f"{_list(words)}[(o_orderkey % {len(words)} + 1)::BIGINT]"
+    return f"""a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 12 THEN NULL WHEN o_orderkey % 13 = 11 THEN {part(_BARE)} ELSE {part(_OPENINGS)} || replace({part(_SUBJECTS)}, '{{}}', o_orderkey::VARCHAR) || ' ' || {part(_VERBS)} || {part(_TAILS)} END AS answer, o_orderkey % 13 = 12 AND o_orderkey % 2 = 0 AS token FROM orders),
+c AS (SELECT id, regexp_extract_all(unnest(regexp_split_to_array({"".join("replace(" for _ in T.CONTRACTED)}lower(answer){"".join(f", '{x.replace(chr(39), chr(39) * 2)}', '{y}')" for x, y in T.CONTRACTED)}, '[.;\\n]')), '[a-z]+|[0-9]+|,') AS w FROM a WHERE answer IS NOT NULL),
+d AS (SELECT id, bool_or(len(list_filter(range(1, len(w) + 1), lambda i:
+  (w[i] IN ('not', 'never') AND list_has_any({_AHEAD.format(n=T.SAY_REACH)}, {_list(T.SAYING_WORDS)}) AND (list_has_any(w, {_list(T.SOURCE_WORDS)}) OR (list_has_any(w, {_list(T.FACT_WORDS)}) AND list_has_any(w, {_list(T.GIVEN_WORDS)}))))
+  OR (w[i] IN ('cannot', 'unable', 'impossible') AND list_has_any({_AHEAD.format(n=T.WORK_REACH)}, {_list(T.WORKING_WORDS)}))
+  OR (w[i] = 'insufficient' AND list_has_any({_AHEAD.format(n=T.FACT_REACH)}, {_list(T.FACT_WORDS)}))
+  OR (w[i] IN ('unavailable', 'missing') AND (list_has_any(list_slice(w, greatest(i - {T.FACT_REACH}, 1), i - 1), {_list(T.FACT_WORDS)}) OR list_has_any(w, {_list(T.SOURCE_WORDS)}) OR (list_has_any(w, {_list(T.FACT_WORDS)}) AND list_has_any(w, {_list(T.GIVEN_WORDS)}))))
+  OR (w[i] = 'no' AND list_has_any({_AHEAD.format(n=T.FACT_REACH)}, {_list(T.FACT_WORDS)}) AND list_has_any(w[i + 1:], {_list(T.GIVEN_WORDS + T.SOURCE_WORDS)})))) > 0) AS declined FROM c GROUP BY id)"""
+
+
+@query("decline_rules", f"""WITH {_answers_sql()} SELECT a.id, CASE WHEN answer IS NULL THEN CASE WHEN token THEN 'declined' ELSE 'unparsed' END WHEN a.id % 13 = 11 THEN 'declined' WHEN NOT coalesce(declined, false) THEN 'answered'
+WHEN regexp_matches(answer, '[0-9]') OR regexp_matches(answer, '^(Yes|No)[^a-zA-Z]') THEN 'partial' ELSE 'declined' END AS status FROM a LEFT JOIN d USING (id)""")
 def decline_rules(spark, sf):
-    """Declining, partly declining, bare and missing answers."""
+    """Answers put together from parts: declining, partly declining, bare and missing ones."""
     key = F.col("o_orderkey")
-    answer = F.replace(F.get(F.array(*[F.lit(a) for a in _ANSWERS]), (key % 12).cast("int")), F.lit("{}"), key.cast("string"))
-    token = (key % 12 >= 10) & (key % 24 < 12)
+    part = lambda words: F.get(F.array(*[F.lit(w) for w in words]), (key % len(words)).cast("int"))
+    said = F.concat(part(_OPENINGS), F.replace(part(_SUBJECTS), F.lit("{}"), key.cast("string")), F.lit(" "), part(_VERBS), part(_TAILS))
+    answer = F.when(key % 13 == 12, F.lit(None)).when(key % 13 == 11, part(_BARE)).otherwise(said)
+    token = (key % 13 == 12) & (key % 2 == 0)
     return table(spark, sf, "orders").select(key.alias("id"), T.answer_status(answer, token).alias("status"))
 
 

@@ -82,6 +82,17 @@ def test_declines(spark, text, want):
     assert one(spark, T.declines(F.lit(text))) is want
 
 
+@pytest.mark.parametrize("text, want", [("Nothing here lists it; the filing will never show a total", True), ("We did not rise to the occasion in this document", False), ("It is impossible to verify", True), ("It is impossible, verify it", False), ("The data, as provided, are missing", True), ("Missing persons rose", False),
+                                        ("There is insufficient further detail", True), ("insufficient funds", False), ("No details are available", True), ("No details", False), ("The materials show no loss", False), ("Not in dispute. The source says 5", False), ("unable to say more than to compute it", False)])
+def test_own_sentences_that_decline(spark, text, want):
+    assert one(spark, T.declines(F.lit(text))) is want
+
+
+@pytest.mark.parametrize("text, want", [("dismay 5", [5]), ("May. 5", []), ("5 USD-K", []), ("5-\tmonth", []), ("5 - weeks, 6 days", [6]), ("10 -K", [10]), ("−US$1,000.50 thousands", [-1000.5]), ("5\u00a0%", [5])])
+def test_figures_by_their_neighbours(text, want):
+    assert [f.amount for f in G.figures(text)] == want
+
+
 def test_status(spark):
     rows = [(None, True, "declined"), (None, False, "unparsed"), ("N/A", False, "declined"), ("**NOT_IN_DOCUMENTS**", False, "declined"), ("It was 5", True, "partial"), ("Yes. It cannot be verified", False, "partial"), ("It cannot be verified", False, "declined"), ("Sales rose", False, "answered")]
     df = spark.createDataFrame([r[:2] for r in rows], "a string, t boolean")
