@@ -118,12 +118,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Co
                 grid[row[low:high] - a, term[low:high]] = part[low:high]
                 yield a, grid @ weight.T, ((grid > 0).astype(np.float32) @ has) > 0
 
-        found = _batch_best(listed, score, shared, k)
+        found = batch_best(listed, score, shared, k)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _batch_best(listed: DataFrame, score: Callable, shared, k: int) -> DataFrame:
+def batch_best(listed: DataFrame, score: Callable, shared, k: int) -> DataFrame:
     """(query_id, chunk_id, score) of the k best of every question within each batch.
 
     ``score`` gives, for a batch, (first row, scores, which pairs count) of parts of its
@@ -195,7 +195,7 @@ def hashed_search(chunks: DataFrame, queries: DataFrame, tokens: Column, query_t
                 values = v[a : a + step] @ q.T
                 yield a, values, values > 0
 
-        found = _batch_best(listed, score, shared, k)
+        found = batch_best(listed, score, shared, k)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -229,7 +229,7 @@ def matrix_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 values = v[a : a + step] @ q.T
                 yield a, values, np.ones(values.shape, bool)
 
-        found = _batch_best(listed, score, shared, k).withColumnRenamed("chunk_id", "item_id")
+        found = batch_best(listed, score, shared, k).withColumnRenamed("chunk_id", "item_id")
         out = found if out is None else out.unionByName(found)
     return out
 

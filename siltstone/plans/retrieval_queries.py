@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import embeddings as V
 from ..operators import retrieval as R
 from ..operators import resampling as S
 from ..operators.containment import candidates
@@ -308,6 +309,37 @@ def hashed_embedding_topk(spark, sf):
     return hashed_ranked(spark, sf, 10).select("query_id", "chunk_id", "score", "rank")
 
 
+def learned(spark, sf, k, size, model=None):
+    """The k best chunks of every question by vectors that the chunks themselves taught."""
+    c, tokens = chunks(spark, sf), T.tokens(F.col("text"))
+    model = model or V.learn(c, tokens)
+    asked = T.tokens(V.with_prefix(F.col("gold_text"), V.QUESTION_PREFIX[size]))
+    return R.top_k(V.search(model, c, queries(spark, sf), tokens, asked, k, size), k, "chunk_id")
+
+
+@query("learned_embedding_topk")
+def learned_embedding_topk(spark, sf):
+    return learned(spark, sf, 10, 128).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("embedding_recall")
+def embedding_recall(spark, sf):
+    """Mean recall at five of learned and of hashed vectors, by size."""
+    c, q, golds, tokens = chunks(spark, sf), queries(spark, sf), gold(spark, sf), T.tokens(F.col("text"))
+    rel = relevant_of(c.drop("text"), golds).select("query_id", "doc_id", "chunk_id").distinct()
+    model = V.learn(c, tokens)
+    lists = [(f"learned {size}", learned(spark, sf, 5, size, model)) for size in V.SIZES]
+    lists += [(f"hashed {size}", R.top_k(R.hashed_search(c, q, tokens, T.tokens(F.col("gold_text")), T.md5_int, 5, size), 5, "chunk_id")) for size in (64, 256)]
+    ranked = None
+    for name, best in lists:
+        part = best.select(F.lit(name).alias("vectors"), "query_id", "chunk_id")
+        ranked = part if ranked is None else ranked.unionByName(part)
+    found = ranked.join(rel, ["query_id", "chunk_id"]).groupBy("vectors", "query_id").agg(F.countDistinct("doc_id").alias("found"))
+    n = golds.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n")).withColumn("vectors", F.explode(F.array(*[F.lit(name) for name, _ in lists])))
+    each = n.join(found, ["vectors", "query_id"], "left").withColumn("recall", F.coalesce("found", F.lit(0)) / F.col("n"))
+    return each.groupBy("vectors").agg(F.count("*").alias("n_questions"), F.round(F.avg("recall"), 6).alias("recall_at_5"))
+
+
 _FUSED = f"""{ranked_sql('b100', 'scored', 100)}, {ranked_sql('h100', 'hashed', 100)}, united AS (SELECT query_id, chunk_id, rank FROM b100 UNION ALL SELECT query_id, chunk_id, rank FROM h100),
 fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank))::DOUBLE, 9) AS score FROM united GROUP BY ALL)"""
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settled(rows: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The rows written to a new shared folder and read back, for as long as the block runs; then the folder is deleted."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, name)
+    try:
+        rows.write.option("compression", "zstd").parquet(folder)
+        yield spark.read.schema(rows.schema).parquet(folder)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_chunks(chunks: DataFrame, folder: str) -> None:
     """One folder per chunking strategy; a scan of one strategy reads only its folder."""
     chunks.write.mode("overwrite").partitionBy("strategy").parquet(folder)
