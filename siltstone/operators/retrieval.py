@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lexical import Questions, Search
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
 #: Questions that meet all chunks in one pass; more of them are several passes.
@@ -87,38 +88,28 @@ def _pairs(chunks: DataFrame, weights: DataFrame, avgdl: float, tokens: Column)
 def bm25(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k: int) -> DataFrame:
     """(query_id, chunk_id, score) of at least the k best chunks of every question that share a term with it.
 
-    The weights of a block of questions are sent to all tasks; a batch of chunks is
-    scored by one product of matrices and gives its own k best.  Nothing but these is
-    shuffled.
+    The weights of a block of questions are sent to all tasks.  A task keeps the k best of
+    the chunks it reads, scoring only what can still be among them; nothing but these is
+    shuffled.  Chunk ids are numbers.
     """
     spark, out = chunks.sparkSession, None
     listed = chunks.select("chunk_id", tokens.alias("t"))
     for block in query_blocks(queries):
         rows, avgdl = term_weights(chunks, block, tokens, query_tokens)
-        terms, asked = sorted({r[1] for r in rows}), sorted({r[0] for r in rows})
-        place, spot = {q: i for i, q in enumerate(asked)}, {t: i for i, t in enumerate(terms)}
-        weight, has = np.zeros((len(asked), len(terms))), np.zeros((len(terms), len(asked)), np.float32)  # a weight may be zero
-        for q, term, w in rows:
-            weight[place[q], spot[term]], has[spot[term], place[q]] = w, 1
-        shared = spark.sparkContext.broadcast((asked, terms, weight, has, avgdl))
-
-        def score(batch: pa.RecordBatch, shared=shared) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            asked, terms, weight, has, avgdl = shared.value
-            lists = batch.column("t")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            term = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)[term >= 0]
-            key, tf = np.unique(row * max(len(terms), 1) + term[term >= 0], return_counts=True)
-            row, term = key // max(len(terms), 1), key % max(len(terms), 1)
-            part = saturation(tf, sizes[row], avgdl)
-            step = max(1, PAIRS // max(len(terms), len(asked), 1))
-            for a in range(0, len(sizes), step):
-                low, high = np.searchsorted(row, [a, a + step])
-                grid = np.zeros((min(step, len(sizes) - a), len(terms)))
-                grid[row[low:high] - a, term[low:high]] = part[low:high]
-                yield a, grid @ weight.T, ((grid > 0).astype(np.float32) @ has) > 0
-
-        found = batch_best(listed, score, shared, k)
+        shared = spark.sparkContext.broadcast((Questions(rows), avgdl))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            questions, avgdl = shared.value
+            if not questions.ids:
+                return
+            search = Search(questions, lambda tf, dl: saturation(tf, dl, avgdl), k)
+            for b in batches:
+                if b.num_rows:
+                    search.batch(b.column("chunk_id").to_numpy(zero_copy_only=False), b.column("t"))
+            question, item, score = search.best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(questions.ids)[question], pa.int64()), pa.array(item), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+        found = listed.mapInArrow(run, "query_id long, chunk_id long, score double").withColumn("score", F.round("score", 6))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -24,7 +24,7 @@ relevant AS (SELECT * FROM rel WHERE ov > 0 AND (ov >= 0.5 * (char_end - char_st
 BM25 = f"""tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM chunks), post AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
 lens AS (SELECT chunk_id, len(regexp_extract_all(lower(text), '{TOK}')) AS dl FROM chunks), size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term), idf AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, size), mean AS (SELECT avg(idf) AS m FROM idf),
-q AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '{TOK}'), 1, 8) AS qt FROM benchmark), asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(qt) AS term FROM q) GROUP BY ALL),
+q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{TOK}') AS qt FROM benchmark), asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(qt) AS term FROM q) GROUP BY ALL),
 scored AS (SELECT a.query_id, p.chunk_id, round(sum(a.times * CASE WHEN i.idf < 0 THEN 0.25 * m ELSE i.idf END * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.dl / avgdl))), 6) AS score
   FROM asked a JOIN idf i USING (term) JOIN post p USING (term) JOIN lens l USING (chunk_id), size, mean GROUP BY 1, 2)"""
 
@@ -41,7 +41,7 @@ def chunks(spark, sf):
 
 
 def queries(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("gold_text"), F.slice(T.tokens(F.col("text")), 1, 8).alias("qt"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("gold_text"), T.tokens(F.col("text")).alias("qt"))
 
 
 #: Characters of a window of an alignment that is not exact.
