@@ -30,6 +30,16 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Dat
     return joined.select(*by, "n", po.alias("agreement"), F.when(pe < 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
+def kappa_of_counts(cells: DataFrame, a: str, b: str, count: str, by: Sequence[str]) -> DataFrame:
+    """Cohen's kappa from contingency tables, a row for each cell, by group; null for empty tables and where chance agreement is 1."""
+    by = list(by)
+    side = lambda label, name: cells.groupBy(*by, F.col(label).alias("_l")).agg(F.sum(count).alias(name))
+    chance = side(a, "_ra").join(side(b, "_rb"), [*by, "_l"]).groupBy(*by).agg(F.sum(F.col("_ra") * F.col("_rb")).alias("_both"))
+    total = cells.groupBy(*by).agg(F.sum(count).alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col(count)).otherwise(0)).alias("_same"))
+    po, pe = F.col("_same") / F.col("n"), F.coalesce("_both", F.lit(0)) / (F.col("n") * F.col("n"))
+    return total.join(chance, by, "left").select(*by, "n", F.when(F.col("n") > 0, po).alias("agreement"), F.when((F.col("n") > 0) & (pe < 1 - 1e-12), (po - pe) / (1 - pe)).alias("kappa"))
+
+
 def confusion(pairs: DataFrame, a: str, b: str, labels: DataFrame) -> DataFrame:
     """Dense label by label counts, zeros included; ``labels`` has the column label."""
     grid = labels.select(F.col("label").alias(a)).crossJoin(F.broadcast(labels.select(F.col("label").alias(b))))

@@ -217,11 +217,28 @@ def outcome_stability(spark, sf):
     return q.groupBy(*ARM).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 1).alias("changed"), F.count_if("always").alias("always"), F.count_if("ever").alias("ever"))
 
 
+def _xor_shift(x: str, by: int) -> str:
+    return f"xor({x}, {x} >> {by})"
+
+
+def draws_sql(name: str, source: str, x: str, keep: str) -> str:
+    """CTEs that end in ``name``: the rows of ``source`` with ``drawn``, the mixed value of x (a UBIGINT below 2^32)."""
+    return f"""{name}1 AS (SELECT {keep}, {_xor_shift('x', 16)} * 2146121005 % 4294967296 AS x FROM (SELECT {keep}, ({x})::UBIGINT AS x FROM {source})),
+{name}2 AS (SELECT {keep}, {_xor_shift('x', 15)} * 2221713035 % 4294967296 AS x FROM {name}1),
+{name} AS (SELECT {keep}, {_xor_shift('x', 16)} AS drawn FROM {name}2)"""
+
+
+def seeds_sql(seed: int) -> str:
+    """CTEs that end in ``seeded``: a number for each resample b."""
+    return draws_sql("sd", f"(SELECT unnest(range({RESAMPLES})) AS b)", f"(b + {seed * 2654435761 % 2**32}) % 4294967296", "b") + ", seeded AS (SELECT b, drawn AS s FROM sd)"
+
+
 def draw_sql(seed: int, units: str, by: str, key: str) -> str:
-    same = " AND ".join(f"n.{c.strip()} = d.{c.strip()}" for c in by.split(","))
-    return f"""num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS j, count(*) OVER (PARTITION BY {by}) AS k FROM {units}),
-dr AS (SELECT {by}, b, ('0x' || substr(md5(concat_ws('|', '{seed}', b, j)), 1, 8))::BIGINT % k AS pick FROM num, (SELECT unnest(range({RESAMPLES})) AS b)),
-rep AS (SELECT {", ".join("d." + c.strip() for c in by.split(","))}, b, sum(total) / nullif(sum(weight), 0) AS mean FROM dr d JOIN num n ON {same} AND n.j = d.pick GROUP BY ALL)"""
+    """CTEs that end in ``rep``: the mean of every group in each resample, units weighted by Poisson numbers."""
+    weight = " + ".join(f"(drawn >= {bar})::INT" for bar in S.POISSON)
+    return f"""{seeds_sql(seed)}, un AS (SELECT {by}, ('0x' || substr(md5({key}::VARCHAR), 1, 8))::UBIGINT AS h, total, weight FROM {units}),
+{draws_sql('dw', '(SELECT un.*, b, s FROM un, seeded)', 'xor(s, h)', f'{by}, b, total, weight')},
+rep AS (SELECT {by}, b, sum(w * total) / nullif(sum(w * weight), 0) AS mean FROM (SELECT *, {weight} AS w FROM dw) GROUP BY ALL)"""
 
 
 @query("cluster_bootstrap_ci", f"WITH {CLAIMS_SQL}, {GROUNDED_SQL}, u AS (SELECT condition, question_id, sum(groundedness) AS total, count(groundedness) AS weight FROM traces JOIN grounded USING (trace_id) GROUP BY ALL), {draw_sql(7, 'u', 'condition', 'question_id')} SELECT condition, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, count_if(mean IS NULL) AS n_undefined FROM rep GROUP BY 1")
@@ -264,17 +281,19 @@ def paired_arm_difference(spark, sf):
     return paired(spark, sf).groupBy("model").agg(F.count("*").alias("n_questions"), r6(F.avg("total")).alias("difference"))
 
 
-@query("permutation_baseline", f"""WITH {TRACES_SQL}, p AS (SELECT prompt, trace_id, (label = 'correct')::INT AS x, (confidence > 50)::INT AS y FROM traces WHERE label IS NOT NULL AND confidence IS NOT NULL AND condition = 'retrieved'),
-f AS (SELECT prompt, x, row_number() OVER (PARTITION BY prompt ORDER BY trace_id) AS n FROM p), c AS (SELECT prompt, b, y, row_number() OVER (PARTITION BY prompt, b ORDER BY ('0x' || substr(md5(concat_ws('|', '5', b, trace_id)), 1, 8))::BIGINT, trace_id) AS n FROM p, (SELECT unnest(range({RESAMPLES})) AS b)),
-r AS (SELECT b, avg((x = y)::INT) AS v FROM f JOIN c USING (prompt, n) GROUP BY b), o AS (SELECT avg((x = y)::INT) AS observed FROM p)
+@query("permutation_baseline", f"""WITH {TRACES_SQL}, p AS (SELECT prompt, (label = 'correct') AS x, (confidence > 50) AS y FROM traces WHERE label IS NOT NULL AND confidence IS NOT NULL AND condition = 'retrieved'),
+m AS (SELECT prompt, count(*) AS n, count_if(x)::BIGINT AS nx, count_if(y)::BIGINT AS ny FROM p GROUP BY 1), {seeds_sql(5)}, un AS (SELECT *, ('0x' || substr(md5(prompt), 1, 8))::UBIGINT AS h FROM m), {draws_sql('dw', '(SELECT un.*, b, s FROM un, seeded)', 'xor(s, h)', 'prompt, b')},
+k AS (SELECT prompt, n, nx, ny, unnest(range(greatest(0, nx + ny - n), least(nx, ny) + 1)) AS k FROM m), l AS (SELECT *, lgamma(nx + 1) - lgamma(k + 1) - lgamma(nx - k + 1) + lgamma(n - nx + 1) - lgamma(ny - k + 1) - lgamma(n - nx - ny + k + 1) - lgamma(n + 1) + lgamma(ny + 1) + lgamma(n - ny + 1) AS l FROM k),
+cdf AS (SELECT *, sum(exp(l)) OVER (PARTITION BY prompt ORDER BY k) AS c FROM l), d AS (SELECT dw.prompt, dw.b, count(*) FILTER (c <= drawn / 4294967296.0) AS below, min(n) AS n, min(nx) AS nx, min(ny) AS ny, min(k) AS least, max(k) AS most FROM dw JOIN cdf ON cdf.prompt = dw.prompt GROUP BY ALL),
+r AS (SELECT b, sum(n - nx - ny + 2 * least(least + below, most)) / sum(n) AS v FROM d GROUP BY b), o AS (SELECT avg((x = y)::INT) AS observed FROM p)
 SELECT round(max(observed), 6) AS observed, round(avg(v), 6) AS baseline, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM r, o""")
 def permutation_baseline(spark, sf):
-    """Agreement of two flags against deals of one within prompts."""
-    p = traces(spark, sf).filter("label IS NOT NULL AND confidence IS NOT NULL AND condition = 'retrieved'").select("prompt", "trace_id", (F.col("label") == "correct").cast("int").alias("x"), (F.col("confidence") > 50).cast("int").alias("y"))
-    same = F.avg((F.col("x") == F.col("y")).cast("int"))
-    r = S.permuted(p, "y", ["prompt"], "trace_id", 5, RESAMPLES).groupBy("b").agg(same.alias("v"))
+    """Agreement of two flags against permutations of one within prompts."""
+    p = traces(spark, sf).filter("label IS NOT NULL AND confidence IS NOT NULL AND condition = 'retrieved'").select("prompt", (F.col("label") == "correct").alias("x"), (F.col("confidence") > 50).alias("y"))
+    r = S.permuted_agreement(p, F.col("x"), F.col("y"), ["prompt"], 5, RESAMPLES)
     q = r.agg(F.avg("v").alias("baseline"), F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return p.agg(same.alias("observed")).crossJoin(q).select(r6("observed").alias("observed"), r6("baseline").alias("baseline"), r6(F.col("q")[0]).alias("lo"), r6(F.col("q")[1]).alias("hi"))
+    observed = p.agg(F.avg((F.col("x") == F.col("y")).cast("int")).alias("observed"))
+    return observed.crossJoin(q).select(r6("observed").alias("observed"), r6("baseline").alias("baseline"), r6(F.col("q")[0]).alias("lo"), r6(F.col("q")[1]).alias("hi"))
 
 
 @query("seeded_sample", f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {sql_draw('s1', 'doc_id')}, doc_id) AS r FROM documents) WHERE r <= 3")
@@ -476,7 +495,7 @@ _ARM_KEYS = "condition, model, prompt"
 def _interval_sql(name: str, units: str, seed: int) -> str:
     """Lower and upper bound of every arm's mean, as the table ``name``; the working tables get the name too."""
     sql = draw_sql(seed, units, _ARM_KEYS, "question_id")
-    for old in ("num", "dr", "rep"):
+    for old in ("sd", "sd1", "sd2", "seeded", "un", "dw", "dw1", "dw2", "rep"):
         sql = re.sub(rf"\b{old}\b", f"{old}_{name}", sql)
     return f"{sql}, {name} AS (SELECT {_ARM_KEYS}, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM rep_{name} GROUP BY ALL)"
 
