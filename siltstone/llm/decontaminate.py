@@ -8,14 +8,16 @@ the two token sequences are compared.  The best-scoring stretch (one for a match
 three for a mismatch) is a leak if it has ``MIN_MATCH`` matching tokens, or four fifths of
 a shorter item's.  Items of fewer than ``MIN_ITEM`` tokens are found where they stand whole.
 
-Equal seeds in a row, as monotonous texts have them, are one run; two runs that meet give a
-range of diagonals instead of all pairs of their places, and the ranges are compared in
-slices of bounded size, of which only the best stretch of a row and item is kept.
+Places of one seed at equal distances, as monotonous and periodic texts have them, are one run
+(first place, step, number); two runs of one step that meet give a range of diagonals instead
+of all pairs of their places.  Runs meet in slices of at most ``SLICE`` pairs, and ranges are
+compared in slices of ``SLICE`` diagonals, of which only the best stretch of a row and item is kept.
 
 The benchmark is joined in blocks of at most ``BLOCK_BYTES`` of text, each broadcast, so
 its size bounds neither memory nor correctness: every block meets every document.
 
 Defined results: null and empty texts have no tokens and no leaks, null items none either;
+very long texts are compared whole, in those slices;
 of several copies of an item in one document the longest is reported, then the first;
 repeated rows are reported each, and rows with a null id with that id; empty tables give
 an empty result; columns beside ids and texts, whatever their names, are ignored (and kept
@@ -65,6 +67,21 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(acc)
 
 
+def progressions(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First entry, step and number of runs of equally distant places; entries are sorted by group (equal numbers) and place."""
+    n = len(place)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    other = np.ones(n, bool)
+    other[1:] = group[1:] != group[:-1]
+    step = np.diff(place, prepend=place[0])
+    new = other.copy()
+    new[2:] |= (step[2:] != step[1:-1]) & ~other[1:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, n))
+    return first, np.where(size > 1, step[np.minimum(first + 1, n - 1)], 1), size
+
+
 class SeedIndex:
     """Seeds of a block of benchmark items with where they stand, and the items' tokens."""
 
@@ -91,51 +108,73 @@ class SeedIndex:
         key, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, items, places))
         order = np.lexsort((place, item, key))
         key, item, place = key[order].astype(U64), item[order], place[order]
-        # Equal seeds in a row of one item are one entry.
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(new)
+        # Equally distant places of a seed in an item are one entry.
+        other = np.ones(len(key), bool)
+        other[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+        first, self.step, self.run = progressions(np.cumsum(other), place)
         self.key, self.item, self.place = key[first], item[first], place[first]
-        self.run = np.diff(np.append(first, len(key)))
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[(self.key >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def probe(self, found: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
-        """Columns (row, item, first diagonal, number of diagonals) of every run of equal seeds that meets an entry.
+    def probe(self, found: np.ndarray, row: np.ndarray, span: int) -> Iterator[np.ndarray]:
+        """Columns (row, item, first diagonal, step, number of diagonals) of the runs of equal seeds that meet an entry, some ``SLICE`` at a time.
 
         ``row`` tells the row of every token, ``span`` how many tokens a seed needs.
         """
         inside = row[: len(found)] == row[span - 1 :][: len(found)]
         at = np.flatnonzero(inside & self.maybe[(found >> U64(64 - _FILTER_BITS)).astype(np.int64)])
-        new = np.ones(len(at), bool)
-        new[1:] = (found[at[1:]] != found[at[:-1]]) | (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(at)))
+        at = at[np.lexsort((at, found[at], row[at]))]
+        other = np.ones(len(at), bool)
+        other[1:] = (found[at[1:]] != found[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
+        first, step, size = progressions(np.cumsum(other), at)
         at = at[first]
         low = np.searchsorted(self.key, found[at], "left")
         n = np.searchsorted(self.key, found[at], "right") - low
-        at, low, n, size = (x[n > 0] for x in (at, low, n, size))
-        ends = np.cumsum(n)
-        entry = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - (ends - n), n)
-        at, size = np.repeat(at, n), np.repeat(size, n)
-        return np.stack([row[at], self.item[entry], at - self.place[entry] - self.run[entry] + 1, size + self.run[entry] - 1])
+        at, low, n, step, size = (x[n > 0] for x in (at, low, n, step, size))
+        done = 0
+        while done < len(n):
+            past = done + max(1, int(np.searchsorted(np.cumsum(n[done:]), SLICE, "right")))
+            for start in range(0, int(n[done]) if past == done + 1 else 1, SLICE):  # one run alone may meet very many entries
+                some = slice(done, past)
+                count = np.minimum(n[some] - start, SLICE) if past == done + 1 else n[some]
+                ends = np.cumsum(count)
+                entry = np.arange(int(ends[-1])) + np.repeat(low[some] + start - (ends - count), count)
+                yield self._meet(row, np.repeat(at[some], count), np.repeat(step[some], count), np.repeat(size[some], count), entry)
+            done = past
+
+    def _meet(self, row: np.ndarray, at: np.ndarray, step: np.ndarray, size: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The diagonals of runs and entries; where both have steps and these differ, the shorter one is taken place by place."""
+        odd = (size > 1) & (self.run[entry] > 1) & (step != self.step[entry])
+        place, run, own = self.place[entry].copy(), self.run[entry].copy(), self.step[entry].copy()
+        if odd.any():
+            few = np.where(odd, np.minimum(size, run), 1)
+            ends = np.cumsum(few)
+            k = np.arange(int(ends[-1])) - np.repeat(ends - few, few)
+            odd, entry, at, step, size, place, run, own = (np.repeat(x, few) for x in (odd, entry, at, step, size, place, run, own))
+            ours = odd & (size <= run)
+            theirs = odd & ~ours
+            at, size = np.where(ours, at + k * step, at), np.where(ours, 1, size)
+            place, run = np.where(theirs, place + k * own, place), np.where(theirs, 1, run)
+        both = np.where(size > 1, step, own)
+        return np.stack([row[at], self.item[entry], at - place - (run - 1) * own, both, size + run - 1])
 
 
 def _slices(ranges: np.ndarray) -> Iterator[np.ndarray]:
     """Distinct (row, item, diagonal) of the ranges, some ``SLICE`` before repeats go at a time; a long range is cut."""
-    row, item, begin, n = ranges
+    row, item, begin, step, n = ranges
     while len(n):
         past = int(np.searchsorted(np.cumsum(n), SLICE, "right"))
         take, last = (past, None) if past else (1, SLICE)
         size = n[:take] if last is None else np.array([last])
         ends = np.cumsum(size)
-        diagonal = np.arange(int(ends[-1])) + np.repeat(begin[:take] - (ends - size), size)
+        place = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        diagonal = np.repeat(begin[:take], size) + place * np.repeat(step[:take], size)
         yield np.unique(np.stack([np.repeat(row[:take], size), np.repeat(item[:take], size), diagonal]), axis=1) if len(diagonal) < 4096 else _distinct(np.repeat(row[:take], size), np.repeat(item[:take], size), diagonal)
         if last is None:
-            row, item, begin, n = row[take:], item[take:], begin[take:], n[take:]
+            row, item, begin, step, n = row[take:], item[take:], begin[take:], step[take:], n[take:]
         else:
             begin, n = begin.copy(), n.copy()
-            begin[0] += last
+            begin[0] += last * step[0]
             n[0] -= last
 
 
@@ -146,15 +185,27 @@ def _distinct(row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.nda
     return np.stack([key // width // items, key // width % items, key % width + low])
 
 
+def _gathered(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Ranges of several masks together, at most ``SLICE`` and one part at a time."""
+    held, n = [], 0
+    for p in parts:
+        held.append(p)
+        n += p.shape[1]
+        if n >= SLICE:
+            yield np.concatenate(held, axis=1)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held, axis=1)
+
+
 def leaks_of(index: SeedIndex, buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Leaks of a run of documents: row, item, matched tokens, length and place of the stretch."""
     w = Words(buf, offsets, lower=True, space=NOT_TOKEN)
     row_of = np.repeat(np.arange(len(offsets) - 1), w.counts)
-    found = [index.probe(s, row_of, len(m)) for m in index.masks if len(s := seeds(w.hash, m))]
     names = ("row", "item", "matched", "span", "doc_word", "item_word")
     best = np.zeros((6, 0), np.int64)
-    if found:
-        ranges = np.concatenate(found, axis=1)
+    parts = (part for m in index.masks if len(s := seeds(w.hash, m)) for part in index.probe(s, row_of, len(m)))
+    for ranges in _gathered(parts):
         # Sorted, so that the diagonals of one row and item mostly fall into one slice and repeats go before they are compared.
         for hits in _slices(ranges[:, np.lexsort((ranges[2], ranges[1], ranges[0]))]):
             best = _best(index, np.concatenate([best, *_stretches(index, w, hits)], axis=1))

@@ -315,6 +315,53 @@ def test_monotonous_texts_end():
     assert len(got["row"]) == 50 and set(got["matched"].tolist()) == {400} and time.process_time() - begin < 60
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 4, 5, 7, 10, 12])
+def test_periodic_texts_need_bounded_memory(period):
+    """Fifty items of 301 tokens against 2,001 tokens of one period: every item is found, with its whole length."""
+    import time
+    import tracemalloc
+
+    word = [f"w{i}" for i in range(period)]
+    item = " ".join(word[i % period] for i in range(301))
+    index = D.SeedIndex(list(range(50)), [item] * 50)
+    text = " ".join(word[i % period] for i in range(2001))
+    begin = time.process_time()
+    tracemalloc.start()
+    got = D.leaks_of(index, *flat(pa.array([text, "before " + item], pa.large_string())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got["row"]) == 100 and set(got["matched"].tolist()) == {301}
+    assert peak < 500e6 and time.process_time() - begin < 30
+
+
+def test_progressions():
+    group, place = np.array([1, 1, 1, 1, 2, 3, 3, 3, 3, 3]), np.array([0, 3, 6, 7, 9, 2, 4, 6, 11, 16])
+    first, step, size = D.progressions(group, place)
+    runs = [[int(place[f]) + k * int(s) for k in range(n)] for f, s, n in zip(first, step, size, strict=True)]
+    assert runs == [[0, 3, 6], [7], [9], [2, 4, 6], [11, 16]]
+    assert len(D.progressions(group[:0], place[:0])[0]) == 0
+
+
+@pytest.mark.parametrize("most", [1 << 19, 5])
+def test_runs_of_all_steps_meet_in_all_diagonals(monkeypatch, most):
+    """All pairs of equal seeds, and no others, whatever the steps of their runs."""
+    monkeypatch.setattr(D, "SLICE", most)
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        words = lambda n: [f"w{rng.integers(2)}" if rng.random() < 0.2 else f"p{i % 3}" for i in range(n)]
+        item, text = words(40), words(60)
+        index = D.SeedIndex([1], [" ".join(item)])
+        buf, offsets = flat(pa.array([" ".join(text)], pa.large_string()))
+        w = D.Words(buf, offsets, lower=True, space=D.NOT_TOKEN)
+        for mask in D.MASKS:
+            s = D.seeds(w.hash, mask)
+            ones = [i for i, c in enumerate(mask) if c == "1"]
+            want = {a - b for a in range(60 - len(mask) + 1) for b in range(40 - len(mask) + 1) if all(text[a + i] == item[b + i] for i in ones)}
+            got = {int(d) for part in index.probe(s, np.zeros(60, np.int64), len(mask)) for hits in D._slices(part) for d in hits[2]}
+            # An entry is of any mask, but the seeds of other masks have other hashes.
+            assert got == want
+
+
 def test_seed_positions():
     h = np.arange(1, 40, dtype=np.uint64)
     for mask in D.MASKS:
