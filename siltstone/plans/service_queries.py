@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..registry import literal_rows, query, table
+from ..streaming.budget import operations_of_events, replayed_decisions
 from .evaluation_tables import TRACES_SQL, sql_draw, traces
 
 
@@ -138,6 +139,12 @@ def budget_running_cap(spark, sf):
     return r.select("event_id", "event_type", "spent", "total", ((F.col("spent") <= 30) & (F.col("total") <= 100)).alias("allowed"))
 
 
+@query("budget_reservations")
+def budget_reservations(spark, sf):
+    """Every call of the event log reserves, settles, releases or lapses under the caps of its project and phase."""
+    return replayed_decisions(operations_of_events(table(spark, sf, "events")), project_cap=2.0, phase_cap=0.4)
+
+
 @query("spend_rollup", "SELECT coalesce(event_type, 'all') AS phase, coalesce(user_id % 3, -1)::BIGINT AS model, count(*) AS calls, round(sum(value / 1000), 4) AS cost FROM events GROUP BY GROUPING SETS ((event_type, user_id % 3), (event_type), (user_id % 3), ())")
 def spend_rollup(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("phase"), (F.col("user_id") % 3).alias("model"), (F.col("value") / 1000).alias("cost"))
