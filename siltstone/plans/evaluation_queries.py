@@ -625,10 +625,18 @@ def quota_check(spark, sf):
     return want.join(have, "label", "left").select("label", "want", F.coalesce("have", F.lit(0)).alias("have")).withColumn("met", F.col("have") >= F.col("want"))
 
 
-@query("evidence_consistency", f"WITH {TRACES_SQL} SELECT count(*) AS checked, count_if((cited_bits > 0) <> (bit_count(cited_bits) > 0)) AS violations, count_if(condition = 'oracle' AND question_id IS NULL) AS without_question FROM traces")
+@query("evidence_consistency", f"""WITH {CLAIMS_SQL}, x AS (SELECT trace_id, max(n_claims) AS told, count(*) AS n, max(cited_bits) AS cited, bit_or(CASE WHEN judge = 'supported' THEN support_bits ELSE 0 END) AS support, count_if(judge = 'supported' AND support_bits = 0) AS bare, count_if(judge <> 'supported' AND support_bits <> 0) AS stray FROM claims GROUP BY 1)
+SELECT count(*) AS checked, count_if(told <> n) AS lost_claims, sum(stray)::BIGINT AS stray_excerpts, sum(bare)::BIGINT AS supported_without_excerpt, count_if(cited & support = 0 AND cited > 0) AS cites_nothing_that_supports FROM x""")
 def evidence_consistency(spark, sf):
-    """Violations of an invariant are counted; a caller asserts that there are none."""
-    return traces(spark, sf).agg(F.count("*").alias("checked"), F.count_if((F.col("cited_bits") > 0) != (F.bit_count("cited_bits") > 0)).alias("violations"), F.count_if((F.col("condition") == "oracle") & F.col("question_id").isNull()).alias("without_question"))
+    """Claims against the traces and excerpts they name: the first two counts must be 0, the others say how often evidence is missing."""
+    c, supported = claims(spark, sf), F.col("judge") == "supported"
+    numbers = traces(spark, sf).select("trace_id", "n_claims")
+    x = c.join(numbers, "trace_id").groupBy("trace_id").agg(
+        F.max("n_claims").alias("told"), F.count("*").alias("n"), F.max("cited_bits").alias("cited"), F.bit_or(F.when(supported, F.col("support_bits")).otherwise(0)).alias("support"),
+        F.count_if(supported & (F.col("support_bits") == 0)).alias("bare"), F.count_if(~supported & (F.col("support_bits") != 0)).alias("stray"),
+    )
+    meets = F.col("cited").bitwiseAND(F.col("support"))
+    return x.agg(F.count("*").alias("checked"), F.count_if(F.col("told") != F.col("n")).alias("lost_claims"), F.sum("stray").alias("stray_excerpts"), F.sum("bare").alias("supported_without_excerpt"), F.count_if((meets == 0) & (F.col("cited") > 0)).alias("cites_nothing_that_supports"))
 
 
 @query("judge_stages", f"WITH {CLAIMS_SQL}, s AS (SELECT trace_id, status IN ('answered', 'partial') AS needs_judge, n_claims > 0 AS has_claims, status <> 'declined' AND label IS NOT NULL AS graded FROM traces) SELECT count_if(needs_judge) AS decomposed, count_if(needs_judge AND has_claims) AS verified, count_if(needs_judge AND graded) AS graded, count_if(NOT needs_judge) AS skipped FROM s")

@@ -9,7 +9,7 @@ from ..functions import figures as G
 from ..functions import outputs as O
 from ..registry import query, table
 from ..sources.html import document_kind, html_blocks
-from .evaluation_tables import claims
+from .evaluation_tables import CLAIMS_SQL, claims
 
 
 @query("html_blocks")
@@ -34,7 +34,16 @@ def figure_extract(spark, sf):
     return G.extract(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.explode("figures").alias("f")).select("doc_id", "f.*")
 
 
-@query("clopper_pearson")
+#: Bisection of the binomial tails: sixty halvings for each bound.
+_TAIL = "(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))) FROM range({first}, {last}) t(i))"
+
+
+@query("clopper_pearson", f"""WITH RECURSIVE {CLAIMS_SQL}, g AS (SELECT model, prompt, count_if(judge = 'supported')::BIGINT AS k, count(*)::BIGINT AS n FROM claims GROUP BY ALL),
+lo(model, prompt, k, n, step, a, z) AS (SELECT model, prompt, k, n, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM g UNION ALL SELECT model, prompt, k, n, step + 1, CASE WHEN s > 0.025 THEN a ELSE p END, CASE WHEN s > 0.025 THEN p ELSE z END
+ FROM (SELECT *, {_TAIL.format(first='k', last='n + 1')} AS s FROM (SELECT *, (a + z) / 2 AS p FROM lo WHERE step < 60))),
+hi(model, prompt, k, n, step, a, z) AS (SELECT model, prompt, k, n, 0, 0.0::DOUBLE, 1.0::DOUBLE FROM g UNION ALL SELECT model, prompt, k, n, step + 1, CASE WHEN s > 0.025 THEN p ELSE a END, CASE WHEN s > 0.025 THEN z ELSE p END
+ FROM (SELECT *, {_TAIL.format(first='0', last='k + 1')} AS s FROM (SELECT *, (a + z) / 2 AS p FROM hi WHERE step < 60)))
+SELECT g.model, g.prompt, g.k, g.n, CASE WHEN g.k = 0 THEN 0 ELSE round(lo.a, 6) END::DOUBLE AS lo, CASE WHEN g.k = g.n THEN 1 ELSE round(hi.a, 6) END::DOUBLE AS hi FROM g JOIN lo ON lo.model = g.model AND lo.prompt = g.prompt AND lo.step = 60 JOIN hi ON hi.model = g.model AND hi.prompt = g.prompt AND hi.step = 60""")
 def clopper_pearson(spark, sf):
     """Exact intervals of each model's share of supported claims; a row per group, so the solver sees a few rows."""
     g = claims(spark, sf).groupBy("model", "prompt").agg(F.count_if(F.col("judge") == "supported").alias("k"), F.count("*").alias("n"))

@@ -119,12 +119,27 @@ def document_blocks(spark, sf):
     return b.select("doc_id", "pos", F.last(F.when(head, F.col("line")), ignorenulls=True).over(w).alias("section"), F.contains("line", F.lit("|")).alias("is_table"), "char_start", "char_end")
 
 
-@query("chunk_recursive")
+#: Blocks of documents in order, with the section that the last heading opened.
+BLOCKS_SQL = """lines AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
+ordered AS (SELECT doc_id, pos, line, contains(line, '|') AS is_table, coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM lines WHERE line <> ''),
+blocks AS (SELECT doc_id, pos, k, line, is_table, a, a + length(line) AS z, last_value(CASE WHEN length(line) <= 40 AND NOT contains(line, '.') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM ordered)"""
+
+
+def packed_sql(alone: bool) -> str:
+    """CTEs that end in ``packed``: blocks with the number of their chunk, each block looking at the one before."""
+    cut = " OR b.is_table OR w.was_table" if alone else ""
+    new = f"(b.section IS DISTINCT FROM w.section OR b.z - w.a > 1024{cut})"
+    return f"""{BLOCKS_SQL}, w(doc_id, k, place, section, a, was_table) AS (SELECT doc_id, 1::BIGINT, 0, section, a, is_table FROM blocks WHERE k = 1
+ UNION ALL SELECT b.doc_id, b.k, w.place + {new}::INT, CASE WHEN {new} THEN b.section ELSE w.section END, CASE WHEN {new} THEN b.a ELSE w.a END, b.is_table FROM w JOIN blocks b ON b.doc_id = w.doc_id AND b.k = w.k + 1),
+packed AS (SELECT w.doc_id, w.place::INT AS place, min(b.a) AS char_start, max(b.z) AS char_end, any_value(w.section) AS section, bool_or(b.is_table) AS is_table, count(*) AS n_blocks FROM w JOIN blocks b USING (doc_id, k) GROUP BY ALL)"""
+
+
+@query("chunk_recursive", f"WITH RECURSIVE {packed_sql(False)} SELECT * FROM packed")
 def chunk_recursive(spark, sf):
     return C.packed(document_blocks(spark, sf))
 
 
-@query("chunk_table_aware")
+@query("chunk_table_aware", f"WITH RECURSIVE {packed_sql(True)} SELECT * FROM packed")
 def chunk_table_aware(spark, sf):
     return C.packed(document_blocks(spark, sf), table_alone=True)
 
@@ -561,7 +576,8 @@ def dense_relevance(spark, sf):
     return r.groupBy("query_id").agg(F.round(F.avg(same.cast("int")), 6).alias("precision_at_10"), F.coalesce(F.round(1 / F.min(F.when(same & (F.col("item_id") != F.col("query_id")), F.col("rank"))), 6), F.lit(0.0)).alias("rr"))
 
 
-@query("index_equivalence", f"WITH {_DENSE}, {ranked_sql('r', 'dense', 5, 'item_id')} SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS ids, true AS equal FROM r GROUP BY 1")
+@query("index_equivalence", f"""WITH {_DENSE}, {ranked_sql('r', 'dense', 5, 'item_id')}, p AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), {ranked_sql('o', 'p', 5, 'item_id')},
+one AS (SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS ids FROM r GROUP BY 1), two AS (SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS ids FROM o GROUP BY 1) SELECT query_id, one.ids, one.ids = two.ids AS equal FROM one JOIN two USING (query_id)""")
 def index_equivalence(spark, sf):
     """The ordered top five by array expressions and by products of matrices of a batch, and whether they are equal."""
     ids = lambda r, name: r.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x.item_id), ",").alias(name))
