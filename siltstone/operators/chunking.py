@@ -59,6 +59,63 @@ def snapped_windows(docs: DataFrame, size: int = 512, overlap: int = 64, with_te
     return rows if with_text else rows.drop("text")
 
 
+def packed_bounds(text: str, most: int = 1024, table_alone: bool = False) -> Iterator[tuple[int, int]]:
+    """Bounds, in the text itself, of its lines packed as ``packed`` does: a line without a full stop and of at most
+    40 characters heads a section, one with a bar is a table."""
+    at, section, first, was_table = 0, None, None, False
+    for raw in text.split("\n"):
+        line = raw.strip(" \t\r")
+        begin = at + len(raw) - len(raw.lstrip(" \t\r"))
+        at += len(raw) + 1
+        if not line:
+            continue
+        end, table = begin + len(line), "|" in line
+        if len(line) <= 40 and "." not in line:
+            section = line
+        if first is not None and section == first[0] and end - first[1] <= most and not (table_alone and (table or was_table)):
+            stop = end
+        else:
+            if first is not None:
+                yield first[1], stop
+            first, stop = (section, begin), end
+        was_table = table
+    if first is not None:
+        yield first[1], stop
+
+
+def plain_bounds(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the windows of ``plain_windows``."""
+    for begin in range(0, len(text), size - overlap):
+        if begin == 0 or begin + overlap < len(text):
+            yield begin, min(begin + size, len(text))
+
+
+#: Chunkings by name: bounds of the chunks of a text.
+CHUNKERS = {
+    "plain512": lambda t: plain_bounds(t, 512, 64),
+    "plain256": lambda t: plain_bounds(t, 256, 32),
+    "snapped512": snapped_bounds,
+    "recursive": packed_bounds,
+    "table_aware": lambda t: packed_bounds(t, table_alone=True),
+}
+
+
+def all_chunks(docs: DataFrame, names: tuple[str, ...] = tuple(CHUNKERS)) -> DataFrame:
+    """chunking, doc_id, chunk_id, char_start, char_end, text of several chunkings from one read of the texts: a map, no shuffle.
+
+    Chunks of one chunking are numbered within their document.
+    """
+
+    def run(frames):
+        for f in frames:
+            for d, t in zip(f.doc_id, f.text, strict=True):
+                rows = [(name, d, d * CHUNK_IDS + k, a, z, t[a:z]) for name in names for k, (a, z) in enumerate(CHUNKERS[name](t or ""))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["chunking", "doc_id", "chunk_id", "char_start", "char_end", "text"])
+
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "chunking string, doc_id long, chunk_id long, char_start long, char_end long, text string")
+
+
 def packed(blocks: DataFrame, most: int = 1024, table_alone: bool = False) -> DataFrame:
     """Greedy packing of whole blocks, a fold over each document's blocks in order.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +14,7 @@ from ..operators import retrieval as R
 from ..operators import resampling as S
 from ..operators.containment import candidates
 from ..registry import SQL, query, table
+from ..sources.tables import kept
 from .evaluation_queries import RESAMPLES, draw_sql
 from .text_queries import line_blocks, with_offsets
 
@@ -372,10 +375,10 @@ def rerank_topk(spark, sf):
     return reranked(bm25_ranked(spark, sf, 50), chunks(spark, sf), queries(spark, sf), 5)
 
 
-def reranked(ranked, c, q, k):
+def reranked(ranked, c, q, k, tokens=None):
     """The chunks of ranked lists ordered by token overlap with the question, then as before."""
     wanted = ranked.select("query_id", "chunk_id", F.col("rank").alias("prev"))
-    top = c.join(wanted, "chunk_id").select("query_id", "chunk_id", "prev", T.tokens(F.col("text")).alias("ct")).join(q.select("query_id", "qt"), "query_id")
+    top = c.join(wanted, "chunk_id").select("query_id", "chunk_id", "prev", (T.tokens(F.col("text")) if tokens is None else tokens).alias("ct")).join(q.select("query_id", "qt"), "query_id")
     scored = top.withColumn("score", F.round(F.size(F.array_intersect("qt", "ct")) / F.size(F.array_union("qt", "ct")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "prev")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
@@ -491,12 +494,22 @@ def interval_union_coverage(spark, sf):
     return total.join(covered, "query_id", "left").select("query_id", F.coalesce("covered", F.lit(0)).alias("covered"), F.round(F.coalesce("covered", F.lit(0)) / F.col("total"), 6).alias("span_recall"))
 
 
-#: The grid: chunkings, sizes of hashed vectors, methods.
+#: Packed chunks with their bounds and text in the document itself.
+_PACKED_CHUNKS = """raw AS (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
+ordered AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line, s + length(line) - length(ltrim(line, ' ' || chr(9) || chr(13))) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM raw WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+blocks AS (SELECT doc_id, k, contains(line, '|') AS is_table, a, a + length(line) AS z, last_value(CASE WHEN length(line) <= 40 AND NOT contains(line, '.') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM ordered),
+w(doc_id, k, place, section, a, was_table) AS (SELECT doc_id, 1::BIGINT, 0::BIGINT, section, a, is_table FROM blocks WHERE k = 1 UNION ALL SELECT b.doc_id, b.k, w.place + {new}::INT, CASE WHEN {new} THEN b.section ELSE w.section END, CASE WHEN {new} THEN b.a ELSE w.a END, b.is_table FROM w JOIN blocks b ON b.doc_id = w.doc_id AND b.k = w.k + 1),
+bounds AS (SELECT doc_id, place, min(b.a) AS a, max(b.z) AS z FROM w JOIN blocks b USING (doc_id, k) GROUP BY ALL),
+chunks AS (SELECT doc_id, doc_id * 10000000 + place AS chunk_id, b.a AS char_start, b.z AS char_end, substr(d.text, (b.a + 1)::BIGINT, (b.z - b.a)::BIGINT) AS text FROM bounds b JOIN documents d USING (doc_id))"""
+_CUT = "(b.section IS DISTINCT FROM w.section OR b.z - w.a > 1024{more})"
+GRID_SQL = CHUNKING_SQL | {"recursive": _PACKED_CHUNKS.replace("{new}", _CUT.format(more="")), "table_aware": _PACKED_CHUNKS.replace("{new}", _CUT.format(more=" OR b.is_table OR w.was_table"))}
+
+#: The grid: five chunkings, sizes of hashed vectors, methods.
 SIZES, METHODS = (64, 256), ("bm25", "dense", "hybrid", "hybrid_rerank")
 
 
 def _grid_part(name: str, size: int) -> str:
-    return f"""SELECT '{name}' AS chunking, {size} AS cells, method, query_id, recall5, rr FROM (WITH RECURSIVE {CHUNKING_SQL[name]}, {GOLD}, {RELEVANT}, {BM25}, {_HASHED.replace('% 64', f'% {size}')}, {_FUSED},
+    return f"""SELECT '{name}' AS chunking, {size} AS cells, method, query_id, recall5, rr FROM (WITH RECURSIVE {GRID_SQL[name]}, {GOLD}, {RELEVANT}, {BM25}, {_HASHED.replace('% 64', f'% {size}')}, {_FUSED},
 {ranked_sql('rb', 'scored', 5)}, {ranked_sql('rh', 'hashed', 5)}, {ranked_sql('rf', 'fused', 20)}, j AS (SELECT f.query_id, f.chunk_id, f.rank AS prev, list_distinct(q.qt) AS qs, list_distinct(regexp_extract_all(lower(c.text), '{TOK}')) AS cs FROM rf f JOIN q USING (query_id) JOIN chunks c USING (chunk_id)),
 o AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(len(list_intersect(qs, cs)) / len(list_distinct(list_concat(qs, cs))), 6) DESC, prev) AS rank FROM j),
 cell AS (SELECT 'bm25' AS method, query_id, chunk_id, rank FROM rb UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM rh UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM rf WHERE rank <= 5 UNION ALL SELECT 'hybrid_rerank', query_id, chunk_id, rank FROM o WHERE rank <= 5)
@@ -504,28 +517,35 @@ SELECT method, g.query_id, count(DISTINCT CASE WHEN r.chunk_id IS NOT NULL THEN
 FROM gold g CROSS JOIN (VALUES ('bm25'), ('dense'), ('hybrid'), ('hybrid_rerank')) mm(method) LEFT JOIN cell USING (method, query_id) LEFT JOIN relevant r ON r.query_id = g.query_id AND r.doc_id = g.doc_id AND r.chunk_id = cell.chunk_id GROUP BY ALL)"""
 
 
-_GRID = "grid AS (" + " UNION ALL ".join(_grid_part(c, size) for c in CHUNKINGS for size in SIZES) + ")"
+_GRID = "grid AS (" + " UNION ALL ".join(_grid_part(c, size) for c in C.CHUNKERS for size in SIZES) + ")"
 
 
 def grid(spark, sf):
-    """Recall at five and reciprocal rank of each chunking, vector size, method and question."""
-    q, golds, tokens, asked, cells = queries(spark, sf), gold(spark, sf), T.tokens(F.col("text")), F.col("qt"), None
-    for name in CHUNKINGS:
-        c = chunking(spark, sf, name)
-        rel = relevant_of(c.drop("text"), golds).select("query_id", "doc_id", "chunk_id").distinct()
-        b = R.top_k(R.bm25(c, q, tokens, asked, 100), 100, "chunk_id")
-        for size in SIZES:
-            h = R.top_k(R.hashed_search(c, q, tokens, asked, T.md5_int, 100, size), 100, "chunk_id")
-            f = R.fuse([b, h], 20)
-            lists = None
-            for method, ranked in zip(METHODS, (b, h, f, reranked(f, c, q, 5)), strict=True):
-                part = ranked.filter("rank <= 5").select(F.lit(method).alias("method"), "query_id", "chunk_id", "rank")
-                lists = part if lists is None else lists.unionByName(part)
-            hit = lists.join(rel, ["query_id", "chunk_id"]).groupBy("method", "query_id").agg(F.countDistinct("doc_id").alias("found"), F.max(1 / F.col("rank")).alias("rr"))
-            part = hit.select(F.lit(name).alias("chunking"), F.lit(size).alias("cells"), "method", "query_id", "found", "rr")
-            cells = part if cells is None else cells.unionByName(part)
+    """Recall at five and reciprocal rank of each chunking, vector size, method and question.
+
+    The texts are read once: all chunkings come from one map over them, whose tokens are
+    written by chunking; searches read these.  Ranked lists, a hundred for each question,
+    are written too, as several methods use them.
+    """
+    q, t, asked = kept(queries(spark, sf), "questions"), F.col("t"), F.col("qt")
+    golds = kept(gold(spark, sf), "gold")
+    tagged = kept(C.all_chunks(table(spark, sf, "documents")).select("chunking", "doc_id", "chunk_id", "char_start", "char_end", T.tokens(F.col("text")).alias("t")), "chunks", ("chunking",))
+    of = {name: tagged.filter(F.col("chunking") == name).drop("chunking") for name in C.CHUNKERS}
+    united = lambda parts: functools.reduce(lambda a, b: a.unionByName(b), parts)
+    search = {"bm25": lambda c: R.bm25(c, q, t, asked, 100)} | {f"dense{n}": lambda c, n=n: R.hashed_search(c, q, t, asked, T.md5_int, 100, n) for n in SIZES}
+    lists = kept(united([R.top_k(find(c), 100, "chunk_id").select(F.lit(name).alias("chunking"), F.lit(kind).alias("list"), "query_id", "chunk_id", "rank") for name, c in of.items() for kind, find in search.items()]), "lists")
+    one = lambda name, kind: lists.filter((F.col("chunking") == name) & (F.col("list") == kind)).select("query_id", "chunk_id", "rank")
+    fused = kept(united([R.fuse([one(name, "bm25"), one(name, f"dense{n}")], 20).select(F.lit(name).alias("chunking"), F.lit(n).alias("cells"), "query_id", "chunk_id", "rank") for name in of for n in SIZES]), "fused")
+    best = []
+    for name, c in of.items():
+        for n in SIZES:
+            f = fused.filter((F.col("chunking") == name) & (F.col("cells") == n)).select("query_id", "chunk_id", "rank")
+            for method, ranked in zip(METHODS, (one(name, "bm25"), one(name, f"dense{n}"), f, reranked(f, c, q, 5, t)), strict=True):
+                best.append(ranked.filter("rank <= 5").select(F.lit(name).alias("chunking"), F.lit(n).alias("cells"), F.lit(method).alias("method"), "query_id", "chunk_id", "rank"))
+    rel = united([relevant_of(c.drop("t"), golds).select(F.lit(name).alias("chunking"), "query_id", "doc_id", "chunk_id").distinct() for name, c in of.items()])
+    cells = united(best).join(rel, ["chunking", "query_id", "chunk_id"]).groupBy("chunking", "cells", "method", "query_id").agg(F.countDistinct("doc_id").alias("found"), F.max(1 / F.col("rank")).alias("rr"))
     n = golds.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
-    every = F.array(*[F.struct(F.lit(c).alias("chunking"), F.lit(s).alias("cells"), F.lit(m).alias("method")) for c in CHUNKINGS for s in SIZES for m in METHODS])
+    every = F.array(*[F.struct(F.lit(c).alias("chunking"), F.lit(s).alias("cells"), F.lit(m).alias("method")) for c in of for s in SIZES for m in METHODS])
     asked_for = n.withColumn("g", F.explode(every)).select("query_id", "n", "g.*")
     out = asked_for.join(cells, ["chunking", "cells", "method", "query_id"], "left")
     return out.select("chunking", "cells", "method", "query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall5"), F.coalesce("rr", F.lit(0.0)).alias("rr"))
@@ -536,19 +556,30 @@ def retrieval_grid(spark, sf):
     return grid(spark, sf).groupBy("chunking", "cells", "method").agg(F.count("*").alias("n"), F.round(F.avg("recall5"), 6).alias("recall5"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-@query("factor_decomposition", f"""WITH {_GRID}, c AS (SELECT chunking, cells::VARCHAR AS cells, method, avg(recall5) AS v FROM grid GROUP BY ALL), t AS (SELECT avg(v) AS m, sum((v - (SELECT avg(v) FROM c)) ** 2) AS ss FROM c),
-l AS (SELECT 'method' AS factor, method AS level, avg(v) AS mean, count(*) AS n FROM c GROUP BY method UNION ALL SELECT 'embedding', cells, avg(v), count(*) FROM c GROUP BY cells UNION ALL SELECT 'chunking', chunking, avg(v), count(*) FROM c GROUP BY chunking)
-SELECT factor, count(*) AS levels, round(max(mean) - min(mean), 6) AS spread, round(sum(n * (mean - m) ** 2) / nullif(max(ss), 0), 6) AS share FROM l, t GROUP BY factor""")
+@query("factor_decomposition", f"""WITH {_GRID}, s AS (SELECT 'all' AS subset, * FROM grid UNION ALL SELECT 'type ' || (query_id % 3), * FROM grid), c AS (SELECT subset, chunking, cells::VARCHAR AS cells, method, avg(recall5) AS v FROM s GROUP BY ALL), m AS (SELECT subset, avg(v) AS m FROM c GROUP BY 1), t AS (SELECT subset, max(m) AS m, sum((v - m) ** 2) AS ss FROM c JOIN m USING (subset) GROUP BY 1),
+l AS (SELECT subset, 'method' AS factor, method AS level, avg(v) AS mean, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT subset, 'embedding', cells, avg(v), count(*) FROM c GROUP BY ALL UNION ALL SELECT subset, 'chunking', chunking, avg(v), count(*) FROM c GROUP BY ALL),
+f AS (SELECT subset, factor, count(*) AS levels, max(mean) - min(mean) AS spread, CASE WHEN max(ss) > 1e-12 THEN sum(n * (mean - m) ** 2) / max(ss) END AS share, min(n) = max(n) AS balanced FROM l JOIN t USING (subset) GROUP BY ALL)
+SELECT subset, factor, levels, round(spread, 6) AS spread, round(share, 6) AS share, balanced FROM f UNION ALL SELECT subset, 'interaction', NULL, NULL, round(1 - sum(share), 6), bool_and(balanced) FROM f GROUP BY subset""")
 def factor_decomposition(spark, sf):
-    """Share of the variance between the grid's cells that the level means of chunking, embedding and method explain."""
-    c = grid(spark, sf).groupBy("chunking", F.col("cells").cast("string").alias("cells"), "method").agg(F.avg("recall5").alias("v"))
+    """Share of the variance between the grid's cells that the level means of chunking, embedding and method explain, and what
+    is left to interactions; over all questions and by question type.  Shares add up only in a balanced grid, which a flag tells."""
+    subset = F.explode(F.array(F.lit("all"), F.concat(F.lit("type "), (F.col("query_id") % 3).cast("string")))).alias("subset")
+    c = grid(spark, sf).select("*", subset).groupBy("subset", "chunking", F.col("cells").cast("string").alias("cells"), "method").agg(F.avg("recall5").alias("v"))
     level = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(k).alias("level")) for f, k in (("chunking", "chunking"), ("embedding", "cells"), ("method", "method"))])).alias("l")
     # The sums for the whole are taken along, so that the grid is made once.
-    levels = c.select("v", level).groupBy("l.factor", "l.level").agg(F.avg("v").alias("mean"), F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2"))
+    levels = c.select("subset", "v", level).groupBy("subset", "l.factor", "l.level").agg(F.avg("v").alias("mean"), F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2"))
     n, s1, s2 = F.sum("n"), F.sum("s"), F.sum("s2")
     between = F.sum(F.col("n") * F.col("mean") * F.col("mean")) - s1 * s1 / n
     ss = F.when(s2 - s1 * s1 / n > 1e-12, s2 - s1 * s1 / n)
-    return levels.groupBy("factor").agg(F.count("*").alias("levels"), F.round(F.max("mean") - F.min("mean"), 6).alias("spread"), F.round(between / ss, 6).alias("share"))
+    factors = levels.groupBy("subset", "factor").agg(F.count("*").alias("levels"), (F.max("mean") - F.min("mean")).alias("spread"), (between / ss).alias("share"), (F.min("n") == F.max("n")).alias("balanced"))
+    # The remainder goes along with the factors of its subset: a second row for one of them.
+    left = (1 - F.sum("share").over(Window.partitionBy("subset"))).alias("left")
+    sound = F.min("balanced").over(Window.partitionBy("subset")).alias("sound")
+    first = F.row_number().over(Window.partitionBy("subset").orderBy("factor")) == 1
+    own = F.struct("factor", "levels", F.round("spread", 6).alias("spread"), F.round("share", 6).alias("share"), "balanced")
+    rest = F.struct(F.lit("interaction").alias("factor"), F.lit(None).cast("long").alias("levels"), F.lit(None).cast("double").alias("spread"), F.round("left", 6).alias("share"), F.col("sound").alias("balanced"))
+    rows = factors.select("*", left, sound, first.alias("first"))
+    return rows.select("subset", F.explode(F.when(F.col("first"), F.array(own, rest)).otherwise(F.array(own))).alias("r")).select("subset", "r.*")
 
 
 @query("retrieval_winner", f"""WITH {_GRID}, c AS (SELECT chunking || '/' || cells || '/' || method AS cell, round(avg(recall5), 6) AS recall5, round(avg(rr), 6) AS mrr FROM grid GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY recall5 DESC, mrr DESC, cell) AS place FROM c),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(rows: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows written to a new shared folder and read back: computed once for all that reads them later.  The folder goes when the session's program ends."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, name)
+
+    def forget() -> None:
+        try:
+            _delete(spark, folder)
+        except Exception:  # the session has gone already
+            pass
+
+    atexit.register(forget)
+    rows.write.option("compression", "zstd").partitionBy(*by).parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 @contextmanager
 def settled(rows: DataFrame, name: str) -> Iterator[DataFrame]:
     """The rows written to a new shared folder and read back, for as long as the block runs; then the folder is deleted."""
@@ -31,8 +52,7 @@ def settled(rows: DataFrame, name: str) -> Iterator[DataFrame]:
         rows.write.option("compression", "zstd").parquet(folder)
         yield spark.read.schema(rows.schema).parquet(folder)
     finally:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
