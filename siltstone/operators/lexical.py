@@ -85,14 +85,18 @@ class Best:
 
 
 class Search:
-    """Offers the chunks of batch after batch to the best of every question."""
+    """Offers the chunks of batch after batch to the best of every question.
+
+    ``part`` tells what a term adds that stands so often in a chunk of so many times the mean length.
+    """
 
     def __init__(self, questions: Questions, part: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int):
         self.q, self.part, self.best = questions, part, Best(len(questions.ids), k)
         #: Postings scored, and postings that share a term with a question.
         self.scored = self.matching = 0
 
-    def batch(self, ids: np.ndarray, lists: pa.ListArray) -> None:
+    def batch(self, ids: np.ndarray, lists: pa.ListArray, mean: np.ndarray | float) -> None:
+        """``mean``: the mean length of the chunks that a row is compared with."""
         sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         named = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(self.q.terms, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         row, terms = np.repeat(np.arange(len(sizes)), sizes)[named >= 0], len(self.q.terms)
@@ -101,7 +105,7 @@ class Search:
         if not len(key):
             return
         self.row = key // ROWS // terms * ROWS + key % ROWS
-        self.value = self.part(count, sizes[self.row])
+        self.value = self.part(count, (sizes / mean)[self.row])
         self.first = np.flatnonzero(np.diff(key // ROWS, prepend=-1))
         self.group = key[self.first] // ROWS
         self.ids, self.size = ids, np.diff(np.append(self.first, len(key)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lexical import Questions, Search
+from .lexical import UNITS, Best, Questions, Search
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
@@ -28,14 +28,20 @@ def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[DataFrame
     return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
 
 
-def top_k(scored: DataFrame, k: int, item: str, by: str = "query_id", score: str = "score") -> DataFrame:
+def top_k(scored: DataFrame, k: int, item: str, by: Sequence[str] = ("query_id",), score: str = "score") -> DataFrame:
     """The k best of each query, best first, ties by the item; the rank filter becomes a limit within groups."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), F.asc(item))
+    w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(item))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def term_weights(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column) -> tuple[list[tuple[int, str, float]], float]:
-    """(query_id, term, weight) of a block of questions' terms that some chunk holds, and the chunks' mean length.
+    """(query_id, term, weight) of a block of questions' terms that some chunk holds, and the chunks' mean length."""
+    found = weights_by_part(chunks.withColumn("_part", F.lit(0)), queries, tokens, query_tokens, "_part")
+    return found.get(0, ([], 1.0))
+
+
+def weights_by_part(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, part: str) -> dict[int, tuple[list[tuple[int, str, float]], float]]:
+    """For every part of the chunks (an integer column; a few parts), (query_id, term, weight) of the terms asked for, and the mean length.
 
     One pass over the chunks: distinct terms are counted with partial aggregates, and so
     is one more term of every chunk that tells its length.  What comes back is a row for
@@ -48,18 +54,21 @@ def term_weights(chunks: DataFrame, queries: DataFrame, tokens: Column, query_to
     wanted = chunks.sparkSession.createDataFrame([(t,) for t in sorted({"", *(t for c in asked.values() for t in c)})], "named string")
     # The lambda over an array of one binds the tokens, which are then made once.
     marked = F.element_at(F.transform(F.array(tokens), lambda t: F.array_append(F.array_distinct(t), F.concat(F.lit("#"), F.size(t).cast("string")))), 1)
-    counted = chunks.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counted = chunks.select(part, F.explode(marked).alias("term")).groupBy(part, "term").agg(F.count("*").alias("df"))
     known = counted.join(F.broadcast(wanted), F.col("term") == F.col("named"), "left").withColumn("named", F.when(F.col("term").startswith("#"), F.col("term")).otherwise(F.col("named")))
-    rows = known.groupBy("named", "df").agg(F.count("*").alias("terms")).collect()
-    sizes = [(int(r.named[1:]), r.df) for r in rows if r.named is not None and r.named.startswith("#")]
-    n, total = sum(m for _, m in sizes), sum(size * m for size, m in sizes)
-    if not n:
-        return [], 1.0
-    rest = [r for r in rows if r.named is None or not r.named.startswith("#")]
-    idf = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
-    mean = sum(r.terms * idf(r.df) for r in rest) / max(sum(r.terms for r in rest), 1)
-    known = {r.named: idf(r.df) if idf(r.df) >= 0 else EPSILON * mean for r in rest if r.named is not None}
-    return [(q, term, times * known[term]) for q, c in asked.items() for term, times in c.items() if term in known], total / n
+    found: dict[int, list] = {}
+    for r in known.groupBy(part, "named", "df").agg(F.count("*").alias("terms")).collect():
+        found.setdefault(r[part], []).append(r)
+    out = {}
+    for name, rows in found.items():
+        sizes = [(int(r.named[1:]), r.df) for r in rows if r.named is not None and r.named.startswith("#")]
+        n, total = sum(m for _, m in sizes), sum(size * m for size, m in sizes)
+        rest = [r for r in rows if r.named is None or not r.named.startswith("#")]
+        idf = lambda df, n=n: math.log(n - df + 0.5) - math.log(df + 0.5)
+        mean = sum(r.terms * idf(r.df) for r in rest) / max(sum(r.terms for r in rest), 1)
+        weight = {r.named: idf(r.df) if idf(r.df) >= 0 else EPSILON * mean for r in rest if r.named is not None}
+        out[name] = [(q, term, times * weight[term]) for q, c in asked.items() for term, times in c.items() if term in weight], total / n
+    return out
 
 
 def saturation(tf, dl, avgdl):
@@ -86,34 +95,58 @@ def _pairs(chunks: DataFrame, weights: DataFrame, avgdl: float, tokens: Column)
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k: int) -> DataFrame:
-    """(query_id, chunk_id, score) of at least the k best chunks of every question that share a term with it.
+    """(query_id, chunk_id, score) of at least the k best chunks of every question that share a term with it."""
+    return bm25_by_part(chunks.withColumn("_part", F.lit(0)), queries, tokens, query_tokens, k, "_part").drop("_part")
+
+
+def bm25_by_part(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, k: int, part: str) -> DataFrame:
+    """(part, query_id, chunk_id, score): ``bm25`` of the questions against each part of the chunks by itself, in one pass over all.
 
     The weights of a block of questions are sent to all tasks.  A task keeps the k best of
     the chunks it reads, scoring only what can still be among them; nothing but these is
-    shuffled.  Chunk ids are numbers.
+    shuffled.  Chunk ids are numbers, parts a few integers: a question is one of its own in
+    every part, and terms of different parts never meet.
     """
     spark, out = chunks.sparkSession, None
-    listed = chunks.select("chunk_id", tokens.alias("t"))
+    listed = chunks.select(F.col(part).cast("int").alias("part"), "chunk_id", F.transform(tokens, lambda t: F.concat_ws("|", F.col(part).cast("string"), t)).alias("t"))
     for block in query_blocks(queries):
-        rows, avgdl = term_weights(chunks, block, tokens, query_tokens)
-        shared = spark.sparkContext.broadcast((Questions(rows), avgdl))
+        found = weights_by_part(chunks, block, tokens, query_tokens, part)
+        rows = [((q, p), f"{p}|{term}", weight) for p, (weights, _) in found.items() for q, term, weight in weights]
+        shared = spark.sparkContext.broadcast((Questions(rows), {p: mean for p, (_, mean) in found.items()}))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            questions, avgdl = shared.value
+            questions, means = shared.value
             if not questions.ids:
                 return
-            search = Search(questions, lambda tf, dl: saturation(tf, dl, avgdl), k)
+            search = Search(questions, lambda tf, longer: saturation(tf, longer, 1.0), k)
             for b in batches:
                 if b.num_rows:
-                    search.batch(b.column("chunk_id").to_numpy(zero_copy_only=False), b.column("t"))
+                    mean = np.array([means.get(p, 1.0) for p in b.column("part").to_pylist()])
+                    search.batch(b.column("chunk_id").to_numpy(zero_copy_only=False), b.column("t"), np.maximum(mean, 1e-300))
             question, item, score = search.best.rows()
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(questions.ids)[question], pa.int64()), pa.array(item), pa.array(score)], ["query_id", "chunk_id", "score"])
+            query, name = np.array(questions.ids, np.int64)[question].reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int32)), pa.array(query), pa.array(item), pa.array(score)], ["part", "query_id", "chunk_id", "score"])
 
-        found = listed.mapInArrow(run, "query_id long, chunk_id long, score double").withColumn("score", F.round("score", 6))
-        out = found if out is None else out.unionByName(found)
+        best = listed.mapInArrow(run, "part int, query_id long, chunk_id long, score double").select(F.col("part").alias(part), "query_id", "chunk_id", F.round("score", 6).alias("score"))
+        out = best if out is None else out.unionByName(best)
     return out
 
 
+def best_pairs(values: np.ndarray, counts: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of every column among those that count, ties by id."""
+    whole = np.where(counts, np.floor(values * 1e6 + 0.5), -np.inf)
+    if len(whole) > k:  # what falls behind the k-th cannot be among the best
+        bar = np.partition(whole, len(whole) - k, axis=0)[len(whole) - k]
+        row, query = np.nonzero((whole >= bar) & counts)
+    else:
+        row, query = np.nonzero(counts)
+    order = np.lexsort((ids[row], -whole[row, query], query))
+    row, query = row[order], query[order]
+    start = np.searchsorted(query, np.arange(values.shape[1]))
+    best = np.arange(len(query)) - start[query] < k
+    return row[best], query[best]
+
+
 def batch_best(listed: DataFrame, score: Callable, shared, k: int) -> DataFrame:
     """(query_id, chunk_id, score) of the k best of every question within each batch.
 
@@ -129,17 +162,7 @@ def batch_best(listed: DataFrame, score: Callable, shared, k: int) -> DataFrame:
                 continue
             ids = b.column("chunk_id").to_numpy(zero_copy_only=False)
             for first, values, counts in score(b):
-                whole = np.where(counts, np.floor(values * 1e6 + 0.5), -np.inf)
-                if len(whole) > k:  # what falls behind the k-th cannot be among the best
-                    bar = np.partition(whole, len(whole) - k, axis=0)[len(whole) - k]
-                    row, query = np.nonzero((whole >= bar) & counts)
-                else:
-                    row, query = np.nonzero(counts)
-                order = np.lexsort((ids[first + row], -whole[row, query], query))
-                row, query = row[order], query[order]
-                start = np.searchsorted(query, np.arange(len(asked)))
-                best = np.arange(len(query)) - start[query] < k
-                row, query = row[best], query[best]
+                row, query = best_pairs(values, counts, ids[first : first + len(values)], k)
                 cols = [pa.array(np.asarray(asked)[query], pa.int64()), b.column("chunk_id").take(pa.array(first + row)), pa.array(values[row, query], pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, ["query_id", "chunk_id", "score"])
 
@@ -159,34 +182,56 @@ def with_zero_scores(best: DataFrame, chunks: DataFrame, queries: DataFrame, tok
 
 
 def hashed_search(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, bucket: Callable[[Column], Column], k: int, size: int = 64) -> DataFrame:
-    """(query_id, chunk_id, score) of at least the k best chunks by inner products of unit vectors of hashed token counts.
+    """(query_id, chunk_id, score) of at least the k best chunks by inner products of unit vectors of hashed token counts."""
+    return hashed_by_part(chunks.withColumn("_part", F.lit(0)), queries, tokens, query_tokens, bucket, k, (size,), "_part").drop("_part", "cells")
+
+
+def hashed_by_part(chunks: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, bucket: Callable[[Column], Column], k: int, sizes: tuple[int, ...], part: str) -> DataFrame:
+    """(part, cells, query_id, chunk_id, score): hashed vectors of several sizes (each a divisor of the greatest), each part of the chunks by itself, in one pass.
 
     The vectors stand in for an embedding model.  Cells are made by built-in functions;
     a batch of chunks becomes a matrix that the questions' vectors (a block of them, sent
-    to all tasks) are multiplied with, and gives its own k best.
+    to all tasks) are multiplied with; a task gives the k best of all it has read.
     """
-    cells_of = lambda t: F.transform(t, lambda x: F.pmod(bucket(x), F.lit(size)).cast("int"))
-    listed, out = chunks.select("chunk_id", cells_of(tokens).alias("cells")), None
-
-    def vectors(lists: pa.ListArray) -> np.ndarray:
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cells = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        v = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * size + cells, minlength=len(sizes) * size).reshape(len(sizes), size).astype(np.float64)
+    top, out = max(sizes), None
+    if any(top % n for n in sizes):
+        raise ValueError("sizes must divide the greatest")
+    cells_of = lambda t: F.transform(F.coalesce(t, F.array().cast("array<string>")), lambda x: F.pmod(bucket(x), F.lit(top)).cast("int"))
+    listed = chunks.select(F.col(part).cast("int").alias("part"), "chunk_id", cells_of(tokens).alias("cells"))
+
+    def vectors(lists: pa.ListArray, size: int) -> np.ndarray:
+        count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % size
+        v = np.bincount(np.repeat(np.arange(len(count)), count) * size + cells, minlength=len(count) * size).reshape(len(count), size).astype(np.float64)
         return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
     for block in query_blocks(queries):
         rows = sorted((r.query_id, list(r.cells)) for r in block.select("query_id", cells_of(query_tokens).alias("cells")).collect())
-        shared = chunks.sparkSession.sparkContext.broadcast(([r[0] for r in rows], vectors(pa.array([r[1] for r in rows], pa.list_(pa.int32())))))
+        lists = pa.array([r[1] for r in rows], pa.list_(pa.int32()))
+        shared = chunks.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), {n: vectors(lists, n) for n in sizes}))
 
-        def score(batch: pa.RecordBatch, shared=shared) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-            asked, q = shared.value
-            v = vectors(batch.column("cells"))
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, of = shared.value
+            held: dict[tuple[int, int], Best] = {}
             step = max(1, PAIRS // max(len(asked), 1))
-            for a in range(0, len(v), step):
-                values = v[a : a + step] @ q.T
-                yield a, values, values > 0
-
-        found = batch_best(listed, score, shared, k)
+            for b in batches:
+                parts, ids = b.column("part").to_numpy(), b.column("chunk_id").to_numpy(zero_copy_only=False)
+                for name in np.unique(parts) if len(asked) else ():
+                    place = np.flatnonzero(parts == name)
+                    lists = b.column("cells").take(pa.array(place))
+                    for n in sizes:
+                        best = held.setdefault((name, n), Best(len(asked), k))
+                        v = vectors(lists, n)
+                        for a in range(0, len(v), step):
+                            values, some = v[a : a + step] @ of[n].T, ids[place[a : a + step]]
+                            row, query = best_pairs(values, (values > 0) & (values * UNITS + 1 >= best.bar), some, k)
+                            best.offer(query, some[row], values[row, query])
+            for (name, n), best in held.items():
+                query, item, score = best.rows()
+                fixed = [np.full(len(query), x, np.int32) for x in (name, n)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), pa.array(asked[query]), pa.array(item), pa.array(score)], ["part", "cells", "query_id", "chunk_id", "score"])
+
+        found = listed.mapInArrow(run, "part int, cells int, query_id long, chunk_id long, score double").select(F.col("part").alias(part), "cells", "query_id", "chunk_id", F.round("score", 6).alias("score"))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -225,13 +270,13 @@ def matrix_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def fuse(lists: list[DataFrame], k: int, item: str = "chunk_id") -> DataFrame:
+def fuse(lists: list[DataFrame], k: int, item: str = "chunk_id", by: Sequence[str] = ("query_id",)) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (60 + rank) over the lists, ties by id."""
-    both = lists[0].select("query_id", item, "rank")
+    both = lists[0].select(*by, item, "rank")
     for other in lists[1:]:
-        both = both.unionByName(other.select("query_id", item, "rank"))
-    scored = both.groupBy("query_id", item).agg(F.round(F.sum(1 / (F.lit(RRF) + F.col("rank"))), 9).alias("score"))
-    return top_k(scored, k, item)
+        both = both.unionByName(other.select(*by, item, "rank"))
+    scored = both.groupBy(*by, item).agg(F.round(F.sum(1 / (F.lit(RRF) + F.col("rank"))), 9).alias("score"))
+    return top_k(scored, k, item, by)
 
 
 def relevant(overlap: Column, chunk_size: Column, gold_size: Column, share: float = 0.5) -> Column:

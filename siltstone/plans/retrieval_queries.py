@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -375,10 +373,10 @@ def rerank_topk(spark, sf):
     return reranked(bm25_ranked(spark, sf, 50), chunks(spark, sf), queries(spark, sf), 5)
 
 
-def reranked(ranked, c, q, k, tokens=None):
+def reranked(ranked, c, q, k):
     """The chunks of ranked lists ordered by token overlap with the question, then as before."""
     wanted = ranked.select("query_id", "chunk_id", F.col("rank").alias("prev"))
-    top = c.join(wanted, "chunk_id").select("query_id", "chunk_id", "prev", (T.tokens(F.col("text")) if tokens is None else tokens).alias("ct")).join(q.select("query_id", "qt"), "query_id")
+    top = c.join(wanted, "chunk_id").select("query_id", "chunk_id", "prev", T.tokens(F.col("text")).alias("ct")).join(q.select("query_id", "qt"), "query_id")
     scored = top.withColumn("score", F.round(F.size(F.array_intersect("qt", "ct")) / F.size(F.array_union("qt", "ct")), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "prev")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
@@ -527,25 +525,26 @@ def grid(spark, sf):
     written by chunking; searches read these.  Ranked lists, a hundred for each question,
     are written too, as several methods use them.
     """
-    q, t, asked = kept(queries(spark, sf), "questions"), F.col("t"), F.col("qt")
+    q, t, asked, names = kept(queries(spark, sf), "questions"), F.col("t"), F.col("qt"), list(C.CHUNKERS)
     golds = kept(gold(spark, sf), "gold")
-    tagged = kept(C.all_chunks(table(spark, sf, "documents")).select("chunking", "doc_id", "chunk_id", "char_start", "char_end", T.tokens(F.col("text")).alias("t")), "chunks", ("chunking",))
-    of = {name: tagged.filter(F.col("chunking") == name).drop("chunking") for name in C.CHUNKERS}
-    united = lambda parts: functools.reduce(lambda a, b: a.unionByName(b), parts)
-    search = {"bm25": lambda c: R.bm25(c, q, t, asked, 100)} | {f"dense{n}": lambda c, n=n: R.hashed_search(c, q, t, asked, T.md5_int, 100, n) for n in SIZES}
-    lists = kept(united([R.top_k(find(c), 100, "chunk_id").select(F.lit(name).alias("chunking"), F.lit(kind).alias("list"), "query_id", "chunk_id", "rank") for name, c in of.items() for kind, find in search.items()]), "lists")
-    one = lambda name, kind: lists.filter((F.col("chunking") == name) & (F.col("list") == kind)).select("query_id", "chunk_id", "rank")
-    fused = kept(united([R.fuse([one(name, "bm25"), one(name, f"dense{n}")], 20).select(F.lit(name).alias("chunking"), F.lit(n).alias("cells"), "query_id", "chunk_id", "rank") for name in of for n in SIZES]), "fused")
-    best = []
-    for name, c in of.items():
-        for n in SIZES:
-            f = fused.filter((F.col("chunking") == name) & (F.col("cells") == n)).select("query_id", "chunk_id", "rank")
-            for method, ranked in zip(METHODS, (one(name, "bm25"), one(name, f"dense{n}"), f, reranked(f, c, q, 5, t)), strict=True):
-                best.append(ranked.filter("rank <= 5").select(F.lit(name).alias("chunking"), F.lit(n).alias("cells"), F.lit(method).alias("method"), "query_id", "chunk_id", "rank"))
-    rel = united([relevant_of(c.drop("t"), golds).select(F.lit(name).alias("chunking"), "query_id", "doc_id", "chunk_id").distinct() for name, c in of.items()])
-    cells = united(best).join(rel, ["chunking", "query_id", "chunk_id"]).groupBy("chunking", "cells", "method", "query_id").agg(F.countDistinct("doc_id").alias("found"), F.max(1 / F.col("rank")).alias("rr"))
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("chunking")).cast("int") - 1
+    tagged = kept(C.all_chunks(table(spark, sf, "documents")).select(place.alias("part"), "doc_id", "chunk_id", "char_start", "char_end", T.tokens(F.col("text")).alias("t")), "chunks")
+    by = ["part", "query_id"]
+    lexical = kept(R.top_k(R.bm25_by_part(tagged, q, t, asked, 100, "part"), 100, "chunk_id", by).drop("score"), "lexical").withColumn("cells", F.explode(F.array(*[F.lit(n) for n in SIZES])))
+    dense = kept(R.top_k(R.hashed_by_part(tagged, q, t, asked, T.md5_int, 100, SIZES, "part"), 100, "chunk_id", [*by, "cells"]).drop("score"), "dense")
+    fused = kept(R.fuse([lexical, dense], 20, by=["part", "cells", "query_id"]).drop("score"), "fused")
+    again = fused.withColumnRenamed("rank", "prev").join(tagged.select("part", "chunk_id", F.col("t").alias("ct")), ["part", "chunk_id"]).join(q.select("query_id", "qt"), "query_id")
+    overlap = F.round(F.size(F.array_intersect("qt", "ct")) / F.size(F.array_union("qt", "ct")), 6)
+    reranked_lists = R.top_k(again.withColumn("score", overlap), 5, "prev", ["part", "cells", "query_id"])
+    best = None
+    for method, ranked in zip(METHODS, (lexical, dense, fused, reranked_lists), strict=True):
+        some = ranked.filter("rank <= 5").select("part", "cells", F.lit(method).alias("method"), "query_id", "chunk_id", "rank")
+        best = some if best is None else best.unionByName(some)
+    rel = relevant_of(tagged.drop("t"), golds).select("part", "query_id", "doc_id", "chunk_id").distinct()
+    cells = best.join(rel, ["part", "query_id", "chunk_id"]).groupBy("part", "cells", "method", "query_id").agg(F.countDistinct("doc_id").alias("found"), F.max(1 / F.col("rank")).alias("rr"))
+    cells = cells.withColumn("chunking", F.get(F.array(*[F.lit(n) for n in names]), F.col("part"))).drop("part")
     n = golds.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
-    every = F.array(*[F.struct(F.lit(c).alias("chunking"), F.lit(s).alias("cells"), F.lit(m).alias("method")) for c in of for s in SIZES for m in METHODS])
+    every = F.array(*[F.struct(F.lit(c).alias("chunking"), F.lit(s).alias("cells"), F.lit(m).alias("method")) for c in names for s in SIZES for m in METHODS])
     asked_for = n.withColumn("g", F.explode(every)).select("query_id", "n", "g.*")
     out = asked_for.join(cells, ["chunking", "cells", "method", "query_id"], "left")
     return out.select("chunking", "cells", "method", "query_id", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall5"), F.coalesce("rr", F.lit(0.0)).alias("rr"))

@@ -25,10 +25,10 @@ def slow(chunks, questions, k):
 
 def run(chunks, questions, k, batch):
     asked = L.Questions(questions)
-    search = L.Search(asked, lambda tf, dl: saturation(tf, dl, 7.0), k)
+    search = L.Search(asked, lambda tf, longer: saturation(tf, longer, 1.0), k)
     for i in range(0, len(chunks), batch):
         some = chunks[i : i + batch]
-        search.batch(np.array([c for c, _ in some]), pa.array([t for _, t in some], pa.list_(pa.string())))
+        search.batch(np.array([c for c, _ in some]), pa.array([t for _, t in some], pa.list_(pa.string())), 7.0)
     question, item, score = search.best.rows()
     out = {q: [] for q in asked.ids}
     for q, i, s in zip(question, item, score, strict=True):
