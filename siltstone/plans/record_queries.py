@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
-import tarfile
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from ..functions.figures import verdict_schema
 from ..registry import query, table
 from ..sources import html as H
 from ..sources import tables as S
+from ..sources.archives import read_archives, write_archives
 from .evaluation_tables import TRACES_SQL, traces
 from .retrieval_queries import evidence
 
@@ -76,44 +75,14 @@ def request_log(spark, sf):
     return back.groupBy("day").agg(F.count("*").alias("n"), F.sum("r.event_id").alias("ids"), F.round(F.sum("r.value"), 4).alias("total"), F.max("r.user_id").alias("last_user"))
 
 
-#: Bytes of texts that share an archive.
-ARCHIVE_BYTES = 32 << 20
-
-
-def pack(files: list[tuple[str, bytes]]) -> bytes:
-    """An archive that depends on names and contents alone."""
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-        for name, content in sorted(files):
-            info = tarfile.TarInfo(name)
-            info.size, info.mtime, info.mode = len(content), 0, 0o644
-            tar.addfile(info, io.BytesIO(content))
-    return out.getvalue()
-
-
-def restore(archive: bytes, digest: str) -> list[tuple[str, bytes]]:
-    """The files of an archive whose SHA-256 is the one it was released with."""
-    if hashlib.sha256(archive).hexdigest() != digest:
-        raise ValueError("the archive is not the one that was released")
-    with tarfile.open(fileobj=io.BytesIO(archive)) as tar:
-        return [(m.name, tar.extractfile(m).read()) for m in tar]
-
-
 @query("release_archive", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS restored_sha FROM documents")
 def release_archive(spark, sf):
-    """Texts packed into archives of bounded size, restored against the released checksum."""
-    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = int(d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-
-    def run(frame):
-        files = [(f"{i:020d}.txt", t.encode()) for i, t in zip(frame.doc_id, frame.text, strict=True)]
-        archive = pack(files)
-        assert pack(files[::-1]) == archive
-        back = restore(archive, hashlib.sha256(archive).hexdigest())
-        return pd.DataFrame([(int(n.removesuffix(".txt")), len(c), hashlib.sha256(c).hexdigest()) for n, c in back], columns=["doc_id", "n_bytes", "restored_sha"])
-
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // ARCHIVE_BYTES)))).alias("bucket")
-    return d.groupBy(bucket).applyInPandas(run, "doc_id long, n_bytes long, restored_sha string")
+    """Texts written to archives of bounded size, and read back against the released checksums."""
+    folder = S.shared_folder(spark, "release")
+    write_archives(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), folder)
+    back = read_archives(spark, folder)
+    return back.select(F.col("id").alias("doc_id"), F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("restored_sha"))
+
 
 
 @query("nested_records", """SELECT p_partkey, p_size::DOUBLE AS size, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS price, 'deep.0.ci95_hi,deep.0.ci95_lo,deep.0.n,size' || CASE WHEN p_partkey % 3 = 0 THEN ',x.price' ELSE '' END AS keys FROM part""")
