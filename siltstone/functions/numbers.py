@@ -54,7 +54,8 @@ def guarded_corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
     fine = (F.count(a) >= 3) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return F.when(fine, F.corr(a, b))
+    # The ratio is taken behind the guard: without variance the built-in one divides by zero.
+    return F.when(fine, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def interval_reading(grounded: tuple[Column, Column], precision: tuple[Column, Column]) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import agreement as A
 from ..operators import resampling as S
 from ..registry import query
-from .evaluation_queries import RESAMPLES, draws_sql, r6, seeds_sql
+from .draws import RESAMPLES, draws_sql, seeds_sql
+from .evaluation_queries import r6
 from .evaluation_tables import CLAIMS_SQL, TRACES_SQL, claims, draw, sql_draw, traces
 
 #: How an answer may treat a question's false premise.

@@ -12,10 +12,11 @@ from ..functions.text import md5_int
 from ..operators import agreement as A
 from ..operators import resampling as S
 from ..registry import PLANS, SQL, query, table
+from ..sources.tables import kept
+from .draws import RESAMPLES, draw_sql, draws_sql, seeds_sql
 from .evaluation_tables import ARM, CLAIMS_RUNS_SQL, CLAIMS_SQL, GROUNDED_SQL, RUNS_SQL, TRACES_SQL, claims, grounded, sql_draw, traces
+from .retrieval_queries import _METRICS, BM25, CHUNKS, GOLD, RELEVANT, bm25_metrics
 
-#: Draws of a bootstrap, deals of a permutation.
-RESAMPLES = 10_000
 CORRECT = "CASE WHEN label = 'correct' THEN true WHEN label IN ('incorrect', 'unit_error', 'partially_correct') THEN false END"
 
 
@@ -217,30 +218,6 @@ def outcome_stability(spark, sf):
     return q.groupBy(*ARM).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 1).alias("changed"), F.count_if("always").alias("always"), F.count_if("ever").alias("ever"))
 
 
-def _xor_shift(x: str, by: int) -> str:
-    return f"xor({x}, {x} >> {by})"
-
-
-def draws_sql(name: str, source: str, x: str, keep: str) -> str:
-    """CTEs that end in ``name``: the rows of ``source`` with ``drawn``, the mixed value of x (a UBIGINT below 2^32)."""
-    return f"""{name}1 AS (SELECT {keep}, {_xor_shift('x', 16)} * 2146121005 % 4294967296 AS x FROM (SELECT {keep}, ({x})::UBIGINT AS x FROM {source})),
-{name}2 AS (SELECT {keep}, {_xor_shift('x', 15)} * 2221713035 % 4294967296 AS x FROM {name}1),
-{name} AS (SELECT {keep}, {_xor_shift('x', 16)} AS drawn FROM {name}2)"""
-
-
-def seeds_sql(seed: int) -> str:
-    """CTEs that end in ``seeded``: a number for each resample b."""
-    return draws_sql("sd", f"(SELECT unnest(range({RESAMPLES})) AS b)", f"(b + {seed * 2654435761 % 2**32}) % 4294967296", "b") + ", seeded AS (SELECT b, drawn AS s FROM sd)"
-
-
-def draw_sql(seed: int, units: str, by: str, key: str) -> str:
-    """CTEs that end in ``rep``: the mean of every group in each resample, units weighted by Poisson numbers."""
-    weight = " + ".join(f"(drawn >= {bar})::INT" for bar in S.POISSON)
-    return f"""{seeds_sql(seed)}, un AS (SELECT {by}, ('0x' || substr(md5({key}::VARCHAR), 1, 8))::UBIGINT AS h, total, weight FROM {units}),
-{draws_sql('dw', '(SELECT un.*, b, s FROM un, seeded)', 'xor(s, h)', f'{by}, b, total, weight')},
-rep AS (SELECT {by}, b, sum(w * total) / nullif(sum(w * weight), 0) AS mean FROM (SELECT *, {weight} AS w FROM dw) GROUP BY ALL)"""
-
-
 @query("cluster_bootstrap_ci", f"WITH {CLAIMS_SQL}, {GROUNDED_SQL}, u AS (SELECT condition, question_id, sum(groundedness) AS total, count(groundedness) AS weight FROM traces JOIN grounded USING (trace_id) GROUP BY ALL), {draw_sql(7, 'u', 'condition', 'question_id')} SELECT condition, round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi, count_if(mean IS NULL) AS n_undefined FROM rep GROUP BY 1")
 def cluster_bootstrap_ci(spark, sf):
     """Questions are drawn with all their traces; each is its sum and count before the draws."""
@@ -383,19 +360,21 @@ def selection_per_run(spark, sf):
 _MID = "rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0"
 
 
-@query("q1_retrieval_vs_grounded", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, v AS (SELECT question_id, {sql_draw('recall', 'question_id')} % 3 / 2 AS recall, avg(CASE WHEN condition = 'retrieved' THEN groundedness END) AS g, avg(CASE WHEN condition = 'oracle' THEN groundedness END) AS o, avg(CASE WHEN condition = 'retrieved' THEN (status = 'answered')::INT END) AS answered FROM traces LEFT JOIN grounded USING (trace_id) GROUP BY ALL),
+@query("q1_retrieval_vs_grounded", f"""WITH {CLAIMS_SQL}, {GROUNDED_SQL}, found AS (SELECT query_id, recall FROM (WITH {CHUNKS}, {GOLD}, {RELEVANT}, {BM25}, {_METRICS} SELECT * FROM metrics) WHERE k = 5), v AS (SELECT question_id, any_value(recall) AS recall, avg(CASE WHEN condition = 'retrieved' THEN groundedness END) AS g, avg(CASE WHEN condition = 'oracle' THEN groundedness END) AS o, avg(CASE WHEN condition = 'retrieved' THEN (status = 'answered')::INT END) AS answered FROM traces JOIN found ON query_id = question_id LEFT JOIN grounded USING (trace_id) GROUP BY question_id),
 u AS (SELECT 1 AS one, question_id, recall, round(g, 9) AS g, o, answered FROM v WHERE g IS NOT NULL), r AS (SELECT *, {_MID.format(by='one', c='recall')} AS rx, {_MID.format(by='one', c='g')} AS ry FROM u),
 num AS (SELECT *, row_number() OVER (ORDER BY question_id) - 1 AS j, count(*) OVER () AS k FROM u), dr AS (SELECT b, ('0x' || substr(md5(concat_ws('|', '13', b, j)), 1, 8))::BIGINT % k AS pick FROM num, (SELECT unnest(range({RESAMPLES})) AS b)),
 m AS (SELECT d.b, n.recall, n.g FROM dr d JOIN num n ON n.j = d.pick), q AS (SELECT b, {_MID.format(by='b', c='recall')} AS rx, {_MID.format(by='b', c='g')} AS ry FROM m),
 c AS (SELECT b, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM q GROUP BY b), i AS (SELECT quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM c)
-SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho, round(max(lo), 6) AS rho_lo, round(max(hi), 6) AS rho_hi, round(avg(CASE WHEN recall > 0 THEN g END) - avg(CASE WHEN recall = 0 THEN g END), 6) AS hit_minus_miss, round(avg(answered), 6) AS answer_rate,
+SELECT count(*) AS n, round(CASE WHEN count(*) >= 3 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END, 6) AS rho, round(max(lo), 6) AS rho_lo, round(max(hi), 6) AS rho_hi, round(avg(CASE WHEN recall > 0 THEN g END) - avg(CASE WHEN recall = 0 THEN g END), 6) AS hit_minus_miss, round(avg(answered), 6) AS answer_rate,
 count(CASE WHEN recall = 0 THEN o END) AS n_oracle_pairs, round(avg(CASE WHEN recall = 0 THEN o - g END), 6) AS oracle_minus_retrieved FROM r, i""")
 def q1_retrieval_vs_grounded(spark, sf):
-    """A unit for every question: rank correlation with its bootstrap interval, hits against misses, and what the oracle adds where nothing was found."""
+    """A unit for every question with evidence: rank correlation of the recall at five of lexical search with groundedness and its bootstrap interval, hits against misses, and what the oracle adds where nothing was found."""
     t = traces(spark, sf).join(grounded(claims(spark, sf)).select("trace_id", "groundedness"), "trace_id", "left")
-    recall = (md5_int(F.lit("recall"), F.col("question_id").cast("string")) % 3 / 2).alias("recall")
+    found = bm25_metrics(spark, sf).filter("k = 5").select(F.col("query_id").alias("question_id"), "recall")
+    t = t.join(found, "question_id")
     of = lambda condition, c: F.avg(F.when(F.col("condition") == condition, c))
-    u = t.groupBy("question_id", recall).agg(F.round(of("retrieved", F.col("groundedness")), 9).alias("g"), of("oracle", F.col("groundedness")).alias("o"), of("retrieved", (F.col("status") == "answered").cast("int")).alias("answered")).filter("g IS NOT NULL")
+    u = t.groupBy("question_id", "recall").agg(F.round(of("retrieved", F.col("groundedness")), 9).alias("g"), of("oracle", F.col("groundedness")).alias("o"), of("retrieved", (F.col("status") == "answered").cast("int")).alias("answered")).filter("g IS NOT NULL")
+    u = kept(u, "units")  # a row a question, read by the ranks and by the draws
     r = A.mid_ranks(A.mid_ranks(u, "recall", name="rx"), "g", name="ry")
     drawn = S.resampled(u.select("question_id", "recall", "g"), "question_id", [], 13, RESAMPLES)
     ranked = A.mid_ranks(A.mid_ranks(drawn, "recall", ["b"], name="rx"), "g", ["b"], name="ry")

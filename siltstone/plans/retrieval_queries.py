@@ -13,7 +13,7 @@ from ..operators import resampling as S
 from ..operators.containment import candidates
 from ..registry import SQL, query, table
 from ..sources.tables import kept
-from .evaluation_queries import RESAMPLES, draw_sql
+from .draws import RESAMPLES, draw_sql
 from .text_queries import line_blocks, with_offsets
 
 TOK = "[a-z]+|[0-9]+(?:[.][0-9]+)?"
