@@ -15,13 +15,18 @@ from ..operators.retrieval import dense, top_k
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under the one the cluster names; a temporary one on a single machine."""
+    """A new folder that driver and executors share, under the one the cluster names; a temporary one on a single machine.
+
+    It is deleted when the program ends, if the session still lives then.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, folder)
+    return folder
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -29,17 +34,16 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def kept(rows: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The rows written to a new shared folder and read back: computed once for all that reads them later.  The folder goes when the session's program ends."""
-    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, name)
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        _delete(spark, folder)
+    except Exception:  # the session has gone already
+        pass
 
-    def forget() -> None:
-        try:
-            _delete(spark, folder)
-        except Exception:  # the session has gone already
-            pass
 
-    atexit.register(forget)
+def kept(rows: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows written to a new shared folder and read back: computed once for all that reads them later."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, name)
     rows.write.option("compression", "zstd").partitionBy(*by).parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
