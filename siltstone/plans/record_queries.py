@@ -115,18 +115,22 @@ def review_files(spark, sf):
 @query("rendered_reports", """SELECT c_custkey, c_name || ' owes ' || printf('%.2f', round(c_acctbal, 2)) || ' of 100' AS report, '100' AS literals, c_custkey % 5 = 0 AS failed FROM customer""")
 def rendered_reports(spark, sf):
     """Reports rendered from placeholders, the numbers typed into the template, and templates with an unknown placeholder."""
-    c = table(spark, sf, "customer").select("c_custkey", "c_name", F.format_string("%.2f", F.round("c_acctbal", 2)).alias("b"))
+    # As texts: pandas would make floats of whole numbers among nulls, and NaN of a null balance.
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("double").cast("string"))
 
     def render(key, name, balance):
         template = "{{name}} owes {{balance}} of 100"
-        try:
-            O.render(template + "{{unknown}}" * (key % 5 == 0), {"name": name, "balance": balance})
-            failed = False
-        except KeyError:
-            failed = True
-        yield key, O.render(template, {"name": name, "balance": balance}), ",".join(O.typed_literals(template)), failed
-
-    return mapped(c, render, "c_custkey long, report string, literals string, failed boolean")
+        values, failed = {"name": name, "balance": balance and O.two_decimals(float(balance))}, None
+        if key is not None:
+            try:
+                O.render(template + "{{unknown}}" * (int(key) % 5 == 0), values)
+                failed = False
+            except KeyError:
+                failed = True
+        yield key, None if None in values.values() else O.render(template, values), ",".join(O.typed_literals(template)), failed
+
+    made = mapped(c, render, "c_custkey string, report string, literals string, failed boolean")
+    return made.withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
 @query("judge_requests", f"WITH {TRACES_SQL} SELECT trace_id, 1 + bit_count(cited_bits)::INT AS n_labels, sha256('{{\"labels\":' || (1 + bit_count(cited_bits)) || ',\"trace\":\"' || trace_id || '\"}}') AS request_sha FROM traces")

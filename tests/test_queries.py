@@ -95,3 +95,17 @@ def test_oracle_context_below_rank_100(spark, tmp_path):
     # The item ends at 1,247: windows of 512 every 448, of which that from 896 holds it.
     assert [(r.chunk_id % 10_000_000, r["class"]) for r in rows if r["class"] < 2] == [(2, 0)]
     assert sorted(r.place for r in rows) == [1, 2, 3, 4, 5]
+
+
+def test_reports_of_odd_balances(spark, tmp_path):
+    """Minus zero, halves that binary numbers miss, infinite, null and large balances, null names and keys, as the SQL has them."""
+    import duckdb
+
+    balances = [-0.0, 0.0, -0.001, -0.004999, 0.005, 1.005, 0.285, 1.115, 2.675, -2.675, 0.125, 1e15 + 0.125, float("inf"), float("-inf"), float("nan"), None, 999.99]
+    rows = [(i, f"Customer#{i}", b) for i, b in enumerate(balances, 1)] + [(100, None, 1.5), (None, "nobody", -0.0), (-5, "{{name}} \\1", 3.0), (2**53 + 1, "large", 1.0)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = con.execute(SQL["rendered_reports"]).fetchall()
+    got = [tuple(r) for r in PLANS["rendered_reports"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
