@@ -1,6 +1,8 @@
 """Small cases with known answers for the functions and operators of the engine."""
 
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -277,3 +279,44 @@ def test_stream_equals_batch(spark, small, tmp_path):
     log = E.write_request_log(E.read_events(spark, str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp"))
     log.awaitTermination()
     assert spark.read.text(str(tmp_path / "log")).count() == table.count()
+
+
+def plain_status(quote, own):
+    import difflib
+
+    norm = lambda t: re.sub("[^a-z0-9]", "", t.lower())
+    q, mine = norm(quote), norm(own)
+    if not q or q in mine:
+        return "exact" if q else "empty"
+    runs = difflib.SequenceMatcher(None, mine, q, autojunk=False).get_matching_blocks()
+    return "near" if sum(r.size for r in runs if r.size >= 8) >= 0.9 * len(q) else "not_found"
+
+
+@pytest.mark.parametrize("crowded", [0, 32])
+def test_quotes_as_difflib_has_them(monkeypatch, crowded):
+    """Words of few letters, shuffled, repeated and with letters changed: by grams and by ranks."""
+    monkeypatch.setattr(O, "CROWDED", crowded)
+    rng, seen = random.Random(4), []
+    for _ in range(1500):
+        words = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 5))]
+        own = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))
+        a = rng.randrange(len(own) + 1)
+        quote = list(own[a : a + rng.randrange(150)])
+        for _ in range(rng.randrange(4)):
+            quote.insert(rng.randrange(len(quote) + 1), rng.choice(["", "zq", "b", "abab", words[0] * 2]))
+        quote = "".join(quote)
+        seen.append(plain_status(quote, own))
+        assert O.quote_status(quote, own, []) == seen[-1]
+    assert min(seen.count(x) for x in ("near", "exact", "not_found", "empty")) > 20
+
+
+@pytest.mark.parametrize("word", ["word ", "a", "".join(f"w{i * 7919 % 1009} " for i in range(300))])
+def test_quotes_of_long_texts_are_quick(word):
+    import time
+
+    own = (word * 60_000)[:60_000]
+    quotes = [own[:30_000] + "zq" + own[30_000:], "words that nobody wrote in any of them", *(own[i : i + 60] for i in range(0, 60_000, 60))]
+    began = time.perf_counter()
+    states = [x for x in O.quote_fidelity([{"label": 1, "text": q} for q in quotes], {1: own})["states"]]
+    assert states[:2] == ["near", "not_found"] and set(states[2:]) == {"exact"}
+    assert time.perf_counter() - began < 20
