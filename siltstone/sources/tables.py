@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import dense, top_k
+from ..operators.retrieval import matrix_search, top_k
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -89,8 +89,8 @@ class VectorTable:
         self.rows.write.mode("overwrite").parquet(folder)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """``queries``: query_id and q, a stated set that is broadcast."""
-        return top_k(dense(queries, self.rows), k, "item_id")
+        """``queries``: query_id and q, a stated set that is broadcast in blocks."""
+        return top_k(matrix_search(self.rows, queries, k), k, "item_id")
 
 
 def missing_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:
