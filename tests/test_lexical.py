@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import lexical as L
+from siltstone.operators import retrieval as R
 from siltstone.operators.retrieval import saturation
 
 
@@ -61,3 +63,23 @@ def test_what_cannot_be_among_the_best_is_not_scored():
 def test_no_terms_and_no_chunks():
     assert run([], [(1, "a", 1.0)], 3, 5)[0] == {1: []}
     assert run([(1, []), (2, None)], [(1, "a", 1.0)], 3, 5)[0] == {1: []}
+
+
+@pytest.mark.parametrize("search", [R.matrix_search, R.sum_search])
+def test_vector_search_equals_all_pairs(spark, monkeypatch, search):
+    """Ties, equal vectors, blocks and tiles smaller than the sets, and vectors that products cannot take; a plan that makes no row for a pair."""
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(R, "PRODUCT_TILE", (16, 3))
+    monkeypatch.setattr(R, "SUM_TILE", (5, 4))
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)] + [(1000 + i, [0.5, -0.25, 0.0, 1.0, 0.0, 0.0]) for i in range(30)]
+    rows += [(2000, [1e20] * 6), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [1.0]), (2003, None)]
+    v = spark.createDataFrame(rows, "item_id long, v array<float>").repartition(3)
+    q = v.filter("item_id % 12 = 0 OR item_id = 2000").select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
+    order = lambda df: sorted((r.query_id, r.rank, r.item_id, r.score) for r in df.collect())
+    found = search(v, q, 4)
+    assert order(R.top_k(found, 4, "item_id")) == order(R.top_k(R.dense(q, v), 4, "item_id"))
+    clean = [(i, x) for i, x in rows if i < 2000]
+    few = search(spark.createDataFrame(clean, "item_id long, v array<float>"), q.filter("query_id < 2000"), 4)
+    blocks = 2 * -(-q.count() // 7)
+    assert few.count() <= 4 * q.count() * max(4, spark.sparkContext.defaultParallelism) * blocks < len(clean) * q.count() * blocks
