@@ -32,6 +32,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -52,7 +53,7 @@ TASK_TOKENS = 1 << 25
 #: Units that a worker remembers.
 MEMORY = 1_000_000
 #: Units that the library gets as one text.
-JOINED = 20
+JOINED = 100
 _PLAIN = re.compile(r" ?[^\s\x00-\x20]+")
 #: Bytes that begin a character which is never white space; some characters of the others are.
 _SAFE = np.zeros(256, bool)
@@ -86,39 +87,37 @@ class Encoder:
         self._raw, self._ids = [np.zeros(0, np.uint8)], [np.zeros(0, self.kind)]
         self._raw_at, self._ids_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _library(self, units: list[str]) -> list[list[int]]:
-        """Ids of units, plain ones joined by line feeds, which are cut off again."""
-        out: list[list[int] | None] = [None] * len(units)
-        plain = [i for i, u in enumerate(units) if self.feed is not None and _PLAIN.fullmatch(u)]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, coded in zip(groups, self.library.encode_batch(["\n".join(units[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            parts, part = [], []
-            for x in coded.ids:
-                if x == self.feed:
-                    parts.append(part)
-                    part = []
-                else:
-                    part.append(x)
-            parts.append(part)
-            if len(parts) == len(group):
-                for i, p in zip(group, parts, strict=True):
-                    out[i] = p
-        rest = [i for i, p in enumerate(out) if p is None]
-        for i, coded in zip(rest, self.library.encode_batch([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = coded.ids
-        return out
+    def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after the other, and the number of each; plain ones are joined by line feeds, which are cut off again."""
+        plain = np.fromiter((self.feed is not None and _PLAIN.fullmatch(u) is not None for u in units), bool, len(units))
+        alone, able = [np.flatnonzero(~plain)], np.flatnonzero(plain)
+        joined = [able[i : i + JOINED] for i in range(0, len(able), JOINED)]
+        coded = self.library.encode_batch_fast(["\n".join([units[i] for i in g.tolist()]) for g in joined], add_special_tokens=False)
+        # A line feed behind every group, so that each unit ends at one.
+        lists = [c.ids for c in coded]
+        feeds = [x.count(self.feed) + 1 for x in lists]
+        good = [n == len(g) for n, g in zip(feeds, joined, strict=True)]
+        alone += [g for g, ok in zip(joined, good, strict=True) if not ok]
+        found = np.fromiter(chain.from_iterable(chain(x, (self.feed,)) for x, ok in zip(lists, good, strict=True) if ok), np.int64)
+        end = np.flatnonzero(found == self.feed) if len(found) else np.zeros(0, np.int64)
+        order = np.concatenate([*(g for g, ok in zip(joined, good, strict=True) if ok), np.concatenate(alone)]).astype(np.int64)
+        rest = [c.ids for c in self.library.encode_batch_fast([units[i] for i in np.concatenate(alone).tolist()], add_special_tokens=False)]
+        ids = np.concatenate([np.delete(found, end), np.fromiter(chain.from_iterable(rest), np.int64)])
+        counts = np.concatenate([np.diff(end, prepend=-1) - 1, np.array([len(x) for x in rest], np.int64)])
+        start, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        start[order], size[order] = np.cumsum(counts) - counts, counts
+        return ids[spread(start, size)].astype(self.kind), size
 
     def _learn(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         pool = raw[spread(start, size)]
         cut = np.concatenate([[0], np.cumsum(size)])
         data, edges = pool.tobytes(), cut.tolist()
-        coded = self._library([data[a:b].decode("utf-8") for a, b in zip(edges[:-1], edges[1:], strict=True)])
-        counts = np.array([len(c) for c in coded], np.int64)
+        ids, counts = self._library([data[a:b].decode("utf-8") for a, b in zip(edges[:-1], edges[1:], strict=True)])
         place = len(self._raw_at) - 1 + np.arange(len(hashes))
         self._raw_at = np.concatenate([self._raw_at, self._raw_at[-1] + cut[1:]])
         self._ids_at = np.concatenate([self._ids_at, self._ids_at[-1] + np.cumsum(counts)])
         self._raw = [np.concatenate([*self._raw, pool])]
-        self._ids = [np.concatenate([*self._ids, np.array([x for c in coded for x in c], self.kind)])]
+        self._ids = [np.concatenate([*self._ids, ids])]
         at = np.searchsorted(self._keys, hashes)
         self._keys, self._place = np.insert(self._keys, at, hashes), np.insert(self._place, at, place)
 
@@ -166,7 +165,7 @@ class Encoder:
 
     def _whole(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data, cut = buf.tobytes(), offsets.tolist()
-        coded = self.library.encode_batch([data[a:b].decode("utf-8") for a, b in zip(cut[:-1], cut[1:], strict=True)], add_special_tokens=False)
+        coded = self.library.encode_batch_fast([data[a:b].decode("utf-8") for a, b in zip(cut[:-1], cut[1:], strict=True)], add_special_tokens=False)
         return np.array([x for c in coded for x in c.ids], self.kind), np.array([len(c.ids) for c in coded], np.int64)
 
 

@@ -139,3 +139,25 @@ def test_query_equals_brute_force(spark, small, library):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in Q.op12_token_files(spark, small).collect()]
     assert sorted(got, key=key) == brute(library, docs)
+
+
+def test_units_reach_the_library_in_long_texts(library, encoder):
+    """A thousand plain units are ten texts, and odd ones among them keep their places."""
+
+    class Counted:
+        texts = 0
+
+        def __getattr__(self, name):
+            def call(batch, **options):
+                self.texts += len(batch)
+                return getattr(library, name)(batch, **options)
+
+            return call
+
+    own = T.Encoder(open(T.MODEL, encoding="utf-8").read())
+    own.library = Counted()
+    units = [f" w{i}x" if i % 333 else f"a{i}\n\n b" for i in range(1, 1001)]
+    ids, sizes = own._library(units)
+    want = [library.encode(u, add_special_tokens=False).ids for u in units]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert own.library.texts <= 10 + 3
