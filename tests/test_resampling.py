@@ -102,3 +102,11 @@ def test_permutations_equal_deals_of_rows(spark):
     dealt = np.array(dealt)
     assert abs(got.mean() - dealt.mean()) < 0.005 and abs(got.std() - dealt.std()) < 0.004
     assert all(abs((got <= v).mean() - (dealt <= v).mean()) < 0.04 for v in np.unique(dealt))
+
+
+def test_baseline_deals_every_row_anew(spark):
+    """Every permutation is a row for each row, and has each stratum's values as often as they were."""
+    rows = spark.createDataFrame([("a" if i % 3 else "b", f"t{i}", int(i % 4 == 0)) for i in range(30)], "prompt string, trace_id string, y int")
+    dealt = S.permuted(rows, "y", ["prompt"], "trace_id", 5, 20).groupBy("b", "prompt").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()
+    want = {r.prompt: (r.n, r.s) for r in rows.groupBy("prompt").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()}
+    assert len(dealt) == 40 and all((r.n, r.s) == want[r.prompt] for r in dealt)
