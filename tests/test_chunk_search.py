@@ -56,7 +56,7 @@ def test_the_same_best_chunks(corpus, monkeypatch, k, tile, heavy):
     assert sum(got[key][0] != want[key][0] for key in got) == 0
 
 
-@pytest.mark.parametrize("name", ["factor_decomposition"])
+@pytest.mark.parametrize("name", ["factor_decomposition", "retrieval_winner"])
 def test_chunks_are_rows_only_where_they_are_shown(spark, tmp_path, monkeypatch, name):
     """Of 400 documents the grid makes chunks of those in the lists of two questions alone, and gives what its SQL gives."""
     import duckdb
