@@ -99,3 +99,32 @@ def test_learned_vectors_find_more_than_hashed_ones(spark, small):
     recall = {r.vectors: r.recall_at_5 for r in PLANS["embedding_recall"](spark, small.replace("0.001", "0.01")).collect()}
     assert recall["learned 64"] > recall["hashed 64"] and recall["learned 256"] > recall["hashed 256"] > 0
     assert recall["learned 64"] < recall["learned 128"] < recall["learned 256"]
+
+
+def test_a_task_keeps_the_best_of_all_its_batches(spark, texts):
+    """All sizes in one pass give what each gives alone, and no more rows than k for a question and task."""
+    tokens, batch = T.tokens(F.col("text")), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    model = V.learn(texts, tokens, size=6, cells=256)
+    asked = texts.filter("chunk_id < 20 OR chunk_id >= 900").select(F.col("chunk_id").alias("query_id"), "text")
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "20")
+    try:
+        alone = {size: V.search(model, texts, asked, tokens, tokens, 4, size).collect() for size in (3, 6)}
+        listed = texts.select("chunk_id", V.cells_of(tokens, 256).alias("cells"))
+        both = V.search_sizes(model, listed, asked, {3: tokens, 6: tokens}, 4).collect()
+    finally:
+        spark.conf.set(batch, before)
+    for size, rows in alone.items():
+        assert len(rows) <= 5 * 20 * 4
+        assert {(r.query_id, r.chunk_id): round(r.score, 4) for r in rows} == {(r.query_id, r.chunk_id): round(r.score, 4) for r in both if r["size"] == size}
+
+
+@pytest.mark.parametrize(("often", "rows"), [(1, 1), (3, 60), (1000, 1 << 15)])
+def test_shares_of_batches_put_together(texts, monkeypatch, often, rows):
+    monkeypatch.setattr(V, "OFTEN", often)
+    monkeypatch.setattr(V, "GATHERED", rows)
+    listed = texts.select(V.cells_of(T.tokens(F.col("text")), 1024).alias("cells"))
+    idf = V.inverse_frequencies(listed, 1024)
+    q = np.random.default_rng(0).standard_normal((1024, 3))
+    a = dense([r.cells for r in listed.collect()], idf)
+    assert np.allclose(V.gram_product(listed, idf, q), a.T @ (a @ q), atol=1e-3)
