@@ -128,3 +128,10 @@ def test_shares_of_batches_put_together(texts, monkeypatch, often, rows):
     q = np.random.default_rng(0).standard_normal((1024, 3))
     a = dense([r.cells for r in listed.collect()], idf)
     assert np.allclose(V.gram_product(listed, idf, q), a.T @ (a @ q), atol=1e-3)
+
+
+@pytest.mark.parametrize(("shape", "rows"), [((100, 7), 30), ((100, 7), 4), ((8, 8), 5), ((50, 3), 1000)])
+def test_orthogonal_in_place(shape, rows):
+    a = np.random.default_rng(1).standard_normal(shape)
+    q = V.orthogonal(a.copy(), rows)
+    assert q.shape == shape and np.allclose(q.T @ q, np.eye(shape[1])) and np.allclose(q @ (q.T @ a), a)
