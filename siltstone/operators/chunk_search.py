@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunking import CHUNK_IDS, CHUNKERS
+from .chunking import CHUNK_IDS, chunk_bounds
 from .lexical import UNITS, Best, spread
 from .retrieval import query_blocks, saturation, weights_of
 
@@ -63,6 +63,9 @@ class Terms(dict):
         return n
 
     def __missing__(self, piece: bytes) -> int:
+        if piece.isalpha() or piece.isdigit():  # one term, as it stands
+            n = self[piece] = self.number(piece.decode("ascii"))
+            return n
         found = [self.number(t) for t in words(piece.decode("latin-1"))]
         if len(found) > 1:
             self.several.append(found)
@@ -105,22 +108,22 @@ class Batch:
         start, end = np.concatenate([[0], turn]), np.append(turn, len(kind))
         token = kind[start[start < len(kind)]] > 0
         start, end = start[: len(token)][token], end[: len(token)][token]
-        parted = np.where(kind > 0, data, 32).astype(np.uint8)
-        if len(touching := start[1:][start[1:] == end[:-1]]):  # letters next to digits
-            parted = np.insert(parted, touching, 32)
-        pieces = parted.tobytes().split()
-        ids = np.fromiter(map(terms.__getitem__, pieces), np.int64, len(pieces))
-        self.id, self.start, self.end = terms.single(ids, start, end)
+        # Each different piece of the batch is looked up once.
+        ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[kind > 0])]).dictionary_encode()
+        known = np.fromiter(map(terms.__getitem__, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+        self.id, self.start, self.end = terms.single(known[pieces.indices.to_numpy()], start, end)
 
     def chunks(self, name: str) -> Chunks:
-        return Chunks(self, [(d, k, a, z) for d, t in enumerate(self.texts) for k, (a, z) in enumerate(CHUNKERS[name](t))])
+        return Chunks(self, chunk_bounds(name, self.texts))
 
 
 class Chunks:
     """Chunks of a batch: text, place in it, range of tokens, and (row, term) of cut tokens."""
 
-    def __init__(self, batch: Batch, rows: list[tuple[int, int, int, int]]):
-        self.doc, self.place, a, z = np.array(rows, np.int64).reshape(-1, 4).T
+    def __init__(self, batch: Batch, rows: np.ndarray):
+        self.doc, self.place, a, z = rows
+        inside = a, z
         start, end, n = batch.start, batch.end, len(batch.id)
         a, z = a + batch.base[self.doc], z + batch.base[self.doc]
         self.lo, hi = np.searchsorted(start, a), np.searchsorted(end, z, "right")
@@ -137,12 +140,12 @@ class Chunks:
         cut = [batch.whole[s:e] for s, e in zip(left.tolist(), right.tolist(), strict=True)]
         if batch.shifted:
             odd = [r for r, d in enumerate(self.doc.tolist()) if d in batch.shifted]
-            pairs = [(r, w) for r in odd for w in words(batch.texts[rows[r][0]][rows[r][2] : rows[r][3]])]
+            pairs = [(r, w) for r in odd for w in words(batch.texts[self.doc[r]][inside[0][r] : inside[1][r]])]
             row, cut = np.concatenate([row, np.array([r for r, _ in pairs], np.int64)]), cut + [w.encode() for _, w in pairs]
         ids = np.fromiter(map(batch.terms.__getitem__, cut), np.int64, len(cut))
         self.extra, self.extra_row = batch.terms.single(ids, row)
         self.hi = np.maximum(hi, self.lo)
-        self.length = self.hi - self.lo + np.bincount(self.extra_row, minlength=len(rows))
+        self.length = self.hi - self.lo + np.bincount(self.extra_row, minlength=len(self.doc))
 
     def holders(self, batch: Batch, order: np.ndarray, before: np.ndarray, terms: int) -> np.ndarray:
         """How many of the chunks hold each term; ``order`` sorts the tokens by term, ``before`` is the one before of the same term."""
@@ -317,7 +320,7 @@ class Asked:
 
 def cell(term: str, cells: int) -> int:
     """``functions.text.md5_int``, by the number of cells."""
-    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % cells
+    return int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % cells
 
 
 def search(docs: DataFrame, queries: DataFrame, names: Sequence[str], k: int, sizes: Sequence[int] = (), lexical: bool = True) -> DataFrame:

@@ -90,16 +90,31 @@ def plain_bounds(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]
             yield begin, min(begin + size, len(text))
 
 
+#: Chunkings that are plain windows: size and overlap.
+PLAIN = {"plain512": (512, 64), "plain256": (256, 32)}
 #: Chunkings by name: bounds of the chunks of a text.
 CHUNKERS = {
-    "plain512": lambda t: plain_bounds(t, 512, 64),
-    "plain256": lambda t: plain_bounds(t, 256, 32),
+    "plain512": lambda t: plain_bounds(t, *PLAIN["plain512"]),
+    "plain256": lambda t: plain_bounds(t, *PLAIN["plain256"]),
     "snapped512": snapped_bounds,
     "recursive": packed_bounds,
     "table_aware": lambda t: packed_bounds(t, table_alone=True),
 }
 
 
+def chunk_bounds(name: str, texts: list[str]) -> np.ndarray:
+    """Text, place in it, begin and end of the chunks of many texts, as rows of a matrix; plain windows without a step for each."""
+    if name not in PLAIN:
+        return np.array([(d, k, a, z) for d, t in enumerate(texts) for k, (a, z) in enumerate(CHUNKERS[name](t))], np.int64).reshape(-1, 4).T
+    size, overlap = PLAIN[name]
+    length = np.array([len(t) for t in texts], np.int64)
+    n = np.where(length > 0, np.maximum(-(-(length - overlap) // (size - overlap)), 1), 0)
+    doc = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    begin = place * (size - overlap)
+    return np.stack([doc, place, begin, np.minimum(begin + size, length[doc])])
+
+
 def all_chunks(docs: DataFrame, names: tuple[str, ...] = tuple(CHUNKERS)) -> DataFrame:
     """chunking, doc_id, chunk_id, char_start, char_end, text of several chunkings from one read of the texts: a map, no shuffle.
 

@@ -158,10 +158,10 @@ def resample_kappas(pairs: DataFrame, a: str, b: str, key: str, by: Sequence[str
     return kappa_of_counts(drawn, "_a", "_b", "total", [*by, "b"]).select(*by, "b", F.col("kappa").alias("mean"))
 
 
-def percentile_interval(replicates: DataFrame, by: Sequence[str], value: str = "mean") -> DataFrame:
-    """95 % interval by linear percentiles; undefined replicates are dropped and counted."""
+def percentile_interval(replicates: DataFrame, by: Sequence[str], value: str = "mean", **more: Column) -> DataFrame:
+    """95 % interval by linear percentiles; undefined replicates are dropped and counted.  ``more``: other aggregates of the same groups, by name."""
     q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return replicates.groupBy(*by).agg(q.alias("q"), F.count_if(F.col(value).isNull()).alias("n_undefined")).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n_undefined")
+    return replicates.groupBy(*by).agg(q.alias("q"), F.count_if(F.col(value).isNull()).alias("n_undefined"), *(c.alias(n) for n, c in more.items())).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "n_undefined", *more)
 
 
 def hypergeometric(n: int, first: int, second: int, drawn: np.ndarray) -> np.ndarray:

@@ -76,3 +76,49 @@ def test_chunks_are_rows_only_where_they_are_shown(spark, tmp_path, monkeypatch,
     tidy = lambda rows: sorted((tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows), key=str)
     assert tidy(tuple(r[c] for c in columns) for r in got.collect()) == tidy(cursor.fetchall())
     assert made and max(made) < 400
+
+
+def test_bounds_of_many_texts():
+    texts = ["x" * n for n in (0, 1, 32, 33, 64, 65, 224, 255, 256, 257, 288, 448, 449, 512, 513, 576, 577, 960, 5000)] + ODD[2:]
+    for name, bounds in C.CHUNKERS.items():
+        assert C.chunk_bounds(name, texts).T.tolist() == [[d, k, a, z] for d, t in enumerate(texts) for k, (a, z) in enumerate(bounds(t))]
+
+
+@pytest.fixture(scope="module")
+def told(spark, tmp_path_factory):
+    """A folder with texts, some of which hold items, whole or only their beginning."""
+    folder, letters = tmp_path_factory.mktemp("told"), random.Random(12)
+    texts = [" ".join(letters.choices(["né", "ab", "漢字", "x", "aaaa"], k=90)) for _ in range(120)] + ["aaaa " * 80, "", None]
+    items = [texts[7][20:90], texts[7][20:60], texts[9][:40] + "#", texts[3][11:12], texts[50][-5:], "aaaa " * 9, "", None, "nowhere"]
+    spark.createDataFrame(list(enumerate(texts)) + [(None, texts[7])], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    want = [(i // 2, d, t.find(x), t.find(x) + len(x)) for i, x in enumerate(items) for d, t in enumerate(texts) if x and t and x in t]
+    return str(folder), sorted(want)
+
+
+def test_evidence_is_found_where_texts_are_read(spark, told):
+    found = Q.gold(spark, told[0])
+    assert sorted(map(tuple, found.select("query_id", "doc_id", "gold_start", "gold_end").collect())) == told[1]
+    assert len(told[1]) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # the texts would be shuffled for it
+
+
+@pytest.mark.parametrize("slice_", [1 << 20, 50])
+def test_keys_are_found_by_their_heads(monkeypatch, slice_):
+    import numpy as np
+
+    from siltstone.operators import containment as K
+
+    monkeypatch.setattr(K, "SLICE", slice_)
+    letters = random.Random(4)
+    for alphabet in ("ab ", "a", "abcdefgh éß漢"):
+        texts = [("".join(letters.choices(alphabet, k=letters.randrange(300)))).encode() for _ in range(20)]
+        keys = [(i, t[(a := letters.randrange(len(t) + 1)) : a + letters.choice([1, 7, 8, 9, 30, 50])]) for i, t in enumerate(texts)]
+        got = K.Keys(keys).within(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        assert got == {(r, i) for r, t in enumerate(texts) for i, k in keys if k and k[: K.KEY_BYTES] in t}
+
+
+def test_the_winner_is_taken_from_a_written_grid(spark, told):
+    """Its ranking and its bootstrap each read the grid, so that the texts were read and cut again for them."""
+    assert not [f for f in PLANS["retrieval_winner"](spark, told[0]).inputFiles() if "documents" in f or "benchmark" in f]
