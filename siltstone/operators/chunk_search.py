@@ -10,7 +10,8 @@ do the work, and Spark adds up and ranks what they give:
   before the token itself; these are differences of running counts, without a row for a chunk.
 * ``search`` gives each task's k best chunks of every question.  A tile of chunks is scored
   against all questions of a block: the ``HEAVY`` terms that most questions ask for, and the
-  hashed cells, as products of matrices, the others posting by posting.
+  hashed cells, as products of matrices, the others posting by posting.  The products are in
+  single precision; what can be among the k best by that is scored in double precision.
 
 Tokens, chunks and scores are those of ``functions.text.tokens``, ``chunking.all_chunks`` and
 ``retrieval.bm25_by_part`` and ``hashed_by_part``.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,14 @@ from pyspark.sql import functions as F
 
 from .chunking import CHUNK_IDS, chunk_bounds
 from .lexical import UNITS, Best, spread
-from .retrieval import query_blocks, saturation, weights_of
+from .retrieval import K1, query_blocks, saturation, weights_of
 
 #: Chunks that are scored in one go, and terms that are columns of a matrix.
 TILE, HEAVY = 2048, 256
+#: Pairs of a chunk and a question whose scores are made exact in one go.
+PAIRS = 1 << 12
+#: Rough scores in single precision, how far they can be off, and the exact ones of pairs (rows, columns).
+Scores = tuple[np.ndarray, np.ndarray | float, Callable[[np.ndarray, np.ndarray], np.ndarray]]
 #: Different pieces of text that a task remembers.
 PIECES = 1 << 19
 #: Letters, digits and the marks that may stand within a number.
@@ -232,21 +237,22 @@ class Held:
         self.best, self.most, self.n, self.new = Best(n, k), n * k, 0, []
         self.low = np.full(n, -np.inf)
 
-    def tile(self, values: np.ndarray, ids: np.ndarray, met: np.ndarray | None) -> None:
-        """Scores of chunks (rows) and questions; ``met``: which count, else those above 0."""
-        low, k = self.low, self.best.k
-        if met is None:
-            low = np.maximum(low, np.finfo(float).tiny)
-        elif not met.all():
+    def tile(self, values: np.ndarray, slack: np.ndarray | float, exact: Callable[[np.ndarray, np.ndarray], np.ndarray], ids: np.ndarray, met: np.ndarray | None) -> None:
+        """Scores of chunks (rows) and questions, off by ``slack`` at most; ``exact`` gives those of pairs.  ``met``: which count, else those above 0."""
+        low, k, kind = self.low, self.best.k, np.finfo(values.dtype)
+        if met is not None and not met.all():
             values = np.where(met, values, -np.inf)
-            low = np.maximum(low, np.finfo(float).min)
-        if len(values) > k and np.isneginf(self.low).any():
-            low = np.maximum(low, np.partition(values, len(values) - k, axis=0)[len(values) - k] - 2 / UNITS)
-        at = np.flatnonzero((values >= low).ravel())
-        if len(at):
-            row, question = np.divmod(at, values.shape[1])
-            self.new.append((question, ids[row], values.ravel()[at]))
-            self.n += len(at)
+        if len(values) > k and np.isneginf(low).any():
+            low = np.maximum(low, np.partition(values, len(values) - k, axis=0)[len(values) - k] - slack - 2 / UNITS)
+        bar = np.nextafter(np.maximum(low - slack, kind.min).astype(values.dtype), kind.min)
+        bar = np.maximum(bar, kind.tiny if met is None else kind.min)
+        row, question = np.divmod(np.flatnonzero((values >= bar).ravel()), values.shape[1])
+        for at in range(0, len(row), PAIRS):
+            r, q = row[at : at + PAIRS], question[at : at + PAIRS]
+            score = exact(r, q)
+            able = score >= low[q]
+            self.new.append((q[able], ids[r[able]], score[able]))
+            self.n += int(able.sum())
         if self.n > self.most:
             self.rank()
 
@@ -283,20 +289,27 @@ class Asked:
             asks[term[top], question[top]] = 1
             order = np.flatnonzero(~top)[np.argsort(term[~top], kind="stable")]
             first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-            self.parts[part] = (heavy, asks, first, question[order], weight[order], max(mean, 1e-300), bool((weight <= 0).any()))
+            # A score is at most the sum of the weights times what a saturated term counts.
+            slack = self._slack(len(heavy)) * (K1 + 1) * np.bincount(question, np.abs(weight), minlength=len(self.ids))
+            self.parts[part] = (heavy, slack, asks, first, question[order], weight[order], max(mean, 1e-300), bool((weight <= 0).any()))
         self.sizes = {n: self._unit(np.array([np.bincount([cell(t, n) for t in asked[q] or ()], minlength=n) for q in self.ids], np.float64).reshape(-1, n)).T for n in sizes}
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
-    def lexical(self, part: int, row: np.ndarray, term: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    @staticmethod
+    def _slack(n: int) -> float:
+        """How far a sum of n products in single precision can be off, as a share of the sum of their sizes; with room for what is made of it."""
+        return (2 * n + 64) * 2.0**-24
+
+    def lexical(self, part: int, row: np.ndarray, term: np.ndarray, length: np.ndarray) -> tuple[Scores, np.ndarray | None]:
         """Scores of all chunks of a tile, and which pairs share a term (where scores above 0 do not tell)."""
-        heavy, asks, first, question, weight, mean, mixed = self.parts[part]
+        heavy, slack, asks, first, question, weight, mean, mixed = self.parts[part]
         n, columns = len(length), len(self.ids)
         top = term < len(heavy)
         count = np.bincount(row[top] * len(heavy) + term[top], minlength=n * len(heavy))
-        at = np.flatnonzero(count)
+        at = np.flatnonzero(count > 0)
         matrix = np.zeros((n, len(heavy)))
         matrix.ravel()[at] = saturation(count[at], length[at // len(heavy)] / mean, 1.0)
         key, count = np.unique(row[~top] * len(self.terms) + term[~top], return_counts=True)
@@ -305,17 +318,22 @@ class Asked:
         pair = spread(first[term], size)
         spot = np.repeat(row, size) * columns + question[pair]
         value = saturation(count, length[row] / mean, 1.0)
-        out = matrix @ heavy + np.bincount(spot, weight[pair] * np.repeat(value, size), minlength=n * columns).reshape(n, columns)
+        light = np.bincount(spot, weight[pair] * np.repeat(value, size), minlength=n * columns).reshape(n, columns)
+        out = matrix.astype(np.float32) @ heavy.astype(np.float32)
+        out += light
+        scores = out, slack, lambda r, q: np.einsum("ij,ij->i", matrix[r], heavy.T[q]) + light[r, q]
         if not mixed:
-            return out, None
-        return out, ((matrix > 0).astype(float) @ asks + np.bincount(spot, minlength=n * columns).reshape(n, columns)) > 0
+            return scores, None
+        return scores, ((matrix > 0).astype(float) @ asks + np.bincount(spot, minlength=n * columns).reshape(n, columns)) > 0
 
-    def hashed(self, row: np.ndarray, cells: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    def hashed(self, row: np.ndarray, cells: np.ndarray, n: int) -> Iterator[tuple[int, Scores]]:
         """Scores of all chunks of a tile for each size."""
         top = max(self.sizes)
-        counts = np.bincount(row * top + cells, minlength=n * top).reshape(n, top).astype(np.float64)
-        for size, q in self.sizes.items():
-            yield size, self._unit(counts.reshape(n, top // size, size).sum(axis=1)) @ q
+        counts = np.bincount(row * top + cells, minlength=n * top).reshape(n, top).astype(np.float32)
+        for size, asked in self.sizes.items():
+            held = counts.reshape(n, top // size, size).sum(axis=1)
+            rough = held / np.sqrt(np.maximum(np.einsum("ij,ij->i", held, held), 1))[:, None]
+            yield size, (rough @ asked.astype(np.float32), self._slack(size), lambda r, q, held=held, asked=asked: np.einsum("ij,ij->i", self._unit(held[r].astype(np.float64)), asked.T[q]))
 
 
 def cell(term: str, cells: int) -> int:
@@ -365,11 +383,11 @@ def search(docs: DataFrame, queries: DataFrame, names: Sequence[str], k: int, si
                         z = min(a + TILE, len(ids))
                         if part in asked.parts:
                             best = held.setdefault((part, 0), Held(len(asked.ids), k))
-                            values, met = asked.lexical(part, *chunks.postings(batch, wanted, a, z), chunks.length[a:z])
-                            best.tile(values, ids[a:z], met)
+                            scores, met = asked.lexical(part, *chunks.postings(batch, wanted, a, z), chunks.length[a:z])
+                            best.tile(*scores, ids[a:z], met)
                         if sizes:
-                            for size, values in asked.hashed(*chunks.postings(batch, cells, a, z), z - a):
-                                held.setdefault((part, size), Held(len(asked.ids), k)).tile(values, ids[a:z], None)
+                            for size, scores in asked.hashed(*chunks.postings(batch, cells, a, z), z - a):
+                                held.setdefault((part, size), Held(len(asked.ids), k)).tile(*scores, ids[a:z], None)
             for (part, size), best in held.items():
                 question, item, score = best.rows()
                 fixed = [np.full(len(question), x, np.int32) for x in (part, size)]

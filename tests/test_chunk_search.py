@@ -122,3 +122,20 @@ def test_keys_are_found_by_their_heads(monkeypatch, slice_):
 def test_the_winner_is_taken_from_a_written_grid(spark, told):
     """Its ranking and its bootstrap each read the grid, so that the texts were read and cut again for them."""
     assert not [f for f in PLANS["retrieval_winner"](spark, told[0]).inputFiles() if "documents" in f or "benchmark" in f]
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_rough_scores_lose_none_of_the_best(signed):
+    import numpy as np
+
+    made, k, n = np.random.default_rng(6), 5, 7
+    scores = np.round(made.random((400, n)) - 0.5 * signed, 3)  # many ties
+    met = made.random((400, n)) < 0.6 if signed else scores > 0
+    best, slack = X.Held(n, k), 0.02
+    for a in range(0, 400, 90):
+        rows = scores[a : a + 90]
+        rough = np.maximum(rows + made.uniform(-slack, slack, rows.shape), -1.0 if signed else 1e-6).astype(np.float32)
+        best.tile(rough, slack * 1.001, lambda r, q, rows=rows: rows[r, q], np.arange(a, a + len(rows)), met[a : a + 90] if signed else None)
+    got = sorted(zip(*(x.tolist() for x in best.rows()), strict=True))
+    want = [(q, i, scores[i, q]) for q in range(n) for i in sorted(np.flatnonzero(met[:, q]), key=lambda i, q=q: (-scores[i, q], i))[:k]]
+    assert got == sorted(want)
