@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import embeddings as V
 from siltstone.plans import PLANS
+from siltstone.plans import retrieval_queries as Q
 
 
 def dense(lists, idf):
@@ -135,3 +136,31 @@ def test_orthogonal_in_place(shape, rows):
     a = np.random.default_rng(1).standard_normal(shape)
     q = V.orthogonal(a.copy(), rows)
     assert q.shape == shape and np.allclose(q.T @ q, np.eye(shape[1])) and np.allclose(q @ (q.T @ a), a)
+
+
+def test_recall_equals_that_of_all_cosines(spark, small, monkeypatch):
+    """`embedding_recall` ranks as all cosines of its model do, with tiles that end within a batch."""
+    learnt, learn = [], V.learn_cells
+    monkeypatch.setattr(V, "learn_cells", lambda *a, **k: learnt.append(learn(*a, **k)) or learnt[0])
+    monkeypatch.setattr(V, "TILE", 7)
+    got = {r.vectors: (r.n_questions, r.recall_at_5) for r in PLANS["embedding_recall"](spark, small).collect()}
+    golds, chunks = Q.gold(spark, small), Q.chunks(spark, small)
+    names, docs = {}, {}
+    for r in golds.select("query_id", "doc_id").collect():
+        docs.setdefault(r.query_id, set()).add(r.doc_id)
+    for r in Q.relevant_of(chunks.drop("text"), golds).collect():
+        names.setdefault((r.query_id, r.chunk_id), set()).add(r.doc_id)
+    for size in V.SIZES:
+        ids, best = all_cosines(learnt[0], chunks, Q.queries(spark, small), size, 5)
+        found = {q: set().union(*(names.get((q, c), set()) for _, c in best[q])) for q in ids}
+        want = np.mean([len(found.get(q, set())) / len(d) for q, d in docs.items()])
+        assert got[f"learned {size}"] == (len(docs), pytest.approx(want, abs=1e-6))
+
+
+def all_cosines(model, chunks, asked, size, k):
+    """The k best (-score, chunk) above 0 of every question, from the matrix of all pairs."""
+    cells = lambda df, key, text: sorted((r[0], r[1]) for r in df.select(key, V.cells_of(T.tokens(F.col(text)), len(model.idf))).collect())
+    held, want = cells(chunks, "chunk_id", "text"), cells(asked, "query_id", "gold_text")
+    v, q = (model.vectors(pa.array([c for _, c in rows], pa.list_(pa.int32())), size).astype(float) for rows in (held, want))
+    scores = np.round(q @ v.T, 6)
+    return [i for i, _ in want], {i: sorted((-s, c) for s, (c, _) in zip(row.tolist(), held, strict=True) if s > 0)[:k] for (i, _), row in zip(want, scores, strict=True)}
