@@ -164,3 +164,24 @@ def all_cosines(model, chunks, asked, size, k):
     v, q = (model.vectors(pa.array([c for _, c in rows], pa.list_(pa.int32())), size).astype(float) for rows in (held, want))
     scores = np.round(q @ v.T, 6)
     return [i for i, _ in want], {i: sorted((-s, c) for s, (c, _) in zip(row.tolist(), held, strict=True) if s > 0)[:k] for (i, _), row in zip(want, scores, strict=True)}
+
+
+def test_ranked_lists_are_those_of_all_cosines(spark, small, monkeypatch):
+    """`learned_embedding_topk` gives every question its ten best chunks above 0, ties by the chunk; a question without terms gets none."""
+    chunks = Q.chunks(spark, small)
+    model = V.learn(chunks, T.tokens(F.col("text")), size=16, cells=512)
+    monkeypatch.setattr(V, "learn", lambda *a, **k: model)
+    monkeypatch.setattr(V, "TILE", 7)
+    asked = Q.queries(spark, small).unionByName(spark.createDataFrame([(-1, "", [])], "query_id long, gold_text string, qt array<string>"))
+    monkeypatch.setattr(Q, "queries", lambda *a: asked)
+    got = {}
+    for r in sorted(PLANS["learned_embedding_topk"](spark, small).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.chunk_id))
+    ids, best = all_cosines(model, chunks, asked, 128, 10)
+    assert len(ids) > 1 and set(got) == {q for q in ids if best[q]} and -1 not in got
+    for q, rows in got.items():
+        assert [r for r, _, _ in rows] == list(range(1, len(best[q]) + 1))
+        assert np.allclose([s for _, s, _ in rows], [s for s, _ in best[q]], atol=2e-5)
+        assert [(s, c) for _, s, c in rows] == sorted((s, c) for _, s, c in rows)
+        sure = {c for s, c in best[q] if s < best[q][-1][0] - 4e-5}
+        assert sure <= {c for _, _, c in rows}
